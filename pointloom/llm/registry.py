@@ -1,11 +1,19 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import topk, urls
+from . import decontaminate, huffman, langid, packing, sharding, topk, urls
 
 
 def queries():
-    return {"op2_url_filter": urls.op2_url_filter, "op9_pivot_topk": topk.op9_pivot_topk}
+    return {
+        "op2_url_filter": urls.op2_url_filter,
+        "op5_extendible_shards": sharding.op5_extendible_shards,
+        "op6_language_id": langid.op6_language_id,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_decontamination": decontaminate.op8_decontamination,
+        "op9_pivot_topk": topk.op9_pivot_topk,
+        "op10_huffman_ids": huffman.op10_huffman_ids,
+    }
 
 
 def oracle_sql():
-    return {"op9_pivot_topk": topk.OP9_SQL}
+    return {"op5_extendible_shards": sharding.OP5_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op9_pivot_topk": topk.OP9_SQL}
