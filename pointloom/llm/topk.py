@@ -14,36 +14,39 @@ LARGEST = float(1 << 22)
 PARTS = "block long, side string, vec_id long, v binary, d binary"
 
 
-def exact_block(q: np.ndarray, qd: np.ndarray, c: np.ndarray, cd: np.ndarray, cid: np.ndarray, qid: int, k: int, step: int = 256) -> list[tuple[int, int]]:
-    """The k best (score, id) of candidates ``c`` for one query, with what the pivots rule out left unread.
+def exact_block(q: np.ndarray, qd: np.ndarray, c: np.ndarray, half: np.ndarray, cd: np.ndarray, cid: np.ndarray, qid: int, k: int, first: int = 512) -> list[tuple[int, int]]:
+    """The k best (score, id) of candidates ``c`` for one query, without those that the pivots rule out.
 
-    For a pivot p, |d(q, p) - d(c, p)| <= d(q, c); the largest over all pivots bounds the distance from below, so the
-    score (|q|^2 + |c|^2 - d^2) / 2 from above. Candidates are read in the order of that bound until it falls under the k-th score.
+    For a pivot p, |d(q, p) - d(c, p)| <= d(q, c) (``cd`` has a row for each pivot); the largest over all pivots bounds the distance from
+    below, so the score (|q|^2 + |c|^2 - d^2) / 2 from above (``half``: |c|^2 / 2). The ``first`` candidates in the order of that bound
+    are read; then all whose bound is not under the k-th score so far, and none after them can enter.
     """
-    low = np.zeros(len(c))
-    for p in range(cd.shape[1]):
-        np.maximum(low, np.abs(cd[:, p] - qd[p]), out=low)
-    bound = (q @ q + np.einsum("ij,ij->i", c, c) - low * low) / 2
-    bound += 1e-6 * (1 + np.abs(bound))
-    bound[cid == qid] = -np.inf
-    best_s, best_i, done, order = np.zeros(0), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
-    while done < len(c):
-        if done >= len(order):
-            more = min(len(c), max(step, 8 * done))
-            order = np.argpartition(-bound, more - 1)[:more] if more < len(c) else np.arange(len(c))
-            order = order[np.argsort(-bound[order], kind="stable")]
-        take = order[done : done + step]
-        if not len(take) or bound[take[0]] == -np.inf or (len(best_s) >= k and bound[take[0]] < best_s[-1]):
-            break
-        take = take[bound[take] > -np.inf]
-        s = np.concatenate([best_s, c[take] @ q])
-        i = np.concatenate([best_i, cid[take]])
+    low, gap = np.zeros(len(c), np.float32), np.empty(len(c), np.float32)
+    for row, d in zip(cd, qd, strict=True):
+        np.subtract(row, d, out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(low, gap, out=low)
+    bound = half - 0.5 * low * low + 0.5 * float(q @ q)
+    bound += 1e-4 * (1 + np.abs(bound))
+    own = cid == qid
+    bound[own] = -np.inf
+    head = np.argpartition(-bound, first)[:first] if len(c) > first else np.arange(len(c))
+    head = head[~own[head]]
+    s, i = c[head] @ q, cid[head]
+    top = np.lexsort((i, -s))[:k]
+    if len(c) > first:
+        least = s[top[-1]] if len(top) >= k else -np.inf
+        alive = bound >= least
+        alive[head] = False
+        left = np.flatnonzero(alive & ~own)
+        more = (c @ q)[left] if 2 * len(left) > len(c) else c[left] @ q
+        left, more = left[more >= least], more[more >= least]
+        s, i = np.concatenate([s[top], more]), np.concatenate([i[top], cid[left]])
         top = np.lexsort((i, -s))[:k]
-        best_s, best_i, done = s[top], i[top], done + step
-    return [(int(s), int(i)) for s, i in zip(best_s, best_i, strict=True)]
+    return [(int(x), int(y)) for x, y in zip(s[top], i[top], strict=True)]
 
 
-def top_k(vectors: DataFrame, query_mod: int = 20, k: int = 20, pivots: int = 24, query_block: int = 2048, candidate_block: int = 8192, scale: float = 64.0) -> DataFrame:
+def top_k(vectors: DataFrame, query_mod: int = 20, k: int = 20, pivots: int = 16, query_block: int = 2048, candidate_block: int = 8192, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with vec_id divisible by ``query_mod`` its k best among all other rows.
 
     Score: inner product of floor(scale * x); ties go to the smaller vec_id. Vectors that are null, hold null or non-finite
@@ -93,9 +96,12 @@ def top_k(vectors: DataFrame, query_mod: int = 20, k: int = 20, pivots: int = 24
             w = max(max(map(len, qs["v"])), max(map(len, cs["v"]))) // 8
             q, c = matrix(qs["v"], w), matrix(cs["v"], w)
             p = len(qs["d"].iloc[0]) // 8
-            qd, cd, cid = matrix(qs["d"], p), matrix(cs["d"], p), cs["vec_id"].to_numpy()
+            qd, cd, cid = matrix(qs["d"], p).astype(np.float32), np.ascontiguousarray(matrix(cs["d"], p).T.astype(np.float32)), cs["vec_id"].to_numpy()
+            half = (np.einsum("ij,ij->i", c, c) / 2).astype(np.float32)
+            if w * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 1 << 24:  # sums of such whole numbers are exact in float32
+                q, c = q.astype(np.float32), c.astype(np.float32)
             for j, qid in enumerate(qs["vec_id"]):
-                out += [(int(qid), i, s) for s, i in exact_block(q[j], qd[j], c, cd, cid, int(qid), k)]
+                out += [(int(qid), i, s) for s, i in exact_block(q[j], qd[j], c, half, cd, cid, int(qid), k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(compare, "query_id long, vec_id long, score long")
