@@ -1,11 +1,13 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontaminate, huffman, langid, packing, sharding, topk, urls
+from . import decontaminate, huffman, langid, neardup, packing, sharding, suffixes, topk, urls
 
 
 def queries():
     return {
         "op2_url_filter": urls.op2_url_filter,
+        "op3_repeated_passages": suffixes.op3_repeated_passages,
+        "op4_near_duplicates": neardup.op4_near_duplicates,
         "op5_extendible_shards": sharding.op5_extendible_shards,
         "op6_language_id": langid.op6_language_id,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -16,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_extendible_shards": sharding.OP5_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op9_pivot_topk": topk.OP9_SQL}
+    return {"op4_near_duplicates": neardup.OP4_SQL, "op5_extendible_shards": sharding.OP5_SQL, "op8_decontamination": decontaminate.OP8_SQL, "op9_pivot_topk": topk.OP9_SQL}
