@@ -83,8 +83,11 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LOWER, separators: np.ndarray = BLANK) -> Words:
-    """Words of the documents ``data[offs[i]:offs[i + 1]]``; ``start`` and ``end`` count from ``offs[0]``."""
+def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LOWER, separators: np.ndarray = BLANK, cuts=None) -> Words:
+    """Words of the documents ``data[offs[i]:offs[i + 1]]``; ``start`` and ``end`` count from ``offs[0]``.
+
+    ``cuts``, given the bytes, says before which of them a word begins though no separator stands there.
+    """
     b = data[offs[0] : offs[-1]]
     o = offs - offs[0]
     inside = ~separators[b]
@@ -92,6 +95,10 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LOWER, separat
     begin[1:] &= ~inside[:-1]
     final = inside.copy()
     final[:-1] &= ~inside[1:]
+    if cuts is not None and len(b):
+        more = cuts(b) & inside
+        begin |= more
+        final[:-1] |= more[1:]
     edges = o[:-1][o[:-1] < len(b)]
     begin[edges] |= inside[edges]
     before = edges[edges > 0] - 1
@@ -113,7 +120,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     pw, inv = powers(len(h))
     prefix = np.zeros(len(h) + 1, U64)
     np.cumsum(h * pw[: len(h)], out=prefix[1:])
-    return mix((prefix[k:] - prefix[:-k]) * inv[:n] + U64(k) * _ODD)
+    return mix((prefix[k:] - prefix[:-k]) * inv[:n] + U64(k * int(_ODD) % (1 << 64)))
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:
