@@ -26,34 +26,34 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple
     """
     left = counts.astype(np.int64).copy()
     bins: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    rest: dict[int, int] = {}
-    for n in range(capacity, 0, -1):
-        while left[n]:
-            room = capacity - n
-            fits = np.flatnonzero(left[1 : room + 1]) + 1
-            if n <= room and left[n] == 1:
-                fits = fits[fits != n]  # a piece is no partner of its own
-            if not len(fits):
-                bins.append((((n, 1),), int(left[n])) if not (n <= room) else (((n, 1),), 1))
-                left[n] -= bins[-1][1]
-                continue
-            best = int(fits[-1])
-            small = int(fits[0])
-            second = small if left[small] - (small == n) >= 2 else int(fits[1]) if len(fits) > 1 else capacity + 1
-            if best == room or small + second > room or not _sum_above(fits, best, room):
-                if best == n:
-                    k = int(left[n]) // 2
-                    bins.append((((n, 2),), k))
-                    left[n] -= 2 * k
-                else:
-                    k = int(min(left[n], left[best]))
-                    bins.append((((n, 1), (best, 1)), k))
-                    left[n] -= k
-                    left[best] -= k
-                continue
-            rest[n] = int(left[n])  # not dominated: left to best fit, and no partner of the shorter ones
-            left[n] = 0
-    return bins + best_fit(rest, capacity)
+    shrunk = True
+    while shrunk:
+        shrunk = False
+        for n in range(capacity, 0, -1):
+            while left[n]:
+                fixed = _dominating(left, n, capacity - n)
+                if fixed is None:
+                    break
+                partner, k = fixed
+                bins.append((((n, 2),) if partner == n else ((n, 1), (partner, 1)) if partner else ((n, 1),), k))
+                left[n] -= k
+                left[partner or 0] -= k if partner else 0
+                shrunk = True
+    return bins + best_fit({n: int(left[n]) for n in np.flatnonzero(left).tolist()}, capacity)
+
+
+def _dominating(left: np.ndarray, n: int, room: int) -> tuple[int, int] | None:
+    """The partner (0: none) of a piece of length ``n`` in a set that dominates all others with it, and how many such sets; or None."""
+    fits = np.flatnonzero(left[1 : room + 1]) + 1
+    if n <= room and left[n] == 1:
+        fits = fits[fits != n]  # a piece is no partner of its own
+    if not len(fits):
+        return 0, int(left[n]) if n > room else 1
+    best, small = int(fits[-1]), int(fits[0])
+    second = small if left[small] - (small == n) >= 2 else int(fits[1]) if len(fits) > 1 else room + 1
+    if best == room or small + second > room or not _sum_above(fits, best, room):
+        return best, int(left[n]) // 2 if best == n else int(min(left[n], left[best]))
+    return None
 
 
 def _sum_above(fits: np.ndarray, best: int, room: int) -> bool:
