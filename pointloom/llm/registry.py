@@ -1,10 +1,11 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import decontaminate, huffman, langid, neardup, packing, sharding, suffixes, topk, urls
+from . import decontaminate, huffman, langid, neardup, packing, sharding, suffixes, topk, toxicity, urls
 
 
 def queries():
     return {
+        "op1_toxic_spans": toxicity.op1_toxic_spans,
         "op2_url_filter": urls.op2_url_filter,
         "op3_repeated_passages": suffixes.op3_repeated_passages,
         "op4_near_duplicates": neardup.op4_near_duplicates,
