@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from . import work
 
-#: Bounds of the training sample: documents of a label (on average, by hash), and characters of one of them.
-PER_LABEL, LONGEST = 1500, 20_000
+#: Bounds of the training sample: documents of label 1 and of label 0 (on average, by hash), and characters of one of them.
+PER_LABEL, PER_CLEAN, LONGEST = 2000, 6000, 20_000
+#: A word's own feature and its beginnings of these lengths.
+BEGINNINGS = (4, 5, 6)
+#: Words whose features a worker remembers.
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words on either side of a known word whose tags are computed one by one; runs between are powers of one matrix.
 AROUND = 2
@@ -26,9 +31,25 @@ def token_words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def token_features(word: str) -> list[str]:
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
+
+
+def distinct_documents(docs: list[list[str]], k: int = 5, sketch: int = 4) -> list[list[str]]:
+    """``docs`` without those that share one of their ``sketch`` least shingles with an earlier one: copies tell nothing new of a word."""
+    seen: set[int] = set()
+    out = []
+    for d in docs:
+        least = sorted({zlib.crc32(" ".join(d[i : i + k]).encode()) for i in range(max(1, len(d) - k + 1))})[:sketch]
+        if not seen.intersection(least):
+            out.append(d)
+        seen.update(least)
+    return out
+
+
 @dataclass
 class Chain:
-    """Tags 0 (clean) and 1 (toxic). ``weights``: log-odds of tag 1 for known words, ``other`` for all else; ``move``: log-odds gained by a tag
+    """Tags 0 (clean) and 1 (toxic). ``weights``: what known features add to the log-odds ``other`` of tag 1; ``move``: log-odds gained by a tag
     1 after a tag 0 and after a tag 1 (against a tag 0). ``blend`` and ``base`` turn the marginals of a document into its score."""
 
     weights: dict[str, float]
@@ -41,10 +62,25 @@ class Chain:
         """Potentials [tag before, tag]."""
         return np.array([[1.0, np.exp(self.move[0] + e)], [1.0, np.exp(self.move[1] + e)]])
 
+    def known(self, word: str) -> float | None:
+        """The word's log-odds of tag 1 if it has a known feature."""
+        if not hasattr(self, "seen"):
+            self.seen = {}
+        if word not in self.seen:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            own = [w for f in token_features(word) if (w := self.weights.get(f)) is not None]
+            self.seen[word] = self.other + sum(own) if own else None
+        return self.seen[word]
+
     def marginals(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places and P(tag 1) of the known words and those around them, by forward-backward over the whole text."""
-        get = self.weights.get
-        known = [i for i, w in enumerate(words) if get(w) is not None]
+        each = list(map(self.known, words))
+
+        def emission(j: int) -> float:
+            return self.other if each[j] is None else each[j]
+
+        known = [i for i, e in enumerate(each) if e is not None]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)
         n = len(words)
@@ -63,7 +99,7 @@ class Chain:
             gap = j - at - 1
             jump = power(gap) if gap > 3 else np.linalg.matrix_power(plain, gap)
             jumps.append(jump)
-            state = state @ jump @ self.step(get(words[j], self.other))
+            state = state @ jump @ self.step(emission(j))
             state = state / state.sum()
             ahead.append(state)
             at = j
@@ -73,7 +109,7 @@ class Chain:
         for x in range(len(near) - 1, -1, -1):
             both = ahead[x] * back
             out[x] = both[1] / both.sum()
-            back = jumps[x] @ self.step(get(words[near[x]], self.other)) @ (back / back.sum())
+            back = jumps[x] @ self.step(emission(near[x])) @ (back / back.sum())
         return np.array(near), out
 
     def features(self, p: np.ndarray) -> tuple[float, float]:
@@ -87,48 +123,66 @@ class Chain:
         return float(1 / (1 + np.exp(-np.clip(self.base + self.blend[0] * f[0] + self.blend[1] * f[1], -30, 30))))
 
 
-def label_words(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Words that mark toxic documents: each occurrence there is a token labelled toxic. A word counts if documents with it are toxic far
-    more often than others, by at least 4 standard errors of the log-odds."""
-    a, b = (Counter(w for d in docs for w in set(d)) for docs in (toxic, clean))
-    n, m = len(toxic) + 1.0, len(clean) + 1.0
-    out = set()
-    for w, k in a.items():
-        if k >= 3:
-            x, y = k + 0.5, b[w] + 0.5
-            odds = np.log(x / max(0.5, n - x)) - np.log(y / max(0.5, m - y))
-            if odds > 1.5 and odds / np.sqrt(1 / x + 1 / y + 1 / max(0.5, n - x) + 1 / max(0.5, m - y)) > 4:
-                out.add(w)
+def label_features(toxic: list[list[str]], clean: list[list[str]], precise: float = 0.9) -> set[str]:
+    """Features that mark toxic documents: each occurrence there is a token labelled toxic. A feature counts if its share of toxic documents
+    is ``precise`` of both shares, by a likelihood ratio (G squared) that chance alone gives none of all features tried."""
+    a, b = (Counter(f for d in docs for f in {f for w in set(d) for f in token_features(w)}) for docs in (toxic, clean))
+    n, m = max(1, len(toxic)), max(1, len(clean))
+    out, least = set(), 2 * np.log(max(2, len(a)))
+    for f, k in a.items():
+        if k >= 4 and k / n >= precise * (k / n + (b[f] + 0.5) / m):
+            p = (k + b[f]) / (n + m)
+            g = sum(2 * x * np.log(x / y) for x, y in ((k, n * p), (b[f], m * p), (n - k, n - n * p), (m - b[f], m - m * p)) if x > 0)
+            if g >= least:
+                out.add(f)
     return out
 
 
-def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 150, rate: float = 0.15, length: int = 48) -> Chain:
+def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 70, rate: float = 0.25, length: int = 48) -> Chain:
     """Maximum likelihood of labelled tokens with forward-backward gradients (Adam), then a logistic blend of the documents' marginals."""
-    marks = label_words(toxic, clean)
+    marks = label_features(distinct_documents(toxic), clean)
     names = sorted(marks)
     at = {w: i + 1 for i, w in enumerate(names)}
+    wide = 1 + len(BEGINNINGS)
     rows, tags = [], []
+    memo: dict[str, list[int]] = {}
+
+    def ids_of(w: str) -> list[int]:
+        if w not in memo:
+            own = [at[f] for f in token_features(w) if f in at]
+            memo[w] = own + [-1] * (wide - len(own))
+        return memo[w]
+
+    pad = [-2] * wide
     for docs, is_toxic in ((toxic, 1), (clean, 0)):
         for d in docs:
-            ids = [at.get(w, 0) for w in d]
-            hits = [i for i, x in enumerate(ids) if x]
+            ids = [ids_of(w) for w in d]
+            hits = [i for i, x in enumerate(ids) if x[0] > 0]
             begins = {max(0, i - length // 2) // length * length for i in hits} | ({0} if ids else set())
             for b in begins:
                 part = ids[b : b + length]
-                rows.append(part + [-1] * (length - len(part)))
-                tags.append([is_toxic * (x > 0) for x in part] + [0] * (length - len(part)))
-    theta = np.zeros(len(names) + 3)  # other, known words; after 0, after 1
+                rows.append(part + [pad] * (length - len(part)))
+                tags.append([is_toxic * (x[0] > 0) for x in part] + [0] * (length - len(part)))
+    theta = np.zeros(len(names) + 3)  # other, known features; after 0, after 1
     theta[0] = -4.0
     if rows:
         x, y = np.array(rows), np.array(tags)
-        real = x >= 0
-        word = np.maximum(x, 0)
+        real = x[:, :, 0] >= -1
+        size = len(names) + 1
         m1 = v1 = np.zeros_like(theta)
         before = np.concatenate([np.zeros((len(y), 1), int), y[:, :-1]], 1)
-        target = np.bincount(word[real & (y == 1)], minlength=len(names) + 1).astype(float)
+
+        def gathered(p: np.ndarray, j=slice(None)) -> np.ndarray:
+            """What tokens' probabilities of tag 1 add up to for each feature."""
+            own = x[:, j]
+            out = np.bincount(np.maximum(own, 0).ravel(), np.where(own > 0, p[..., None], 0).ravel(), size)
+            out[0] = p.sum()
+            return out
+
+        target = gathered((real & (y == 1)).astype(float))
         moved = np.array([(real & (y == 1) & (before == s)).sum() for s in (0, 1)], float)
         for t in range(1, epochs + 1):
-            e = theta[: len(names) + 1][word]
+            e = theta[0] + np.where(x > 0, theta[np.maximum(x, 0)], 0).sum(2)
             up = np.exp(np.clip(e, -20, 20))
             k0, k1 = np.exp(theta[-2]), np.exp(theta[-1])
             f = np.zeros((length + 1, len(x), 2))
@@ -146,13 +200,13 @@ def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 150,
                 w00, w10 = f[j, :, 0] * back[:, 0], f[j, :, 1] * back[:, 0]
                 z = w00 + w01 + w10 + w11
                 p01, p11 = np.where(live, w01 / z, 0), np.where(live, w11 / z, 0)
-                g[: len(names) + 1] -= np.bincount(word[:, j], p01 + p11, len(names) + 1)
+                g[:size] -= gathered(p01 + p11, j)
                 g[-2] -= p01.sum()
                 g[-1] -= p11.sum()
                 b0, b1 = back[:, 0] + k0 * up[:, j] * back[:, 1], back[:, 0] + k1 * up[:, j] * back[:, 1]
                 s = b0 + b1
                 back = np.where(live[:, None], np.stack([b0 / s, b1 / s], 1), back)
-            g[: len(names) + 1] += target
+            g[:size] += target
             g[-2:] += moved
             g -= 0.05 * theta
             m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
@@ -178,14 +232,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, longest: int = LONGEST) -> Chain:
-    """Fit on labelled rows that aren't held out: of each label about ``per_label`` documents of up to ``longest`` characters, chosen by a
-    hash of doc_id. A doc_id with several labels counts as toxic if one is."""
+def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, per_clean: int = PER_CLEAN, longest: int = LONGEST) -> Chain:
+    """Fit on labelled rows that aren't held out: about ``per_label`` toxic and ``per_clean`` other documents of up to ``longest`` characters,
+    chosen by a hash of doc_id. A doc_id with several labels counts as toxic if one is."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for k, c in n.items():
-        share = F.when(F.col("toxic") == k, F.lit(int(min(1.0, per_label / c) * (1 << 31)))).otherwise(share)
+        share = F.when(F.col("toxic") == k, F.lit(int(min(1.0, (per_label if k else per_clean) / c) * (1 << 31)))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").toPandas()
@@ -206,17 +260,17 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
     def run(batches):
         model = shared.value
         none = model.score(np.zeros(0))
-        known = re.compile("|".join(map(re.escape, sorted(model.weights, key=len, reverse=True)))) if model.weights else None
         for batch in batches:
             scores, spans = [], []
             for text in batch.column(1).to_pylist():
                 low = (text or "").lower()
-                if known is None or not known.search(low):
+                ws = WORD.findall(low)
+                near, p = model.marginals(ws)
+                if not len(near):
                     scores.append(none)
                     spans.append([])
                     continue
                 at = [m.span() for m in WORD.finditer(low)]
-                near, p = model.marginals([low[a:z] for a, z in at])
                 scores.append(model.score(p))
                 spans.append([{"start": at[i][0], "end": at[i][1], "probability": float(x)} for i, x in zip(near, p, strict=True) if x >= SPAN])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])

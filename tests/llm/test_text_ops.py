@@ -349,14 +349,14 @@ def test_toxicity(spark):
 
 
 def test_chain_marginals_match_brute_force():
-    c = toxicity.Chain({"bad": 2.0, "odd": -1.0}, -2.0, (-0.5, 1.0), (1.0, 0.0), 0.0)
+    c = toxicity.Chain({"bad": 4.0, "odd": 1.0}, -2.0, (-0.5, 1.0), (1.0, 0.0), 0.0)
     text = "a a a a a a bad a a odd bad a a a a a".split()
     n, total, on = len(text), 0.0, np.zeros(len(text))
     for m in range(1 << n):
         tags = [(m >> i) & 1 for i in range(n)]
         w, before = 1.0, 0
         for x, t in zip(text, tags):
-            w *= np.exp(c.move[before] + c.weights.get(x, c.other)) if t else 1.0
+            w *= np.exp(c.move[before] + (c.other + c.weights.get(x, 0.0))) if t else 1.0
             before = t
         total += w
         on += w * np.array(tags)
