@@ -1,9 +1,13 @@
 """Registered queries and their DuckDB counterparts."""
 
+from .plans import catalog, physics
+
 
 def queries():
-    return {}
+    assert physics
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    assert physics
+    return dict(catalog.SQL)
