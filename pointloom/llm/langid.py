@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +15,8 @@ from . import work
 DIMENSIONS, GRAM, SYMBOLS = 1024, 3, 512
 #: Bounds of the training sample: documents of a language (on average, by hash), and characters of one of them.
 PER_LANGUAGE, LONGEST = 800, 20_000
+#: N-grams whose bound vectors a worker holds (4 KB each), and how many of a text are looked up at once.
+KNOWN, AT_ONCE = 24_000, 8192
 #: Languages that a profile table may hold.
 MOST_LANGUAGES = 512
 
@@ -63,37 +64,43 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(packed, return_counts=True)
 
 
-@dataclass
 class Profiles:
-    """Unit vectors of languages. ``known`` caches bound vectors of frequent n-grams, up to a bound."""
+    """Unit vectors of languages, and a table of the bound vectors of the n-grams met so far, up to ``KNOWN``."""
 
-    languages: list[str]
-    prototypes: np.ndarray
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    known: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMENSIONS), np.float32))
+    def __init__(self, languages: list[str], prototypes: np.ndarray):
+        self.languages, self.prototypes = languages, prototypes
+        self.known = np.zeros((KNOWN, DIMENSIONS), np.float32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
+        """Places of sorted ``grams`` in the table; new ones are bound and added, and a full table is started anew."""
         at = np.minimum(np.searchsorted(self.ids, grams), max(0, len(self.ids) - 1))
         new = self.ids[at] != grams if len(self.ids) else np.ones(len(grams), bool)
         if new.any():
             fresh = grams[new]
-            if len(self.ids) + len(fresh) > 24_000:
-                self.ids, self.known, fresh = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), grams
-            ids = np.concatenate([self.ids, fresh])
-            order = np.argsort(ids)
-            self.ids, self.known = ids[order], np.concatenate([self.known, vectors(fresh)])[order]
+            if len(self.ids) + len(fresh) > KNOWN:
+                self.clear()
+                fresh = grams
+            n = len(self.ids)
+            self.known[n : n + len(fresh)] = vectors(fresh)
+            into = np.searchsorted(self.ids, fresh)
+            self.ids = np.insert(self.ids, into, fresh)
+            self.places = np.insert(self.places, into, n + np.arange(len(fresh)))
             at = np.searchsorted(self.ids, grams)
-        return at
+        return self.places[at]
 
     def judge(self, text: str | None) -> tuple[str, float]:
         grams, n = gram_counts(text or "")
         if not len(grams) or not self.languages:
             return "und", 0.0
         doc = np.zeros(DIMENSIONS, np.float32)
-        for a in range(0, len(grams), 8192):
-            part = grams[a : a + 8192]
+        for a in range(0, len(grams), AT_ONCE):
+            part = grams[a : a + AT_ONCE]
             at = self.rows(part)
-            doc += n[a : a + 8192].astype(np.float32) @ self.known[at]
+            doc += n[a : a + AT_ONCE].astype(np.float32) @ self.known[at]
         size = float(np.sqrt(doc @ doc)) or 1.0
         cosine = self.prototypes @ (doc / size)
         best = int(np.argmax(cosine))
@@ -107,9 +114,9 @@ def learn(rows: pd.DataFrame) -> Profiles:
         grams, n = gram_counts(text or "")
         if len(grams):
             doc = np.zeros(DIMENSIONS, np.float32)
-            for a in range(0, len(grams), 8192):
-                at = blank.rows(grams[a : a + 8192])
-                doc += n[a : a + 8192].astype(np.float32) @ blank.known[at]
+            for a in range(0, len(grams), AT_ONCE):
+                at = blank.rows(grams[a : a + AT_ONCE])
+                doc += n[a : a + AT_ONCE].astype(np.float32) @ blank.known[at]
             sums[lang] = sums.get(lang, 0) + doc / (np.sqrt(doc @ doc) or 1.0)
     names = sorted(sums)
     return Profiles(names, np.array([sums[x] / (np.linalg.norm(sums[x]) or 1.0) for x in names], np.float32).reshape(len(names), DIMENSIONS))
