@@ -153,9 +153,11 @@ def matches(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, every_path = work.store(anchors(docs), "anchors")
     shared = every.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z")).where(F.col("m.doc_id") < F.col("z")).select("h", F.col("m.doc_id").alias("d"), F.col("m.pos").alias("p"))
+    # written down, so that both sides of the join are dealt for it and a hot run of words can be split
+    shared, shared_path = work.store(shared, "shared")
     kept = every.join(shared, "h").select("h", "doc_id", "pos", ((F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p"))).alias("first"))
     places, places_path = work.store(kept.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "first")).alias("at"), F.count("*").alias("n")), "places")
-    work.drop(spark, every_path)
+    work.drop(spark, every_path, shared_path)
     n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     rows, rows_path = work.store(suffixes(docs, places.select("doc_id", "at"), n), "suffixes")
     order = ["h", "right", "left", "doc_id", "pos"]
