@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import work
-from .urls import LOWER, UPPER
 
 #: What stands between words; A-Z are lower-cased first.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing, which counting doesn't need.
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Rows up to which a table made from the test set is broadcast; beyond it the same join shuffles.
 SMALL = 400_000
 
 
-def word_list(text: Column) -> Column:
-    """Words of ``text`` in order; null has none."""
-    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, BETWEEN), lambda w: w != "")
+def lowered(text: Column) -> Column:
+    """``text`` with A-Z in lower case; null is empty. Other than ASCII texts are seen as their UTF-8 bytes, a character each: lower-casing these
+    too maps different texts to different texts, and only equality counts here."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.lower(F.decode(F.encode(t, "UTF-8"), "ISO-8859-1")))
+
+
+def word_list(text: Column, between: str = BETWEEN) -> Column:
+    """The words of ``text``, in order; null has none."""
+    return F.filter(F.split(text, between), lambda w: w != "")
+
+
+def word_count(text: Column) -> Column:
+    return F.size(word_list(F.coalesce(text.cast("string"), F.lit("")), BETWEEN_ANY_CASE)).cast("long")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -30,20 +41,23 @@ def test_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
     An item of fewer words, but not none, is one window.
     """
-    w = benchmark.select(F.col("item_id").cast("string").alias("item"), word_list(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    w = benchmark.select(F.col("item_id").cast("string").alias("item"), word_list(lowered(F.col("text"))).alias("ws")).where(F.size("ws") > 0)
     first = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("ws") - (size - 1)))
     rows = w.select("item", F.explode(F.transform(first, lambda i: F.slice("ws", i, size))).alias("words"))
     return rows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("window"), "words", "items")
 
 
 def positions(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """Postings (term, doc, pos) of the documents' words that are among ``terms``."""
-    p = docs.select("__row", F.posexplode("ws").alias("pos", "term"))
+    """Postings (term, __row, pos) of the words of ``docs`` (__row, text) that are among ``terms``."""
+    # nothing stands before a leading separator: the split then begins with an empty string, which is no word
+    lead = F.coalesce(F.substring("text", 1, 1).rlike(BETWEEN_ANY_CASE), F.lit(False)).cast("int")
+    split = docs.select("__row", lead.alias("lead"), F.posexplode(F.split(lowered(F.col("text")), BETWEEN)).alias("at", "term"))
+    p = split.select("__row", (F.col("at") - F.col("lead")).alias("pos"), "term")
     return p.join(small(terms.select("term"), n_terms), "term", "left_semi") if n_terms > SMALL else p.join(F.broadcast(terms.select("term").distinct()), "term")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(__row, window, start) of every exact occurrence of a window in ``docs`` (__row, ws).
+    """(__row, window, start) of every exact occurrence of a window in ``docs`` (__row, text).
 
     Training terms are counted first. Each window then is looked up by its two rarest terms: only these terms' postings are stored; lists
     shifted by the terms' places in the window are intersected, and the places that are left are read word by word.
@@ -70,7 +84,7 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     per = found.groupBy("__row").agg(F.collect_list(F.struct("start", "window")).alias("places"))
     n_found = found.count()
     sizes = windows.select("window", F.size("words").alias("size"))
-    checked = docs.join(F.broadcast(per) if n_found <= SMALL else per, "__row")
+    checked = docs.join(F.broadcast(per) if n_found <= SMALL else per, "__row").withColumn("ws", word_list(lowered(F.col("text"))))
     lengths = [r.size for r in sizes.select("size").distinct().collect()]  # up to the window's size
     same = F.filter("places", lambda p: F.exists(F.array(*[F.lit(n) for n in lengths]), lambda n: F.xxhash64(F.slice("ws", p["start"] + 1, n)) == p["window"]))
     out = checked.select("__row", F.explode(same).alias("p")).select("__row", "p.start", "p.window")
@@ -80,20 +94,20 @@ def phrase_matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], within: int) -> DataFrame:
-    """(__row, start, end) of runs of at most ``within`` words of ``docs`` (__row, ws) that begin with the first posting of a match and hold all ``terms``.
+    """(__row, start, end) of runs of at most ``within`` words of ``docs`` (__row, text) that begin with the first posting of a match and hold all ``terms``.
 
     The rarest term's postings are extended by each other term's nearest posting on either side. A document's postings of the asked
     terms are gathered by document and chunk of positions, so that no list grows with a term's frequency in the corpus.
     """
     need = sorted(set(terms))
     spark = docs.sparkSession
-    asked = spark.createDataFrame([(t,) for t in need], "term string")
+    asked = spark.createDataFrame([(t,) for t in need], "t string").select(lowered(F.col("t")).alias("term"))
     index = positions(docs, asked, len(need))
     # a match ends at one of its postings: keep, for each posting, the latest place of every term up to it
     from pyspark.sql import Window
 
     w = Window.partitionBy("__row").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(w).alias(f"l{i}") for i, t in enumerate(need)]
+    last = [F.max(F.when(F.col("term") == lowered(F.lit(t)), F.col("pos"))).over(w).alias(f"l{i}") for i, t in enumerate(need)]
     rows = index.select("__row", "pos", *last)
     low = F.least(*[F.col(f"l{i}") for i in range(len(need))]) if len(need) > 1 else F.col("l0")
     complete = F.lit(True)
@@ -112,7 +126,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
     names = [c for c in documents.columns if c not in ("n_words", "n_hit", "n_items", "items", "spans", "ws", "__row")]
     hits = hit_spans(documents.select("doc_id", "text"), benchmark, size)
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.xxhash64("text"), F.lit(0)))
-    base = documents.select(*names, F.xxhash64(key).alias("__row"), F.size(word_list(F.col("text"))).cast("long").alias("n_words"))
+    base = documents.select(*names, F.xxhash64(key).alias("__row"), word_count(F.col("text")).alias("n_words"))
     none = F.array().cast("array<string>")
     return base.join(hits, "__row", "left").select(*names, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"), "spans")
 
@@ -120,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 def hit_spans(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(__row, n_hit, items, spans) of the documents with hits; __row is a hash of doc_id and text, so copies of a row share it."""
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.xxhash64("text"), F.lit(0)))
-    docs = documents.select(F.xxhash64(key).alias("__row"), word_list(F.col("text")).alias("ws"))
+    docs = documents.select(F.xxhash64(key).alias("__row"), F.col("text").cast("string").alias("text"))
     windows, _ = work.store(test_windows(benchmark, size), "windows")
     n = windows.count()
     matches = phrase_matches(docs, windows).distinct()
@@ -144,7 +158,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, size: int =
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.xxhash64("text"), F.lit(0)))
     if most_hit <= 0:
         return documents.withColumn("__row", F.xxhash64(key)).join(hits.select("__row"), "__row", "left_anti").select(*documents.columns)
-    words = F.greatest(F.lit(1), F.size(word_list(F.col("text"))))
+    words = F.greatest(F.lit(1), word_count(F.col("text")))
     kept = documents.withColumn("__row", F.xxhash64(key)).join(hits.select("__row", "n_hit"), "__row", "left")
     return kept.where(F.coalesce("n_hit", F.lit(0)) <= F.lit(most_hit) * words).select(*documents.columns)
 
