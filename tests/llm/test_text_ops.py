@@ -145,14 +145,14 @@ def brute_hits(docs, items):
 
 
 def test_decontamination(spark):
-    a, b = words(14, 1), words(25, 2)
-    items = [(1, " ".join(a)), (2, " ".join(b)), (10, "just three words"), (11, ""), (12, None), (13, "a a a a a a a a a a a"), (14, " ".join(a))]
-    docs = [(1, "Pre " + ", ".join(a).upper() + " post"), (2, " ".join(b[:9])), (3, " ".join(b[3:20] + words(5, 4) + b[:10])), (4, "there are JUST three-words here"), (5, "a " * 30), (6, None), (7, ""), (7, ""), (8, " ".join(words(50, 9)))]
+    a, b, c = words(14, 1), words(25, 2), "É été àB ß × ÷ Ünd ñ 中文 µ Ŀ".split()
+    items = [(15, " ".join(c)), (1, " ".join(a)), (2, " ".join(b)), (10, "just three words"), (11, ""), (12, None), (13, "a a a a a a a a a a a"), (14, " ".join(a))]
+    docs = [(1, "Pre " + ", ".join(a).upper() + " post"), (2, " ".join(b[:9])), (3, " ".join(b[3:20] + words(5, 4) + b[:10])), (4, "there are JUST three-words here"), (5, "a " * 30), (6, None), (7, ""), (7, ""), (8, " ".join(words(50, 9))), (9, "--É ÀB xé " + " ".join(c) + " "), (10, "- ")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(frame(spark, docs), bench).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"])) for r in got), key=str) == brute_hits(docs, items)
     kept = decontaminate.remove_contaminated(frame(spark, docs), bench)
-    assert {r.doc_id for r in kept.collect()} == {2, 6, 7, 8} and kept.columns == frame(spark, docs).columns
+    assert {r.doc_id for r in kept.collect()} == {2, 6, 7, 8, 10} and kept.columns == frame(spark, docs).columns
     none = bench.limit(0)
     assert decontaminate.contamination(frame(spark, docs), none).where("n_hit > 0").count() == 0
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
@@ -165,7 +165,7 @@ def test_decontamination_shuffled(spark, monkeypatch):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "the cat sat on a mat".split()), (2, "cat x x x x x x mat".split()), (3, [])], "__row long, ws array<string>")
+    docs = spark.createDataFrame([(1, "the Cat, sat on a mat"), (2, "cat x x x x x x mat"), (3, None)], "__row long, text string")
     got = decontaminate.proximity_matches(docs, ["mat", "cat"], 5).collect()
     assert [(r["__row"], r.start, r.end) for r in got] == [(1, 1, 6)]
 
@@ -394,3 +394,19 @@ def test_top_k(spark):
         assert sorted(got[q]) in hits
     assert set(got) == {i for i, _ in good if i % 20 == 0}
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    from pointloom.llm import graph
+
+    r = random.Random(0)
+    for n, m in ((40, 30), (30, 60), (50, 49)):
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)] if m != 49 else [(i, i + 1) for i in range(49)]
+        label = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in range(n):
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        got = graph.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {(x.id, x.root) for x in got.collect()} == set(label.items())
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
