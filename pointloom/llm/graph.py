@@ -15,25 +15,32 @@ from . import work
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of ``edges`` (a, b), with the smallest id of each component as its root.
 
-    Each round every id takes the smallest root among its neighbours, then its root's root; rounds, written to the shared folder, end when
-    nothing changes. Hubs only meet partial minima and joins that can split.
+    Each round every id points to its smallest neighbour if that is smaller, and then to where that one points; edges are drawn anew
+    between these roots, so that they get fewer, until none is left. The rounds' maps, written to the shared folder, are followed one after
+    another. Hubs only meet partial minima and joins that can split.
     """
     spark = edges.sparkSession
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both, both_path = work.store(both, "edges")
-    roots, path = work.store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    while True:
-        near = both.join(roots.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        took = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        up = roots.select(F.col("id").alias("root"), F.col("root").alias("up"))
-        jumped = took.join(up, "root", "left").select("id", "was", F.least("root", F.coalesce("up", "root")).alias("root"))
-        new, new_path = work.store(jumped, "roots")
-        done = new.where("root <> was").isEmpty()
-        work.drop(spark, path)
-        roots, path = new.select("id", "root"), new_path
-        if done:
-            work.drop(spark, both_path)
-            return roots
+    lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left, path = work.store(edges.where("a <> b").select(lo, hi).distinct(), "edges")
+    maps = []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
+        near, near_path = work.store(near, "near")
+        up = near.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        to, _ = work.store(near.join(up, "root").select("id", F.col("up").alias("root")), "roots")
+        maps.append(to)
+        drawn = left.join(to.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(to.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
+        new, new_path = work.store(drawn.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        work.drop(spark, path, near_path)
+        left, path = new, new_path
+    if not maps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    out = maps[0]
+    for m in maps[1:]:
+        out = out.join(m.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    out, _ = work.store(out, "components")
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens, work
+from . import textkit, tokens, work
 
 MAGIC, EVERY, MAX_BITS, IDS = b"PLH1", 512, 18, 49408
 #: Ids after which a block is closed; a longer document is a block of its own.
@@ -156,7 +156,7 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offs * wide.itemsize), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), binary.cast(pa.binary())], ["doc_id", "ids"])
 
-    raw, raw_path = work.store(documents.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary"), "ids")
+    raw, raw_path = work.store(documents.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(encode), "doc_id long, ids binary"), "ids")
 
     def count(batches):
         total = np.zeros(IDS, np.int64)
@@ -167,7 +167,7 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     counts = np.zeros(IDS, np.int64)
-    for r in raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in raw.select("ids").mapInArrow(textkit.frugal(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(zlib.compress(lengths.tobytes())), MAX_BITS)], "lengths binary, max_bits int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -199,7 +199,7 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = raw.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, "part int, block int, n_docs long, n_ids long, ids_before long, image binary").write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(textkit.frugal(blocks), "part int, block int, n_docs long, n_ids long, ids_before long, image binary").write.parquet(f"{path}/blocks")
     work.drop(spark, raw_path)
 
 
@@ -229,7 +229,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(offs), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(parts[part.as_py()] + ahead.as_py() + ends - n, pa.int64()), pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), binary.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return blocks.select("part", "ids_before", "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.select("part", "ids_before", "image").mapInArrow(textkit.frugal(decode), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +14,12 @@ from . import graph, textkit, work
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens of a set; independent trees; levels that are branched before nodes are counted.
 COORDINATES, TREES, DEPTH = 128, 12, 3
-#: Sets up to which a node is compared exhaustively; rounds of branching of larger ones.
-NODE, ROUNDS = 128, 6
-#: Estimated similarity from which two sets are put in one cluster for the exact join; and from which a set needs no further branching:
-#: whatever is similar to it then is in its node's cluster, by the triangle inequality of Jaccard distances.
-LOOSE, CORE = 0.45, 0.9
+#: Sets up to which a node is compared exhaustively; rounds of branching of larger ones, and the levels of a round.
+NODE, ROUNDS, LEVELS = 256, 10, 2
+#: Estimated similarity (its standard error is 0.04) from which two sets of a small node are put in one cluster for the exact join; from which
+#: a set joins the cluster of a large node's first; and from which it needs no further branching: by the triangle inequality of
+#: Jaccard distances, what is as similar as asked to a set at distance d from the first is at distance d + 0.25 from it at most.
+NEAR, LOOSE, CORE = 0.55, 0.38, 0.7
 #: Shingles (8 bytes each) that a task of the exact join holds on a side; ids up to which members are broadcast.
 WEIGHT, SMALL = 1 << 20, 500_000
 
@@ -69,7 +72,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 nodes.append(leaves(t).view(np.int64) if len(s) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "set2", "sig", "nodes"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set long, set2 long, sig binary, nodes array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(run), "doc_id long, n_shingles long, set long, set2 long, sig binary, nodes array<long>")
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -83,11 +86,11 @@ def compare_nodes(batches):
         ids, sig = t.column(1).to_numpy(), graph.fixed_rows(t.column(2), COORDINATES)
         size = np.diff(at)
         two = at[:-1][size == 2]
-        two = two[_alike(sig[two], sig[two + 1]) >= LOOSE] if len(two) else two
+        two = two[_alike(sig[two], sig[two + 1]) >= NEAR] if len(two) else two
         a, b = [ids[two]], [ids[two + 1]]
         for lo, m in zip(at[:-1][size > 2], size[size > 2], strict=True):
             s = sig[lo : lo + m]
-            near = _alike(s[:, None], s[None]) >= LOOSE
+            near = _alike(s[:, None], s[None]) >= NEAR
             label = np.arange(m)
             while True:
                 new = np.where(near, label[None], m).min(1)
@@ -101,35 +104,37 @@ def compare_nodes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def compare_first(last: bool):
-    """(node, id, sig, first id, first sig) of large nodes: (a, b, null, null) for an edge to the node's first, (null, id, node, sig) for what goes on
-    to a child. In the ``last`` round nothing goes on and all is linked: clusters may be too wide, never too narrow."""
+def compare_first(batches):
+    """(node, id, sig, first id, first sig) of large nodes: (node, id, sig, first, like), with the estimated similarity to the first."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        like = _alike(graph.fixed_rows(t.column(2), COORDINATES), graph.fixed_rows(t.column(4), COORDINATES)) if batch.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(like, pa.float64())], ["node", "id", "sig", "first", "like"])
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            node, ids, first = (t.column(i).to_numpy() for i in (0, 1, 3))
-            sig = graph.fixed_rows(t.column(2), COORDINATES)
-            like = _alike(sig, graph.fixed_rows(t.column(4), COORDINATES))
-            near = (np.ones(len(ids), bool) if last else like >= LOOSE) & (ids != first)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[near]), pa.array(first[near]), pa.nulls(int(near.sum()), pa.int64()), pa.nulls(int(near.sum()), pa.binary())], ["a", "b", "node", "sig"])
-            on = np.flatnonzero((like < CORE) & (ids != first)) if not last else np.zeros(0, np.int64)
-            if len(on):
-                row, child = children(node[on].view(np.uint64), sig[on].astype(np.uint64))
-                row = on[row]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(row), pa.int64()), pa.array(ids[row]), pa.array(child.view(np.int64)), t.column(2).combine_chunks().take(pa.array(row)) if not isinstance(t.column(2).combine_chunks(), pa.ChunkedArray) else t.column(2).take(pa.array(row)).combine_chunks()], ["a", "b", "node", "sig"])
-
-    return run
+
+def branch(batches):
+    """(node, id, sig) to the (child, id, sig) that are ``LEVELS`` further down."""
+    for batch in batches:
+        if batch.num_rows:
+            node, row = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows)
+            tokens = graph.fixed_rows(batch.column(2), COORDINATES).astype(np.uint64)
+            for _ in range(LEVELS):
+                up, node = children(node, tokens[row])
+                row = row[up]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["node", "id", "sig"])
 
 
 def clusters(sets: DataFrame) -> DataFrame:
-    """(id, root): clusters of ``sets`` (id, sig, nodes) outside which no set is as similar as asked, but for a tree recall of over 0.9999."""
+    """(id, root): clusters of ``sets`` (id, sig, nodes) outside which no set is as similar as asked, but for a tree recall of over 0.9999.
+
+    Small nodes are compared exhaustively. In a large one all sets are compared with one of them; if some are far from it, all but those close to
+    it branch on. What still is large after ``ROUNDS`` is linked as it is: clusters may be too wide, never too narrow.
+    """
     spark, parts = sets.sparkSession, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = sets.select("id", "sig")
     members = sets.select(F.explode("nodes").alias("node"), "id")
-    edges, scratch, with_sig = [], [], False
+    edges, smalls, scratch, with_sig = [], [], [], False
     for turn in range(ROUNDS):
         counts = members.groupBy("node").agg(F.count("*").alias("n")).where("n >= 2")
         shared = members.join(counts, "node")
@@ -137,23 +142,25 @@ def clusters(sets: DataFrame) -> DataFrame:
             shared = shared.join(sigs, "id")
         shared, path = work.store(shared.select("node", "id", "sig", "n"), "nodes")
         scratch.append(path)
-        small = shared.where(F.col("n") <= NODE).select("node", "id", "sig").repartition(parts, "node").sortWithinPartitions("node", "id")
-        edges.append(small.mapInArrow(compare_nodes, "a long, b long"))
+        smalls.append(shared.where(F.col("n") <= NODE).select("node", "id", "sig"))
         large = shared.where(F.col("n") > NODE)
-        if large.isEmpty():
+        if not shared.agg(F.count_if(F.col("n") > NODE).alias("k")).first().k:
             break
         first = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "sig")).alias("f")).select("node", F.col("f.id").alias("first"), F.col("f.sig").alias("first_sig"))
         met = large.select("node", "id", "sig").join(first, "node").select("node", "id", "sig", "first", "first_sig")
-        met, path = work.store(met.mapInArrow(compare_first(turn == ROUNDS - 1), "a long, b long, node long, sig binary"), "met")
+        met, path = work.store(met.mapInArrow(textkit.frugal(compare_first), "node long, id long, sig binary, first long, like double"), "met")
         scratch.append(path)
-        edges.append(met.where("a is not null").select("a", "b"))
-        members, with_sig = met.where("a is null").select("node", F.col("b").alias("id"), "sig").dropDuplicates(["node", "id"]), True
-        if members.isEmpty():
+        near = F.lit(True) if turn == ROUNDS - 1 else F.col("like") >= LOOSE
+        edges.append(met.where(near & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
+        # in a node with sets far from its first, these look for partners among all but the core
+        if turn == ROUNDS - 1 or not met.agg(F.count_if(~near).alias("k")).first().k:
             break
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    roots = graph.components(out)
+        apart = met.where(~near).select("node").distinct()
+        on = met.join(apart, "node").where((F.col("like") < CORE) & (F.col("id") != F.col("first"))).select("node", "id", "sig")
+        members, with_sig = on.mapInArrow(textkit.frugal(branch), "node long, id long, sig binary").dropDuplicates(["node", "id"]), True
+    small = reduce(DataFrame.unionByName, smalls).repartition(parts, "node").sortWithinPartitions("node", "id")
+    edges.append(small.mapInArrow(textkit.frugal(compare_nodes), "a long, b long"))
+    roots = graph.components(reduce(DataFrame.unionByName, edges))
     work.drop(spark, *scratch)
     return roots
 
@@ -175,7 +182,7 @@ def full_sets(documents: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(words, pa.binary())], ["root", "id", "n", "words"])
 
-    return picked.mapInArrow(run, "root long, id long, n long, words binary").dropDuplicates(["id"])
+    return picked.mapInArrow(textkit.frugal(run), "root long, id long, n long, words binary").dropDuplicates(["id"])
 
 
 def exact_links(batches):
@@ -240,7 +247,7 @@ def confirmed(sets: DataFrame) -> DataFrame:
     extra = None
     if not large.isEmpty():
         first = large.groupBy("root").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "words")).alias("f")).select("root", F.col("f.id").alias("first"), F.col("f.words").alias("first_words"))
-        met = large.select("root", "id", "words").join(first, "root").select("root", "id", "words", "first", "first_words").mapInArrow(to_first, "root long, id long, first long, both long, either long")
+        met = large.select("root", "id", "words").join(first, "root").select("root", "id", "words", "first", "first_words").mapInArrow(textkit.frugal(to_first), "root long, id long, first long, both long, either long")
         met, _ = work.store(met.withColumn("linked", 100 * F.col("both") >= PERCENT * F.col("either")), "first")
         extra = met.where(F.col("linked") & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b"))
         far = met.where(~F.col("linked")).groupBy("root").agg(F.max(F.col("both") / F.col("either")).alias("nearest"))
@@ -251,7 +258,7 @@ def confirmed(sets: DataFrame) -> DataFrame:
         dealt = left.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
         small = small.unionByName(dealt.select(pair.alias("block"), "id", F.col("linked").alias("known"), "words"))
-    links = small.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(exact_links, "a long, b long")
+    links = small.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(textkit.frugal(exact_links), "a long, b long")
     return links if extra is None else links.unionByName(extra)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens, work
+from . import textkit, tokens, work
 
 CAPACITY = 2048
 
@@ -143,7 +143,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, voc
                     ["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(cut), "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocabulary: str | None = None) -> DataFrame:
@@ -177,7 +177,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocab
                 seq[group], off[group] = row[:, 2] + k % row[:, 1], row[:, 3] + row[:, 4] * (k // row[:, 1])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(textkit.frugal(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def _by_length():

@@ -57,7 +57,7 @@ def anchors(documents: DataFrame) -> DataFrame:
                 if h:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(d)), pa.array(np.concatenate(p).astype(np.int32))], ["h", "doc_id", "pos"])
 
-    return documents.mapInArrow(run, "h long, doc_id long, pos int")
+    return documents.mapInArrow(textkit.frugal(run), "h long, doc_id long, pos int")
 
 
 def suffixes(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
@@ -85,7 +85,7 @@ def suffixes(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
                     ["h", "right", "left", "doc_id", "pos", "first", "n_right", "n_left"],
                 )
 
-    return chosen.mapInArrow(run, "h long, right binary, left binary, doc_id long, pos int, first boolean, n_right byte, n_left byte")
+    return chosen.mapInArrow(textkit.frugal(run), "h long, right binary, left binary, doc_id long, pos int, first boolean, n_right byte, n_left byte")
 
 
 def _fixed(x: np.ndarray) -> pa.Array:
@@ -161,7 +161,7 @@ def matches(documents: DataFrame) -> DataFrame:
     n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     rows, rows_path = work.store(suffixes(docs, places.select("doc_id", "at"), n), "suffixes")
     order = ["h", "right", "left", "doc_id", "pos"]
-    found = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "doc_id long, start int, end int, pos int, first boolean, part int, edge binary")
+    found = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(textkit.frugal(neighbours), "doc_id long, start int, end int, pos int, first boolean, part int, edge binary")
     found, _ = work.store(found, "matches")
     work.drop(spark, rows_path, places_path)
     out = found.where("edge is null").drop("part", "edge")
@@ -222,7 +222,7 @@ def passages(documents: DataFrame) -> DataFrame:
             both = [pa.array([[{"start": a, "end": z} for a, z in x] for x in s], kind) for s in (repeats, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *both], ["doc_id", "repeats", "cuts"])
 
-    return per.mapInArrow(run, "doc_id long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>")
+    return per.mapInArrow(textkit.frugal(run), "doc_id long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>")
 
 
 def cut_passages(documents: DataFrame) -> DataFrame:

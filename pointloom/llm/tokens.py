@@ -10,9 +10,9 @@ import pyarrow as pa
 from . import textkit
 
 #: Words that a worker keeps; beyond it the table starts anew, so that memory stays bounded.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 700_000
 #: Bytes of text for one look at the table.
-LOOK_BYTES = 3 << 20
+LOOK_BYTES = 1 << 20
 #: A word that no text holds and that stands between the words asked of the tokenizer.
 MARK = "\x01"
 

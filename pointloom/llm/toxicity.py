@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import work
+from . import textkit, work
 
 #: Bounds of the training sample: documents of label 1 and of label 0 (on average, by hash), and characters of one of them.
-PER_LABEL, PER_CLEAN, LONGEST = 2000, 6000, 20_000
+PER_LABEL, PER_CLEAN, LONGEST = 2000, 5000, 20_000
 #: A word's own feature and its beginnings of these lengths.
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Words on either side of a known word whose tags are computed one by one; runs between are powers of one matrix.
 AROUND = 2
@@ -126,11 +126,14 @@ class Chain:
 def label_features(toxic: list[list[str]], clean: list[list[str]], precise: float = 0.9) -> set[str]:
     """Features that mark toxic documents: each occurrence there is a token labelled toxic. A feature counts if its share of toxic documents
     is ``precise`` of both shares, by a likelihood ratio (G squared) that chance alone gives none of all features tried."""
-    a, b = (Counter(f for d in docs for f in {f for w in set(d) for f in token_features(w)}) for docs in (toxic, clean))
+    a = Counter(f for d in toxic for f in {f for w in set(d) for f in token_features(w)})
+    tried = len(a)
+    a = {f: k for f, k in a.items() if k >= 4}
+    b = Counter(f for d in clean for f in {f for w in set(d) for f in token_features(w) if f in a})
     n, m = max(1, len(toxic)), max(1, len(clean))
-    out, least = set(), 2 * np.log(max(2, len(a)))
+    out, least = set(), 2 * np.log(max(2, tried))
     for f, k in a.items():
-        if k >= 4 and k / n >= precise * (k / n + (b[f] + 0.5) / m):
+        if k / n >= precise * (k / n + (b[f] + 0.5) / m):
             p = (k + b[f]) / (n + m)
             g = sum(2 * x * np.log(x / y) for x, y in ((k, n * p), (b[f], m * p), (n - k, n - n * p), (m - b[f], m - m * p)) if x > 0)
             if g >= least:
@@ -242,8 +245,11 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, p
         share = F.when(F.col("toxic") == k, F.lit(int(min(1.0, (per_label if k else per_clean) / c) * (1 << 31)))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
     texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").toPandas()
-    split = {k: [token_words(t) for t in rows["text"][rows["toxic"] == k]] for k in (0, 1)}
+    same: dict[str, str] = {}  # each word's text is held once
+    split: dict[int, list[list[str]]] = {0: [], 1: []}
+    for batch in texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").toArrow().to_batches():
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            split[k].append([same.setdefault(w, w) for w in token_words(text.as_py())])
     return fit_chain(split[1], split[0])
 
 
@@ -274,22 +280,26 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
                 scores.append(model.score(p))
                 spans.append([{"start": at[i][0], "end": at[i][1], "probability": float(x)} for i, x in zip(near, p, strict=True) if x >= SPAN])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+        model.seen = {}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>")
+    return rows.mapInArrow(textkit.frugal(run), "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``documents`` whose score is under ``threshold``; all columns stay."""
     chain = train(documents.select("doc_id", "text"), labels)
     shared = documents.sparkSession.sparkContext.broadcast(chain)
+    at = documents.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def keep(batches):
         model = shared.value
-        return pd.Series([model.score(model.marginals(token_words(t or ""))[1]) for t in text], dtype="float64")
+        for batch in batches:
+            ok = [model.score(model.marginals(token_words(t.as_py() or ""))[1]) < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+        model.seen = {}
 
-    return documents.where(score(F.col("text").cast("string")) < threshold)
+    return documents.mapInArrow(textkit.frugal(keep), documents.schema)
 
 
 def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,5 +44,13 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch: whole texts are some KB each, and both the JVM and a Python worker hold a batch.
+BATCH_ROWS = "1000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Arrow batches are made small, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
