@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array: suffixes at minimiser positions are sorted, neighbours compared and matches extended."""
+"""Repeated passages by sparse suffixes: runs at minimiser positions that documents share choose the windows that are compared whole."""
 
 from __future__ import annotations
 
@@ -13,17 +13,14 @@ from . import graph, textkit, work
 #: whole window of ``SPREAD`` runs, so equal passages retain equal suffixes, and retained runs leave no word between them.
 SHORTEST, RUN = 50, 26
 SPREAD = SHORTEST - RUN + 1
-#: Words of context on each side of a run. A match that goes on further holds the next retained suffix.
-SIDE = SPREAD
-#: Sorted neighbours on either side that a suffix is compared with.
-LAGS = 4
 #: Suffixes up to which their places are broadcast to the documents; beyond it the same join shuffles.
 SMALL = 300_000
 NONE = -(1 << 63)
 
 
 def retained(g: np.ndarray) -> np.ndarray:
-    """Positions of the minimisers of a document's run hashes ``g``; a stretch of equal runs keeps one in ``SPREAD``."""
+    """Positions of the minimisers of a document's run hashes ``g``; a stretch of equal runs keeps one in ``SPREAD``, and the last, so that
+    each window still holds one with the hash of its least run."""
     if len(g) < SPREAD:
         return np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(g, SPREAD)
@@ -32,7 +29,7 @@ def retained(g: np.ndarray) -> np.ndarray:
     same[1:] = (at[1:] == at[:-1] + 1) & (g[at[1:]] == g[at[:-1]])
     if same.any():
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
-        at = at[~same | ((at - at[begin]) % SPREAD == 0)]
+        at = at[~same | ((at - at[begin]) % SPREAD == 0) | ~np.append(same[1:], False)]
     return at
 
 
@@ -60,10 +57,9 @@ def anchors(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(textkit.frugal(run), "h long, doc_id long, pos int")
 
 
-def suffixes(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """(h, right, left, doc_id, pos, first, n_right, n_left): the suffixes at ``places`` (doc_id, at: array of (h, pos, first)) with the
-    words after and before their first run, 16 bits of hash each."""
-    chosen = documents.join(F.broadcast(places) if n <= SMALL else places, "doc_id").select("doc_id", "text", "at.h", "at.pos", "at.first")
+def windows(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """(w, doc_id, start): hash and first word of each window of ``SHORTEST`` words that holds a suffix of ``places`` (doc_id, at: array of pos)."""
+    chosen = documents.join(F.broadcast(places) if n <= SMALL else places, "doc_id").select("doc_id", "text", "at")
 
     def run(batches):
         for batch in batches:
@@ -71,121 +67,53 @@ def suffixes(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
             doc_ids = batch.column(0).to_numpy()
             for lo, hi in textkit.slices(offs):
                 w = textkit.words(data, offs[lo : hi + 1])
-                code = np.concatenate([np.zeros(SIDE, np.uint16), (w.hash >> np.uint64(20)).astype(np.uint16), np.zeros(SIDE + RUN, np.uint16)])
-                around = np.lib.stride_tricks.sliding_window_view(code, SIDE)
-                h = batch.column(2).slice(lo, hi - lo)
-                per = np.diff(h.offsets.to_numpy())
-                doc = np.repeat(np.arange(hi - lo), per)
-                pos, first = batch.column(3).slice(lo, hi - lo).flatten().to_numpy(), batch.column(4).slice(lo, hi - lo).flatten()
-                begin, end = w.first[:-1][doc], w.first[1:][doc]
-                here = begin + pos
-                left, right = np.ascontiguousarray(around[here][:, ::-1]), around[here + RUN + SIDE]
-                yield pa.RecordBatch.from_arrays(
-                    [h.flatten(), _fixed(right), _fixed(left), pa.array(doc_ids[lo + doc]), pa.array(pos), first, pa.array(np.minimum(SIDE, end - here - RUN).astype(np.int8)), pa.array(np.minimum(SIDE, pos).astype(np.int8))],
-                    ["h", "right", "left", "doc_id", "pos", "first", "n_right", "n_left"],
-                )
-
-    return chosen.mapInArrow(textkit.frugal(run), "h long, right binary, left binary, doc_id long, pos int, first boolean, n_right byte, n_left byte")
-
-
-def _fixed(x: np.ndarray) -> pa.Array:
-    x = np.ascontiguousarray(x.astype(">u2"))
-    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (2 * SIDE)), pa.py_buffer(x)])
-
-
-def _common(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-    same = x == y
-    n = np.where(same.all(1), SIDE, same.argmin(1))
-    return np.minimum(n, most)
-
-
-def compare(t: pa.Table, new: int) -> pa.RecordBatch:
-    """Matches of at least ``SHORTEST`` words among sorted suffixes and their neighbours; rows before ``new`` were compared with one another."""
-    h, doc, pos, first = (t.column(i).to_numpy() for i in (0, 3, 4, 5))
-    right, left = (graph.fixed_rows(t.column(i), 2 * SIDE).view(np.uint16) for i in (1, 2))
-    n_right, n_left = t.column(6).to_numpy().astype(np.int64), t.column(7).to_numpy().astype(np.int64)
-    back, ahead = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
-    for lag in range(1, LAGS + 1):
-        j = np.arange(max(lag, new), len(h))
-        i = j - lag
-        keep = (h[i] == h[j]) & (doc[i] != doc[j])
-        i, j = i[keep], j[keep]
-        r = _common(right[i], right[j], np.minimum(n_right[i], n_right[j]))
-        s = _common(left[i], left[j], np.minimum(n_left[i], n_left[j]))
-        long = r + s + RUN >= SHORTEST
-        for k in (i[long], j[long]):
-            np.maximum.at(ahead, k, r[long])
-            np.maximum.at(back, k, s[long])
-    hit = np.flatnonzero(back >= 0)
-    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - back[hit]).astype(np.int32)), pa.array((pos[hit] + RUN + ahead[hit]).astype(np.int32)), pa.array(pos[hit]), pa.array(first[hit]), pa.nulls(len(hit), pa.int32()), pa.nulls(len(hit), pa.binary())], ["doc_id", "start", "end", "pos", "first", "part", "edge"])
-
-
-def neighbours(batches):
-    """Compare sorted suffixes; also hand out a partition's first and last ones, whose other neighbours lie in the next partition."""
-    from pyspark import TaskContext
-
-    held, head = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        head = t.slice(0, LAGS) if head is None or head.num_rows < LAGS and head.num_rows == (held.num_rows if held is not None else 0) and pa.concat_tables([head, t]).num_rows <= LAGS else head
-        old = 0 if held is None else held.num_rows
-        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        yield compare(t, old)
-        held = t.slice(max(0, t.num_rows - LAGS))
-    if held is not None:
-        edges = []
-        for side, x in ((0, head), (1, held)):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, x.schema) as out:
-                out.write_table(x)
-            edges.append((side, sink.getvalue().to_pybytes()))
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), *(pa.nulls(2, pa.int32()) for _ in range(3)), pa.nulls(2, pa.bool_()), pa.array([2 * part + s for s, _ in edges], pa.int32()), pa.array([e for _, e in edges], pa.binary())], ["doc_id", "start", "end", "pos", "first", "part", "edge"])
+                g = textkit.grams(w.hash, SHORTEST)
+                at = batch.column(2).slice(lo, hi - lo)
+                per, pos = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy()
+                h, d, p, k = [], [], [], 0
+                for i in range(hi - lo):
+                    a, z = int(w.first[i]), int(w.first[i + 1]) - SHORTEST + 1
+                    begin = np.unique((pos[k : k + per[i], None] - np.arange(SPREAD)).ravel())
+                    begin = begin[(begin >= 0) & (begin < z - a)]
+                    k += per[i]
+                    h.append(g[a + begin])
+                    p.append(begin)
+                    d.append(np.full(len(begin), doc_ids[lo + i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(d)), pa.array(np.concatenate(p).astype(np.int32))], ["w", "doc_id", "start"])
+
+    return chosen.mapInArrow(textkit.frugal(run), "w long, doc_id long, start int")
+
+
+def shared(rows: DataFrame, key: str, at: str, name: str) -> tuple[DataFrame, str]:
+    """(key, d, p): the values of ``key`` that several documents hold, with the smallest (doc_id, ``at``) of each, written down."""
+    least = rows.groupBy(key).agg(F.min(F.struct("doc_id", at)).alias("m"), F.max("doc_id").alias("z")).where(F.col("m.doc_id") < F.col("z"))
+    return work.store(least.select(key, F.col("m.doc_id").alias("d"), F.col(f"m.{at}").alias("p")), name)
 
 
 def matches(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, end, pos, first): passages of at least ``SHORTEST`` words that another document holds too, one for each retained suffix
-    that lies in one; ``first``: no smaller (doc_id, position) holds the run at ``pos``."""
+    """(doc_id, start, first): all windows of ``SHORTEST`` words that another document holds too; ``first``: no smaller (doc_id, start) does."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     every, every_path = work.store(anchors(docs), "anchors")
-    shared = every.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("m"), F.max("doc_id").alias("z")).where(F.col("m.doc_id") < F.col("z")).select("h", F.col("m.doc_id").alias("d"), F.col("m.pos").alias("p"))
-    # written down, so that both sides of the join are dealt for it and a hot run of words can be split
-    shared, shared_path = work.store(shared, "shared")
-    kept = every.join(shared, "h").select("h", "doc_id", "pos", ((F.col("doc_id") == F.col("d")) & (F.col("pos") == F.col("p"))).alias("first"))
-    places, places_path = work.store(kept.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "first")).alias("at"), F.count("*").alias("n")), "places")
-    work.drop(spark, every_path, shared_path)
+    # written down, so that both sides of the joins are dealt for them and a hot run of words can be split
+    runs, runs_path = shared(every, "h", "pos", "runs")
+    kept = every.join(runs, "h").select("doc_id", "pos")
+    places, places_path = work.store(kept.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).withColumn("n", F.size("at")), "places")
+    work.drop(spark, every_path, runs_path)
     n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rows, rows_path = work.store(suffixes(docs, places.select("doc_id", "at"), n), "suffixes")
-    order = ["h", "right", "left", "doc_id", "pos"]
-    found = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(textkit.frugal(neighbours), "doc_id long, start int, end int, pos int, first boolean, part int, edge binary")
-    found, _ = work.store(found, "matches")
-    work.drop(spark, rows_path, places_path)
-    out = found.where("edge is null").drop("part", "edge")
-    # the ends of neighbouring partitions, a few rows each
-    ends = [pa.ipc.open_stream(bytes(r.edge)).read_all() for r in found.where("edge is not null").orderBy("part").select("edge").collect()]
-    late, held = [], None
-    for head, tail in zip(ends[::2], ends[1::2], strict=True):
-        if held is not None:
-            late += compare(pa.concat_tables([held, head]).combine_chunks(), held.num_rows).to_pylist()
-        held = tail
-    if late:
-        out = out.unionByName(spark.createDataFrame([(x["doc_id"], x["start"], x["end"], x["pos"], x["first"]) for x in late], "doc_id long, start int, end int, pos int, first boolean"))
-    return out
+    rows, rows_path = work.store(windows(docs, places.select("doc_id", "at"), n), "windows")
+    both, both_path = shared(rows, "w", "start", "shared")
+    found, _ = work.store(rows.join(both, "w").select("doc_id", "start", ((F.col("doc_id") == F.col("d")) & (F.col("start") == F.col("p"))).alias("first")), "matches")
+    work.drop(spark, rows_path, both_path, places_path)
+    return found
 
 
-def merged(spans: np.ndarray) -> list[tuple[int, int]]:
-    """Sorted spans without overlap."""
-    out: list[list[int]] = []
-    for a, z in sorted(map(tuple, spans)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], z)
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
+def merged(starts: np.ndarray) -> list[tuple[int, int]]:
+    """The spans without overlap of the windows at sorted ``starts``."""
+    if not len(starts):
+        return []
+    new = np.flatnonzero(np.diff(starts) > SHORTEST) + 1
+    return list(zip(starts[np.concatenate([[0], new])].tolist(), (starts[np.append(new - 1, len(starts) - 1)] + SHORTEST).tolist(), strict=True))
 
 
 def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -207,17 +135,18 @@ def passages(documents: DataFrame) -> DataFrame:
 
     Words are blank-separated, A-Z lower-cased. A passage of ``SHORTEST`` words or more counts if a document of another doc_id holds it; what only
     recurs within one document, or in rows that repeat a doc_id, doesn't. Null and short texts and empty tables have none; a null
-    doc_id counts as the smallest long. Of a passage the occurrence with the smallest (doc_id, position) stays.
+    doc_id counts as the smallest long. Of each window of ``SHORTEST`` words the occurrence with the smallest (doc_id, position) stays whole.
     """
-    per = matches(documents).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "pos", "first")).alias("m"))
+    per = matches(documents).groupBy("doc_id").agg(F.collect_list(F.col("start") * F.lit(2).cast("long") + F.col("first").cast("long")).alias("m"))
 
     def run(batches):
         for batch in batches:
             repeats, cuts = [], []
-            for m in batch.column(1).to_pylist():
-                repeats.append(merged([(x["start"], x["end"]) for x in m]))
-                own = merged([(x["pos"], x["pos"] + RUN) for x in m if x["first"]])
-                cuts.append(without(merged([(x["start"], x["end"]) for x in m if not x["first"]]), own))
+            offs, every = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().to_numpy()
+            for lo, hi in zip(offs[:-1] - offs[0], offs[1:] - offs[0], strict=True):
+                m = np.sort(every[lo:hi])
+                repeats.append(merged(m >> 1))
+                cuts.append(without(merged(m[m & 1 == 0] >> 1), merged(m[m & 1 == 1] >> 1)))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             both = [pa.array([[{"start": a, "end": z} for a, z in x] for x in s], kind) for s in (repeats, cuts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *both], ["doc_id", "repeats", "cuts"])

@@ -123,6 +123,33 @@ def test_passages_odd(spark):
     assert kept.count() == len(ODD) and kept.columns == frame(spark, ODD).columns
 
 
+def windows_of(rows):
+    """Windows of 50 words: the documents that hold each."""
+    seen = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    return seen
+
+
+def test_passages_that_one_document_holds_often(spark):
+    """Occurrences in one document, or in rows without doc_id, hide none from another; many partners with one run hide no pair."""
+    p, hot, x, y = words(60, 1), words(26, 2), words(24, 3), words(24, 4)
+    rows = [(1, " ".join(words(30, 5) + p)), (2, " ".join(v for i in range(40) for v in p + words(9, 100 + i)))]
+    rows += [(None, " ".join(words(20, 200 + i) + p)) for i in range(9)]
+    rows += [(10 + i, " ".join(words(24 - i % 25, 300 + i) + x[len(x) - i % 25 :] + hot + y[: i * 7 % 25] + words(24, 400 + i))) for i in range(60)]
+    rows += [(100, " ".join(["a"] * 90 + words(45, 9))), (101, " ".join(words(30, 10) + ["a"] * 30 + words(45, 9)))]
+    seen, want = windows_of(rows), {}
+    for i, t in rows:
+        w = t.split()
+        if hit := {x for k in range(len(w) - 49) if len(seen[tuple(w[k : k + 50])]) > 1 for x in range(k, k + 50)}:
+            want[i] = want.get(i, set()) | hit
+    got = {x.doc_id: {y for s in x.repeats for y in range(s.start, s.end)} for x in suffixes.passages(frame(spark, rows)).collect()}
+    want[suffixes.NONE] = want.pop(None)
+    assert got == want
+
+
 # decontamination
 
 
