@@ -150,6 +150,18 @@ def test_passages_that_one_document_holds_often(spark):
     assert got == want
 
 
+def test_each_word_of_a_passage_stays(spark):
+    """A line of 26 to 49 words in document 1 takes nothing from the longer passage around it that 2 and 3 share."""
+    r, rows = random.Random(3), []
+    for i in range(40):
+        line, a, b = words(r.randint(26, 49), 1000 + i), words(40, 2000 + i), words(40, 3000 + i)
+        rows += [(3 * i, " ".join(words(40, 4000 + i) + line + words(40, 5000 + i))), (3 * i + 1, " ".join(words(20, 6000 + i) + a + line + b)), (3 * i + 2, " ".join(a + line + b + words(20, 7000 + i)))]
+    left = [(x.doc_id, x.text) for x in suffixes.cut_passages(frame(spark, rows)).select("doc_id", "text").collect()]
+    before, after = windows_of(rows), windows_of(left)
+    assert all(w in after for w, d in before.items() if len(d) > 1)
+    assert not [w for w, d in after.items() if len(d) > 1]
+
+
 # decontamination
 
 
