@@ -36,13 +36,14 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def children(node: np.ndarray, tokens: np.ndarray, always: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Children of nodes (one for each row of ``tokens``): (row, child node). A node branches on one coordinate that it chooses, and on a
-    second one in a third of the cases, so that a pair of similarity 0.75 shares one child of a shared node on average."""
+    second one in a third of the cases, so that a pair of similarity 0.75 shares one child of a shared node on average; or ``always`` on
+    both, so that it shares 1.5 and, once there, is lost in a ninth of the nodes at most, however deep they go."""
     h = textkit.mix(node ^ np.uint64(0xA0761D6478BD642F))
     first = (h >> np.uint64(8)) % np.uint64(COORDINATES)
     second = (first + np.uint64(1) + (h >> np.uint64(24)) % np.uint64(COORDINATES - 1)) % np.uint64(COORDINATES)
-    twice = np.flatnonzero((h >> np.uint64(48)) % np.uint64(3) == 0)
+    twice = np.arange(len(node)) if always else np.flatnonzero((h >> np.uint64(48)) % np.uint64(3) == 0)
     row = np.concatenate([np.arange(len(node)), twice])
     which = np.concatenate([first, second[twice]]).astype(np.int64)
     return row, textkit.mix(textkit.mix(h[row] + which.astype(np.uint64)) ^ tokens[row, which])
@@ -119,7 +120,7 @@ def branch(batches):
             node, row = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows)
             tokens = graph.fixed_rows(batch.column(2), COORDINATES).astype(np.uint64)
             for _ in range(LEVELS):
-                up, node = children(node, tokens[row])
+                up, node = children(node, tokens[row], True)
                 row = row[up]
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["node", "id", "sig"])

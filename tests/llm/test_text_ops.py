@@ -79,6 +79,34 @@ def test_near_duplicates_odd(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_recall_of_large_nodes_at_every_depth():
+    """Pairs of similarity 0.75 still share a node after all rounds of branching of large nodes (over 0.9999, here 1000 pairs)."""
+    import pyarrow as pa
+
+    r, n, lost = np.random.default_rng(5), neardup.COORDINATES, 0
+    for _ in range(1000):
+        x = r.integers(0, 256, n, dtype=np.uint8)
+        y = np.where(r.random(n) < 0.75, x, r.integers(0, 256, n, dtype=np.uint8))
+        node = np.intersect1d(neardup.leaves(x.astype(np.uint64)), neardup.leaves(y.astype(np.uint64)))
+        for _ in range(neardup.ROUNDS - 1):
+            node = node[:20]  # fewer can only lose more
+            sides = [next(neardup.branch([pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.zeros(len(node), np.int64)), pa.array([s.tobytes()] * len(node), pa.binary())], ["node", "id", "sig"])]), None) if len(node) else None for s in (x, y)]
+            node = np.intersect1d(*(s.column(0).to_numpy().view(np.uint64) for s in sides)) if sides[0] is not None else node
+        lost += not len(node)
+    assert lost <= 1
+
+
+def test_near_duplicates_under_a_hot_template(spark, monkeypatch):
+    """A template that all sets share keeps nodes large for several rounds; pairs that only it surrounds are found, against brute force."""
+    monkeypatch.setattr(neardup, "NODE", 8)
+    template, rows = words(95, 1), []
+    for i in range(150):
+        own = words(105, 5000 + i)
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:78] + words(27, 9000 + i)))]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == set(brute_components(rows))
+
+
 # repeated passages
 
 
