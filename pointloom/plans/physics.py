@@ -294,7 +294,6 @@ def rollout(spark, sf_dir):
 @query()
 def param_sweep(spark, sf_dir):
     n, s = _case(spark, sf_dir)
-    n, s = n.where("case < 3"), s.where("case < 3")
     base = simulate.Physics(dt=1e-3, substeps=10, damping=1.0)
     truth = simulate.rollout(n, s, 3, base)
     cand = spark.createDataFrame([(i, d, g) for i, (d, g) in enumerate([(1.0, 3.0), (0.5, 3.0), (1.0, 10.0), (2.0, 1.0)])], "candidate long, damping double, drag double")

@@ -335,3 +335,12 @@ def test_one_object(spark):
     assert ok.o == "sloth"
     with pytest.raises(Exception, match="more than one object"):
         spark.createDataFrame([(["a", "b"],)], "l array<string>").select(filters.one_object(F.col("l"))).collect()
+
+
+def test_param_sweep_has_every_case(spark):
+    from pointloom.plans import physics
+
+    d = "/root/testdata/sf0.001"
+    cases = {r.case for r in physics._case(spark, d)[0].select("case").distinct().collect()}
+    got = [(r.candidate, r.case) for r in physics.param_sweep(spark, d).collect()]
+    assert len(cases) > 3 and sorted(got) == sorted((i, k) for i in range(4) for k in cases)
