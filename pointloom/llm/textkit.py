@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,9 +18,6 @@ _STEP = U64(0xD1342543DE82EF95)
 #: Bytes of text that one kernel call holds; one longer document still is one call.
 SLICE_BYTES = 1 << 20
 
-_powers: list[np.ndarray] = []
-
-
 def give_back() -> None:
     """Return freed memory to the system at a task's end: the worker stays, and other stages run beside it."""
     pa.default_memory_pool().release_unused()
@@ -48,17 +46,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        _powers[:] = [np.concatenate([np.ones(1, U64), np.cumprod(np.full(size, b, U64))]) for b in (int(_STEP), pow(int(_STEP), -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
-def byte_table(lower: bool) -> np.ndarray:
-    """A random 64-bit number for each byte; A-Z share those of a-z if ``lower``."""
-    t = mix(np.arange(1, 257, dtype=U64) * _ODD)
+def byte_map(lower: bool) -> np.ndarray:
+    """What each byte is read as: A-Z as a-z if ``lower``."""
+    t = np.arange(256, dtype=np.uint8)
     if lower:
         t[65:91] = t[97:123]
     return t
@@ -71,7 +61,10 @@ def blank_separators() -> np.ndarray:
     return s
 
 
-BLANK, LOWER, EXACT = blank_separators(), byte_table(True), byte_table(False)
+BLANK, LOWER, EXACT = blank_separators(), byte_map(True), byte_map(False)
+#: Bytes up to which a word is read in chunks of eight; longer ones are hashed by BLAKE2.
+LONG_WORD = 64
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 
 @dataclass
@@ -104,10 +97,29 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LOWER, separators: np.ndarray = BLANK, cuts=None) -> Words:
+def hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges ``b[start:end]``: eight bytes at a time are put through ``mix``, which isn't linear in them. Ranges of one
+    length and up to eight bytes never collide; those over ``LONG_WORD`` bytes are read by BLAKE2. Another ``seed`` gives an independent hash."""
+    n = end - start
+    padded = np.zeros(len(b) + 8, np.uint8)
+    padded[: len(b)] = b
+    eight = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))
+    h = mix(n.astype(U64) * _ODD + U64(seed))
+    live, at = np.flatnonzero(n <= LONG_WORD), 0
+    while len(live):
+        chunk = eight[start[live] + at] & _FIRST[np.minimum(n[live] - at, 8)]
+        h[live] = mix((h[live] * _STEP if at else h[live]) ^ chunk)
+        at += 8
+        live = live[n[live] > at]
+    for i in np.flatnonzero(n > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
+    return h
+
+
+def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray | None = LOWER, separators: np.ndarray = BLANK, cuts=None) -> Words:
     """Words of the documents ``data[offs[i]:offs[i + 1]]``; ``start`` and ``end`` count from ``offs[0]``.
 
-    ``cuts``, given the bytes, says before which of them a word begins though no separator stands there.
+    Words are hashed as ``table`` maps their bytes, or not at all without one. ``cuts``, given the bytes, says before which of them a word begins though no separator stands there.
     """
     b = data[offs[0] : offs[-1]]
     o = offs - offs[0]
@@ -125,23 +137,29 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = LOWER, separat
     before = edges[edges > 0] - 1
     final[before] |= inside[before]
     start, end = np.flatnonzero(begin), np.flatnonzero(final) + 1
-    pw, inv = powers(len(b))
-    prefix = np.zeros(len(b) + 1, U64)
-    np.cumsum(table[b] * pw[: len(b)], out=prefix[1:])
-    h = mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U64) * _ODD)
     first = np.searchsorted(start, o)
-    return Words(start, end, np.repeat(np.arange(len(o) - 1), np.diff(first)), h, first)
+    return Words(start, end, np.repeat(np.arange(len(o) - 1), np.diff(first)), np.zeros(0, U64) if table is None else hashes(table[b], start, end), first)
+
+
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs (x[i], y[i])."""
+    return mix(x * _STEP + mix(y ^ _ODD))
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` consecutive entries of ``h`` (over document ends too: mask those)."""
+    """Hashes of all runs of ``k`` consecutive entries of ``h`` (over document ends too: mask those), put together from runs of powers of two."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    pw, inv = powers(len(h))
-    prefix = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * pw[: len(h)], out=prefix[1:])
-    return mix((prefix[k:] - prefix[:-k]) * inv[:n] + U64(k * int(_ODD) % (1 << 64)))
+    out, at, size, level = np.full(n, k, U64), 0, 1, h
+    while size <= k:
+        if k & size:
+            out = paired(out, level[at : at + n])
+            at += size
+        if 2 * size <= k:
+            level = paired(level[:-size], level[size:])
+        size *= 2
+    return out
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> Iterator[np.ndarray]:

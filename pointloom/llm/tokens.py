@@ -44,7 +44,7 @@ def letter_edges(b: np.ndarray) -> np.ndarray:
 
 
 class WordCoder:
-    """Ids of parts of words, looked up by hash and asked of the tokenizer once.
+    """Ids of parts of words, looked up by a 64-bit hash, checked by another one, and asked of the tokenizer once.
 
     The tokenizer drops white space, lower-cases, and no id of it spans white space or an edge of ``letter_edges``, so the ids of a text
     are those of its parts in order.
@@ -58,7 +58,7 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.checks, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -78,7 +78,7 @@ class WordCoder:
                 sizes.append(np.diff(ends, prepend=-1) - 1)
         return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, checks: np.ndarray, texts: list[str]) -> None:
         """Add words with sorted new ``keys``."""
         ids, sizes = self.ask(texts)
         while self.used + len(ids) > len(self.ids):
@@ -86,19 +86,27 @@ class WordCoder:
         self.ids[self.used : self.used + len(ids)] = ids
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
+        self.checks = np.insert(self.checks, at, checks)
         self.starts = np.insert(self.starts, at, self.used + np.cumsum(sizes) - sizes)
         self.sizes = np.insert(self.sizes, at, sizes)
         self.used += len(ids)
 
+    def whole(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the documents and how many each has, by the tokenizer alone."""
+        each = [self.tokenizer.encode(data[a:z].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids for a, z in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.fromiter((i for e in each for i in e), np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents ``data[offs[i]:offs[i + 1]]`` and how many each has."""
-        w = textkit.words(data, offs, cuts=letter_edges)
+        w = textkit.words(data, offs, table=None, cuts=letter_edges)
         b = data[offs[0] : offs[-1]]
+        read = textkit.LOWER[b]
         bars = np.flatnonzero(b == 124)
-        if len(bars):  # special tokens are told by their case
-            at = np.unique(np.searchsorted(w.start, bars, "right") - 1)
-            w.hash[at] = textkit.words(data, offs, table=textkit.EXACT, cuts=letter_edges).hash[at] + np.uint64(1)
-        keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        for i in np.unique(np.searchsorted(w.start, bars, "right") - 1).tolist():  # special tokens are told by their case
+            read[w.start[i] : w.end[i]] = b[w.start[i] : w.end[i]]
+        every, check = (textkit.hashes(read, w.start, w.end, seed) for seed in (0, 1))
+        keys, first, back = np.unique(every, return_index=True, return_inverse=True)
+        checks = check[first]
         for _ in range(2):
             place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
             new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
@@ -108,7 +116,9 @@ class WordCoder:
                 self.clear()
                 new = np.arange(len(keys))
             raw = b.tobytes()
-            self.learn(keys[new], [raw[a:z].decode("utf-8", "replace") for a, z in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+            self.learn(keys[new], checks[new], [raw[a:z].decode("utf-8", "replace") for a, z in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
+        if len(keys) and ((self.checks[place] != checks).any() or (checks[back] != check).any()):  # two words share a key: ask for all
+            return self.whole(data, offs)
         sizes = self.sizes[place][back]
         ids = self.ids[ragged(self.starts[place][back], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
