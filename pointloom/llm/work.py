@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an Arrow batch while a scratch table is written: whole texts are some KB each, and both the JVM and a Python worker hold a batch.
+BATCH_ROWS = "1000"
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The session's shared folder. Only a local master may do without one: it gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ``BATCH_ROWS`` for what runs inside, unless the session asks for fewer rows itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= int(BATCH_ROWS):
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{base_dir(spark)}/pointloom-{name}-{uuid.uuid4().hex}"
@@ -32,7 +53,8 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` and return what reads it back, with its path."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with small_batches(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -44,13 +66,21 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of an Arrow batch: whole texts are some KB each, and both the JVM and a Python worker hold a batch.
-BATCH_ROWS = "1000"
+def quoted(name: str) -> str:
+    """``name`` as a column reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` as one struct ``__row`` beside ``columns``, so that no column of it clashes with theirs or others of a join."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("__row"), *[c.alias(k) for k, c in columns.items()])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` of ``__row`` again."""
+    return df.select(*[F.col("__row")[c].alias(c) for c in names])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder. Arrow batches are made small, unless the session asks for a size of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, BATCH_ROWS)
+    """A table of the folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
