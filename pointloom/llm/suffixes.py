@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph, textkit, work
+from . import textkit, work
 
 #: Words of the shortest passage; of the run that a suffix starts with; runs of which the least is retained. Any ``SHORTEST`` words hold a
 #: whole window of ``SPREAD`` runs, so equal passages retain equal suffixes, and retained runs leave no word between them.
@@ -16,6 +16,8 @@ SPREAD = SHORTEST - RUN + 1
 #: Suffixes up to which their places are broadcast to the documents; beyond it the same join shuffles.
 SMALL = 300_000
 NONE = -(1 << 63)
+#: Rows of one key that a task of the sorted pass holds; a key with more is settled with those at partition ends.
+HELD = 100_000
 
 
 def retained(g: np.ndarray) -> np.ndarray:
@@ -33,44 +35,58 @@ def retained(g: np.ndarray) -> np.ndarray:
     return at
 
 
-def anchors(documents: DataFrame) -> DataFrame:
-    """(h, doc_id, pos): the retained suffixes of whole texts, by the hash of their first ``RUN`` words."""
+def keyed(documents: DataFrame) -> DataFrame:
+    """(doc_id, version, text): rows that repeat a doc_id with other texts are told apart by a hash of the text."""
+    text = F.col("text").cast("string")
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"), text.alias("text"))
+
+
+KEYED = "key long, doc_id long, version long, pos int"
+NAMES = ["key", "doc_id", "version", "pos"]
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, version, pos): the retained suffixes of whole texts, by the hash of their first ``RUN`` words."""
 
     def run(batches):
         for batch in batches:
-            data, offs = textkit.text_buffers(batch.column(1))
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offs = textkit.text_buffers(batch.column(2))
+            doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in textkit.slices(offs):
                 w = textkit.words(data, offs[lo : hi + 1])
                 g = textkit.grams(w.hash, RUN)
-                h, d, p = [], [], []
+                h, p, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(hi - lo, np.int64)
                 for i in range(hi - lo):
                     a, z = int(w.first[i]), int(w.first[i + 1]) - RUN + 1
                     if z - a >= SPREAD:
                         at = retained(g[a:z])
                         h.append(g[a + at])
                         p.append(at)
-                        d.append(np.full(len(at), doc_ids[lo + i]))
-                if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(d)), pa.array(np.concatenate(p).astype(np.int32))], ["h", "doc_id", "pos"])
+                        n[i] = len(at)
+                yield _keyed_batch(h, np.repeat(doc_ids[lo:hi], n), np.repeat(versions[lo:hi], n), p)
 
-    return documents.mapInArrow(textkit.frugal(run), "h long, doc_id long, pos int")
+    return docs.mapInArrow(textkit.frugal(run), KEYED)
 
 
-def windows(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
-    """(w, doc_id, start): hash and first word of each window of ``SHORTEST`` words that holds a suffix of ``places`` (doc_id, at: array of pos)."""
-    chosen = documents.join(F.broadcast(places) if n <= SMALL else places, "doc_id").select("doc_id", "text", "at")
+def _keyed_batch(h: list[np.ndarray], doc_id: np.ndarray, version: np.ndarray, pos: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(doc_id), pa.array(version), pa.array(np.concatenate(pos).astype(np.int32))], NAMES)
+
+
+def windows(docs: DataFrame, places: DataFrame, small: bool) -> DataFrame:
+    """(key, doc_id, version, pos): hash and first word of each window of ``SHORTEST`` words that holds a suffix of ``places`` (doc_id, version,
+    at: array of pos): the suffix extended to the left and right in every way that makes a shortest passage."""
+    chosen = docs.join(F.broadcast(places) if small else places, ["doc_id", "version"]).select("doc_id", "version", "text", "at")
 
     def run(batches):
         for batch in batches:
-            data, offs = textkit.text_buffers(batch.column(1))
-            doc_ids = batch.column(0).to_numpy()
+            data, offs = textkit.text_buffers(batch.column(2))
+            doc_ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in textkit.slices(offs):
                 w = textkit.words(data, offs[lo : hi + 1])
                 g = textkit.grams(w.hash, SHORTEST)
-                at = batch.column(2).slice(lo, hi - lo)
+                at = batch.column(3).slice(lo, hi - lo)
                 per, pos = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy()
-                h, d, p, k = [], [], [], 0
+                h, p, n, k = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(hi - lo, np.int64), 0
                 for i in range(hi - lo):
                     a, z = int(w.first[i]), int(w.first[i + 1]) - SHORTEST + 1
                     begin = np.unique((pos[k : k + per[i], None] - np.arange(SPREAD)).ravel())
@@ -78,33 +94,95 @@ def windows(documents: DataFrame, places: DataFrame, n: int) -> DataFrame:
                     k += per[i]
                     h.append(g[a + begin])
                     p.append(begin)
-                    d.append(np.full(len(begin), doc_ids[lo + i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(d)), pa.array(np.concatenate(p).astype(np.int32))], ["w", "doc_id", "start"])
-
-    return chosen.mapInArrow(textkit.frugal(run), "w long, doc_id long, start int")
-
-
-def shared(rows: DataFrame, key: str, at: str, name: str) -> tuple[DataFrame, str]:
-    """(key, d, p): the values of ``key`` that several documents hold, with the smallest (doc_id, ``at``) of each, written down."""
-    least = rows.groupBy(key).agg(F.min(F.struct("doc_id", at)).alias("m"), F.max("doc_id").alias("z")).where(F.col("m.doc_id") < F.col("z"))
-    return work.store(least.select(key, F.col("m.doc_id").alias("d"), F.col(f"m.{at}").alias("p")), name)
+                    n[i] = len(begin)
+                yield _keyed_batch(h, np.repeat(doc_ids[lo:hi], n), np.repeat(versions[lo:hi], n), p)
+
+    return chosen.mapInArrow(textkit.frugal(run), KEYED)
+
+
+def neighbours(batches):
+    """Rows (key, doc_id, version, pos) of one sorted partition: those whose key another document holds too, with ``first`` for the smallest
+    (doc_id, version, pos) of a key. The first and the last key of a partition may go on in others: their rows all stay, marked as ``edge``."""
+    kind = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("first", pa.bool_()), ("edge", pa.bool_())])
+    opening, last, held = None, None, None  # the partition's first key; of the key that is going on, its batch end and its rows so far
+
+    def judged(key, doc, version, pos, edges):
+        at = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > NONE else key[0] + 1))
+        size = np.diff(np.append(at, len(key)))
+        several = doc[at] != doc[at + size - 1]
+        edge = np.isin(key[at], edges)
+        keep, first = np.repeat(several | edge, size), np.zeros(len(key), bool)
+        first[at] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, doc, version, pos, first, np.repeat(edge, size))], schema=kind)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(4)]
+        if opening is None:
+            opening = cols[0][0]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        last = cols[0][-1]
+        cut = int(np.searchsorted(cols[0], last))
+        if last == opening:  # rows of the opening key need no more of their key: they are marked whatever follows
+            yield judged(*cols, [opening])
+            held = None
+        else:
+            if cut:
+                yield judged(*(x[:cut] for x in cols), [opening])
+            held = [x[cut:] for x in cols]
+            if len(held[0]) > HELD:  # a key that fills batches goes on, or ends the partition: as an edge it needs no more of itself
+                yield judged(*held, [opening, last])
+                hot, held = last, None
+                opening = hot
+    if held is not None:
+        yield judged(*held, [opening, last])
+
+
+def shared(rows: DataFrame, name: str, order: tuple[str, ...] = ("key", "doc_id", "version", "pos")) -> DataFrame:
+    """(doc_id, version, pos, first) of the ``rows`` whose key several documents hold, from one global sort: equal keys are neighbours.
+
+    A key with very many rows runs over several partitions: only the keys at their ends, two for each, are summed up and sent to all.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    met = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(textkit.frugal(neighbours), KEYED + ", first boolean, edge boolean")
+    met, path = work.store(met, name)
+    own = F.struct("doc_id", "version", "pos")
+    ends = met.where("edge").groupBy("key").agg(F.min(own).alias("m"), F.max("doc_id").alias("z")).where(F.col("m.doc_id") < F.col("z"))
+    known = {r.key: (r.m.doc_id, r.m.version, r.m.pos) for r in ends.collect()}  # as many as partitions have ends
+    sent = spark.sparkContext.broadcast(known)
+
+    def settle(batches):
+        several = sent.value
+        for batch in batches:
+            key, doc, version, pos, first, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            keep, first = np.ones(len(key), bool), first.copy()
+            at = np.flatnonzero(edge)
+            if len(at):
+                for k in np.unique(key[at]).tolist():
+                    rows_of = at[key[at] == k]
+                    if k in several:
+                        d, v, p = several[k]
+                        first[rows_of] = (doc[rows_of] == d) & (version[rows_of] == v) & (pos[rows_of] == p)
+                    else:
+                        keep[rows_of] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, version, pos, first)], ["doc_id", "version", "pos", "first"])
+
+    out, _ = work.store(met.mapInArrow(textkit.frugal(settle), "doc_id long, version long, pos int, first boolean"), f"{name}-shared")
+    work.drop(spark, path)
+    return out
 
 
 def matches(documents: DataFrame) -> DataFrame:
-    """(doc_id, start, first): all windows of ``SHORTEST`` words that another document holds too; ``first``: no smaller (doc_id, start) does."""
-    spark = documents.sparkSession
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every, every_path = work.store(anchors(docs), "anchors")
-    # written down, so that both sides of the joins are dealt for them and a hot run of words can be split
-    runs, runs_path = shared(every, "h", "pos", "runs")
-    kept = every.join(runs, "h").select("doc_id", "pos")
-    places, places_path = work.store(kept.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).withColumn("n", F.size("at")), "places")
-    work.drop(spark, every_path, runs_path)
+    """(doc_id, version, pos, first): all windows of ``SHORTEST`` words that another document holds too; ``first``: no smaller place does."""
+    docs = keyed(documents)
+    places = shared(anchors(docs), "anchors").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
+    places, path = work.store(places.withColumn("n", F.size("at")), "places")
     n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    rows, rows_path = work.store(windows(docs, places.select("doc_id", "at"), n), "windows")
-    both, both_path = shared(rows, "w", "start", "shared")
-    found, _ = work.store(rows.join(both, "w").select("doc_id", "start", ((F.col("doc_id") == F.col("d")) & (F.col("start") == F.col("p"))).alias("first")), "matches")
-    work.drop(spark, rows_path, both_path, places_path)
+    found = shared(windows(docs, places.select("doc_id", "version", "at"), n <= SMALL), "windows")
+    work.drop(documents.sparkSession, path)
     return found
 
 
@@ -131,33 +209,42 @@ def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[t
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, repeats, cuts): for each document with repeated passages their word spans, and those to cut: what an earlier document holds.
+    """(doc_id, version, repeats, cuts): for each text with repeated passages their word spans, and those to cut: what an earlier document holds.
 
     Words are blank-separated, A-Z lower-cased. A passage of ``SHORTEST`` words or more counts if a document of another doc_id holds it; what only
-    recurs within one document, or in rows that repeat a doc_id, doesn't. Null and short texts and empty tables have none; a null
-    doc_id counts as the smallest long. Of each window of ``SHORTEST`` words the occurrence with the smallest (doc_id, position) stays whole.
+    recurs within one document, or in rows that repeat a doc_id, doesn't. ``version`` (a hash of the text) tells apart rows that repeat a doc_id
+    with other texts; equal rows share one result. Null and short texts and empty tables have none; a null doc_id counts as the smallest
+    long. Very long texts are read whole. Of each window of ``SHORTEST`` words the occurrence with the smallest (doc_id, version, position) stays
+    whole. Other columns are not read.
     """
-    per = matches(documents).groupBy("doc_id").agg(F.collect_list(F.col("start") * F.lit(2).cast("long") + F.col("first").cast("long")).alias("m"))
+    # equal rows come with equal places: a set holds each once
+    per = matches(documents).groupBy("doc_id", "version").agg(F.collect_set(F.col("pos") * F.lit(2).cast("long") + F.col("first").cast("long")).alias("m"))
 
     def run(batches):
         for batch in batches:
             repeats, cuts = [], []
-            offs, every = batch.column(1).offsets.to_numpy(), batch.column(1).flatten().to_numpy()
+            offs, every = batch.column(2).offsets.to_numpy(), batch.column(2).flatten().to_numpy()
             for lo, hi in zip(offs[:-1] - offs[0], offs[1:] - offs[0], strict=True):
                 m = np.sort(every[lo:hi])
-                repeats.append(merged(m >> 1))
-                cuts.append(without(merged(m[m & 1 == 0] >> 1), merged(m[m & 1 == 1] >> 1)))
+                first = np.unique(m[m & 1 == 1] >> 1)
+                repeats.append(merged(np.unique(m >> 1)))
+                cuts.append(without(merged(np.setdiff1d(m >> 1, first)), merged(first)))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             both = [pa.array([[{"start": a, "end": z} for a, z in x] for x in s], kind) for s in (repeats, cuts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *both], ["doc_id", "repeats", "cuts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], ["doc_id", "version", "repeats", "cuts"])
 
-    return per.mapInArrow(textkit.frugal(run), "doc_id long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>")
+    return per.mapInArrow(textkit.frugal(run), "doc_id long, version long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>")
 
 
 def cut_passages(documents: DataFrame) -> DataFrame:
-    """``documents`` with their text less the passages to cut; a text that nothing is left of goes, and n_chars, if there, is counted anew."""
-    per, _ = work.store(passages(documents.select("doc_id", "text")).where(F.size("cuts") > 0).select(F.col("doc_id").alias("__doc"), "cuts"), "cuts")
-    n = per.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("n")).first().n
+    """``documents`` with their text less the passages to cut; a text that nothing is left of goes, and n_chars, if there, is counted anew.
+
+    What counts is said at ``passages``. Null, empty and short texts and rows without doc_id and passages stay as they are; rows that repeat a
+    doc_id are cut each by its own text, equal rows alike; very long texts are read whole; other columns stay, whatever their names; an
+    empty table stays empty.
+    """
+    per, _ = work.store(passages(documents.select("doc_id", "text")).where(F.size("cuts") > 0).select(F.struct("doc_id", "version").alias("__at"), F.col("cuts").alias("__cuts")), "cuts")
+    n = per.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("n")).first().n
 
     @F.pandas_udf("string")
     def cut(text, cuts):
@@ -166,7 +253,7 @@ def cut_passages(documents: DataFrame) -> DataFrame:
         out = []
         for t, c in zip(text, cuts, strict=True):
             raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-            w = textkit.words(raw, np.array([0, len(raw)]))
+            w = textkit.words(raw, np.array([0, len(raw)]), table=None)
             keep = np.ones(len(raw), bool)
             for x in c:
                 a, z = int(x["start"]), int(x["end"])
@@ -174,16 +261,19 @@ def cut_passages(documents: DataFrame) -> DataFrame:
             out.append(raw[keep].tobytes().decode("utf-8", "replace").rstrip())
         return pd.Series(out, dtype=object)
 
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
-    joined = documents.withColumn("__key", doc).join(F.broadcast(per) if n <= SMALL else per, F.col("__key") == F.col("__doc"), "left")
-    plain = joined.where(F.col("cuts").isNull()).select(*documents.columns)
-    less = joined.where(F.col("cuts").isNotNull()).withColumn("text", cut("text", "cuts")).where(F.col("text") != "")
-    if "n_chars" in documents.columns:
-        less = less.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return plain.unionByName(less.select(*documents.columns))
+    text = F.col("text").cast("string")
+    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"))
+    names = [c for c in documents.columns if c != "text"]
+    # all that stays is one struct, so that no column of it can clash
+    joined = documents.select(F.struct(*[F.col(work.quoted(c)) for c in names]).alias("__row"), F.col("text").alias("__text"), row.alias("__at")).join(F.broadcast(per) if n <= SMALL else per, "__at", "left")
+    plain = joined.where(F.col("__cuts").isNull()).select("__row", "__text")
+    less = joined.where(F.col("__cuts").isNotNull()).select("__row", cut("__text", "__cuts").alias("__text")).where(F.col("__text") != "")
+    if "n_chars" in names:
+        less = less.withColumn("__row", F.col("__row").withField("n_chars", F.length("__text").cast(documents.schema["n_chars"].dataType)))
+    return plain.unionByName(less).select(*[F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in documents.columns])
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = passages(work.read(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = F.exists("cuts", lambda c: (c["start"] < F.col("r.end")) & (c["end"] > F.col("r.start")))
-    return rows.select("doc_id", "cuts", F.explode("repeats").alias("r")).select("doc_id", F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), cut.alias("repeats_earlier"))
+    return rows.select("doc_id", "version", "cuts", F.explode("repeats").alias("r")).select(F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id"), F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), cut.alias("repeats_earlier"))
