@@ -20,8 +20,11 @@ NODE, ROUNDS, LEVELS = 256, 10, 2
 #: a set joins the cluster of a large node's first; and from which it needs no further branching: by the triangle inequality of
 #: Jaccard distances, what is as similar as asked to a set at distance d from the first is at distance d + 0.25 from it at most.
 NEAR, LOOSE, CORE = 0.55, 0.38, 0.7
-#: Shingles (8 bytes each) that a task of the exact join holds on a side; ids up to which members are broadcast.
-WEIGHT, SMALL = 1 << 20, 500_000
+#: Shingles (8 bytes each) that a task of the exact join holds on a side, a set counting at least ``WEIGHT >> 10``, so that it holds 1024 sets at
+#: most; rows of six numbers up to which they are broadcast.
+WEIGHT, SMALL = 1 << 20, 300_000
+#: What stands for a null doc_id inside.
+NONE = -(1 << 63)
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,23 +60,35 @@ def leaves(tokens: np.ndarray) -> np.ndarray:
     return np.unique(node)
 
 
-def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set, set2, sig, nodes): 128 bits that name the set, a byte of each minwise token, and nodes."""
+def keyed(documents: DataFrame) -> DataFrame:
+    """(absent, doc_id, version, text): rows are told apart by doc_id, if there, and a hash of the text."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return documents.select(doc.isNull().alias("absent"), F.coalesce(doc, F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"), text.alias("text"))
+
+
+def names(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles."""
+    return tuple(int(textkit.mix(s ^ np.uint64(x)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for x in (0, 0x5851F42D4C957F2D))
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(absent, doc_id, version, n_shingles, set, set2, sig, nodes): the set's names, a byte of each minwise token, and nodes."""
 
     def run(batches):
         for batch in batches:
-            data, offs = textkit.text_buffers(batch.column(1))
+            data, offs = textkit.text_buffers(batch.column(3))
             n, a, b, sig, nodes = [], [], [], [], []
             for s in textkit.shingle_sets(data, offs, SHINGLE):
                 n.append(len(s))
-                a.append(textkit.mix(s).sum(dtype=np.uint64).view(np.int64) if len(s) else 0)
-                b.append(textkit.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64) if len(s) else 0)
+                x, y = names(s)
+                a.append(x)
+                b.append(y)
                 t = minwise(s)
                 sig.append((t >> np.uint64(17)).astype(np.uint8).tobytes())
                 nodes.append(leaves(t).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set", "set2", "sig", "nodes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))], ["absent", "doc_id", "version", "n_shingles", "set", "set2", "sig", "nodes"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(run), "doc_id long, n_shingles long, set long, set2 long, sig binary, nodes array<long>")
+    return docs.mapInArrow(textkit.frugal(run), "absent boolean, doc_id long, version long, n_shingles long, set long, set2 long, sig binary, nodes array<long>")
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -166,22 +181,16 @@ def clusters(sets: DataFrame) -> DataFrame:
     return roots
 
 
-def full_sets(documents: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(root, id, n, words): the shingle set of each ``chosen`` (doc_id, id, root), read from the whole texts."""
-    picked = documents.join(F.broadcast(chosen) if n <= SMALL else chosen, "doc_id").select("root", "id", "text")
+def full_sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """(root, id, n, words): the shingle set of each ``chosen`` (doc_id, version, id, root), read from the whole texts."""
+    picked = docs.join(F.broadcast(chosen) if n <= SMALL else chosen, ["doc_id", "version"]).select("root", "id", "text")
 
     def run(batches):
         for batch in batches:
             data, offs = textkit.text_buffers(batch.column(2))
-            ids = batch.column(1).to_numpy()
-            keep, words, sizes = [], [], []
-            for i, s in enumerate(textkit.shingle_sets(data, offs, SHINGLE)):
-                if textkit.mix(s).sum(dtype=np.uint64).view(np.int64) == ids[i]:  # rows that repeat a doc_id have other texts
-                    keep.append(i)
-                    words.append(s.tobytes())
-                    sizes.append(len(s))
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int64()), pa.array(words, pa.binary())], ["root", "id", "n", "words"])
+            for lo, hi in textkit.slices(offs):
+                sets = list(textkit.shingle_sets(data, offs[lo : hi + 1], SHINGLE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "id", "n", "words"])
 
     return picked.mapInArrow(textkit.frugal(run), "root long, id long, n long, words binary").dropDuplicates(["id"])
 
@@ -236,12 +245,13 @@ def to_first(batches):
 def confirmed(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between ``sets`` (root, id, n, words) that join the sets of a cluster that are linked, directly or not.
 
-    A cluster of up to ``WEIGHT`` shingles is one block. In a larger one all sets are first compared with one of them; if all are linked with
+    A cluster of up to ``WEIGHT`` shingles and 1024 sets is one block. In a larger one all sets are first compared with one of them; if all are linked with
     it, that is all. Else those that are not, and those of the others that are far enough from the first to be linked with one of them, are
     compared in pairs of blocks.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = sets.groupBy("root").agg(F.sum("n").alias("weight"))
+    weight = F.sum(F.greatest("n", F.lit(max(1, WEIGHT >> 10))))
+    sizes = sets.groupBy("root").agg(weight.alias("weight"))
     sized, _ = work.store(sets.join(sizes, "root"), "sets")
     small = sized.where(F.col("weight") <= WEIGHT).select(F.col("root").alias("block"), "id", F.lit(False).alias("known"), "words")
     large = sized.where(F.col("weight") > WEIGHT)
@@ -255,7 +265,7 @@ def confirmed(sets: DataFrame) -> DataFrame:
         rest = met.join(far, "root").where(~F.col("linked") | (F.col("both") / F.col("either") <= F.col("nearest") + (1 - PERCENT / 100) + 1e-9)).select("root", "id", "linked")
         left = large.select("root", "id", "n", "words").join(rest, ["root", "id"])
         left, _ = work.store(left, "rest")
-        blocks = left.groupBy("root").agg(F.ceil(F.sum("n") / WEIGHT).cast("int").alias("nb"))
+        blocks = left.groupBy("root").agg(F.ceil(weight / WEIGHT).cast("int").alias("nb"))
         dealt = left.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         pair = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
         small = small.unionByName(dealt.select(pair.alias("block"), "id", F.col("linked").alias("known"), "words"))
@@ -263,28 +273,59 @@ def confirmed(sets: DataFrame) -> DataFrame:
     return links if extra is None else links.unionByName(extra)
 
 
+def memberships(docs: DataFrame) -> DataFrame:
+    """(absent, doc_id, version, n_shingles, first) of every row of ``docs`` (see ``keyed``); first: the smallest (absent, doc_id, version) of the
+    row's component, null without shingles."""
+    known, _ = work.store(signatures(docs), "signatures")
+    row = F.struct("absent", "doc_id", "version")
+    met = known.where("n_shingles > 0").groupBy("set", "set2").agg(F.min(F.struct(row.alias("row"), "sig", "nodes")).alias("m"))
+    # equal sets are one node from here on; its number is written down with it
+    sets, _ = work.store(met.select(F.monotonically_increasing_id().alias("id"), "set", "set2", F.col("m.row").alias("row"), F.col("m.sig").alias("sig"), F.col("m.nodes").alias("nodes")), "distinct")
+    roots, _ = work.store(clusters(sets).join(sets.select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.version").alias("version")), "id"), "clusters")
+    links, _ = work.store(confirmed(full_sets(docs, roots.select("doc_id", "version", "id", "root"), roots.count())), "links")
+    linked = graph.components(links).join(sets.select("id", "row"), "id")
+    named = linked.join(linked.groupBy("root").agg(F.min("row").alias("component")), "root").select("id", "component")
+    every, _ = work.store(sets.select("id", "set", "set2", "row").join(named, "id", "left").select("set", "set2", F.coalesce("component", "row").alias("first")), "components")
+    has = F.col("n_shingles") > 0
+    rows = known.select("absent", "doc_id", "version", "n_shingles", F.when(has, F.col("set")).alias("set"), F.when(has, F.col("set2")).alias("set2"))
+    return rows.join(every, ["set", "set2"], "left").select("absent", "doc_id", "version", "n_shingles", "first")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents`` (doc_id, text).
 
     Sets of distinct 5-word shingles (A-Z lower-cased) are linked from a Jaccard similarity of 0.75 on. Fewer than 5 words: one shingle; null,
-    empty or blank: none and no link. Equal sets are one node of all work. A row without a doc_id keeps none as component and isn't kept;
-    rows that repeat a doc_id all stay. An empty table gives an empty result; other columns are not read.
+    empty or blank: none and no link. Very long texts are read whole. Equal sets, by 128 bits, are one node of all work. A row without a
+    doc_id links others, keeps none as component and isn't kept; rows that repeat a doc_id are judged each by its own text and all have
+    ``kept`` if it is their component's. An empty table gives an empty result; other columns are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known, _ = work.store(signatures(docs), "signatures")
-    full = known.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("set").agg(F.min(F.struct("doc_id", "sig", "nodes")).alias("m")).select(F.col("set").alias("id"), F.col("m.doc_id").alias("doc_id"), F.col("m.sig").alias("sig"), F.col("m.nodes").alias("nodes"))
-    sets, _ = work.store(sets, "distinct")
-    roots, _ = work.store(clusters(sets).join(sets.select("id", "doc_id"), "id"), "clusters")
-    chosen = full_sets(docs, roots.select("doc_id", "id", "root"), roots.count())
-    links, _ = work.store(confirmed(chosen), "links")
-    linked = graph.components(links).join(sets.select("id", F.col("doc_id").alias("first")), "id")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select(F.col("id").alias("set"), "component")
-    every = sets.select(F.col("id").alias("set"), F.col("doc_id").alias("first")).join(named, "set", "left").select("set", F.coalesce("component", "first").alias("component"))
-    every, _ = work.store(every, "components")
-    out = known.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(every, "set", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
+    rows = memberships(keyed(documents))
+    doc = F.when(~F.col("absent"), F.col("doc_id"))
+    first = F.when(F.col("first").isNull(), doc).when(~F.col("first.absent"), F.col("first.doc_id"))
+    comp = F.when(~F.col("absent"), first)
+    return rows.select(doc.alias("doc_id"), "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each component: that of the smallest doc_id (null is the largest), then hash of the text.
+
+    Similarity is that of ``near_duplicates``; texts without words are linked with nothing and all stay. Of rows with equal doc_id and text one
+    stays, whatever their other columns; rows that repeat a doc_id with other texts stay or go each by its own text. Very long texts are
+    read whole; all columns stay, whatever their names; an empty table stays empty.
+    """
+    row = F.struct("absent", "doc_id", "version")
+    rows, _ = work.store(memberships(keyed(documents)).select(row.alias("__key"), (F.col("first").isNull() | (F.col("first") == row)).alias("stays"), F.col("first").isNotNull().alias("has")), "rows")
+    gone, _ = work.store(rows.where(~F.col("stays")).select("__key").distinct(), "gone")
+    again, _ = work.store(rows.where("stays and has").groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "again")
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.struct(doc.isNull().alias("absent"), F.coalesce(doc, F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"))
+    few = [F.broadcast(x) if x.count() <= SMALL else x for x in (gone, again)]
+    left = work.packed(documents, __key=key).join(few[0], "__key", "left_anti")
+    if again.isEmpty():
+        return work.unpacked(left, documents.columns)
+    # rows of equal doc_id and text: one of each
+    once = left.join(few[1], "__key", "left_semi").dropDuplicates(["__key"])
+    return work.unpacked(left.join(few[1], "__key", "left_anti").unionByName(once), documents.columns)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
