@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch while a scratch table is written: whole texts are some KB each, and both the JVM and a Python worker hold a batch.
 BATCH_ROWS = "1000"
@@ -66,6 +67,32 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes up to which a table is broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def _width(c: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(c, F.lit(24).cast("long"), lambda n, x: n + _width(x, kind.elementType).cast("long")), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """About the bytes of all rows of a stored table."""
+    each = sum((_width(F.col(quoted(f.name)), f.dataType).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+    return int(df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first().b)
+
+
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A stored table, to be broadcast if it has ``limit`` bytes (``BROADCAST_BYTES`` if not said) at most."""
+    return F.broadcast(df) if bytes_of(df) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
 def quoted(name: str) -> str:
     """``name`` as a column reference, whatever signs it holds."""
     return "`" + name.replace("`", "``") + "`"

@@ -283,14 +283,35 @@ def test_decontamination(spark):
 
 
 def test_decontamination_shuffled(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    monkeypatch.setattr(work, "BROADCAST_BYTES", 0)
     test_decontamination(spark)
 
 
+def test_contaminated_rows_that_repeat_and_clash(spark):
+    a = words(12, 1)
+    bench = spark.createDataFrame([(1, " ".join(a))], "item_id long, text string")
+    rows = [(1, " ".join(a)), (1, " ".join(words(9, 2))), (None, " ".join(words(3, 3) + a)), (None, "clean"), (2, None), (1, " ".join(a))]
+    df = spark.createDataFrame([(i, t, 5, "k", 6) for i, t in rows], "doc_id long, text string, n_hit int, __key string, `a.b` int")
+    for most in (0.0, 0.5):
+        left = decontaminate.remove_contaminated(df, bench, most_hit=most)
+        assert left.columns == df.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    assert decontaminate.remove_contaminated(df.limit(0), bench).count() == 0
+
+
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "the Cat, sat on a mat"), (2, "cat x x x x x x mat"), (3, None)], "__row long, text string")
-    got = decontaminate.proximity_matches(docs, ["mat", "cat"], 5).collect()
-    assert [(r["__row"], r.start, r.end) for r in got] == [(1, 1, 6)]
+    """Against all spans of words: items whose three rarest terms stand within 20 words."""
+    r, terms = random.Random(4), [f"t{i}" for i in range(30)]
+    items = [(i, " ".join(r.sample(terms, r.randint(1, 6)))) for i in range(12)] + [(50, None), (51, "absent t1 t2")]
+    docs = [(i, " ".join(r.choices(terms + ["x"] * 40, k=r.randint(0, 60)))) for i in range(60)]
+    counts = pd.Series([w for _, t in docs for w in t.split()]).value_counts()
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        for i, x in items:
+            rare = sorted({(int(counts.get(v, 0)), v) for v in (x or "").split()})[:3]
+            want[d] = want.get(d, 0) + bool(rare and any({v for _, v in rare} <= set(w[k : k + 20]) for k in range(max(1, len(w)))))
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: x.n_near for x in got} == want
 
 
 # tokens, packing, Huffman
