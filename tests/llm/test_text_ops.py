@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -574,6 +575,40 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e3, 1e5, 1e6, 1e8, 1e17])
+def test_top_k_of_large_components(spark, size):
+    """Scores are exact at any size; those beyond a long are held at its ends."""
+    r = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(0, size, 4)]) for i in range(60)] + [(100 + i, [7e4 + i, 7e4, -7e4, 7e4]) for i in range(40)]
+    got = {}
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, query_block=4, candidate_block=16).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    whole = [(i, [math.floor(64.0 * x) for x in v]) for i, v in rows]
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted(((-min(max(sum(a * b for a, b in zip(v, c)), -(2**63)), 2**63 - 1), i) for i, c in whole if i != q))[:5]
+            if size < 1e8:
+                assert sorted(got[q]) == [(j + 1, i, -s) for j, (s, i) in enumerate(best)]
+            else:  # scores at the ends of long: which of those beyond it come first is open
+                assert [s for _, _, s in sorted(got[q])] == [-s for s, _ in best]
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+
+
+def test_pivots_eliminate_clustered_candidates():
+    r = np.random.default_rng(2)
+    centres = r.normal(0, 40, (20, 16))
+    c = np.floor(centres[np.arange(4000) % 20] + r.normal(0, 1, (4000, 16)))
+    pivots = c[:16]
+    d = np.sqrt(((c[:, None] - pivots[None]) ** 2).sum(2))
+    read = 0
+    for j in range(0, 4000, 200):
+        hits, n = topk.exact_block(c[j], d[j], float(c[j] @ c[j]), c, np.ascontiguousarray(d.T), (c * c).sum(1) / 2, np.arange(4000), j, 20, first=64)
+        want = sorted((-int(c[j] @ x), i) for i, x in enumerate(c) if i != j)[:20]
+        assert [(-s, i) for s, i in hits] == want
+        read += n
+    assert read < 0.35 * 20 * 4000
+
+
 def test_components(spark):
     from pointloom.llm import graph
 
