@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import textkit, work
 
-#: Bounds of the training sample: documents of label 1 and of label 0 (on average, by hash), and characters of one of them.
-PER_LABEL, PER_CLEAN, LONGEST = 2000, 5000, 20_000
+#: Bounds of the training sample: documents of label 1 and of label 0 (on average, by hash), whatever their length.
+PER_LABEL, PER_CLEAN = 2000, 5000
 #: A word's own feature and its beginnings of these lengths.
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker remembers.
@@ -47,6 +47,20 @@ def distinct_documents(docs: list[list[str]], k: int = 5, sketch: int = 4) -> li
     return out
 
 
+class Emissions(dict):
+    """Each word's log-odds of tag 1 if it has a known feature, else None; filled as words are asked for, and emptied when it is full."""
+
+    def __init__(self, weights: dict[str, float], other: float):
+        self.weights, self.other = weights, other
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        own = [w for f in token_features(word) if (w := self.weights.get(f)) is not None]
+        self[word] = out = self.other + sum(own) if own else None
+        return out
+
+
 @dataclass
 class Chain:
     """Tags 0 (clean) and 1 (toxic). ``weights``: what known features add to the log-odds ``other`` of tag 1; ``move``: log-odds gained by a tag
@@ -58,24 +72,19 @@ class Chain:
     blend: tuple[float, float]
     base: float
 
+    def __post_init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen = Emissions(self.weights, self.other)
+
     def step(self, e: float) -> np.ndarray:
         """Potentials [tag before, tag]."""
         return np.array([[1.0, np.exp(self.move[0] + e)], [1.0, np.exp(self.move[1] + e)]])
 
-    def known(self, word: str) -> float | None:
-        """The word's log-odds of tag 1 if it has a known feature."""
-        if not hasattr(self, "seen"):
-            self.seen = {}
-        if word not in self.seen:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            own = [w for f in token_features(word) if (w := self.weights.get(f)) is not None]
-            self.seen[word] = self.other + sum(own) if own else None
-        return self.seen[word]
-
     def marginals(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places and P(tag 1) of the known words and those around them, by forward-backward over the whole text."""
-        each = list(map(self.known, words))
+        each = list(map(self.seen.__getitem__, words))
 
         def emission(j: int) -> float:
             return self.other if each[j] is None else each[j]
@@ -123,99 +132,123 @@ class Chain:
         return float(1 / (1 + np.exp(-np.clip(self.base + self.blend[0] * f[0] + self.blend[1] * f[1], -30, 30))))
 
 
-def label_features(toxic: list[list[str]], clean: list[list[str]], precise: float = 0.9) -> set[str]:
-    """Features that mark toxic documents: each occurrence there is a token labelled toxic. A feature counts if its share of toxic documents
-    is ``precise`` of both shares, by a likelihood ratio (G squared) that chance alone gives none of all features tried."""
-    a = Counter(f for d in toxic for f in {f for w in set(d) for f in token_features(w)})
-    tried = len(a)
-    a = {f: k for f, k in a.items() if k >= 4}
-    b = Counter(f for d in clean for f in {f for w in set(d) for f in token_features(w) if f in a})
-    n, m = max(1, len(toxic)), max(1, len(clean))
-    out, least = set(), 2 * np.log(max(2, tried))
-    for f, k in a.items():
-        if k / n >= precise * (k / n + (b[f] + 0.5) / m):
-            p = (k + b[f]) / (n + m)
-            g = sum(2 * x * np.log(x / y) for x, y in ((k, n * p), (b[f], m * p), (n - k, n - n * p), (m - b[f], m - m * p)) if x > 0)
-            if g >= least:
-                out.add(f)
-    return out
-
-
-def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 70, rate: float = 0.25, length: int = 48) -> Chain:
-    """Maximum likelihood of labelled tokens with forward-backward gradients (Adam), then a logistic blend of the documents' marginals."""
-    marks = label_features(distinct_documents(toxic), clean)
-    names = sorted(marks)
-    at = {w: i + 1 for i, w in enumerate(names)}
+class Sample:
+    """Documents as arrays of word numbers, and the features of each word as numbers, ``per[w]`` of them from ``first[w]`` on."""
+
+    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        vocabulary: dict[str, int] = {}
+        number = lambda d: np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in d), np.int64, len(d))
+        self.toxic, self.clean = [number(d) for d in toxic], [number(d) for d in clean]
+        names: dict[str, int] = {}
+        each = [[names.setdefault(f, len(names)) for f in token_features(w)] for w in vocabulary]
+        self.names, self.per = list(names), np.fromiter(map(len, each), np.int64, len(each))
+        self.first = np.cumsum(self.per) - self.per
+        self.features = np.fromiter((f for x in each for f in x), np.int64)
+
+    def documents_with(self, docs: list[np.ndarray]) -> np.ndarray:
+        """How many of ``docs`` hold each feature."""
+        out, lo, size = np.zeros(len(self.names), np.int64), 0, max(1, len(self.names))
+        while lo < len(docs):
+            some = docs[lo : lo + 256]
+            doc = np.repeat(np.arange(len(some)), [len(d) for d in some])
+            pairs = np.unique(doc * max(1, len(self.per)) + np.concatenate(some)) if len(doc) else np.zeros(0, np.int64)
+            doc, word = np.divmod(pairs, max(1, len(self.per)))
+            n = self.per[word]
+            at = np.repeat(self.first[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(np.unique(np.repeat(doc, n) * size + self.features[at]) % size, minlength=len(out))
+            lo += 256
+        return out
+
+
+def label_features(sample: Sample, toxic: list[np.ndarray], precise: float = 0.9) -> np.ndarray:
+    """Features that mark toxic documents: each occurrence there is a token labelled toxic. A feature counts if at least 4 of ``toxic``, its
+    documents that aren't copies, have it, its share of them is ``precise`` of both shares, and a likelihood ratio (G squared) says that chance
+    alone gives none such of all features tried."""
+    k, b = sample.documents_with(toxic).astype(float), sample.documents_with(sample.clean).astype(float)
+    n, m = max(1, len(toxic)), max(1, len(sample.clean))
+    p = (k + b) / (n + m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = sum(np.where(x > 0, 2 * x * np.log(x / y), 0) for x, y in ((k, n * p), (b, m * p), (n - k, n - n * p), (m - b, m - m * p)))
+    return np.flatnonzero((k >= 4) & (k / n >= precise * (k / n + (b + 0.5) / m)) & (g >= 2 * np.log(max(2, int((k > 0).sum())))))
+
+
+def likelihood(theta: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, np.ndarray]:
+    """Log-likelihood, less ``ridge`` / 2 times theta squared, of weighted rows of tagged tokens and its gradient by forward-backward.
+
+    ``x`` [row, token, place]: known features of a token, numbered from 1; -1: none; -2: the row is over. ``y``: tags. ``theta``: log-odds of any
+    token, of each feature, after a tag 0 and after a tag 1.
+    """
+    size, (n, length) = len(theta) - 2, y.shape
+    live = x[:, :, 0] >= -1
+    e = theta[0] + np.where(x > 0, theta[np.maximum(x, 0)], 0).sum(2)
+    up, k0, k1 = np.exp(np.clip(e, -20, 20)), np.exp(theta[-2]), np.exp(theta[-1])
+    before = np.concatenate([np.zeros((n, 1), int), y[:, :-1]], 1)
+    value = float((weight[:, None] * np.where(live & (y == 1), np.clip(e, -20, 20) + theta[-2 + before], 0)).sum()) - ridge / 2 * float(theta @ theta)
+    f = np.zeros((length + 1, n, 2))
+    f[0, :, 0] = 1
+    for j in range(length):
+        s0, s1 = f[j, :, 0] + f[j, :, 1], (f[j, :, 0] * k0 + f[j, :, 1] * k1) * up[:, j]
+        z = s0 + s1
+        value -= float((weight * np.where(live[:, j], np.log(z), 0)).sum())
+        f[j + 1, :, 0], f[j + 1, :, 1] = np.where(live[:, j], s0 / z, f[j, :, 0]), np.where(live[:, j], s1 / z, f[j, :, 1])
+    back, tag, moved = np.ones((n, 2)), np.zeros((n, length)), np.zeros(2)
+    for j in range(length - 1, -1, -1):
+        w01, w11 = f[j, :, 0] * k0 * up[:, j] * back[:, 1], f[j, :, 1] * k1 * up[:, j] * back[:, 1]
+        z = (f[j, :, 0] + f[j, :, 1]) * back[:, 0] + w01 + w11
+        p01, p11 = np.where(live[:, j], w01 / z, 0), np.where(live[:, j], w11 / z, 0)
+        tag[:, j] = p01 + p11
+        moved += np.array([weight @ p01, weight @ p11])
+        b0, b1 = back[:, 0] + k0 * up[:, j] * back[:, 1], back[:, 0] + k1 * up[:, j] * back[:, 1]
+        back = np.where(live[:, j, None], np.stack([b0 / (b0 + b1), b1 / (b0 + b1)], 1), back)
+    more = weight[:, None] * (np.where(live, y, 0) - tag)
+    grad = np.zeros_like(theta)
+    grad[:size] = np.bincount(np.maximum(x, 0).ravel(), np.where(x > 0, more[..., None], 0).ravel(), size)
+    grad[0] = more.sum()
+    for t in (0, 1):
+        grad[-2 + t] = float((weight[:, None] * (live & (y == 1) & (before == t))).sum()) - moved[t]
+    return value, grad - ridge * theta
+
+
+def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 70, rate: float = 0.25, length: int = 48, flat: float = 1e-5) -> Chain:
+    """Maximum likelihood of labelled tokens with forward-backward gradients (Adam, until it is ``flat``), then a logistic blend of the documents'
+    marginals. Rows of ``length`` tokens with known features and each document's first row are learned from; equal rows count as one."""
+    originals = {id(d) for d in distinct_documents(toxic)}
+    sample = Sample(toxic, clean)
+    marks = label_features(sample, [s for s, d in zip(sample.toxic, toxic, strict=True) if id(d) in originals])
+    order = np.argsort(np.array([sample.names[f] for f in marks], dtype=object)) if len(marks) else np.zeros(0, np.int64)
+    names = [sample.names[marks[i]] for i in order]
+    number = np.zeros(len(sample.names), np.int64)
+    number[marks[order]] = np.arange(1, len(names) + 1)
     wide = 1 + len(BEGINNINGS)
+    tokens = np.full((len(sample.per), wide), -1, np.int64)  # the known features of each word
+    for w in np.flatnonzero(np.add.reduceat(number[sample.features] > 0, sample.first)) if len(sample.per) else []:
+        own = number[sample.features[sample.first[w] : sample.first[w] + sample.per[w]]]
+        tokens[w, : (own > 0).sum()] = own[own > 0]
+    has = tokens[:, 0] > 0
     rows, tags = [], []
-    memo: dict[str, list[int]] = {}
-
-    def ids_of(w: str) -> list[int]:
-        if w not in memo:
-            own = [at[f] for f in token_features(w) if f in at]
-            memo[w] = own + [-1] * (wide - len(own))
-        return memo[w]
-
-    pad = [-2] * wide
-    for docs, is_toxic in ((toxic, 1), (clean, 0)):
+    for docs, is_toxic in ((sample.toxic, 1), (sample.clean, 0)):
         for d in docs:
-            ids = [ids_of(w) for w in d]
-            hits = [i for i, x in enumerate(ids) if x[0] > 0]
-            begins = {max(0, i - length // 2) // length * length for i in hits} | ({0} if ids else set())
-            for b in begins:
-                part = ids[b : b + length]
-                rows.append(part + [pad] * (length - len(part)))
-                tags.append([is_toxic * (x[0] > 0) for x in part] + [0] * (length - len(part)))
+            hits = np.flatnonzero(has[d])
+            for b in sorted({0, *(np.maximum(0, hits - length // 2) // length * length).tolist()}) if len(d) else []:
+                part = d[b : b + length]
+                rows.append(np.concatenate([tokens[part], np.full((length - len(part), wide), -2)]))
+                tags.append(np.concatenate([is_toxic * has[part], np.zeros(length - len(part), bool)]))
     theta = np.zeros(len(names) + 3)  # other, known features; after 0, after 1
     theta[0] = -4.0
     if rows:
-        x, y = np.array(rows), np.array(tags)
-        real = x[:, :, 0] >= -1
-        size = len(names) + 1
-        m1 = v1 = np.zeros_like(theta)
-        before = np.concatenate([np.zeros((len(y), 1), int), y[:, :-1]], 1)
-
-        def gathered(p: np.ndarray, j=slice(None)) -> np.ndarray:
-            """What tokens' probabilities of tag 1 add up to for each feature."""
-            own = x[:, j]
-            out = np.bincount(np.maximum(own, 0).ravel(), np.where(own > 0, p[..., None], 0).ravel(), size)
-            out[0] = p.sum()
-            return out
-
-        target = gathered((real & (y == 1)).astype(float))
-        moved = np.array([(real & (y == 1) & (before == s)).sum() for s in (0, 1)], float)
+        both, weight = np.unique(np.concatenate([np.array(rows).reshape(len(rows), -1), np.array(tags, np.int64)], 1), axis=0, return_counts=True)
+        x, y, weight = both[:, : length * wide].reshape(-1, length, wide), both[:, length * wide :], weight.astype(float)
+        m1, v1, last = np.zeros_like(theta), np.zeros_like(theta), -np.inf
         for t in range(1, epochs + 1):
-            e = theta[0] + np.where(x > 0, theta[np.maximum(x, 0)], 0).sum(2)
-            up = np.exp(np.clip(e, -20, 20))
-            k0, k1 = np.exp(theta[-2]), np.exp(theta[-1])
-            f = np.zeros((length + 1, len(x), 2))
-            f[0, :, 0] = 1
-            for j in range(length):
-                s0, s1 = f[j, :, 0] + f[j, :, 1], (f[j, :, 0] * k0 + f[j, :, 1] * k1) * up[:, j]
-                z = s0 + s1
-                live = real[:, j]
-                f[j + 1, :, 0], f[j + 1, :, 1] = np.where(live, s0 / z, f[j, :, 0]), np.where(live, s1 / z, f[j, :, 1])
-            g = np.zeros_like(theta)
-            back = np.ones((len(x), 2))
-            for j in range(length - 1, -1, -1):
-                live = real[:, j]
-                w01, w11 = f[j, :, 0] * k0 * up[:, j] * back[:, 1], f[j, :, 1] * k1 * up[:, j] * back[:, 1]
-                w00, w10 = f[j, :, 0] * back[:, 0], f[j, :, 1] * back[:, 0]
-                z = w00 + w01 + w10 + w11
-                p01, p11 = np.where(live, w01 / z, 0), np.where(live, w11 / z, 0)
-                g[:size] -= gathered(p01 + p11, j)
-                g[-2] -= p01.sum()
-                g[-1] -= p11.sum()
-                b0, b1 = back[:, 0] + k0 * up[:, j] * back[:, 1], back[:, 0] + k1 * up[:, j] * back[:, 1]
-                s = b0 + b1
-                back = np.where(live[:, None], np.stack([b0 / s, b1 / s], 1), back)
-            g[:size] += target
-            g[-2:] += moved
-            g -= 0.05 * theta
+            value, g = likelihood(theta, x, y, weight)
+            if abs(value - last) < flat * abs(value):
+                break
+            last = value
             m1, v1 = 0.9 * m1 + 0.1 * g, 0.99 * v1 + 0.01 * g * g
             theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(v1 / (1 - 0.99**t)) + 1e-8)
-    chain = Chain({w: float(theta[i]) for w, i in at.items()}, float(theta[0]), (float(theta[-2]), float(theta[-1])), (1.0, 0.0), 0.0)
-    feats = np.array([chain.features(chain.marginals(d)[1]) for docs in (toxic, clean) for d in docs]).reshape(-1, 2)
+    chain = Chain({w: float(theta[i + 1]) for i, w in enumerate(names)}, float(theta[0]), (float(theta[-2]), float(theta[-1])), (1.0, 0.0), 0.0)
+    none = chain.features(np.zeros(0))
+    feats = np.array([chain.features(chain.marginals(d)[1]) if has[s].any() else none for docs, some in ((toxic, sample.toxic), (clean, sample.clean)) for d, s in zip(docs, some, strict=True)]).reshape(-1, 2)
     # documents are weighted so that both labels count alike; scores order documents in any case
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
     weight = np.concatenate([np.full(len(toxic), 0.5 / max(1, len(toxic))), np.full(len(clean), 0.5 / max(1, len(clean)))])
@@ -235,19 +268,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, per_clean: int = PER_CLEAN, longest: int = LONGEST) -> Chain:
-    """Fit on labelled rows that aren't held out: about ``per_label`` toxic and ``per_clean`` other documents of up to ``longest`` characters,
-    chosen by a hash of doc_id. A doc_id with several labels counts as toxic if one is."""
+def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, per_clean: int = PER_CLEAN) -> Chain:
+    """Fit on labelled rows that aren't held out: about ``per_label`` toxic and ``per_clean`` other documents, chosen by a hash of doc_id. A doc_id
+    with several labels counts as toxic if one is; null labels, ids and texts tell nothing; rows that repeat an id count each."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for k, c in n.items():
         share = F.when(F.col("toxic") == k, F.lit(int(min(1.0, (per_label if k else per_clean) / c) * (1 << 31)))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     same: dict[str, str] = {}  # each word's text is held once
     split: dict[int, list[list[str]]] = {0: [], 1: []}
-    for batch in texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").toArrow().to_batches():
+    for batch in texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").toArrow().to_batches(max_chunksize=100):
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             split[k].append([same.setdefault(w, w) for w in token_words(text.as_py())])
     return fit_chain(split[1], split[0])
@@ -258,7 +291,7 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
     text, of words tagged toxic with at least ``SPAN``.
 
     Null, empty and word-less texts have the score of a text without known words and no spans; rows that repeat and null ids stay; an
-    empty table gives an empty result. Without labels of both kinds all scores are 0.5.
+    empty table gives an empty result; very long texts are read whole; other columns are not read. Without labels of both kinds all scores are 0.5.
     """
     shared = documents.sparkSession.sparkContext.broadcast(chain)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
@@ -268,8 +301,8 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
         none = model.score(np.zeros(0))
         for batch in batches:
             scores, spans = [], []
-            for text in batch.column(1).to_pylist():
-                low = (text or "").lower()
+            for text in batch.column(1):
+                low = (text.as_py() or "").lower()
                 ws = WORD.findall(low)
                 near, p = model.marginals(ws)
                 if not len(near):
@@ -280,15 +313,22 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
                 scores.append(model.score(p))
                 spans.append([{"start": at[i][0], "end": at[i][1], "probability": float(x)} for i, x in zip(near, p, strict=True) if x >= SPAN])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "spans"])
-        model.seen = {}
+        model.forget()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(textkit.frugal(run), "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``documents`` whose score is under ``threshold``; all columns stay."""
+    """``documents`` whose score is under ``threshold``; all columns stay, whatever their names.
+
+    Null, empty and word-less texts have the score of a text without known words, and so stay where clean texts do; very long texts are read
+    whole; rows that repeat are judged alike, null ids stay, an empty table stays empty. Without labels of both kinds no document is told from
+    another: then all stay.
+    """
     chain = train(documents.select("doc_id", "text"), labels)
+    if not any(chain.blend):
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(chain)
     at = documents.columns.index("text")
 
@@ -297,7 +337,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
         for batch in batches:
             ok = [model.score(model.marginals(token_words(t.as_py() or ""))[1]) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(ok, pa.bool_()))
-        model.seen = {}
+        model.forget()
 
     return documents.mapInArrow(textkit.frugal(keep), documents.schema)
 
