@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +12,10 @@ from pyspark.sql import functions as F
 from . import textkit, work
 
 DIMENSIONS, GRAM, SYMBOLS = 1024, 3, 512
-#: Bounds of the training sample: documents of a language (on average, by hash), and characters of one of them.
-PER_LANGUAGE, LONGEST = 800, 20_000
+#: Bound of the training sample: documents of a language (on average, by hash), whatever their length.
+PER_LANGUAGE = 800
 #: N-grams whose bound vectors a worker holds (4 KB each), and how many of a text are looked up at once.
 KNOWN, AT_ONCE = 24_000, 8192
-#: Languages that a profile table may hold.
-MOST_LANGUAGES = 512
 
 
 @lru_cache(maxsize=1)
@@ -92,50 +89,57 @@ class Profiles:
             at = np.searchsorted(self.ids, grams)
         return self.places[at]
 
-    def judge(self, text: str | None) -> tuple[str, float]:
+    def unit(self, text: str | None) -> np.ndarray | None:
+        """The bundle of the n-grams of ``text`` as a unit vector; None without a letter."""
         grams, n = gram_counts(text or "")
-        if not len(grams) or not self.languages:
-            return "und", 0.0
+        if not len(grams):
+            return None
         doc = np.zeros(DIMENSIONS, np.float32)
         for a in range(0, len(grams), AT_ONCE):
-            part = grams[a : a + AT_ONCE]
-            at = self.rows(part)
+            at = self.rows(grams[a : a + AT_ONCE])
             doc += n[a : a + AT_ONCE].astype(np.float32) @ self.known[at]
-        size = float(np.sqrt(doc @ doc)) or 1.0
-        cosine = self.prototypes @ (doc / size)
+        return doc / (float(np.sqrt(doc @ doc)) or 1.0)
+
+    def judge(self, text: str | None) -> tuple[str, float]:
+        doc = self.unit(text) if self.languages else None
+        if doc is None:
+            return "und", 0.0
+        cosine = self.prototypes @ doc
         best = int(np.argmax(cosine))
         return self.languages[best], min(1.0, max(0.0, (1 + float(cosine[best])) / 2))
 
 
-def learn(rows: pd.DataFrame) -> Profiles:
-    """Prototypes from (lang, text): the sum of the documents' unit vectors, made a unit vector."""
-    blank, sums = Profiles([], np.zeros((0, DIMENSIONS))), {}
-    for lang, text in zip(rows["lang"], rows["text"], strict=True):
-        grams, n = gram_counts(text or "")
-        if len(grams):
-            doc = np.zeros(DIMENSIONS, np.float32)
-            for a in range(0, len(grams), AT_ONCE):
-                at = blank.rows(grams[a : a + AT_ONCE])
-                doc += n[a : a + AT_ONCE].astype(np.float32) @ blank.known[at]
-            sums[lang] = sums.get(lang, 0) + doc / (np.sqrt(doc @ doc) or 1.0)
-    names = sorted(sums)
-    return Profiles(names, np.array([sums[x] / (np.linalg.norm(sums[x]) or 1.0) for x in names], np.float32).reshape(len(names), DIMENSIONS))
+def bundled(batches):
+    """(lang, sum) of a task's texts (lang, text): the sum of the texts' unit vectors, for each language."""
+    model, sums = Profiles([], np.zeros((0, DIMENSIONS))), {}
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            doc = model.unit(text.as_py())
+            if doc is not None:
+                sums[lang] = sums.get(lang, 0) + doc.astype(float)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "sum"])
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
-def train(documents: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Profiles:
-    """Profiles of every language, from a sample: of the learnable texts of up to ``longest`` characters about ``per_language`` each,
-    chosen by a hash of doc_id against a share that a count by language sets."""
-    rows = documents.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return learn(pd.DataFrame({"lang": [], "text": []}))
-    shares = documents.sparkSession.createDataFrame([(r.lang, int(min(1.0, per_language / r.n) * (1 << 31))) for r in counts], "lang string, share long")
-    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("share"))
-    return learn(chosen.select("lang", "text").toPandas())
+def train(documents: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Profiles:
+    """Profiles of every language, from a sample: of the learnable texts (doc_id, text, lang) about ``per_language`` each, chosen by a hash of
+    doc_id against a share that a count by language sets.
+
+    Vectors are made and summed where the texts are; only sums, one for each task and language, reach the driver. Null langs and texts and
+    texts without a letter tell nothing; repeated rows count each; very long texts are read whole; an empty table gives no profile.
+    """
+    rows = documents.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    shares, path = work.store(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.least(F.lit(1.0), per_language / F.col("n")) * (1 << 31)).cast("long").alias("share")), "shares")
+    chosen = rows.join(work.small(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("share"))
+    sums: dict[str, np.ndarray] = {}
+    for lang, part in chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(bundled), "lang string, sum binary").collect():
+        sums[lang] = sums.get(lang, 0) + np.frombuffer(part)
+    work.drop(documents.sparkSession, path)
+    names = sorted(sums)
+    return Profiles(names, np.array([sums[x] / (np.linalg.norm(sums[x]) or 1.0) for x in names], np.float32).reshape(len(names), DIMENSIONS))
 
 
 def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
@@ -149,7 +153,7 @@ def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
     def run(batches):
         model = Profiles(*shared.value)
         for batch in batches:
-            said = [model.judge(t) for t in batch.column(1).to_pylist()]
+            said = [model.judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(run), "doc_id long, lang_pred string, score double")
