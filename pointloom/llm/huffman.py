@@ -3,7 +3,7 @@
 A file is a folder of Parquet tables, so that any store that Spark reaches holds it: ``codebook`` (one row: the code length of each
 id, a byte each, deflated) and ``blocks`` (one row a block, in ascending order of ``part`` and ``block``). A block's image, little-endian::
 
-    magic b"PLH1", documents uint32, ids uint32, checkpoints uint32
+    magic b"PLH2", crc32 uint32 of all that follows, documents uint32, ids uint32, checkpoints uint32
     doc_id int64 of each document; ids of each document, uint32
     bit offset uint64 of each ``EVERY``-th id; bits of the codes, most significant first, zero-padded
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textkit, tokens, work
 
-MAGIC, EVERY, MAX_BITS, IDS = b"PLH1", 512, 18, 49408
+MAGIC, EVERY, MAX_BITS = b"PLH2", 512, 18
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 19
 
@@ -123,18 +123,21 @@ def unpack(data: bytes, starts: np.ndarray, n: int, table: tuple[np.ndarray, np.
 
 def write_block(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     data, marks = pack(ids, codes, lengths)
-    return b"".join([MAGIC, struct.pack("<3I", len(doc_ids), len(ids), len(marks)), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), marks.astype("<u8").tobytes(), data])
+    body = b"".join([struct.pack("<3I", len(doc_ids), len(ids), len(marks)), doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), marks.astype("<u8").tobytes(), data])
+    return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
-def read_block(image: bytes, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_block(image: bytes, table: tuple[np.ndarray, np.ndarray], limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, ids per document, ids) of a block."""
     if image[:4] != MAGIC:
         raise ValueError("not a block")
-    d, n, m = struct.unpack_from("<3I", image, 4)
-    doc_ids = np.frombuffer(image, "<i8", d, 16)
-    sizes = np.frombuffer(image, "<u4", d, 16 + 8 * d)
-    marks = np.frombuffer(image, "<u8", m, 16 + 12 * d)
-    return doc_ids, sizes, unpack(image[16 + 12 * d + 8 * m :], marks, n, table)
+    if zlib.crc32(memoryview(image)[8:]) != struct.unpack_from("<I", image, 4)[0]:
+        raise ValueError("a block is damaged")
+    d, n, m = struct.unpack_from("<3I", image, 8)
+    doc_ids = np.frombuffer(image, "<i8", d, 20)
+    sizes = np.frombuffer(image, "<u4", d, 20 + 8 * d)
+    marks = np.frombuffer(image, "<u8", m, 20 + 12 * d)
+    return doc_ids, sizes, unpack(image[20 + 12 * d + 8 * m :], marks, n, table, limit)
 
 
 def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -142,9 +145,12 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
 
     Null or empty text: only the closing id. A null doc_id stands for the smallest long and comes first; repeated ids keep every row, in
     the order of their ids' bytes; an empty table gives a file without blocks; other columns are not read. Global counts are a sum over
-    all documents; only they (one number for each id of the vocabulary) reach the driver.
+    all documents; only they (one number for each id of the vocabulary) reach the driver. Very long texts are read whole and are blocks of their
+    own. Codes have ``MAX_BITS`` at most, or as many as the vocabulary needs.
     """
     spark, vocab = documents.sparkSession, vocabulary or tokens.vocabulary_path()
+    size = max(tokens.vocabulary_size(vocab), closing + 1)
+    kind, bits = "<u2" if size <= 65536 else "<u4", max(MAX_BITS, (size - 1).bit_length())
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
 
     def encode(batches):
@@ -152,25 +158,25 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
             doc_ids = batch.column(0)
             for lo, hi, ids, sizes in tokens.encode_documents(batch.column(1), vocab, closing):
                 offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                wide = ids.astype("<u2" if IDS <= 65536 else "<u4")
+                wide = ids.astype(kind)
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offs * wide.itemsize), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), binary.cast(pa.binary())], ["doc_id", "ids"])
 
     raw, raw_path = work.store(documents.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(encode), "doc_id long, ids binary"), "ids")
 
     def count(batches):
-        total = np.zeros(IDS, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=IDS)
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    counts = np.zeros(IDS, np.int64)
+    counts = np.zeros(size, np.int64)
     for r in raw.select("ids").mapInArrow(textkit.frugal(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
-    lengths = code_lengths(counts)
-    spark.createDataFrame([(bytearray(zlib.compress(lengths.tobytes())), MAX_BITS)], "lengths binary, max_bits int").coalesce(1).write.parquet(f"{path}/codebook")
+    lengths = code_lengths(counts, bits)
+    spark.createDataFrame([(bytearray(zlib.compress(lengths.tobytes())), bits)], "lengths binary, max_bits int").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast((canonical(lengths), lengths))
 
     def blocks(batches):
@@ -187,7 +193,7 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
 
         for batch in batches:
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
+                ids = np.frombuffer(x.as_buffer(), kind)
                 if n and n + len(ids) > block_ids:
                     yield close()
                     block, held, docs, n, before = block + 1, [], [], 0, before + n
@@ -208,7 +214,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     ``start``: ids of all documents before it in the file. Only the ids a partition holds reach the driver, one number each.
     """
-    lengths = np.frombuffer(zlib.decompress(bytes(spark.read.parquet(f"{path}/codebook").first().lengths)), np.uint8)
+    book = spark.read.parquet(f"{path}/codebook").first()
+    lengths, limit = np.frombuffer(zlib.decompress(bytes(book.lengths)), np.uint8), book.max_bits
     blocks = spark.read.schema("part int, block int, n_docs long, n_ids long, ids_before long, image binary").parquet(f"{path}/blocks")
     before, total = {}, 0
     for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
@@ -217,10 +224,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         own, parts = shared.value
-        table = decode_table(own)
+        table = decode_table(own, limit)
         for batch in batches:
             for part, ahead, image in zip(*(batch.column(i) for i in range(3)), strict=True):
-                docs, n, ids = read_block(image.as_py(), table)
+                docs, n, ids = read_block(image.as_py(), table, limit)
                 ends = np.cumsum(n.astype(np.int64))
                 wide = np.ascontiguousarray(ids.astype("<u4"))
                 view = memoryview(wide).cast("B")

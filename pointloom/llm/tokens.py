@@ -30,6 +30,14 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@lru_cache(maxsize=2)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def letter_edges(b: np.ndarray) -> np.ndarray:
     """Places between a letter (ASCII, or Latin-1 before the edge) and an ASCII sign or digit: there the tokenizer's own words end too.
 
