@@ -150,7 +150,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocab
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``documents`` (doc_id, text).
 
     Null or empty text: one piece, the closing id. Null doc_ids and repeated rows stay, each packed on its own; an empty table gives an
-    empty result; other columns are not read. Ranks within a length depend on how rows are dealt to partitions, so they are
+    empty result; very long texts are read whole; other columns are not read. Ranks within a length depend on how rows are dealt to partitions, so they are
     written down once. The driver gets the histogram, one number for each possible length.
     """
     spark = documents.sparkSession
@@ -162,7 +162,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocab
     shared = spark.sparkContext.broadcast(slots(plan(counts, capacity)))
     # ranks before a part: one row for each (length, part), so a length has as many as there are parts
     before = local.withColumn("before", F.sum("n").over(_by_length())).withColumn("before", F.col("before") - F.col("n")).select("length", "part", "before")
-    ranked = cut.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    before, _ = work.store(before, "before")
+    ranked = cut.join(work.small(before), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches):
         where = shared.value
