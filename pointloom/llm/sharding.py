@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import filters
 from . import work
 
 #: Bits of a hash: 60, the first 15 hex digits of an md5.
@@ -54,51 +55,66 @@ def directory(sizes: DataFrame, limit: int, most_bits: int = BITS) -> DataFrame:
     return reduce(DataFrame.unionByName, leaves)
 
 
+def entries(leaves: DataFrame, most_depth: int = 24) -> DataFrame:
+    """(entry, depth, prefix): the directory itself, 2 ** (largest depth) entries, each with its leaf; several lead to a leaf of less depth."""
+    deep = int(leaves.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("d")).first().d)
+    if deep > most_depth:
+        raise ValueError(f"a directory of 2 ** {deep} entries; the leaves alone tell as much")
+    first = F.expr(f"shiftleft(prefix, {deep} - depth)")
+    return leaves.select(F.explode(F.sequence(first, F.expr(f"shiftleft(prefix + 1, {deep} - depth) - 1"))).alias("entry"), "depth", "prefix")
+
+
 def shard(rows: DataFrame, key: str, size: Column, limit: int = LIMIT, most_bits: int = BITS) -> DataFrame:
     """``rows`` with depth, prefix, page and bytes: the leaf bucket of each row's key hash, in pages of at most ``limit`` bytes.
 
     Rows of one key can't be told apart by any bit; where they alone exceed the limit, their bucket is oversized at the last bit and
-    goes on in numbered pages, filled in the order of a hash of the whole row. One row larger than the limit is a page alone. A null key is
-    the empty string, a null size 0; repeated rows stay; clashing columns are replaced; an empty table gives an empty result.
+    goes on in numbered pages, filled in the order of the row's columns: rows of at most half the limit fill pages from 0 on to half at
+    least, larger ones are a page each, numbered from -1 down. A null key is the empty string, a null size 0; repeated rows stay; clashing
+    columns are replaced; an empty table gives an empty result.
     """
     names = [c for c in rows.columns if c not in ("depth", "prefix", "page", "bytes")]
-    known = rows.withColumn("__bytes", F.coalesce(size.cast("long"), F.lit(0).cast("long"))).withColumn("__hash", hash_bits(F.col(key)))
+    row = F.struct(*[F.col(work.quoted(c)) for c in names])
+    known = rows.select(row.alias("__row"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("__bytes"), hash_bits(F.col(work.quoted(key))).alias("__hash"))
     sizes = known.select(F.col("__hash").alias("hash"), F.col("__bytes").alias("bytes"))
     leaves, _ = work.store(directory(sizes, limit, most_bits), "leaves")
-    found = leaves.agg(F.max("depth").alias("deep"), F.count("*").alias("n"), F.max("bytes").alias("most")).first()
+    found = leaves.agg(F.count("*").alias("n"), F.max("bytes").alias("most")).first()
+    fields = [F.col("__row")[c].alias(c) for c in names]
+    page = F.lit(0).cast("long").alias("page")
     if found.n == 0:
-        return known.select(*names, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("page"), F.col("__bytes").alias("bytes"))
+        return known.select(*fields, F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), page, F.col("__bytes").alias("bytes"))
     depths = [r.depth for r in leaves.select("depth").distinct().orderBy("depth").collect()]  # 60 at most
     # a row meets one leaf: it asks for its prefix at each depth that some leaf has
     asks = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("__hash", most_bits - d).alias("prefix")) for d in depths]))
-    at = known.select("__hash").distinct().select("__hash", asks.alias("a")).select("__hash", "a.depth", "a.prefix").join(leaves.select("depth", "prefix", F.col("bytes").alias("__sum")), ["depth", "prefix"])
-    if found.n <= 100_000:  # a small directory is sent to all: then no row moves
-        small = F.broadcast(leaves.select(F.col("depth").alias("__d"), F.col("prefix").alias("__pre"), F.col("bytes").alias("__sum")))
-        out = known.withColumn("__a", asks).join(small, (F.col("__a.depth") == F.col("__d")) & (F.col("__a.prefix") == F.col("__pre"))).select(*names, "__bytes", F.col("__d").alias("depth"), F.col("__pre").alias("prefix"), "__sum")
+    side = leaves.select(F.struct("depth", "prefix").alias("__a"), F.col("bytes").alias("__sum"))
+    small = work.small(leaves) is not leaves
+    if small:  # a small directory is sent to all: then no row moves
+        out = known.withColumn("__a", asks).join(F.broadcast(side), "__a")
     else:
-        out = known.join(at, "__hash").select(*names, "__bytes", "depth", "prefix", "__sum")
+        at = known.select("__hash").distinct().withColumn("__a", asks).join(side, "__a")
+        out = known.join(at, "__hash")
+    out = out.select("__row", "__bytes", F.col("__a.depth").alias("__depth"), F.col("__a.prefix").alias("__prefix"), "__sum")
+    place = [F.col("__depth").alias("depth"), F.col("__prefix").alias("prefix")]
     if found.most <= limit:
-        return out.select(*names, "depth", "prefix", F.lit(0).cast("long").alias("page"), F.col("__bytes").alias("bytes"))
-    return _paged(out, names, key, limit)
-
-
-def _paged(out: DataFrame, names: list[str], key: str, limit: int) -> DataFrame:
-    """Pages of buckets of one key: rows of half the limit and less fill pages of pages, dealt by a salt so that no task holds a key."""
-    from pyspark.sql import Window
-
-    fits = out.where(F.col("__sum") <= limit).select(*names, "depth", "prefix", F.lit(0).cast("long").alias("page"), F.col("__bytes").alias("bytes"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("__sum") / (16 * limit))).cast("long")
-    over = out.where(F.col("__sum") > limit).withColumn("__salt", F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), salts))
+        return out.select(*fields, *place, page, F.col("__bytes").alias("bytes"))
+    fits = out.where(F.col("__sum") <= limit).select(*fields, *place, page, F.col("__bytes").alias("bytes"))
+    return fits.unionByName(_paged(out.where(F.col("__sum") > limit), limit).select(*fields, *place, "page", F.col("__bytes").alias("bytes")))
+
+
+def _paged(over: DataFrame, limit: int) -> DataFrame:
+    """``over`` with page. Running sums go over all oversized buckets at once, in ranges that are summed apart, so no task holds a key."""
+    kinds = over.schema["__row"].dataType.fields
+    sortable = F.struct(*[F.col("__row")[f.name] for f in kinds if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
+    big = 2 * F.col("__bytes") > limit
+    order = ["__prefix", "__order", "__bytes", "__tie"]
+    # equal rows may be many: a number drawn for each lets their range be cut, too
+    over = over.withColumn("__order", sortable).withColumn("__tie", F.rand(7)).withColumn("__light", F.when(~big, F.col("__bytes")).otherwise(0)).withColumn("__big", big.cast("long"))
+    over = filters.prefix_sum(filters.prefix_sum(over, order, "__light", "__sum_light"), order, "__big", "__sum_big")
     over, _ = work.store(over, "paged")
-    # next-fit in a salt's order: a page ends where the running sum passes a multiple of what is left after the largest row
-    w = Window.partitionBy("depth", "prefix", "__salt").orderBy(*[F.col(c) for c in names if dict(out.dtypes)[c] != "map"], "__bytes")
-    largest = F.max("__bytes").over(Window.partitionBy("depth", "prefix", "__salt"))
-    room = F.greatest(F.lit(1), F.lit(limit) - largest)
-    before = F.sum("__bytes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__bytes")
-    nth = F.row_number().over(w)
-    within = F.when(largest >= limit, nth.cast("long")).otherwise(F.floor(before / room))
-    paged = over.withColumn("__within", within)
-    return fits.unionByName(paged.select(*names, "depth", "prefix", (F.col("__within") * (1 << 20) + F.col("__salt") + 1).alias("page"), F.col("__bytes").alias("bytes")))
+    start = over.groupBy("__prefix").agg(F.min(F.col("__sum_light") - F.col("__light")).alias("__from_light"), F.min(F.col("__sum_big") - F.col("__big")).alias("__from_big"))
+    start, _ = work.store(start, "starts")
+    light = F.floor((F.col("__sum_light") - F.col("__light") - F.col("__from_light")) / F.lit(max(1, limit // 2)))
+    met = over.join(work.small(start), "__prefix")
+    return met.withColumn("page", F.when(F.col("__big") == 1, F.col("__from_big") - F.col("__sum_big")).otherwise(light).cast("long"))
 
 
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +125,10 @@ def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 sums AS (SELECT t.depth, d.h >> ({BITS} - t.depth) AS prefix, sum(bytes) AS b FROM d, (SELECT unnest(range(0, {BITS} + 1)) AS depth) t GROUP BY 1, 2),
-leaf AS (SELECT d.doc_id, d.bytes, d.h, min(s.depth) AS depth FROM d JOIN sums s ON s.prefix = d.h >> ({BITS} - s.depth) AND (s.b <= {LIMIT} OR s.depth = {BITS}) GROUP BY ALL)
-SELECT doc_id, CAST(depth AS INTEGER) AS depth, CAST(h >> ({BITS} - depth) AS BIGINT) AS prefix, CAST(0 AS BIGINT) AS page, bytes FROM leaf
+leaf AS (SELECT d.doc_id, d.bytes, d.h, min(s.depth) AS depth FROM d JOIN sums s ON s.prefix = d.h >> ({BITS} - s.depth) AND (s.b <= {LIMIT} OR s.depth = {BITS}) GROUP BY ALL),
+placed AS (SELECT leaf.*, h >> ({BITS} - leaf.depth) AS prefix, s.b FROM leaf JOIN sums s ON s.depth = leaf.depth AND s.prefix = h >> ({BITS} - leaf.depth)),
+run AS (SELECT *, sum(CASE WHEN 2 * bytes > {LIMIT} THEN 0 ELSE bytes END) OVER w - bytes AS before, sum(CASE WHEN 2 * bytes > {LIMIT} THEN 1 ELSE 0 END) OVER w AS nth FROM placed
+  WINDOW w AS (PARTITION BY depth, prefix ORDER BY doc_id, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT doc_id, CAST(depth AS INTEGER) AS depth, CAST(prefix AS BIGINT) AS prefix,
+  CAST(CASE WHEN b <= {LIMIT} THEN 0 WHEN 2 * bytes > {LIMIT} THEN -nth ELSE before // {LIMIT // 2} END AS BIGINT) AS page, bytes FROM run
 """
