@@ -52,6 +52,15 @@ def test_huffman_starts(spark):
     assert {tuple(r) for r in registry.queries()["op10_huffman_ids"](spark, DATA).collect()} == want
 
 
+def test_toxicity_on_documents_held_out(spark):
+    """At sf0.01 few toxic documents are labelled: those that hold a marker are caught, others are left alone, held out or not."""
+    data = "/root/testdata/sf0.01"
+    got = registry.queries()["op1_toxic_spans"](spark, data).join(work.read(spark, data, "labels").where("toxic is not null").select("doc_id", "toxic"), "doc_id").toPandas()
+    clean, marked = got[got["toxic"] == 0], got[(got["toxic"] == 1) & (got["n_spans"] > 0)]
+    assert (clean[clean["held_out"]]["predicted"] == 0).all() and (clean["predicted"] == 0).mean() > 0.99
+    assert len(marked[marked["held_out"]]) >= 4 and (marked["predicted"] == 1).mean() >= 0.95
+
+
 def test_language_accuracy(spark):
     got = registry.queries()["op6_language_id"](spark, DATA).where("held_out").join(work.read(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").toPandas()
     assert (got["lang"] == got["lang_pred"]).mean() > 0.95
