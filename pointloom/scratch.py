@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A fresh path, deleted when the driver ends; a temporary folder is set only where none is configured (tests)."""
+    """A fresh path, deleted when the driver ends. Only a local master may do without a configured folder: it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     out = f"{base.rstrip('/')}/pointloom-{name}-{uuid.uuid4().hex}"
