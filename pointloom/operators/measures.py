@@ -36,6 +36,11 @@ def psnr(mse: Column) -> Column:
     return F.when(mse == 0, F.lit(math.inf)).otherwise(-10.0 * F.log10(mse))
 
 
+def pixel_error(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Distance of two pixels."""
+    return F.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+
+
 def iou(a: Column, b: Column) -> Column:
     """1 for an empty union."""
     union = F.count_if(a | b)

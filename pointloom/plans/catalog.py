@@ -232,15 +232,6 @@ def collision_candidates(spark, sf_dir):
     return near.groupBy(c("a_pid").alias("a")).agg(F.count("*").alias("n"), F.min("b_pid").alias("first"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding AS v FROM embeddings), s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(range(1, 65), lambda k: CAST(a.v[k] AS DOUBLE) * CAST(b.v[k] AS DOUBLE))) AS score FROM e a, e b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND a.vec_id // 100 = b.vec_id // 100),
-r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS ri, row_number() OVER (PARTITION BY j ORDER BY score DESC, i) AS rj FROM s) SELECT i, j, round(score, 6) AS score FROM r WHERE ri = 1 AND rj = 1 AND score > 0.2""")
-def mutual_nn(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(c("vec_id") / 100).alias("image"))
-    a, b = e.where("vec_id % 2 = 0").select(c("vec_id").alias("i"), c("embedding").alias("u"), "image"), e.where("vec_id % 2 = 1").select(c("vec_id").alias("j"), c("embedding").alias("v"), "image")
-    score = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return joins.mutual_nearest(a.join(b, "image").select("i", "j", score.alias("score")), 0.2).select("i", "j", r6("score").alias("score"))
-
-
 # pixels and projections
 
 

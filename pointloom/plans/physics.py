@@ -317,19 +317,6 @@ def skin_blend(spark, sf_dir):
     return simulate.skin(rest.select("pid", *AXES), w, shift, r)
 
 
-@query()
-def ssim(spark, sf_dir):
-    return measures.ssim(V.img(spark, sf_dir), 64, 64)
-
-
-@query()
-def sinkhorn(spark, sf_dir):
-    e = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.floor(c("vec_id") / 100).alias("image"))
-    a, b = e.where("vec_id % 2 = 0").select(c("vec_id").alias("i"), c("embedding").alias("u"), "image"), e.where("vec_id % 2 = 1").select(c("vec_id").alias("j"), c("embedding").alias("v"), "image")
-    score = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return simulate.sinkhorn(a.join(b, "image").select("image", "i", "j", score.alias("score")), "image")
-
-
 @query()
 def sample5000(spark, sf_dir):
     return V.pix(spark, sf_dir).where("role = 'object'").select("frame", "cam", "u", "v").distinct().orderBy(F.rand(42)).limit(5000)

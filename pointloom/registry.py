@@ -1,13 +1,13 @@
 """Registered queries and their DuckDB counterparts."""
 
-from .plans import catalog, physics
+from .plans import catalog, physics, vision
 
 
 def queries():
-    assert physics
+    assert physics and vision
     return dict(catalog.QUERIES)
 
 
 def oracle_sql():
-    assert physics
+    assert physics and vision
     return dict(catalog.SQL)
