@@ -93,9 +93,16 @@ def collision_impulse(pairs: DataFrame, mass: float, elastic: float, friction: f
     return rows.groupBy("pid").agg(*[F.avg((-(1.0 + e) * F.col("n" + c) + (a - 1.0) * F.col("t" + c)) / mu).alias("j" + c) for c in AXES], F.count("*").alias("hits"))
 
 
+def collided(nodes: DataFrame, impulses: DataFrame, mass: float = 1.0) -> DataFrame:
+    """``nodes`` with their velocities after the mean ``impulses`` (pid, jx, jy, jz); without any a node keeps its own."""
+    new = nodes.join(impulses.select("pid", *["j" + c for c in AXES]), "pid", "left")
+    return new.withColumns({"v" + c: F.col("v" + c) - F.coalesce(F.col("j" + c), F.lit(0.0)) / mass for c in AXES}).drop(*["j" + c for c in AXES])
+
+
 def ground_step(nodes: DataFrame, dt: float, elastic: float, friction: float, sign: float = 1.0) -> DataFrame:
     """Positions and velocities after a step with reflection on the plane z = 0, whose normal is (0, 0, sign)."""
     c = F.col
+    elastic, friction = min(1.0, max(0.0, elastic)), min(2.0, max(0.0, friction))
     hit = ((c("z") + c("vz") * dt) * sign < 0) & (c("vz") * sign < -1e-4)
     vt = F.sqrt(c("vx") * c("vx") + c("vy") * c("vy"))
     a = F.greatest(F.lit(0.0), 1.0 - friction * (1.0 + elastic) * F.abs(c("vz")) / F.greatest(vt, F.lit(1e-6)))

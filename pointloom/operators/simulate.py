@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ XYZ = ["x", "y", "z"]
 
 @dataclass(frozen=True)
 class Physics:
-    """Parameters of a simulation; times in seconds."""
+    """Parameters of a simulation; times in seconds. ``collide``: the distance below which points of different masks push each other, 0: never."""
 
     dt: float = 5e-5
     substeps: int = 667
@@ -26,6 +26,27 @@ class Physics:
     friction: float = 0.3
     sign: float = 1.0
     gravity: float = -9.8
+    collide: float = 0.0
+    object_elastic: float = 0.7
+    object_friction: float = 0.3
+
+
+@dataclass(frozen=True)
+class Rig:
+    """What a candidate builds springs from: radius and most neighbours (itself counted) of points and of controllers, and a stiffness."""
+
+    radius: float = 0.02
+    neighbours: int = 30
+    controller_radius: float = 0.04
+    controller_neighbours: int = 50
+    stiffness: float = 3e3
+
+
+#: The box that a fit maps from [0, 1], fixed values: name, least, most.
+BOX = (
+    ("stiffness", 1e3, 1e5), ("radius", 0.01, 0.05), ("neighbours", 10, 50), ("controller_radius", 0.01, 0.08), ("controller_neighbours", 10, 80), ("elastic", 0.0, 1.0),
+    ("friction", 0.0, 2.0), ("object_elastic", 0.0, 1.0), ("object_friction", 0.0, 2.0), ("collide", 0.01, 0.05), ("drag", 0.0, 20.0), ("damping", 0.0, 200.0),
+)
 
 
 def spring_forces(x: np.ndarray, v: np.ndarray, src: np.ndarray, dst: np.ndarray, rest: np.ndarray, y: np.ndarray, p: Physics) -> np.ndarray:
@@ -51,68 +72,233 @@ def ground(x: np.ndarray, v: np.ndarray, p: Physics) -> tuple[np.ndarray, np.nda
     return x + v * toi + w * (p.dt - toi), w
 
 
-def simulate_frame(x: np.ndarray, v: np.ndarray, springs: tuple[np.ndarray, ...], p: Physics, start: np.ndarray | None = None, end: np.ndarray | None = None, free: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One frame of substeps. Nodes from ``free`` on are controlled: they move from ``start`` to ``end`` and have no velocity of their own."""
+def close_pairs(x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, k) of different points nearer than ``r``, both ways, by cells of side r."""
+    cell = np.floor(x / r).astype(np.int64)
+    cell -= cell.min(0) - 1 if len(cell) else 0
+    span = cell.max(0) + 2 if len(cell) else np.ones(3, np.int64)
+    key = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
+    order = np.argsort(key, kind="stable")
+    ranked, out = key[order], []
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            want = key + (dx * span[1] + dy) * span[2]
+            lo, hi = np.searchsorted(ranked, want - 1), np.searchsorted(ranked, want + 1, "right")  # three cells in a row
+            n = hi - lo
+            i = np.repeat(np.arange(len(x)), n)
+            k = order[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            near = (i != k) & (((x[i] - x[k]) ** 2).sum(1) < r * r)
+            out.append((i[near], k[near]))
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def collided(x: np.ndarray, v: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], mass: np.ndarray, p: Physics) -> np.ndarray:
+    """Velocities after the mean impulse of the candidates ``pairs`` that are near and approach each other."""
+    i, k = pairs
+    d, w = x[k] - x[i], v[k] - v[i]
+    n = np.linalg.norm(d, axis=1)
+    on = (n < p.collide) & ((d * w).sum(1) < -1e-4)
+    i, k, d, w, n = i[on], k[on], d[on], w[on], n[on]
+    if not len(i):
+        return v
+    e, f = min(1.0, max(0.0, p.object_elastic)), min(2.0, max(0.0, p.object_friction))
+    u = d / np.maximum(n, 1e-6)[:, None]
+    vn = (w * u).sum(1)[:, None] * u
+    vt = w - vn
+    a = np.maximum(0, 1 - f * (1 + e) * np.linalg.norm(vn, axis=1) / np.maximum(np.linalg.norm(vt, axis=1), 1e-6))[:, None]
+    j = (-(1 + e) * vn + (a - 1) * vt) / (1 / mass[i] + 1 / mass[k])[:, None]
+    total, hits = np.zeros_like(v), np.bincount(i, minlength=len(v))
+    np.add.at(total, i, j)
+    return v - total / np.maximum(hits, 1)[:, None] / mass[:, None]
+
+
+def simulate_frame(x: np.ndarray, v: np.ndarray, springs: tuple[np.ndarray, ...], p: Physics, start: np.ndarray | None = None, end: np.ndarray | None = None, free: int | None = None, mass: np.ndarray | None = None, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One frame of substeps: springs, velocity, collision, ground. Nodes from ``free`` on are controlled: they move from ``start`` to ``end`` and
+    have no velocity of their own. Points of different ``mask`` collide; their candidates are those near each other as the frame starts."""
     free = len(x) if free is None else free
     x, v = x.copy(), v.copy()
+    mass = np.ones(free) if mass is None else mass
+    pairs = None
+    if p.collide > 0 and mask is not None and len(np.unique(mask)) > 1:
+        i, k = close_pairs(x[:free], p.collide)
+        pairs = i[mask[i] != mask[k]], k[mask[i] != mask[k]]
     for step in range(p.substeps):
         if start is not None and end is not None:
             t = (step + 1) / p.substeps
             x[free:] = start + t * (end - start)
         force = spring_forces(x, v, *springs, p)[:free]
-        u = (v[:free] + (force + np.array([0, 0, p.gravity * p.sign])) * p.dt) * np.exp(-p.dt * p.drag)
+        u = (v[:free] + (force / mass[:, None] + np.array([0, 0, p.gravity * p.sign])) * p.dt) * np.exp(-p.dt * p.drag)
+        if pairs is not None:
+            u = collided(x[:free], u, pairs, mass, p)
         x[:free], v[:free] = ground(x[:free], u, p)
     return x, v
 
 
-def rollout(nodes: DataFrame, springs: DataFrame, frames: int, physics: Physics) -> DataFrame:
-    """(case, frame, pid, x, y, z) for ``frames`` frames of each case, one task a case; nodes (case, pid, xyz), springs (case, src, dst, rest, log_y)."""
+def nearest_within(a: np.ndarray, b: np.ndarray, r: float, k: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the ``k`` nearest rows of ``b`` within ``r`` of each row of ``a``; ties to the smaller place."""
+    out = []
+    for lo in range(0, len(a), at_once):
+        d = ((a[lo : lo + at_once, None] - b[None]) ** 2).sum(2)
+        order = np.argsort(d, 1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, order, 1)
+        i, place = np.nonzero(near <= r * r)
+        out.append((i + lo, order[i, place], np.sqrt(near[i, place])))
+    return tuple(np.concatenate([o[n] for o in out]) if out else np.zeros(0, int) for n in range(3))
+
+
+def build_springs(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rig: Rig, shortest: float = 1e-4) -> tuple[np.ndarray, ...]:
+    """(src, dst, rest, y): each unordered pair of neighbours within a mask once, and controllers (numbered after the points) with theirs."""
+    edges = {}
+    groups = [np.arange(len(x))] if mask is None else [np.flatnonzero(mask == m) for m in np.unique(mask)]
+    for g in groups:
+        i, j, d = nearest_within(x[g], x[g], rig.radius, int(rig.neighbours))
+        for p, q, rest in zip(g[i].tolist(), g[j].tolist(), d.tolist(), strict=True):
+            if p != q and rest > shortest and (min(p, q), max(p, q)) not in edges:
+                edges[min(p, q), max(p, q)] = rest
+    src, dst, rest = [p for p, _ in edges], [q for _, q in edges], list(edges.values())
+    i, j, d = nearest_within(controllers, x, rig.controller_radius, int(rig.controller_neighbours))
+    on = d > shortest
+    src, dst, rest = np.concatenate([np.array(src, int), len(x) + i[on].astype(int)]), np.concatenate([np.array(dst, int), j[on].astype(int)]), np.concatenate([np.array(rest, float), d[on].astype(float)])
+    return src, dst, rest, np.full(len(rest), float(rig.stiffness))
+
+
+def _states(n: pd.DataFrame):
+    """(points, masses, masks, controllers by frame) of a case's rows; rows with a ``frame`` are controllers."""
+    points = n[n["frame"].isna()].sort_values("pid").reset_index(drop=True)
+    control = n[n["frame"].notna()].sort_values(["frame", "pid"])
+    path = {int(f): g[XYZ].to_numpy(float) for f, g in control.groupby("frame")}
+    ids = control[control["frame"] == control["frame"].min()]["pid"].tolist() if len(control) else []
+    return points, points["mass"].fillna(1.0).to_numpy(float), points["mask"].fillna(0).to_numpy(int), path, ids
+
+
+def frames_of(x: np.ndarray, springs: tuple[np.ndarray, ...], frames: int, p: Physics, mass: np.ndarray, mask: np.ndarray, path: dict[int, np.ndarray]):
+    """Positions of the points in each frame; controllers follow ``path`` and stay where it ends."""
+    free, v = len(x), np.zeros((len(x), 3))
+    at = path.get(0, next(iter(path.values()), np.zeros((0, 3))))
+    full, vel = np.concatenate([x, at]), np.concatenate([v, np.zeros_like(at)])
+    yield x
+    for f in range(1, frames):
+        after = path.get(f, at)
+        full, vel = simulate_frame(full, vel, springs, p, at, after, free, mass, mask)
+        at = after
+        yield full[:free]
+
+
+_ROWS = "case long, frame int, pid long, x double, y double, z double, mass double, mask long"
+
+
+def with_controllers(nodes: DataFrame, controllers: DataFrame | None) -> DataFrame:
+    """Points (frame null) and controllers (case, frame, pid, xyz) in one table; a point without ``mass`` has 1, without ``mask`` 0."""
+    has = lambda c, kind, d: (F.col(c).cast(kind) if c in nodes.columns else F.lit(d).cast(kind)).alias(c)
+    out = nodes.select(F.col("case").cast("long").alias("case"), F.lit(None).cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, has("mass", "double", 1.0), has("mask", "long", 0))
+    if controllers is None:
+        return out
+    c = controllers.select(F.col("case").cast("long").alias("case"), F.col("frame").cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("long").alias("mask"))
+    return out.unionByName(c)
+
+
+def rollout(nodes: DataFrame, springs: DataFrame, frames: int, physics: Physics, controllers: DataFrame | None = None) -> DataFrame:
+    """(case, frame, pid, x, y, z) for ``frames`` frames of each case, one task a case; nodes (case, pid, xyz, and mass and mask if there), springs
+    (case, src, dst, rest, log_y) between nodes or with controllers (case, frame, pid, xyz), whose ids are none of the nodes'."""
 
     def run(n: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(n):
-            return pd.DataFrame({"case": [], "frame": [], "pid": [], "x": [], "y": [], "z": []})
-        n = n.sort_values("pid").reset_index(drop=True)
-        at = {p: i for i, p in enumerate(n["pid"])}
-        ends = (s["src"].map(at).to_numpy(int), s["dst"].map(at).to_numpy(int), s["rest"].to_numpy(float), np.exp(s["log_y"].to_numpy(float))) if len(s) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
-        x, v, out = n[XYZ].to_numpy(float), np.zeros((len(n), 3)), []
-        for f in range(frames):
-            if f:
-                x, v = simulate_frame(x, v, ends, physics)
-            out.append(pd.DataFrame({"case": n["case"], "frame": f, "pid": n["pid"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]}))
-        return pd.concat(out)
-
-    return nodes.groupBy("case").cogroup(springs.groupBy("case")).applyInPandas(run, "case long, frame int, pid long, x double, y double, z double")
-
-
-def sweep(nodes: DataFrame, springs: DataFrame, truth: DataFrame, candidates: DataFrame, frames: int, base: Physics) -> DataFrame:
-    """(candidate, case, loss): mean squared distance from ``truth`` (case, frame, pid, xyz) for each candidate (candidate, damping, drag), a
-    task for each (candidate, case)."""
-    from dataclasses import replace
-
-    packed_nodes = nodes.groupBy("case").agg(F.sort_array(F.collect_list(F.struct("pid", *XYZ))).alias("nodes"))
-    packed_springs = springs.groupBy("case").agg(F.collect_list(F.struct("src", "dst", "rest", "log_y")).alias("springs"))
-    packed_truth = truth.groupBy("case").agg(F.sort_array(F.collect_list(F.struct("frame", "pid", *XYZ))).alias("truth"))
-    rows = packed_nodes.join(packed_springs, "case").join(packed_truth, "case").join(F.broadcast(candidates), F.lit(True)).repartition("candidate", "case")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                ids = [p["pid"] for p in r.nodes]
-                at = {p: i for i, p in enumerate(ids)}
-                x = np.array([[p[c] for c in XYZ] for p in r.nodes], float)
-                s = (np.array([at[e["src"]] for e in r.springs]), np.array([at[e["dst"]] for e in r.springs]), np.array([e["rest"] for e in r.springs], float), np.exp(np.array([e["log_y"] for e in r.springs], float)))
-                t = {(q["frame"], q["pid"]): [q[c] for c in XYZ] for q in r.truth}
-                p, v, loss, n = replace(base, damping=r.damping, drag=r.drag), np.zeros_like(x), 0.0, 0
-                for f in range(1, frames):
-                    x, v = simulate_frame(x, v, s, p)
-                    want = np.array([t[f, i] for i in ids if (f, i) in t])
-                    got = x[[at[i] for i in ids if (f, i) in t]]
-                    loss, n = loss + float(((want - got) ** 2).sum()), n + len(want)
-                out.append((r.candidate, r.case, loss / max(1, n)))
-            yield pd.DataFrame(out, columns=["candidate", "case", "loss"])
-
-    return rows.select("candidate", "case", "damping", "drag", "nodes", "springs", "truth").mapInPandas(run, "candidate long, case long, loss double")
+        points, mass, mask, path, ids = _states(n)
+        out = [pd.DataFrame({"case": [], "frame": [], "pid": [], "x": [], "y": [], "z": []})]
+        if len(points):
+            at = {p: i for i, p in enumerate([*points["pid"], *ids])}
+            ends = (s["src"].map(at).to_numpy(int), s["dst"].map(at).to_numpy(int), s["rest"].to_numpy(float), np.exp(s["log_y"].to_numpy(float))) if len(s) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+            for f, x in enumerate(frames_of(points[XYZ].to_numpy(float), ends, frames, physics, mass, mask, path)):
+                out.append(pd.DataFrame({"case": points["case"], "frame": f, "pid": points["pid"], "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]}))
+        return pd.concat(out[1:] or out).astype({"case": "int64", "frame": "int32", "pid": "int64"})
+
+    return with_controllers(nodes, controllers).groupBy("case").cogroup(springs.groupBy("case")).applyInPandas(run, "case long, frame int, pid long, x double, y double, z double")
+
+
+def smooth(u: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(u) < 1, 0.5 * u * u, np.abs(u) - 0.5)
+
+
+def frame_losses(found: list[np.ndarray], truth: dict[int, tuple[np.ndarray, np.ndarray]], weights=(1.0, 1.0, 0.01)) -> float:
+    """The mean over the frames after the first of chamfer, track and acceleration losses; truth: (places, positions) of the points seen in a frame."""
+    total = 0.0
+    for f in range(1, len(found)):
+        at, want = truth.get(f, (np.zeros(0, int), np.zeros((0, 3))))
+        if len(at):
+            nearest = np.concatenate([((want[a : a + 512, None] - found[f][None]) ** 2).sum(2).min(1) for a in range(0, len(want), 512)])
+            total += weights[0] * nearest.mean() + weights[1] * smooth(found[f][at] - want).sum() / (3 * len(at))
+        if f > 1:
+            total += weights[2] * smooth(found[f] - 2 * found[f - 1] + found[f - 2]).sum() / (3 * len(found[f]))
+    return total / max(1, len(found) - 1)
+
+
+def sweep(nodes: DataFrame, truth: DataFrame, candidates: DataFrame, frames: int, base: Physics, rig: Rig | None = None, springs: DataFrame | None = None, controllers: DataFrame | None = None) -> DataFrame:
+    """(candidate, case, loss) of each candidate in each case, a task for each; truth (case, frame, pid, xyz) holds what was seen.
+
+    ``candidates``: a few rows of the driver, ``candidate`` and any fields of ``Physics`` and ``Rig``. Springs are built anew by each candidate's
+    ``Rig``; where ``springs`` are given and ``rig`` isn't, all candidates share these. Loss: see ``frame_losses``.
+    """
+    own = [c for c in candidates.columns if c != "candidate"]
+    physics_of, rig_of = [c for c in own if c in Physics.__dataclass_fields__], [c for c in own if c in Rig.__dataclass_fields__]
+    if set(own) - {*physics_of, *rig_of}:
+        raise ValueError(f"no parameters: {sorted(set(own) - {*physics_of, *rig_of})}")
+    rows = with_controllers(nodes, controllers).withColumn("kind", F.lit("node")).withColumn("extra", F.lit(None).cast("double"))
+    t = truth.select(F.col("case").cast("long").alias("case"), F.col("frame").cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("long").alias("mask"), F.lit("truth").alias("kind"), F.lit(None).cast("double").alias("extra"))
+    rows = rows.unionByName(t)
+    if springs is not None and rig is None:
+        rows = rows.unionByName(springs.select(F.col("case").cast("long").alias("case"), F.lit(None).cast("int").alias("frame"), F.col("src").cast("long").alias("pid"), F.col("rest").alias("x"), F.col("log_y").alias("y"), F.lit(0.0).alias("z"), F.lit(None).cast("double").alias("mass"), F.col("dst").cast("long").alias("mask"), F.lit("spring").alias("kind"), F.lit(None).cast("double").alias("extra")))
+    asked = rows.drop("extra").crossJoin(F.broadcast(candidates))  # a generation: a few rows that the driver made
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        p = replace(base, **{c: float(first[c]) for c in physics_of})
+        points, mass, mask, path, ids = _states(pdf[pdf["kind"] == "node"])
+        if not len(points):
+            return pd.DataFrame({"candidate": [], "case": [], "loss": []}).astype({"candidate": "int64", "case": "int64"})
+        x, at = points[XYZ].to_numpy(float), {q: i for i, q in enumerate([*points["pid"], *ids])}
+        s = pdf[pdf["kind"] == "spring"]
+        if len(s):
+            ends = s["pid"].map(at).to_numpy(int), s["mask"].map(at).to_numpy(int), s["x"].to_numpy(float), np.exp(s["y"].to_numpy(float))
+        else:
+            ends = build_springs(x, path.get(0, np.zeros((0, 3))), mask, replace(rig or Rig(), **{c: float(first[c]) for c in rig_of}))
+        seen = pdf[(pdf["kind"] == "truth") & pdf["pid"].isin(list(at))]
+        want = {int(f): (g["pid"].map(at).to_numpy(int), g[XYZ].to_numpy(float)) for f, g in seen.groupby("frame")}
+        loss = frame_losses(list(frames_of(x, ends, frames, p, mass, mask, path)), want)
+        return pd.DataFrame({"candidate": [int(key[0])], "case": [int(key[1])], "loss": [loss]})
+
+    return asked.groupBy("candidate", "case").applyInPandas(run, "candidate long, case long, loss double")
+
+
+def parameters(unit: np.ndarray, box=BOX) -> list[float]:
+    """Values of the box at a point of [0, 1]^n; numbers of neighbours are whole."""
+    return [float(int(lo + u * (hi - lo))) if "neighbours" in name else float(lo + u * (hi - lo)) for u, (name, lo, hi) in zip(unit, box, strict=True)]
+
+
+def scorer(nodes: DataFrame, truth: DataFrame, frames: int, base: Physics, rig: Rig, controllers: DataFrame | None = None, box=BOX):
+    """A function from points of [0, 1]^n to losses, the mean over cases: one Spark job for all points of a generation."""
+    spark = nodes.sparkSession
+
+    def score(x: np.ndarray) -> np.ndarray:
+        cand = spark.createDataFrame([(i, *parameters(u, box)) for i, u in enumerate(x)], "candidate long, " + ", ".join(f"{n} double" for n, _, _ in box))
+        got = {r.candidate: r.loss for r in sweep(nodes, truth, cand, frames, base, rig, controllers=controllers).groupBy("candidate").agg(F.avg("loss").alias("loss")).collect()}
+        return np.array([got.get(i, np.inf) for i in range(len(x))])
+
+    return score
+
+
+def descend(score, start: np.ndarray, steps: int = 20, rate: float = 0.02, width: float = 1e-3) -> tuple[np.ndarray, float]:
+    """First-order fit in [0, 1]^n: Adam (0.9, 0.99) on central differences; the 2 n points of a step, and the place itself, are one generation."""
+    x, m, v, best, loss = np.asarray(start, float).copy(), 0.0, 0.0, np.asarray(start, float).copy(), np.inf
+    for t in range(1, steps + 1):
+        around = np.concatenate([[x], *[[np.clip(x + w * e, 0, 1) for w in (width, -width)] for e in np.eye(len(x))]])
+        got = np.asarray(score(around), float)
+        if got[0] < loss:
+            best, loss = x.copy(), float(got[0])
+        span = np.array([np.abs(around[1 + 2 * i] - around[2 + 2 * i]).max() for i in range(len(x))])
+        g = (got[1::2] - got[2::2]) / np.maximum(span, 1e-12)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        x = np.clip(x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12), 0, 1)
+    last = float(np.asarray(score(x[None]), float)[0])
+    return (x, last) if last < loss else (best, loss)
 
 
 def evolve(score, dims: int, generations: int = 20, size: int = 12, sigma: float = 1 / 6, seed: int = 42) -> tuple[np.ndarray, float]:
@@ -138,7 +324,8 @@ def evolve(score, dims: int, generations: int = 20, size: int = 12, sigma: float
 
 def bone_rotations(rest: DataFrame, moved: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(pid, r): each bone's rotation, 9 numbers, by SVD of the sum over its neighbours of (new offset) x (old offset); the sums are a
-    join and an aggregation, and only the 3 x 3 factorisation runs in NumPy. Bones are judged each on its own."""
+    join and an aggregation, and only the 3 x 3 factorisation runs in NumPy. Bones are judged each on its own: where all offsets lie on one
+    line, the x axis is turned onto it about their common normal; without any the rotation is the identity."""
     o, m = rest.select(F.col("pid"), *[F.col(c).alias("o" + c) for c in XYZ]), moved.select(F.col("pid"), *[F.col(c).alias("m" + c) for c in XYZ])
     both = o.join(m, "pid")
     e = neighbours.select(F.col("a_pid").alias("a"), F.col("b_pid").alias("b"))
@@ -146,15 +333,25 @@ def bone_rotations(rest: DataFrame, moved: DataFrame, neighbours: DataFrame) ->
     sums = [F.sum((F.col("bm" + i) - F.col("am" + i)) * (F.col("bo" + j) - F.col("ao" + j))).alias(f"s{i}{j}") for i in XYZ for j in XYZ]
     cov = e.groupBy(F.col("a").alias("pid")).agg(*sums)
 
-    @F.pandas_udf("array<double>")
-    def rotation(s: pd.DataFrame) -> pd.Series:
-        f = s.to_numpy(float).reshape(-1, 3, 3)
-        u, _, vt = np.linalg.svd(f)
-        flip = np.ones((len(f), 3))
-        flip[:, 2] = np.where(np.linalg.det(u @ vt) < 0, -1, 1)
-        return pd.Series(list((u * flip[:, None, :] @ vt).reshape(-1, 9)))
+    return cov.select("pid", F.pandas_udf(rotations, "array<double>")(F.struct(*[f"s{i}{j}" for i in XYZ for j in XYZ])).alias("r"))
+
 
-    return cov.select("pid", rotation(F.struct(*[f"s{i}{j}" for i in XYZ for j in XYZ])).alias("r"))
+def rotations(s: pd.DataFrame) -> pd.Series:
+    """The rotation nearest to each row's 3 x 3 sum."""
+    f = s.to_numpy(float).reshape(-1, 3, 3)
+    u, size, vt = np.linalg.svd(f)
+    flip = np.ones((len(f), 3))
+    flip[:, 2] = np.where(np.linalg.det(u @ vt) < 0, -1, 1)
+    r = u * flip[:, None, :] @ vt
+    rank = (size > np.maximum(size[:, :1], 1e-300) * 1e-9).sum(1)
+    for i in np.flatnonzero(rank < 2):
+        axis, x = u[i, :, 0], np.array([1.0, 0.0, 0.0])
+        common = np.cross(axis, x)
+        r[i] = np.eye(3)
+        if rank[i] == 1 and np.linalg.norm(common) >= 1e-6:
+            common /= np.linalg.norm(common)
+            r[i] = np.stack([axis, common, np.cross(axis, common)], 1) @ np.stack([x, common, np.cross(x, common)], 1).T
+    return pd.Series(list(r.reshape(-1, 9)))
 
 
 def skin(points: DataFrame, weights: DataFrame, bones: DataFrame, rotations: DataFrame) -> DataFrame:
@@ -166,6 +363,43 @@ def skin(points: DataFrame, weights: DataFrame, bones: DataFrame, rotations: Dat
     return e.groupBy(F.col("a_pid").alias("pid")).agg(*[F.sum(x).alias(c) for x, c in zip(new, XYZ, strict=True)])
 
 
+def turned(quaternions: DataFrame, weights: DataFrame, rotations: DataFrame) -> DataFrame:
+    """(pid, q0..q3): quaternions (pid, q0..q3) turned by the normalised weighted mean of their bones' rotations, composed on the left."""
+    from ..functions import geometry as G
+
+    q = G.matrix_quaternion([F.col("r")[i] for i in range(9)])
+    b = rotations.select(F.col("pid").alias("b_pid"), *[x.alias(f"b{i}") for i, x in enumerate(q)])
+    mean = weights.join(b, "b_pid").groupBy(F.col("a_pid").alias("pid")).agg(*[F.sum(F.col("weight") * F.col(f"b{i}")).alias(f"b{i}") for i in range(4)])
+    n = G.norm([F.col(f"b{i}") for i in range(4)])
+    new = G.quaternion_product([F.col(f"b{i}") / n for i in range(4)], [F.col(f"q{i}") for i in range(4)])
+    return quaternions.join(mean, "pid").select("pid", *[x.alias(f"q{i}") for i, x in enumerate(new)])
+
+
+def roll_splats(splats: DataFrame, bones: DataFrame, frames: int, k: int = 16) -> DataFrame:
+    """(frame, pid, xyz, q0..q3) of splats (pid, xyz, q0..q3) that follow bones (frame, pid, xyz).
+
+    A bone's neighbours are those of frame 0; a splat's bones are looked up anew in each frame. Each frame is written to the shared folder,
+    so that lineage doesn't grow with frames.
+    """
+    from .. import scratch
+    from . import joins, measures
+
+    columns = ["pid", *XYZ, *[f"q{i}" for i in range(4)]]
+    now = scratch.store(splats.select(*columns), "splats")
+    first = bones.where("frame = 0").select("pid", *XYZ)
+    near = scratch.store(joins.knn_join(first, first, k).select("a_pid", "b_pid"), "relations")
+    out = now.select(F.lit(0).alias("frame"), *columns)
+    for f in range(1, frames):
+        before, after = (bones.where(F.col("frame") == i).select("pid", *XYZ) for i in (f - 1, f))
+        r = scratch.store(bone_rotations(before, after, near), "rotations")
+        shift = before.join(after.select("pid", *[F.col(c).alias("m" + c) for c in XYZ]), "pid").select("pid", *XYZ, *[(F.col("m" + c) - F.col(c)).alias("d" + c) for c in XYZ])
+        w = scratch.store(measures.idw_weights(joins.knn_join(now.select("pid", *XYZ), before, k)).select("a_pid", "b_pid", "weight"), "weights")
+        moved = skin(now.select("pid", *XYZ), w, shift, r).join(turned(now.select("pid", *columns[4:]), w, r), "pid")
+        now = scratch.store(moved.select(*columns), "splats")
+        out = out.unionByName(now.select(F.lit(f).alias("frame"), *columns))
+    return out
+
+
 def sinkhorn(scores: DataFrame, group: str, bin_score: float = 1.0, iterations: int = 20) -> DataFrame:
     """(group, i, j, p): log-space Sinkhorn normalisation of score matrices with a dustbin row and column (i or j = -1)."""
 

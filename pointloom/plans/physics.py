@@ -54,12 +54,15 @@ def velocity_step(spark, sf_dir):
 
 @query(f"""WITH {_NODES}, p AS (SELECT a.pid, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, b.vx - a.vx AS wx, b.vy - a.vy AS wy, b.vz - a.vz AS wz FROM nodes a, nodes b WHERE a.part <> b.part AND {_D2} < 0.1::DOUBLE * 0.1::DOUBLE),
 t AS (SELECT *, greatest(sqrt(dx * dx + dy * dy + dz * dz), 1e-6) AS len FROM p WHERE dx * wx + dy * wy + dz * wz < -1e-4), s AS (SELECT *, (wx * dx + wy * dy + wz * dz) / len AS speed FROM t),
-n AS (SELECT *, speed * dx / len AS nx, speed * dy / len AS ny, speed * dz / len AS nz FROM s), q AS (SELECT *, greatest(0.0, 1.0 - 0.3::DOUBLE * 1.5::DOUBLE * abs(speed) / greatest(sqrt(pow(wx - nx, 2) + pow(wy - ny, 2) + pow(wz - nz, 2)), 1e-6)) AS a FROM n)
-SELECT pid, round(avg((-1.5::DOUBLE * nx + (a - 1) * (wx - nx)) / 2.0::DOUBLE), 6) AS jx, round(avg((-1.5::DOUBLE * ny + (a - 1) * (wy - ny)) / 2.0::DOUBLE), 6) AS jy, round(avg((-1.5::DOUBLE * nz + (a - 1) * (wz - nz)) / 2.0::DOUBLE), 6) AS jz, count(*) AS hits FROM q GROUP BY 1""")
+n AS (SELECT *, speed * dx / len AS nx, speed * dy / len AS ny, speed * dz / len AS nz FROM s), q AS (SELECT *, greatest(0.0, 1.0 - 0.3::DOUBLE * 1.5::DOUBLE * abs(speed) / greatest(sqrt(pow(wx - nx, 2) + pow(wy - ny, 2) + pow(wz - nz, 2)), 1e-6)) AS a FROM n),
+j AS (SELECT pid, avg((-1.5::DOUBLE * nx + (a - 1) * (wx - nx)) / 2.0::DOUBLE) AS jx, avg((-1.5::DOUBLE * ny + (a - 1) * (wy - ny)) / 2.0::DOUBLE) AS jy, avg((-1.5::DOUBLE * nz + (a - 1) * (wz - nz)) / 2.0::DOUBLE) AS jz, count(*) AS hits FROM q GROUP BY 1)
+SELECT pid, round(vx - coalesce(jx, 0), 6) AS vx, round(vy - coalesce(jy, 0), 6) AS vy, round(vz - coalesce(jz, 0), 6) AS vz, coalesce(hits, 0) AS hits FROM nodes LEFT JOIN j USING (pid)""")
 def collision_step(spark, sf_dir):
     n = nodes(spark, sf_dir)
     near = joins.radius_join(n, n, 0.1, strict=True).where("a_part <> b_part")
-    return measures.collision_impulse(near, 1.0, 0.5, 0.3).select("pid", *[r6("j" + a).alias("j" + a) for a in AXES], "hits")
+    j = measures.collision_impulse(near, 1.0, 0.5, 0.3)
+    out = measures.collided(n, j).join(j.select("pid", "hits"), "pid", "left")
+    return out.select("pid", *[r6("v" + a).alias("v" + a) for a in AXES], F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
 @query(f"""WITH {_NODES}, h AS (SELECT *, (z + vz * 2.0 < 0 AND vz < -1e-4) AS hit, greatest(0.0, 1.0 - 0.3::DOUBLE * 1.7::DOUBLE * abs(vz) / greatest(sqrt(vx * vx + vy * vy), 1e-6)) AS a FROM nodes WHERE z > 0),
@@ -173,10 +176,10 @@ def tile_join(spark, sf_dir):
     return _tiles(spark, sf_dir).groupBy(c("tile").cast("long").alias("tile")).agg(F.count("*").alias("n"), F.min("gid").alias("first"))
 
 
-@query(f"WITH {_TILES} SELECT tile, gid, CAST(row_number() OVER (PARTITION BY tile ORDER BY depth, gid) AS INTEGER) AS nth FROM tiles QUALIFY nth <= 8")
+@query(f"WITH {_TILES} SELECT tile, gid, CAST(row_number() OVER (PARTITION BY tile ORDER BY depth, gid) AS INTEGER) AS nth FROM tiles")
 def tile_sort(spark, sf_dir):
     w = Window.partitionBy("tile").orderBy("depth", "gid")
-    return _tiles(spark, sf_dir).withColumn("nth", F.row_number().over(w)).where("nth <= 8").select(c("tile").cast("long").alias("tile"), "gid", "nth")
+    return _tiles(spark, sf_dir).withColumn("nth", F.row_number().over(w)).select(c("tile").cast("long").alias("tile"), "gid", "nth")
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount * 9.0 * 0.7071067811865476::DOUBLE AS a, l_tax * 0.7071067811865476::DOUBLE AS col FROM lineitem), o AS (SELECT l_orderkey, list({'a': least(0.99::DOUBLE, a), 'skip': a < 1.0::DOUBLE / 255, 'c': col} ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS xs FROM r GROUP BY 1),
@@ -287,17 +290,20 @@ def _case(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def rollout(spark, sf_dir):
+    """Points of two masks in each case, which collide, and of three masses."""
     n, s = _case(spark, sf_dir)
-    return simulate.rollout(n, s, 4, simulate.Physics(dt=1e-3, substeps=33, damping=1.0))
+    n = n.withColumn("mask", c("pid") % 2).withColumn("mass", 1.0 + (c("pid") % 3) * 0.5)
+    return simulate.rollout(n, s, 4, simulate.Physics(dt=1e-3, substeps=33, damping=1.0, collide=0.03))
 
 
 @query()
 def param_sweep(spark, sf_dir):
+    """All cases; each candidate builds its own springs."""
     n, s = _case(spark, sf_dir)
     base = simulate.Physics(dt=1e-3, substeps=10, damping=1.0)
     truth = simulate.rollout(n, s, 3, base)
-    cand = spark.createDataFrame([(i, d, g) for i, (d, g) in enumerate([(1.0, 3.0), (0.5, 3.0), (1.0, 10.0), (2.0, 1.0)])], "candidate long, damping double, drag double")
-    return simulate.sweep(n, s, truth, cand, 3, base)
+    cand = spark.createDataFrame([(0, 1.0, 3.0, 0.2, 200.0), (1, 0.5, 3.0, 0.2, 200.0), (2, 1.0, 10.0, 0.1, 200.0), (3, 2.0, 1.0, 0.2, 100.0)], "candidate long, damping double, drag double, radius double, stiffness double")
+    return simulate.sweep(n, truth, cand, 3, base, simulate.Rig(neighbours=6))
 
 
 @query()
@@ -317,6 +323,14 @@ def skin_blend(spark, sf_dir):
     return simulate.skin(rest.select("pid", *AXES), w, shift, r)
 
 
+@query()
+def roll_splats(spark, sf_dir):
+    """Splats of all points follow the tracks of every fourth point."""
+    t = V.trk(spark, sf_dir)
+    q = splats(spark, sf_dir).select(c("gid").alias("pid"), *[(c(f"q{i}") / G.norm([c(f"q{j}") for j in range(4)])).alias(f"q{i}") for i in range(4)])
+    return simulate.roll_splats(V.pts(spark, sf_dir).select("pid", *AXES).join(q, "pid"), t.where("pid % 4 = 0").select("frame", "pid", *AXES), 3)
+
+
 @query()
 def sample5000(spark, sf_dir):
     return V.pix(spark, sf_dir).where("role = 'object'").select("frame", "cam", "u", "v").distinct().orderBy(F.rand(42)).limit(5000)
