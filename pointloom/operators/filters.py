@@ -52,6 +52,41 @@ def number_rows(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return dealt.join(F.broadcast(shift), "__part").withColumn(name, F.col("__before") + F.row_number().over(w) - 1).drop("__part", "__before")
 
 
+def in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows``, written down in ranges by ``order``, with the number of the range as ``__part``: a key with very many rows lies in several."""
+    from .. import scratch
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.store(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def carried(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, name: str, inclusive: bool = True) -> DataFrame:
+    """``rows`` with the largest ``value`` of their key up to them by ``order`` (a total order within the key; nulls are passed over), or before
+    them if not ``inclusive``. Ranges are judged apart; what a key's earlier ranges bring is added from one row for each range that it goes on from."""
+    dealt = in_ranges(rows, [*key, *order])
+    ends = dealt.groupBy(*key, "__part").agg(F.max(value).alias("__m"))
+    span = ends.groupBy(*key).agg(F.count("*").alias("__n"), F.min("__part").alias("__first")).where("__n > 1")  # at most as many as ranges
+    w = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.join(F.broadcast(span.select(*key)), list(key), "left_semi").withColumn("__before", F.max("__m").over(w)).drop("__m")
+    local = Window.partitionBy(*key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = dealt.withColumn("__local", F.max(value).over(local)).join(F.broadcast(before), [*key, "__part"], "left")
+    both = F.array_max(F.array("__local", "__before"))
+    return out.withColumn(name, both).select(*rows.columns, name)
+
+
+def quantile(rows: DataFrame, value: str, q: float = 0.5) -> float | None:
+    """The exact quantile (between two values by linear interpolation), nulls left out; None without values. Values are ranked by ranges, and
+    the two that stand around the quantile reach the driver."""
+    ranked = number_rows(rows.where(F.col(value).isNotNull()).select(value, F.monotonically_increasing_id().alias("__tie")), [value, "__tie"], "at")
+    n = ranked.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    lo = int(at)
+    two = {r["at"]: float(r[value]) for r in ranked.where(F.col("at").isin(lo, min(lo + 1, n - 1))).select("at", value).collect()}
+    return two[lo] + (at - lo) * (two[min(lo + 1, n - 1)] - two[lo])
+
+
 def voxel_first(points: DataFrame, size: float, priority: str, order: Sequence[str]) -> DataFrame:
     """The first point by (priority, order) of each cube of side ``size``, counted from the smallest coordinates of all points."""
     low = points.agg(*[F.min(c).alias(c) for c in AXES])

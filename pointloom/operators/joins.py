@@ -112,13 +112,21 @@ def undirected_edges(pairs: DataFrame, shortest: float = 1e-4) -> DataFrame:
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], value: Sequence[str], direction: str = "backward", tolerance: float | None = None) -> DataFrame:
     """``left`` with the ``value`` columns of the last (``backward``), next (``forward``) or closest (``nearest``, the earlier on ties) row of
-    ``right`` by ``on`` within the ``by`` group, and its key as ``{on}_right``; null if there is none within ``tolerance``."""
+    ``right`` by ``on`` within the ``by`` group, and its key as ``{on}_right``; null if there is none within ``tolerance``. Of rows of ``right`` with one
+    key the largest counts. Both sides are sorted into ranges, so a group with very many rows lies in several."""
+    from . import filters
+
     cols = [*left.columns]
     packed = F.struct(F.col(on).alias("k"), *[F.col(c) for c in value])
-    both = left.select(*cols, F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__p"), F.lit(1).alias("__left")).unionByName(right.select(*by, on, packed.alias("__p"), F.lit(0).alias("__left")), allowMissingColumns=True)
-    back = F.last("__p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(on, "__left").rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.last("__p", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc(on), "__left").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("__b", back if direction != "forward" else F.lit(None)).withColumn("__f", ahead if direction != "backward" else F.lit(None)).where("__left = 1")
+    asked = left.select(*cols, F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("__p"), F.lit(1).alias("__left"))
+    both = asked.unionByName(right.select(*by, on, packed.alias("__p"), F.lit(0).alias("__left")), allowMissingColumns=True).withColumn("__tie", F.monotonically_increasing_id())
+    if direction != "forward":
+        both = filters.carried(both, by, [on, "__left", "__tie"], "__p", "__b")
+    if direction != "backward":
+        # the same from the other end, with the key turned: of one key the largest row, too
+        turned = F.when(F.col("__p").isNotNull(), F.struct((-F.col("__p.k")).alias("t"), F.col("__p").alias("p")))
+        both = filters.carried(both.withColumn("__q", turned).withColumn("__o", -F.col(on)), by, ["__o", "__left", "__tie"], "__q", "__fq").withColumn("__f", F.col("__fq.p"))
+    out = both.where("__left = 1")
     if direction == "backward":
         got = F.col("__b")
     elif direction == "forward":

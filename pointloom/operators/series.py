@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import filters
+
 
 def change_points(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """(frame, moved, change): the summed displacement since the frame before; frame 0 always is a change."""
@@ -32,12 +34,16 @@ def lerp_fill(rows: DataFrame, key: Sequence[str], order: str, value: Sequence[s
 def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, start: float | None = 0.0) -> DataFrame:
     """(key, n, ema): the last value of alpha * x + (1 - alpha) * before, from ``start``, or from the first value if it is None.
 
-    A series is gathered in its order; weights fall so fast that a longer series may be cut to its last rows by the caller.
+    Series are cut to ranges; each range's part is a weighted sum, and the parts of a key, one for each range, are put together in order.
     """
-    xs = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__x")))), lambda s: s["__x"])
-    first = F.lit(float(start)) if start is not None else F.element_at("__xs", 1)
-    rest = F.col("__xs") if start is not None else F.expr("slice(__xs, 2, greatest(1, size(__xs)))")
-    return rows.groupBy(*key).agg(xs.alias("__xs")).select(*key, F.size("__xs").cast("long").alias("n"), F.aggregate(rest, first, lambda a, x: alpha * x + (1.0 - alpha) * a).alias("ema"))
+    dealt = filters.in_ranges(rows.select(*key, *order, F.col(value).cast("double").alias("__x"), F.monotonically_increasing_id().alias("__tie")), [*key, *order, "__tie"])
+    back = Window.partitionBy(*key, "__part").orderBy(*[F.desc(c) for c in (*order, "__tie")])
+    weighted = dealt.withColumn("__w", F.pow(F.lit(1.0 - alpha), F.row_number().over(back) - 1) * alpha * F.col("__x"))
+    first = F.min(F.struct(*order, "__tie", "__x")).alias("__first")
+    parts = weighted.groupBy(*key, "__part").agg(F.count("*").alias("n"), F.sum("__w").alias("v"), first)
+    series = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__part", "n", "v"))).alias("__ps"), F.sum("n").alias("n"), F.min("__first").alias("__first"))
+    begin = F.lit(float(start)) if start is not None else F.col("__first.__x")
+    return series.select(*key, "n", F.aggregate("__ps", begin, lambda a, p: p["v"] + F.pow(F.lit(1.0 - alpha), p["n"]) * a).alias("ema"))
 
 
 def sliding_mean(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int = 10, every: int = 10) -> DataFrame:
@@ -49,25 +55,30 @@ def sliding_mean(rows: DataFrame, key: Sequence[str], order: Sequence[str], valu
 
 def resample(samples: DataFrame, key: Sequence[str], time: str, order: Sequence[str], dt: float, start: float = 0.0, eps: float = 1e-5) -> DataFrame:
     """Samples on a fixed grid, ``step`` from 0: step g holds the first sample whose own step is at least g, so gaps are filled by the later
-    sample, of several in one step the first counts, and those before ``start`` are dropped."""
-    rows = samples.withColumn("__g", F.floor((F.col(time) - start) / dt + eps))
-    w = Window.partitionBy(*key).orderBy(time, *order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__p", F.coalesce(F.greatest(F.max("__g").over(w), F.lit(-1).cast("long")), F.lit(-1).cast("long"))).where("__g > __p")
-    return rows.withColumn("step", F.explode(F.sequence(F.col("__p") + 1, F.col("__g")))).drop("__g", "__p")
+    sample, of several in one step the first counts, and those before ``start`` are dropped.
+
+    The first sample of each step is found by a partial aggregation; only these meet, in ranges, to learn the step before theirs.
+    """
+    rows = samples.withColumn("__g", F.floor((F.col(time) - start) / dt + eps)).where("__g >= 0")
+    first = rows.groupBy(*key, "__g").agg(F.min(F.struct(time, *order, F.struct(*samples.columns).alias("__row"))).alias("__m")).select(*key, "__g", F.col("__m.__row").alias("__row"))
+    met = filters.carried(first, key, ["__g"], "__g", "__p", inclusive=False).withColumn("__p", F.coalesce("__p", F.lit(-1).cast("long")))
+    return met.select("__row.*", F.explode(F.sequence(F.col("__p") + 1, F.col("__g"))).alias("step"))
 
 
 def align(samples: DataFrame, steps: DataFrame, key: Sequence[str], value: Sequence[str]) -> DataFrame:
     """Resampled rows (key, step, value) at the asked (key, step); steps after the last repeat it, surplus ones are left out."""
-    w = Window.partitionBy(*key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.struct(*value)
+    packed = F.struct(F.col("step").alias("__s"), *value)
     both = steps.select(*key, "step", F.lit(True).alias("__asked")).join(samples.select(*key, "step", packed.alias("__v")), [*key, "step"], "full")
-    return both.withColumn("__v", F.last("__v", True).over(w)).where("__asked").select(*key, "step", *[F.col(f"__v.{c}").alias(c) for c in value])
+    held = filters.carried(both.distinct(), key, ["step"], "__v", "__last")
+    return held.where("__asked").select(*key, "step", *[F.col(f"__last.{c}").alias(c) for c in value])
 
 
-def last_k(samples: DataFrame, key: Sequence[str], time: str, tie: str, k: int) -> DataFrame:
-    """The ``k`` newest of each key, ``nth`` from 1 for the newest."""
-    w = Window.partitionBy(*key).orderBy(F.desc(time), F.desc(tie))
-    return samples.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+def last_k(samples: DataFrame, key: Sequence[str], time: str, tie: str, k: int, salts: int = 64) -> DataFrame:
+    """The ``k`` newest of each key, ``nth`` from 1 for the newest. Parts of a key, by a hash, keep their ``k`` newest before these meet."""
+    newest = [F.desc(time), F.desc(tie)]
+    local = samples.withColumn("__salt", F.pmod(F.xxhash64(time, tie), F.lit(salts)))
+    local = local.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(*newest))).where(F.col("nth") <= k).drop("__salt")
+    return local.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*newest))).where(F.col("nth") <= k)
 
 
 def synchronise(samples: DataFrame, key: str, time: str, tie: str, k: int, tolerance: float) -> DataFrame:
@@ -84,9 +95,7 @@ def synchronise(samples: DataFrame, key: str, time: str, tie: str, k: int, toler
 
 def hold_out(rows: DataFrame, order: Sequence[str], every: int = 8) -> DataFrame:
     """``test``: each ``every``-th row by ``order``, from the first."""
-    from .filters import number_rows
-
-    return number_rows(rows, order, "nth").withColumn("test", F.col("nth") % every == 0)
+    return filters.number_rows(rows, order, "nth").withColumn("test", F.col("nth") % every == 0)
 
 
 def split(frames: DataFrame, share: float = 0.7) -> DataFrame:

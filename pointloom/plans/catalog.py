@@ -301,21 +301,17 @@ def track_lookup(spark, sf_dir):
 
 def _morph(grow: bool) -> str:
     having = "" if grow else "HAVING count(*) = 9"
-    return f"WITH {V.PIX}, b AS (SELECT DISTINCT frame, u % 40 AS u, v % 40 AS v FROM pix WHERE role = 'object' AND depth_mm > 300), o AS (SELECT frame, u - i AS u, v - j AS v FROM b, range(-1, 2) a(i), range(-1, 2) k(j)), g AS (SELECT frame, u, v FROM o GROUP BY ALL {having}) SELECT frame, count(*) AS n, CAST(sum(u * 1000 + v) AS BIGINT) AS checksum FROM g GROUP BY 1"
-
-
-def _blob(spark, sf_dir) -> DataFrame:
-    return V.pix(spark, sf_dir).where("role = 'object' and depth_mm > 300").select("frame", (c("u") % 40).alias("u"), (c("v") % 40).alias("v"))
+    return f"WITH {V.BLOB}, b AS (SELECT DISTINCT frame, u, v FROM blob), o AS (SELECT frame, u - i AS u, v - j AS v FROM b, range(-1, 2) a(i), range(-1, 2) k(j)), g AS (SELECT frame, u, v FROM o GROUP BY ALL {having}) SELECT frame, count(*) AS n, CAST(sum(u * 1000 + v) AS BIGINT) AS checksum FROM g GROUP BY 1"
 
 
 @query(_morph(True))
 def dilate3(spark, sf_dir):
-    return measures.morphology(_blob(spark, sf_dir), 3, True).groupBy("frame").agg(F.count("*").alias("n"), F.sum(c("u") * 1000 + c("v")).alias("checksum"))
+    return measures.morphology(V.blob(spark, sf_dir), 3, True).groupBy("frame").agg(F.count("*").alias("n"), F.sum(c("u") * 1000 + c("v")).alias("checksum"))
 
 
 @query(_morph(False))
 def erode3(spark, sf_dir):
-    return measures.morphology(_blob(spark, sf_dir), 3, False).groupBy("frame").agg(F.count("*").alias("n"), F.sum(c("u") * 1000 + c("v")).alias("checksum"))
+    return measures.morphology(V.blob(spark, sf_dir), 3, False).groupBy("frame").agg(F.count("*").alias("n"), F.sum(c("u") * 1000 + c("v")).alias("checksum"))
 
 
 @query(f"""WITH {V.PIX}, b AS (SELECT frame, cam, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM pix WHERE role = 'object' GROUP BY ALL), s AS (SELECT *, greatest(u1 - u0, v1 - v0) * 1.2::DOUBLE AS side FROM b)
@@ -351,9 +347,9 @@ def voxel_first(spark, sf_dir):
     return filters.voxel_first(V.pts(spark, sf_dir), 0.1, "part", ["pid"]).select("pid", "part", "vx", "vy", "vz")
 
 
-@query(f"WITH {V.TRK} SELECT pid, bool_and(visible) AS always, round(min(least(z, 0.0)), 6) AS lowest FROM trk WHERE frame < 4 GROUP BY 1")
+@query(f"WITH {V.TRK} SELECT pid, bool_and(visible OR pid % 3 = 0) AS always, round(min(least(z, 0.0)), 6) AS lowest FROM trk GROUP BY 1")
 def visible_every_frame(spark, sf_dir):
-    t = V.trk(spark, sf_dir).where("frame < 4")
+    t = V.trk(spark, sf_dir).withColumn("visible", c("visible") | (c("pid") % 3 == 0))
     return filters.visible_every_frame(t).join(t.groupBy("pid").agg(r6(F.min(F.least("z", F.lit(0.0)))).alias("lowest")), "pid")
 
 
@@ -370,9 +366,9 @@ def motion_valid(spark, sf_dir):
 _MOVE = f"""{V.TRK}, m AS (SELECT frame, pid, x, y, z, coalesce(lead(x) OVER w - x, 0.0) AS dx, coalesce(lead(y) OVER w - y, 0.0) AS dy, coalesce(lead(z) OVER w - z, 0.0) AS dz, visible AND coalesce(lead(visible) OVER w, false) AS ok FROM trk WINDOW w AS (PARTITION BY pid ORDER BY frame))"""
 
 
-@query(f"WITH {_MOVE} SELECT frame, pid, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, ok AS motion_valid FROM m WHERE pid < 200")
+@query(f"WITH {_MOVE} SELECT frame, pid, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, ok AS motion_valid FROM m")
 def forward_diff(spark, sf_dir):
-    return filters.forward_motion(V.trk(spark, sf_dir)).select("frame", "pid", *xyz("dx", "dy", "dz"), "motion_valid").where("pid < 200")
+    return filters.forward_motion(V.trk(spark, sf_dir)).select("frame", "pid", *xyz("dx", "dy", "dz"), "motion_valid")
 
 
 @query(f"""WITH {_MOVE}, v AS (SELECT a.frame, a.pid, count(*) AS n, count_if(sqrt((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy) + (a.dz - b.dz) * (a.dz - b.dz)) < 0.05) AS near FROM m a JOIN m b ON a.frame = b.frame AND a.ok AND b.ok AND {_D2} <= 0.1::DOUBLE * 0.1::DOUBLE GROUP BY ALL)
@@ -453,11 +449,12 @@ def sync(spark, sf_dir):
     return series.synchronise(V.smp(spark, sf_dir), "cam", "t", "event_id", 4, 1e9).select("cam", "event_id", r6("t").alias("t"), r6("target").alias("target"))
 
 
-@query(f"""WITH {V.SMP}, q AS (SELECT cam, s * 7200.0::DOUBLE AS t FROM (SELECT DISTINCT cam FROM smp), range(0, 300) r(s)) SELECT q.cam, round(q.t, 3) AS t, max_by(s.event_id, (s.t, s.event_id)) AS event_id FROM q LEFT JOIN smp s ON s.cam = q.cam AND s.t <= q.t GROUP BY ALL""")
+@query(f"""WITH {V.SMP}, q AS (SELECT cam, s * 7200.0::DOUBLE AS t FROM (SELECT DISTINCT cam FROM smp), (SELECT unnest(range(0, CAST(floor(max(t) / 7200.0::DOUBLE) AS BIGINT) + 2)) AS s FROM smp)) SELECT q.cam, round(q.t, 3) AS t, max_by(s.event_id, (s.t, s.event_id)) AS event_id FROM q LEFT JOIN smp s ON s.cam = q.cam AND s.t <= q.t GROUP BY ALL""")
 def asof(spark, sf_dir):
     s = V.smp(spark, sf_dir)
     last = s.groupBy("cam", "t").agg(F.max("event_id").alias("event_id"))
-    q = s.select("cam").distinct().select("cam", F.explode(F.sequence(F.lit(0), F.lit(299))).alias("i")).select("cam", (c("i") * 7200.0).alias("t"))
+    grid = s.agg((F.floor(F.max("t") / 7200.0) + 1).alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), c("last"))).alias("i"))
+    q = s.select("cam").distinct().crossJoin(F.broadcast(grid)).select("cam", (c("i") * 7200.0).alias("t"))  # the steps of the time span, for each camera
     return joins.asof_join(q, last, "t", ["cam"], ["event_id"]).select("cam", F.round("t", 3).alias("t"), "event_id")
 
 
@@ -512,7 +509,7 @@ def registry_semi(spark, sf_dir):
     return V.table(spark, sf_dir, "customer").join(done, "c_custkey", "left_semi").select("c_custkey", "c_mktsegment")
 
 
-@query("SELECT p_type, max(CAST(regexp_extract(p_name, '([0-9]+)$', 1) AS INTEGER)) AS latest FROM part WHERE regexp_matches(p_name, '[0-9]+$') GROUP BY 1")
+@query("SELECT c_mktsegment, max(CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER)) AS latest, count(*) AS n FROM customer WHERE regexp_matches(c_name, '[0-9]+$') GROUP BY 1")
 def latest_iteration(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part").where(c("p_name").rlike("[0-9]+$"))
-    return p.groupBy("p_type").agg(F.max(F.regexp_extract("p_name", "([0-9]+)$", 1).cast("int")).alias("latest"))
+    p = V.table(spark, sf_dir, "customer").where(c("c_name").rlike("[0-9]+$"))
+    return p.groupBy("c_mktsegment").agg(F.max(F.regexp_extract("c_name", "([0-9]+)$", 1).cast("int")).alias("latest"), F.count("*").alias("n"))

@@ -61,6 +61,14 @@ def img(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("frame", "u", "v").agg(F.min(c("l_quantity") / 50.0 * 0.7071067811865476).alias("a"), F.max(c("l_discount") * 7.0710678118654755).alias("b"))
 
 
+
+def blob(spark, sf_dir) -> DataFrame:
+    """A mask of each frame: pixels that order lines fall on, coarsened to squares of 8."""
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 20).cast("int").alias("frame"), (F.col("l_partkey") % 80 * 8).alias("u0"), ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 13) % 60 * 8).alias("v0")).distinct()
+    d = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")
+    return p.select("frame", "u0", "v0", d).select("frame", (F.col("u0") + F.col("k") % 8).alias("u"), (F.col("v0") + F.floor(F.col("k") / 8)).alias("v"))
+
+
 _E = "CAST(embedding[{}] AS DOUBLE)"
 PTS = f"pts AS (SELECT vec_id AS pid, label AS part, {_E.format(1)} AS x, {_E.format(2)} AS y, {_E.format(3)} AS z FROM embeddings)"
 TRK = (
@@ -75,3 +83,4 @@ PIX = (
 )
 CAMS = "cams AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {', '.join(f'{x}::DOUBLE' for x in (fx, fy, cx, cy, *m))})" for i, fx, fy, cx, cy, m in CAMERAS) + ") t(cam, fx, fy, cx, cy, " + ", ".join(f"m{i}" for i in range(12)) + "))"
 IMG = "img AS (SELECT l_orderkey % 8 AS frame, l_partkey % 64 AS u, (l_partkey * 7 + l_linenumber * 13) % 64 AS v, min(l_quantity / 50.0 * 0.7071067811865476::DOUBLE) AS a, max(l_discount * 7.0710678118654755::DOUBLE) AS b FROM lineitem GROUP BY ALL)"
+BLOB = "blob AS (SELECT frame, u0 + k % 8 AS u, v0 + k // 8 AS v FROM (SELECT DISTINCT CAST(l_orderkey % 20 AS INTEGER) AS frame, l_partkey % 80 * 8 AS u0, (l_partkey * 7 + l_linenumber * 13) % 60 * 8 AS v0 FROM lineitem), range(0, 64) r(k))"

@@ -32,16 +32,6 @@ def trk_pixels(spark, sf_dir) -> DataFrame:
 TRKP = f"{V.TRK}, trkp AS (SELECT *, CAST(round_even(320.0::DOUBLE + 400.0::DOUBLE * x, 0) AS BIGINT) AS u, CAST(round_even(240.0::DOUBLE + 300.0::DOUBLE * y, 0) AS BIGINT) AS v FROM trk)"
 
 
-def blob(spark, sf_dir) -> DataFrame:
-    """A mask of each frame: pixels that order lines fall on, coarsened to squares of 8."""
-    p = V.table(spark, sf_dir, "lineitem").select((c("l_orderkey") % 20).cast("int").alias("frame"), (c("l_partkey") % 80 * 8).alias("u0"), ((c("l_partkey") * 7 + c("l_linenumber") * 13) % 60 * 8).alias("v0")).distinct()
-    d = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")
-    return p.select("frame", "u0", "v0", d).select("frame", (c("u0") + c("k") % 8).alias("u"), (c("v0") + F.floor(c("k") / 8)).alias("v"))
-
-
-BLOB = "blob AS (SELECT frame, u0 + k % 8 AS u, v0 + k // 8 AS v FROM (SELECT DISTINCT CAST(l_orderkey % 20 AS INTEGER) AS frame, l_partkey % 80 * 8 AS u0, (l_partkey * 7 + l_linenumber * 13) % 60 * 8 AS v0 FROM lineitem), range(0, 64) r(k))"
-
-
 def heat(spark, sf_dir) -> DataFrame:
     """A score for every pixel of eight frames of 64 x 64."""
     grid = spark.range(8 * SIDE * SIDE).select((c("id") % 8).alias("frame"), (F.floor(c("id") / 8) % SIDE).alias("u"), F.floor(c("id") / (8 * SIDE)).alias("v"))
@@ -61,14 +51,14 @@ def roles_or(spark, sf_dir):
     return vision.of_roles(V.pix(spark, sf_dir).drop("depth_mm"), ["object", "controller"]).groupBy("frame", "cam").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {TRKP}, {BLOB}, f AS (SELECT DISTINCT t.pid FROM trkp t JOIN blob b USING (frame, u, v) WHERE t.frame = 0 AND t.visible) SELECT frame, pid, visible FROM trkp SEMI JOIN f USING (pid)")
+@query(f"WITH {TRKP}, {V.BLOB}, f AS (SELECT DISTINCT t.pid FROM trkp t JOIN blob b USING (frame, u, v) WHERE t.frame = 0 AND t.visible) SELECT frame, pid, visible FROM trkp SEMI JOIN f USING (pid)")
 def first_frame_members(spark, sf_dir):
-    return vision.first_frame_members(trk_pixels(spark, sf_dir), blob(spark, sf_dir)).select("frame", "pid", "visible")
+    return vision.first_frame_members(trk_pixels(spark, sf_dir), V.blob(spark, sf_dir)).select("frame", "pid", "visible")
 
 
-@query(f"WITH {TRKP}, {BLOB}, m AS (SELECT DISTINCT frame, u, v FROM blob) SELECT t.frame, pid, visible AND m.u IS NOT NULL AS visible FROM trkp t LEFT JOIN m ON m.frame = t.frame AND m.u = t.u AND m.v = t.v")
+@query(f"WITH {TRKP}, {V.BLOB}, m AS (SELECT DISTINCT frame, u, v FROM blob) SELECT t.frame, pid, visible AND m.u IS NOT NULL AS visible FROM trkp t LEFT JOIN m ON m.frame = t.frame AND m.u = t.u AND m.v = t.v")
 def revalidate(spark, sf_dir):
-    return vision.revalidate(trk_pixels(spark, sf_dir), blob(spark, sf_dir)).select("frame", "pid", "visible")
+    return vision.revalidate(trk_pixels(spark, sf_dir), V.blob(spark, sf_dir)).select("frame", "pid", "visible")
 
 
 @query(f"WITH {V.TRK}, w AS (SELECT *, visible OR pid % 3 = 0 AS seen FROM trk), k AS (SELECT pid FROM w GROUP BY 1 HAVING bool_and(seen)) SELECT frame, count(*) AS n, round(sum(x), 6) AS x FROM w SEMI JOIN k USING (pid) GROUP BY 1")
