@@ -34,16 +34,18 @@ def lerp_fill(rows: DataFrame, key: Sequence[str], order: str, value: Sequence[s
 def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, start: float | None = 0.0) -> DataFrame:
     """(key, n, ema): the last value of alpha * x + (1 - alpha) * before, from ``start``, or from the first value if it is None.
 
-    Series are cut to ranges; each range's part is a weighted sum, and the parts of a key, one for each range, are put together in order.
+    Series are cut to ranges; each range's part is a weighted sum of what differs from its first value, and the parts of a key, one for each range,
+    are put together in order.
     """
     dealt = filters.in_ranges(rows.select(*key, *order, F.col(value).cast("double").alias("__x"), F.monotonically_increasing_id().alias("__tie")), [*key, *order, "__tie"])
     back = Window.partitionBy(*key, "__part").orderBy(*[F.desc(c) for c in (*order, "__tie")])
-    weighted = dealt.withColumn("__w", F.pow(F.lit(1.0 - alpha), F.row_number().over(back) - 1) * alpha * F.col("__x"))
-    first = F.min(F.struct(*order, "__tie", "__x")).alias("__first")
-    parts = weighted.groupBy(*key, "__part").agg(F.count("*").alias("n"), F.sum("__w").alias("v"), first)
-    series = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__part", "n", "v"))).alias("__ps"), F.sum("n").alias("n"), F.min("__first").alias("__first"))
-    begin = F.lit(float(start)) if start is not None else F.col("__first.__x")
-    return series.select(*key, "n", F.aggregate("__ps", begin, lambda a, p: p["v"] + F.pow(F.lit(1.0 - alpha), p["n"]) * a).alias("ema"))
+    own = Window.partitionBy(*key, "__part").orderBy(*order, "__tie")
+    based = dealt.withColumn("__f", F.first("__x").over(own))
+    weighted = based.withColumn("__w", F.pow(F.lit(1.0 - alpha), F.row_number().over(back) - 1) * alpha * (F.col("__x") - F.col("__f")))
+    parts = weighted.groupBy(*key, "__part").agg(F.count("*").alias("n"), F.sum("__w").alias("v"), F.first("__f").alias("f"))
+    series = parts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__part", "n", "v", "f"))).alias("__ps"), F.sum("n").alias("n"))
+    begin = F.lit(float(start)) if start is not None else F.col("__ps")[0]["f"]
+    return series.select(*key, "n", F.aggregate("__ps", begin, lambda a, p: p["f"] + p["v"] + F.pow(F.lit(1.0 - alpha), p["n"]) * (a - p["f"])).alias("ema"))
 
 
 def sliding_mean(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int = 10, every: int = 10) -> DataFrame:
