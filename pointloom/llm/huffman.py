@@ -242,4 +242,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work.table_path(spark, "huffman")
     write_ids(work.read(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return work.store(read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32"), "read")[0]

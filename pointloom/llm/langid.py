@@ -135,15 +135,16 @@ def train(documents: DataFrame, learnable: Column, per_language: int = PER_LANGU
     shares, path = work.store(rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.least(F.lit(1.0), per_language / F.col("n")) * (1 << 31)).cast("long").alias("share")), "shares")
     chosen = rows.join(work.small(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.col("share"))
     sums: dict[str, np.ndarray] = {}
-    for lang, part in chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(bundled), "lang string, sum binary").collect():
+    parts, parts_path = work.store(chosen.select("lang", F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(bundled), "lang string, sum binary"), "sums")
+    for lang, part in parts.collect():
         sums[lang] = sums.get(lang, 0) + np.frombuffer(part)
-    work.drop(documents.sparkSession, path)
+    work.drop(documents.sparkSession, path, parts_path)
     names = sorted(sums)
     return Profiles(names, np.array([sums[x] / (np.linalg.norm(sums[x]) or 1.0) for x in names], np.float32).reshape(len(names), DIMENSIONS))
 
 
 def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
-    """``documents`` (doc_id, text) with lang_pred and score ((1 + cosine) / 2).
+    """(doc_id, lang_pred, score), written to the shared folder, of every row of ``documents`` (doc_id, text); score: (1 + cosine) / 2.
 
     ``und`` and 0 for a null text or one without a letter; repeated rows and null ids stay; an empty table gives an empty result.
     Texts are read whole. If no profile could be learned, all are ``und``.
@@ -156,7 +157,8 @@ def predict(documents: DataFrame, profiles: Profiles) -> DataFrame:
             said = [model.judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(run), "doc_id long, lang_pred string, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return work.store(rows.mapInArrow(textkit.frugal(run), "doc_id long, lang_pred string, score double"), "languages")[0]
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

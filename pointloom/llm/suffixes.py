@@ -178,8 +178,11 @@ def shared(rows: DataFrame, name: str, order: tuple[str, ...] = ("key", "doc_id"
 def matches(documents: DataFrame) -> DataFrame:
     """(doc_id, version, pos, first): all windows of ``SHORTEST`` words that another document holds too; ``first``: no smaller place does."""
     docs = keyed(documents)
-    places = shared(anchors(docs), "anchors").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
+    # written down first: the sort's sample would read all texts once more
+    every, every_path = work.store(anchors(docs), "runs")
+    places = shared(every, "anchors").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
     places, path = work.store(places.withColumn("n", F.size("at")), "places")
+    work.drop(documents.sparkSession, every_path)
     n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     found = shared(windows(docs, places.select("doc_id", "version", "at"), n <= SMALL), "windows")
     work.drop(documents.sparkSession, path)
@@ -270,6 +273,7 @@ def cut_passages(documents: DataFrame) -> DataFrame:
     less = joined.where(F.col("__cuts").isNotNull()).select("__row", cut("__text", "__cuts").alias("__text")).where(F.col("__text") != "")
     if "n_chars" in names:
         less = less.withColumn("__row", F.col("__row").withField("n_chars", F.length("__text").cast(documents.schema["n_chars"].dataType)))
+    less, _ = work.store(less, "less")
     return plain.unionByName(less).select(*[F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in documents.columns])
 
 

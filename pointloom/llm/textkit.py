@@ -29,6 +29,7 @@ def frugal(kernel):
     """``kernel``, for mapInArrow, with memory given back at the end."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed can be given back
         try:
             yield from kernel(batches)
         finally:

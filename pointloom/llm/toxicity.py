@@ -8,7 +8,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,6 +253,9 @@ def fit_chain(toxic: list[list[str]], clean: list[list[str]], epochs: int = 70,
     weight = np.concatenate([np.full(len(toxic), 0.5 / max(1, len(toxic))), np.full(len(clean), 0.5 / max(1, len(clean)))])
     b = np.zeros(3)
     full = np.concatenate([feats, np.ones((len(feats), 1))], 1)
+    if not names:  # nothing was learned: all have the share of toxic documents, as if there were one more toxic and one more clean one
+        chain.blend, chain.base = (0.0, 0.0), float(np.log((len(toxic) + 1) / (len(clean) + 2)))
+        return chain
     if len(toxic) and len(clean):
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(full @ b, -30, 30)))
@@ -287,11 +289,11 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, p
 
 
 def tag(documents: DataFrame, chain: Chain) -> DataFrame:
-    """(doc_id, score, spans) of every row of ``documents`` (doc_id, text); spans: (start, end, probability), in characters of the lower-cased
+    """(doc_id, score, spans), written to the shared folder, of every row of ``documents`` (doc_id, text); spans: (start, end, probability), in characters of the lower-cased
     text, of words tagged toxic with at least ``SPAN``.
 
     Null, empty and word-less texts have the score of a text without known words and no spans; rows that repeat and null ids stay; an
-    empty table gives an empty result; very long texts are read whole; other columns are not read. Without labels of both kinds all scores are 0.5.
+    empty table gives an empty result; very long texts are read whole; other columns are not read. Without labels of both kinds all scores are equal, 1 / 3 without any.
     """
     shared = documents.sparkSession.sparkContext.broadcast(chain)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
@@ -316,7 +318,7 @@ def tag(documents: DataFrame, chain: Chain) -> DataFrame:
         model.forget()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(textkit.frugal(run), "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>")
+    return work.store(rows.mapInArrow(textkit.frugal(run), "doc_id long, score double, spans array<struct<start:int,end:int,probability:double>>"), "tags")[0]
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -324,22 +326,24 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
     Null, empty and word-less texts have the score of a text without known words, and so stay where clean texts do; very long texts are read
     whole; rows that repeat are judged alike, null ids stay, an empty table stays empty. Without labels of both kinds no document is told from
-    another: then all stay.
+    another: then all stay, unless most labels are toxic.
     """
     chain = train(documents.select("doc_id", "text"), labels)
-    if not any(chain.blend):
-        return documents
+    doc = F.col("doc_id").cast("string")
+    key = F.struct(doc.isNull().alias("absent"), F.coalesce(doc, F.lit("")).alias("doc_id"), F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0)).alias("version"))
     shared = documents.sparkSession.sparkContext.broadcast(chain)
-    at = documents.columns.index("text")
 
-    def keep(batches):
+    def reject(batches):
         model = shared.value
         for batch in batches:
-            ok = [model.score(model.marginals(token_words(t.as_py() or ""))[1]) < threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+            bad = [model.score(model.marginals(token_words(t.as_py() or ""))[1]) >= threshold for t in batch.column(1)]
+            yield batch.select([0]).filter(pa.array(bad, pa.bool_()))
         model.forget()
 
-    return documents.mapInArrow(textkit.frugal(keep), documents.schema)
+    # only what names the rejected rows comes back from Python; the rows themselves stay in the JVM
+    rows = documents.select(key.alias("__key"), F.col("text").cast("string").alias("text"))
+    gone, _ = work.store(rows.mapInArrow(textkit.frugal(reject), rows.select("__key").schema), "toxic")
+    return work.unpacked(work.packed(documents, __key=key).join(work.small(gone), "__key", "left_anti"), documents.columns)
 
 
 def op1_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

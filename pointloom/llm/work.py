@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch while a scratch table is written: whole texts are some KB each, and both the JVM and a Python worker hold a batch.
-BATCH_ROWS = "1000"
+#: Bytes of an Arrow batch while a scratch table is written: both the JVM, beside its heap, and a Python worker hold one.
+BATCH_BYTES = "4m"
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -28,11 +28,13 @@ def base_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Arrow batches of ``BATCH_ROWS`` for what runs inside, unless the session asks for fewer rows itself."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= int(BATCH_ROWS):
-        spark.conf.set(key, BATCH_ROWS)
+    """Arrow batches of ``BATCH_BYTES`` for what runs inside, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    if before != "67108864b":
+        yield
+        return
+    spark.conf.set(key, BATCH_BYTES)
     try:
         yield
     finally:
