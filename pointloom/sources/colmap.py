@@ -142,3 +142,36 @@ def points_text(points: DataFrame) -> DataFrame:
     """Lines of a text point file, for ``write.text``."""
     track = F.array_join(F.transform("track", lambda t: F.concat_ws(" ", t["image_id"], t["point2d_idx"])), " ")
     return points.select(F.concat_ws(" ", "id", "x", "y", "z", "red", "green", "blue", "error", track).alias("value"))
+
+
+def render_cameras(rows: list[tuple]) -> bytes:
+    number = {name: i for i, (name, _) in MODELS.items()}
+    return struct.pack("<Q", len(rows)) + b"".join(struct.pack("<iiQQ", i, number[m], w, h) + struct.pack(f"<{len(p)}d", *p) for i, m, w, h, p in rows)
+
+
+def render_images(rows: list[tuple]) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for i, q, t, camera, name, xys, ids in rows:
+        out.append(struct.pack("<i7di", i, *q, *t, camera) + name.encode("utf-8") + b"\0" + struct.pack("<Q", len(ids)) + b"".join(struct.pack("<ddq", p["x"], p["y"], j) for p, j in zip(xys, ids, strict=True)))
+    return b"".join(out)
+
+
+def cameras_text(cameras: DataFrame) -> DataFrame:
+    """Lines of a text camera file, for ``write.text``."""
+    return cameras.select(F.concat_ws(" ", "id", "model", "width", "height", F.array_join(F.transform("params", lambda p: p.cast("string")), " ")).alias("value"))
+
+
+def images_text(images: DataFrame) -> DataFrame:
+    """Lines of a text image file: two for each image, the pose and the observations; a heading with their mean number comes first."""
+    pose = F.concat_ws(" ", "id", F.array_join(F.transform("qvec", lambda x: x.cast("string")), " "), F.array_join(F.transform("tvec", lambda x: x.cast("string")), " "), "camera_id", "name")
+    seen = F.array_join(F.zip_with("xys", "point3d_ids", lambda p, i: F.concat_ws(" ", p["x"], p["y"], i)), " ")
+    head = mean_observations(images).select(F.lit(-1).cast("int").alias("id"), F.concat(F.lit("# Number of images: "), F.col("images").cast("string"), F.lit(", mean observations per image: "), F.coalesce("mean_observations", F.lit(0.0)).cast("string")).alias("value"))
+    rows = images.select("id", F.concat_ws("\n", pose, seen).alias("value"))
+    return head.unionByName(rows).orderBy("id").select("value")
+
+
+def write_model(cameras: DataFrame, images: DataFrame, points: DataFrame, folder: str) -> None:
+    """A text model, each file a folder of parts; images stay in one part, as their records have two lines."""
+    cameras_text(cameras).coalesce(1).write.mode("overwrite").text(f"{folder}/cameras.txt")
+    images_text(images).coalesce(1).write.mode("overwrite").text(f"{folder}/images.txt")
+    points_text(points).write.mode("overwrite").text(f"{folder}/points3D.txt")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators import series
-from pointloom.sources import colmap, ply, tables
+from pointloom.sources import capture, colmap, ply, tables
 from pointloom.streaming import sensors
 
 
@@ -155,4 +155,135 @@ def test_watermarked_streams(spark, tmp_path):
     assert spans[0].n == 3
     q = s.writeStream.foreachBatch(sensors.upsert_batch(f"file://{tmp_path}/up")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(f"file://{tmp_path}/up").where("step_idx = 1").count() == 1
+    assert sensors.recorded(spark, f"file://{tmp_path}/up").where("step_idx = 1").count() == 1
+
+
+def test_upserts_over_batches(spark, tmp_path):
+    """A key that comes in several batches is there once, with its last row; a batch that is replayed replaces itself."""
+    path, schema = f"file://{tmp_path}/u", "camera string, step_idx long, ts double, value double"
+    write = sensors.upsert_batch(path, buckets=4)
+    batches = [[("a", 1, 1.0, 1.0), ("a", 2, 1.0, 1.0), ("b", 1, 9.0, 9.0)], [("a", 1, 2.0, 2.0), ("c", 5, 1.0, 5.0)], [("b", 1, 3.0, 3.0), ("a", 2, 4.0, 4.0)]]
+    for i in (0, 1, 1, 2, 2):
+        write(spark.createDataFrame(batches[i], schema), i)
+    assert {(r.camera, r.step_idx, r.value) for r in sensors.recorded(spark, path).collect()} == {("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 9.0), ("c", 5, 5.0)}
+    with pytest.raises(FileNotFoundError):
+        sensors.recorded(spark, f"file://{tmp_path}/none")
+
+
+def test_actions_of_later_batches_win(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/a", "camera string, t double, value double"
+    write = sensors.accumulate_actions(path, 1.0)
+    for i, rows in enumerate([[("a", 0.2, 1.0), ("a", 3.1, 2.0)], [("a", 2.5, 7.0), ("a", 4.0, 8.0)]]):
+        write(spark.createDataFrame(rows, schema), i)
+    got = {(r.camera, r.step): r.value for r in sensors.recorded(spark, path).collect()}
+    assert got == {("a", 0): 1.0, ("a", 1): 2.0, ("a", 2): 7.0, ("a", 3): 8.0, ("a", 4): 8.0}
+
+
+def test_synchronised_state(spark, tmp_path):
+    """Samples of an earlier batch count as long as they are among the newest."""
+    out, schema = [], "camera string, t double, step_idx long"
+    step = sensors.synchronised_batch(f"file://{tmp_path}/s", "camera", 3, 10.0, lambda df, i: out.append({r.camera: r.t for r in df.collect()}))
+    for i, rows in enumerate([[("a", 1.0, 1), ("b", 1.1, 1)], [("a", 2.0, 2), ("a", 3.0, 3)], [("b", 2.9, 2)]]):
+        step(spark.createDataFrame(rows, schema), i)
+    assert out == [{"a": 1.0, "b": 1.1}, {"a": 1.0, "b": 1.1}, {"a": 3.0, "b": 2.9}]
+
+
+def test_options_lateness_and_slots(spark, tmp_path):
+    cmds = [[("a", 1.0, "gain", 2.0), ("a", 2.0, "exposure", 5.0)], [("a", 3.0, "gain", 4.0)]]
+    got = drain(sensors.apply_commands(stream(spark, tmp_path / "o", cmds, "camera string, start_ts double, option string, value double")), "opt").orderBy("start_ts").collect()
+    assert json.loads(got[-1].options) == {"gain": 4.0, "exposure": 5.0}
+    ts = datetime.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", ts + datetime.timedelta(seconds=2), ts)], "camera string, receive_ts timestamp, capture_ts timestamp")
+    assert sensors.received(rows).first().lateness == 2.0
+    fast = stream(spark, tmp_path / "f", [[("a", 0.01 * i, 1.0) for i in range(9)]], "camera string, t double, value double")
+    with pytest.raises(Exception, match="slots are written"):
+        drain(sensors.last_k_stream(fast, 2, slots=4, budget=1.0), "fast", "update").collect()
+
+
+def test_captured_scene(spark, tmp_path):
+    d = tmp_path / "scene"
+    for n in ("color", "mask", "depth"):
+        (d / n).mkdir(parents=True)
+    (d / "color" / "0.png").write_bytes(b"x")
+    grey = np.zeros((2, 3), np.uint8)
+    grey[1, 2], grey[0, 0] = 255, 1
+    (d / "mask" / "0.pgm").write_bytes(b"P5\n3 2\n255\n" + grey.tobytes())
+    np.save(d / "mask" / "1.npy", grey)
+    pose = np.eye(4)
+    pose[:3, 3] = (1, 2, 3)
+    (d / "camera_meta.json").write_text(json.dumps({"intrinsics": [[[10, 0, 3], [0, 12, 2], [0, 0, 1]]] * 2, "c2ws": [pose.tolist()] * 2, "WH": [6, 4]}))
+    rows = capture.read_capture_scene(spark, f"file://{d}", 4).orderBy("cam").collect()
+    assert [(r.fx, r.cy, r.width, r.t) for r in rows] == [(40.0, 8.0, 24, [-1.0, -2.0, -3.0])] * 2
+    assert rows[0].image.endswith("color/0.png") and rows[1].image is None and rows[1].mask.endswith("1.npy") and rows[0].depth is None
+    kind, cams = capture.read_scene(spark, f"file://{d}")
+    assert kind == "capture" and cams.count() == 2
+    assert sorted((r.path[-5], r.v, r.u) for r in capture.read_masks(spark, f"file://{d}/mask").collect()) == [("0", 0, 0), ("0", 1, 2), ("1", 0, 0), ("1", 1, 2)]
+    files = capture.list_files(spark, f"file://{d}").where("folder = 'mask'").orderBy("name").collect()
+    assert [(f.name, f.stem) for f in files] == [("0.pgm", "0"), ("1.npy", "1")]
+    capture.copy_object(spark, f"file://{d}", "mask", f"file://{tmp_path}/copied")
+    assert spark.read.parquet(f"file://{tmp_path}/copied").count() == 2
+
+
+def test_case_archive_and_config(spark, tmp_path):
+    pts = np.arange(18.0).reshape(2, 3, 3)
+    pts[0, 1] = np.nan
+    np.savez(tmp_path / "case.npz", object_points=pts, object_visibilities=np.array([[True, False, True]] * 2), object_motions_valid=np.array([[True, True, False]]), controller_points=np.zeros((2, 1, 3)))
+    rows = capture.read_case_archives(spark, f"file://{tmp_path}/case.npz")
+    assert rows.where("role = 'object' and visible").count() == 4 and rows.where("x is null").count() == 1 and rows.where("role = 'controller'").count() == 2
+    assert rows.where("role = 'object' and motion_valid").count() == 2
+    (tmp_path / "c.yaml").write_text("# settings\ndt: 5e-5\nsteps: 667  # each frame\nself_collision: False\nname: 'x'\nnone:\n")
+    assert capture.read_config(spark, f"file://{tmp_path}/c.yaml") == {"dt": 5e-5, "steps": 667, "self_collision": False, "name": "x", "none": None}
+    assert capture.merged_config({"a": None, "b": 2}, {"a": 1, "b": 1}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        capture.parse_config("  nested: 1")
+    px = spark.createDataFrame([(255.0, 0.0, 0.0, 127.5)], "r double, g double, b double, a double")
+    r = capture.opaque(px).first()
+    assert (r.r, r.g) == (1.0, 0.5)
+    body = np.arange(6, dtype="<f4").reshape(2, 3, 1, order="F").tobytes(order="F")
+    (tmp_path / "m.bin").write_bytes(b"2&3&1&" + body)
+    assert capture.read_arrays(spark, f"file://{tmp_path}/m.bin").where("v = 2 and u = 1").first().value == 5.0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 0, 1), ("k", 1, 2)], "case string, frame int, pid int")
+    capture.write_frames(rows, f"file://{tmp_path}/f")
+    capture.write_frames(rows.where("frame = 1").withColumn("pid", F.lit(9)), f"file://{tmp_path}/f")
+    assert {(r.frame, r.pid) for r in spark.read.parquet(f"file://{tmp_path}/f").collect()} == {(0, 1), (1, 9)}
+    capture.write_artefacts(f"file://{tmp_path}/art", masks=rows, tracks=rows)
+    capture.write_json(rows, f"file://{tmp_path}/j")
+    assert spark.read.parquet(f"file://{tmp_path}/art/tracks").count() == 2 == spark.read.json(f"file://{tmp_path}/j").count()
+    capture.append_metrics(spark, f"file://{tmp_path}/m", "r", 1, {"loss": 2.0})
+    capture.append_metrics(spark, f"file://{tmp_path}/m", "r", 2, {"loss": 1.0, "psnr": 30.0})
+    assert spark.read.parquet(f"file://{tmp_path}/m").count() == 3
+    with pytest.raises(ZeroDivisionError):
+        with capture.timed(spark, f"file://{tmp_path}/t", "k", "fit"):
+            1 / 0
+    with capture.timed(spark, f"file://{tmp_path}/t", "k", "fit"):
+        pass
+    assert sorted(r.ok for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == [False, True]
+    cams = spark.createDataFrame([(1, "PINHOLE", 4, 3, [1.0, 2.0, 3.0, 4.0])], colmap.CAMERAS)
+    images = spark.createDataFrame([(i, [1.0, 0.0, 0.0, 0.0], [0.5, 0.0, 1.0], 1, f"i{i}.png", [{"x": 1.5, "y": 2.0}] * i, [7] * i) for i in (1, 2)], colmap.IMAGES)
+    points = spark.createDataFrame([(7, 1.0, 2.0, 3.0, 1, 2, 3, 0.5, [{"image_id": 1, "point2d_idx": 0}])], colmap.POINTS)
+    colmap.write_model(cams, images, points, f"file://{tmp_path}/model")
+    c, i, p = colmap.read_model(spark, f"file://{tmp_path}/model", ".txt")
+    plain = lambda df: sorted(str(r.asDict(True)) for r in df.collect())
+    assert plain(c) == plain(cams) and plain(i) == plain(images) and plain(p) == plain(points)
+    asd = lambda df: [tuple(r.asDict(True).values()) for r in df.collect()]
+    assert colmap.parse_cameras(colmap.render_cameras(asd(cams))) == asd(cams) and colmap.parse_images(colmap.render_images(asd(images))) == asd(images)
+
+
+def test_samples_of_a_mesh(spark):
+    """A cube: points over its faces by area, and inside it."""
+    v = spark.createDataFrame([(i, float(i & 1), float(i >> 1 & 1), float(i >> 2 & 1)) for i in range(8)], "vid long, x double, y double, z double")
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    f = spark.createDataFrame([t for a, b, c, d in quads for t in ((a, b, c), (a, c, d))], "a long, b long, c long")
+    s = capture.sample_surface(v, f, 1200).toPandas()
+    assert len(s) == 1200 and s.groupby(["a", "b", "c"]).size().between(99, 101).all()
+    assert np.isclose(np.abs(s[["x", "y", "z"]] - 0.5).max(axis=1), 0.5).all()
+    assert capture.sample_volume(spark, v, f, 500).count() == 500
+    half = v.withColumn("z", F.when((F.col("vid") % 2 == 1) & (F.col("z") > 0), 0.0).otherwise(F.col("z")))
+    got = capture.sample_volume(spark, half, f.where("true"), 2000).toPandas()
+    assert 0.4 < len(got) / 2000 < 0.6 and (got["z"] <= 1 - got["x"] + 1e-9).all()
+    assert capture.at_most(v, 3).count() == 3 and capture.at_most(v, 30).count() == 8
+    order = capture.shuffled(v.select("vid"), ["vid"], 3).toPandas()
+    assert all(sorted(g["vid"]) == list(range(8)) and sorted(g["nth"]) == list(range(8)) for _, g in order.groupby("round"))
