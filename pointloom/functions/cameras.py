@@ -104,3 +104,29 @@ def normal(scales: Sequence[Column], rotation: Sequence[Column], p: Sequence[Col
     axis = [F.when(at == 0, rotation[3 * i]).when(at == 1, rotation[3 * i + 1]).otherwise(rotation[3 * i + 2]) for i in range(3)]
     toward = G.total(*[axis[i] * (float(eye[i]) - p[i]) for i in range(3)])
     return [F.when(toward < 0, -a).otherwise(a) for a in axis]
+
+
+def determinant(m: Sequence[Column]) -> Column:
+    """Of a 3 x 3 matrix of 9 entries."""
+    return m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
+
+
+def inverse(m: Sequence[Column]) -> list[Column]:
+    """The 9 entries of the inverse; null if there is none."""
+    minor = lambda a, b, c, d: m[a] * m[d] - m[b] * m[c]
+    adjugate = (minor(4, 5, 7, 8), -minor(1, 2, 7, 8), minor(1, 2, 4, 5), -minor(3, 5, 6, 8), minor(0, 2, 6, 8), -minor(0, 2, 3, 5), minor(3, 4, 6, 7), -minor(0, 1, 6, 7), minor(0, 1, 3, 4))
+    return [F.try_divide(a, determinant(m)) for a in adjugate]
+
+
+def inverse_affine(m: Sequence[Column]) -> list[Column]:
+    """The 12 entries, row by row, of the inverse of a 3 x 4 affine transform."""
+    r = inverse([m[4 * i + j] for i in range(3) for j in range(3)])
+    t = [-(r[3 * i] * m[3] + r[3 * i + 1] * m[7] + r[3 * i + 2] * m[11]) for i in range(3)]
+    return [x for i in range(3) for x in (*r[3 * i : 3 * i + 3], t[i])]
+
+
+def rank(m: Sequence[Column], tolerance: float = 1e-9) -> Column:
+    """Of a 3 x 3 matrix: 3 with a determinant, 2 with a minor, 1 with an entry beyond ``tolerance`` (times a power of the largest entry)."""
+    top = F.greatest(*[F.abs(x) for x in m])
+    minors = [F.abs(m[3 * i + a] * m[3 * j + b] - m[3 * i + b] * m[3 * j + a]) for i in range(3) for j in range(i + 1, 3) for a in range(3) for b in range(a + 1, 3)]
+    return F.when(F.abs(determinant(m)) > tolerance * top * top * top, 3).when(F.greatest(*minors) > tolerance * top * top, 2).when(top > 0, 1).otherwise(0)

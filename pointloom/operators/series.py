@@ -31,6 +31,24 @@ def lerp_fill(rows: DataFrame, key: Sequence[str], order: str, value: Sequence[s
     return out.select(*[c for c in rows.columns if c not in value], *[F.when(between, F.col(f"__0{c}") + F.when(between, share) * (F.col(f"__1{c}") - F.col(f"__0{c}"))).otherwise(F.col(c)).alias(c) for c in value])
 
 
+def renormalised(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``names`` divided by their common length, as quaternions are after interpolation; null where it is 0."""
+    n = F.sqrt(sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)))
+    return rows.withColumn("__n", n).withColumns({c: F.try_divide(F.col(c), F.col("__n")) for c in names}).drop("__n")
+
+
+def stage_report(rows: DataFrame, stage: str, order: Sequence[str], value: str, width: int = 10, every: int = 10) -> DataFrame:
+    """(stage, nth, mean, share): the sliding mean of each stage at each ``every``-th row, and its part of all stages' means there."""
+    means = sliding_mean(rows, [stage], order, value, width, every).select(stage, "nth", "mean")
+    total = means.groupBy("nth").agg(F.sum("mean").alias("__total"))
+    return means.join(total, "nth").select(stage, "nth", "mean", F.try_divide("mean", "__total").alias("share"))
+
+
+def apply_frames(rows: DataFrame, transform, schema: str, key: Sequence[str] = ("frame",)) -> DataFrame:
+    """A user's ``transform`` (a pandas frame to a pandas frame of ``schema``) of each frame."""
+    return rows.groupBy(*key).applyInPandas(transform, schema)
+
+
 def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, alpha: float, start: float | None = 0.0) -> DataFrame:
     """(key, n, ema): the last value of alpha * x + (1 - alpha) * before, from ``start``, or from the first value if it is None.
 

@@ -192,3 +192,34 @@ def moved_splats(splats: DataFrame, m: Sequence[float], q: Sequence[float], log_
     new = {x: G.total(*[float(m[3 * i + j]) * p[j] for j in range(3)]) for i, x in enumerate(joins.AXES)}
     turned = G.quaternion_product([F.lit(float(x)) for x in q], [F.col(f"q{i}") for i in range(4)])
     return splats.withColumns(new | {f"q{i}": x for i, x in enumerate(turned)} | {f"s{i}": F.col(f"s{i}") + float(log_scale) for i in range(3)})
+
+
+def control_substeps(controls: DataFrame, substeps: int) -> DataFrame:
+    """(frame, step, pid, xyz): controllers on their way from each frame to the next, at (step + 1) / ``substeps``."""
+    w = Window.partitionBy("pid").orderBy("frame")
+    ahead = controls.select("frame", "pid", *joins.AXES, *[F.lead(a).over(w).alias("n" + a) for a in joins.AXES]).where("nx is not null")
+    steps = ahead.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(substeps - 1))))
+    t = (F.col("step") + 1) / F.lit(float(substeps))
+    return steps.select("frame", "step", "pid", *[(F.col(a) + t * (F.col("n" + a) - F.col(a))).alias(a) for a in joins.AXES])
+
+
+def normal_loss(predicted: Sequence[Column], truth: Sequence[Column], share: float = 0.1) -> Column:
+    """Mean absolute difference of normals plus ``share`` of one minus their mean cosine (an aggregation)."""
+    from ..functions import geometry as G
+
+    each = [F.abs(p - t) for p, t in zip(predicted, truth, strict=True)]
+    cosine = F.try_divide(G.dot(predicted, truth), G.norm(predicted) * G.norm(truth))
+    return F.avg(G.total(*each)) / len(each) + share * (1.0 - F.avg(cosine))
+
+
+def split_splats(splats: DataFrame, least_gradient: float, least_scale: float, n: int = 2, seed: int = 0) -> DataFrame:
+    """Splats (gid, xyz, s0..s2, q0..q3, gradient) whose gradient is at least ``least_gradient`` and whose largest scale is over ``least_scale`` become
+    ``n``, each at a normal draw along the splat's own axes and smaller by 0.8 n; ``copy`` counts them from 1, and is 0 for those that stay."""
+    from ..functions import geometry as G
+
+    big = (F.col("gradient") >= least_gradient) & (F.greatest("s0", "s1", "s2") > least_scale)
+    r = G.quaternion_matrix([F.col(f"q{i}") for i in range(4)])
+    drawn = splats.where(big).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumns({f"__d{i}": F.randn(seed + i) * F.col(f"s{i}") for i in range(3)})
+    moved = {a: F.col(a) + G.total(*[r[3 * i + j] * F.col(f"__d{j}") for j in range(3)]) for i, a in enumerate(joins.AXES)}
+    new = drawn.withColumns(moved).withColumns({f"s{i}": F.col(f"s{i}") / (0.8 * n) for i in range(3)}).drop("__d0", "__d1", "__d2")
+    return splats.where(~big).withColumn("copy", F.lit(0)).unionByName(new.select(*splats.columns, "copy"))

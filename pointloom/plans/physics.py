@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import filters, joins, measures, simulate
+from ..operators import filters, joins, measures, raster, simulate
 from . import views as V
 from .catalog import _D2, AXES, _edges_sql, c, query, r6
 
@@ -191,6 +191,33 @@ def composite(spark, sf_dir):
     return b.select("l_orderkey", r6("s.colour").alias("colour"), r6("s.left").alias("left_"))
 
 
+# a whole raster pass: 48 x 32 pixels, focal lengths 30 and 28
+
+
+def _raster_sql() -> str:
+    n = "sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3)"
+    rot = ("1 - 2 * (y * y + z * z)", "2 * (x * y - w * z)", "2 * (x * z + w * y)", "2 * (x * y + w * z)", "1 - 2 * (x * x + z * z)", "2 * (y * z - w * x)", "2 * (x * z - w * y)", "2 * (y * z + w * x)", "1 - 2 * (x * x + y * y)")
+    cov = ", ".join(f"r{3 * i} * r{3 * j} * s0 * s0 + r{3 * i + 1} * r{3 * j + 1} * s1 * s1 + r{3 * i + 2} * r{3 * j + 2} * s2 * s2 AS {k}" for k, i, j in (("xx", 0, 0), ("xy", 0, 1), ("xz", 0, 2), ("yy", 1, 1), ("yz", 1, 2), ("zz", 2, 2)))
+    return f"""WITH {SPLATS}, sv AS (SELECT gid, u / 320 - 1 AS px, v / 240 - 1 AS py, depth + 1 AS pz, s0, s1, s2, opacity, k0 + 0.5::DOUBLE AS col, q0 / {n} AS w, q1 / {n} AS x, q2 / {n} AS y, q3 / {n} AS z FROM splats),
+rt AS (SELECT *, {', '.join(f'{x} AS r{i}' for i, x in enumerate(rot))} FROM sv WHERE pz > 0.2), cv AS (SELECT *, {cov}, greatest(-1.3::DOUBLE * 0.8::DOUBLE, least(1.3::DOUBLE * 0.8::DOUBLE, px / pz)) * pz AS tx, greatest(-1.3::DOUBLE * 0.6::DOUBLE, least(1.3::DOUBLE * 0.6::DOUBLE, py / pz)) * pz AS ty FROM rt),
+jc AS (SELECT *, 30 / pz AS ja, -30 * tx / (pz * pz) AS jb, 28 / pz AS jc, -28 * ty / (pz * pz) AS jd FROM cv), sc AS (SELECT gid, 30 * px / pz + 24 AS u, 28 * py / pz + 16 AS v, pz AS depth, opacity, col, ja * ja * xx + 2 * ja * jb * xz + jb * jb * zz + 0.3::DOUBLE AS a, ja * jc * xy + ja * jd * xz + jb * jc * yz + jb * jd * zz AS b, jc * jc * yy + 2 * jc * jd * yz + jd * jd * zz + 0.3::DOUBLE AS c FROM jc),
+dt AS (SELECT *, a * c - b * b AS det, (a + c) / 2 AS mid FROM sc), rd AS (SELECT *, ceil(3 * sqrt(mid + sqrt(greatest(0.1::DOUBLE, mid * mid - det)))) AS radius FROM dt WHERE det > 0),
+bx AS (SELECT *, greatest(0, least(3, floor((u - radius) / 16))) AS x0, greatest(0, least(3, floor((u + radius + 15) / 16))) AS x1, greatest(0, least(2, floor((v - radius) / 16))) AS y0, greatest(0, least(2, floor((v + radius + 15) / 16))) AS y1 FROM rd),
+pp AS (SELECT p AS pu, q AS pv, gid, depth, opacity, col, -0.5 * (c / det * (u - p) * (u - p) + a / det * (v - q) * (v - q)) + b / det * (u - p) * (v - q) AS power FROM bx, range(0, 48) i(p), range(0, 32) j(q) WHERE p // 16 >= x0 AND p // 16 < x1 AND q // 16 >= y0 AND q // 16 < y1),
+al AS (SELECT pu, pv, depth, gid, col, least(0.99::DOUBLE, opacity * exp(power)) AS alpha FROM pp WHERE power <= 0 AND opacity * exp(power) >= 1.0::DOUBLE / 255),
+ls AS (SELECT pu, pv, list({{'a': alpha, 'c': col}} ORDER BY depth, gid) AS xs FROM al GROUP BY 1, 2),
+bl AS (SELECT pu, pv, list_reduce(list_prepend({{'colour': 0.0::DOUBLE, 'rest': 1.0::DOUBLE, 'done': false}}, list_transform(xs, lambda x: {{'colour': x.c, 'rest': x.a, 'done': false}})),
+  lambda s, x: CASE WHEN s.done THEN s WHEN s.rest * (1 - x.rest) < 1e-4 THEN {{'colour': s.colour, 'rest': s.rest, 'done': true}} ELSE {{'colour': s.colour + x.colour * x.rest * s.rest, 'rest': s.rest * (1 - x.rest), 'done': false}} END) AS s FROM ls)
+SELECT p AS u, q AS v, round(coalesce(s.colour, 0) + 0.25::DOUBLE * coalesce(s.rest, 1), 5) AS colour, round(coalesce(s.rest, 1), 5) AS rest FROM range(0, 48) i(p), range(0, 32) j(q) LEFT JOIN bl ON pu = p AND pv = q"""
+
+
+@query(_raster_sql())
+def rasterise(spark, sf_dir):
+    s = splats(spark, sf_dir).select("gid", (c("u") / 320 - 1).alias("x"), (c("v") / 240 - 1).alias("y"), (c("depth") + 1).alias("z"), *[f"s{i}" for i in range(3)], *[f"q{i}" for i in range(4)], "opacity", (c("k0") + 0.5).alias("colour"))
+    out = raster.rasterise(raster.prepared(s, 30.0, 28.0, 24.0, 16.0, 0.8, 0.6), 48, 32, 0.25)
+    return out.select("u", "v", F.round("colour", 5).alias("colour"), F.round("left", 5).alias("rest"))
+
+
 _RN = "sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3)"
 _ROT = f"n AS (SELECT gid, s0, s1, s2, q0 / {_RN} AS w, q1 / {_RN} AS x, q2 / {_RN} AS y, q3 / {_RN} AS z FROM splats), r AS (SELECT gid, s0, s1, s2, 1.0 - 2.0 * (y * y + z * z) AS r0, 2.0 * (x * y - w * z) AS r1, 2.0 * (x * z + w * y) AS r2, 2.0 * (x * y + w * z) AS r3, 1.0 - 2.0 * (x * x + z * z) AS r4, 2.0 * (y * z - w * x) AS r5, 2.0 * (x * z - w * y) AS r6, 2.0 * (y * z + w * x) AS r7, 1.0 - 2.0 * (x * x + y * y) AS r8 FROM n)"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import cameras as C
 from ..functions import geometry as G
 from ..operators import filters, joins, measures, scene, series, simulate, vision
+from ..streaming import sensors
 from . import views as V
 from .catalog import _D2, AXES, c, query, r6, xyz
 from .physics import SPLATS, _ROT, _rotated, splats
@@ -472,3 +473,77 @@ def sinkhorn(spark, sf_dir):
     a, b = e.where("vec_id % 2 = 0").select(c("vec_id").alias("i"), c("embedding").alias("u"), "image"), e.where("vec_id % 2 = 1").select(c("vec_id").alias("j"), c("embedding").alias("v"), "image")
     score = F.aggregate(F.zip_with("u", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return simulate.sinkhorn(a.join(b, "image").select("image", "i", "j", score.alias("score")), "image").select("image", "i", "j", F.round("p", 5).alias("p"))
+
+
+# gaps, stages, matrices and controls
+
+
+_KNOWN = "frame IN (0, 4, 9, 17)"
+_FILLED = ("x", "y", "z", "red", "opacity", "qa", "qb")
+_ENDS = ", ".join(f"last_value(CASE WHEN {_KNOWN} THEN {n} END IGNORE NULLS) OVER p AS a_{n}, first_value(CASE WHEN {_KNOWN} THEN {n} END IGNORE NULLS) OVER q AS b_{n}" for n in ("frame", *_FILLED))
+
+
+@query(f"""WITH {V.TRK}, s AS (SELECT frame, pid, x, y, z, shift AS red, x * y AS opacity, x + 2 AS qa, z AS qb FROM trk), e AS (SELECT *, {_ENDS} FROM s
+  WINDOW p AS (PARTITION BY pid ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY pid ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT frame, pid, {', '.join(f"CASE WHEN NOT {_KNOWN} AND b_frame IS NOT NULL THEN a_{n} + (frame - a_frame) / (b_frame - a_frame)::DOUBLE * (b_{n} - a_{n}) ELSE {n} END AS {n}" for n in _FILLED)} FROM e)
+SELECT frame, pid, round(x, 6) AS x, round(z, 6) AS z, round(red, 6) AS red, round(opacity, 6) AS opacity, round(qa / sqrt(qa * qa + qb * qb), 6) AS qa, round(qb / sqrt(qa * qa + qb * qb), 6) AS qb FROM f""")
+def lerp_splats(spark, sf_dir):
+    """Positions, colours, opacities and rotations between change points."""
+    t = V.trk(spark, sf_dir).select("frame", "pid", *AXES, c("shift").alias("red"), (c("x") * c("y")).alias("opacity"), (c("x") + 2).alias("qa"), c("z").alias("qb"))
+    filled = series.renormalised(series.lerp_fill(t, ["pid"], "frame", _FILLED, c("frame").isin(0, 4, 9, 17)), ["qa", "qb"])
+    return filled.select("frame", "pid", *[r6(n).alias(n) for n in ("x", "z", "red", "opacity", "qa", "qb")])
+
+
+@query("""WITH s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth, avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean FROM events)
+SELECT event_type, nth, round(mean, 6) AS mean, round(mean / sum(mean) OVER (PARTITION BY nth), 6) AS share FROM s WHERE nth % 10 = 0""")
+def stage_report(spark, sf_dir):
+    return series.stage_report(V.table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value").select("event_type", "nth", r6("mean").alias("mean"), r6("share").alias("share"))
+
+
+@query(f"""WITH {V.PRED}, k AS (SELECT t.frame AS frame, t.x AS x, t.y AS y, t.z AS z, p.x AS a, p.y AS b, p.z AS c FROM trk t JOIN pred p USING (frame, pid))
+SELECT frame, round(avg(abs(x - a) + abs(y - b) + abs(z - c)) / 3 + 0.1::DOUBLE * (1 - avg((x * a + y * b + z * c) / (sqrt(x * x + y * y + z * z) * sqrt(a * a + b * b + c * c)))), 6) AS loss FROM k GROUP BY 1""")
+def normal_loss(spark, sf_dir):
+    t = V.trk(spark, sf_dir).select("frame", "pid", *AXES).join(V.pred(spark, sf_dir).select("frame", "pid", *[c(n).alias("p" + n) for n in AXES]), ["frame", "pid"])
+    return t.groupBy("frame").agg(r6(vision.normal_loss([c("p" + n) for n in AXES], [c(n) for n in AXES])).alias("loss"))
+
+
+_M = [f"CAST(embedding[{i}] AS DOUBLE)" for i in range(1, 10)]
+_ADJ = ((4, 8, 5, 7), (2, 7, 1, 8), (1, 5, 2, 4), (5, 6, 3, 8), (0, 8, 2, 6), (2, 3, 0, 5), (3, 7, 4, 6), (1, 6, 0, 7), (0, 4, 1, 3))
+
+
+@query(f"""WITH m AS (SELECT vec_id, {', '.join(f'{x} AS m{i}' for i, x in enumerate(_M))} FROM embeddings), d AS (SELECT *, m0 * (m4 * m8 - m5 * m7) - m1 * (m3 * m8 - m5 * m6) + m2 * (m3 * m7 - m4 * m6) AS det FROM m)
+SELECT vec_id, {', '.join(f'round((m{a} * m{b} - m{e} * m{f}) / det * 1e-3, 4) AS i{k}' for k, (a, b, e, f) in enumerate(_ADJ))}, CAST(3 AS INTEGER) AS rank FROM d""")
+def matrix_inverse(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", *[c("embedding")[i].cast("double").alias(f"m{i}") for i in range(9)])
+    m = [c(f"m{i}") for i in range(9)]
+    return e.select("vec_id", *[F.round(x * 1e-3, 4).alias(f"i{k}") for k, x in enumerate(C.inverse(m))], C.rank(m).alias("rank"))
+
+
+@query(f"""WITH {V.TRK}, k AS (SELECT frame, pid, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM trk WHERE part >= 8 WINDOW w AS (PARTITION BY pid ORDER BY frame))
+SELECT frame, CAST(s AS INTEGER) AS step, pid, round(x + (s + 1) / 5.0::DOUBLE * (nx - x), 6) AS x, round(y + (s + 1) / 5.0::DOUBLE * (ny - y), 6) AS y, round(z + (s + 1) / 5.0::DOUBLE * (nz - z), 6) AS z FROM k, range(0, 5) r(s) WHERE nx IS NOT NULL""")
+def control_substeps(spark, sf_dir):
+    t = V.trk(spark, sf_dir).where("part >= 8")
+    return vision.control_substeps(t, 5).select("frame", "step", "pid", *xyz())
+
+
+@query(f"""WITH {V.SMP}, b AS (SELECT *, CAST(floor(t / 864000.0::DOUBLE) AS BIGINT) AS batch, CAST(floor(t / 3600.0::DOUBLE + 1e-5) AS BIGINT) AS g FROM smp), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY cam, batch, g ORDER BY t, event_id) = 1),
+p AS (SELECT *, coalesce(lag(g) OVER (PARTITION BY cam, batch ORDER BY g), g - 1) AS before FROM f), s AS (SELECT cam, batch, event_id, unnest(range(before + 1, g + 1)) AS step FROM p)
+SELECT cam, step, event_id FROM s QUALIFY row_number() OVER (PARTITION BY cam, step ORDER BY batch DESC) = 1""")
+def action_steps(spark, sf_dir):
+    """Actions that come in batches of ten days; a later batch wins a step."""
+    s = V.smp(spark, sf_dir).withColumn("batch", F.floor(c("t") / 864000.0))
+    steps = sensors.action_steps(s, ["cam", "batch"], "t", ["event_id"], 3600.0)
+    return series.upsert(steps, ["cam", "step"], ["batch"]).select("cam", "step", "event_id")
+
+
+@query("WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST(embedding[1] AS DOUBLE) END AS x FROM embeddings) SELECT vec_id, round(x, 6) AS x, x IS NOT NULL AS ok FROM e")
+def nan_to_null(spark, sf_dir):
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", F.when(c("vec_id") % 7 == 0, F.lit(float("nan"))).otherwise(c("embedding")[0].cast("double")).alias("x"))
+    x = F.when(~F.isnan("x"), c("x"))
+    return e.select("vec_id", r6(x).alias("x"), x.isNotNull().alias("ok"))
+
+
+@query()
+def split_splats(spark, sf_dir):
+    s = splats(spark, sf_dir).select("gid", (c("u") / 320 - 1).alias("x"), (c("v") / 240 - 1).alias("y"), c("depth").alias("z"), *[f"s{i}" for i in range(3)], *[f"q{i}" for i in range(4)], c("opacity").alias("gradient"))
+    return vision.split_splats(s, 0.3, 0.05)
