@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch while a scratch table is written: both the JVM, beside its heap, and a Python worker hold one.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "1m"
 
 
 def base_dir(spark: SparkSession) -> str:
