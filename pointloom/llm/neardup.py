@@ -144,8 +144,8 @@ def branch(batches):
 def clusters(sets: DataFrame) -> DataFrame:
     """(id, root): clusters of ``sets`` (id, sig, nodes) outside which no set is as similar as asked, but for a tree recall of over 0.9999.
 
-    Small nodes are compared exhaustively. In a large one all sets are compared with one of them; if some are far from it, all but those close to
-    it branch on. What still is large after ``ROUNDS`` is linked as it is: clusters may be too wide, never too narrow.
+    Small nodes are compared exhaustively. In a large one all sets are compared with one of them; if some are far from it, they and all that may
+    be partners of theirs branch on. What still is large after ``ROUNDS`` is linked as it is: clusters may be too wide, never too narrow.
     """
     spark, parts = sets.sparkSession, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = sets.select("id", "sig")
@@ -168,11 +168,12 @@ def clusters(sets: DataFrame) -> DataFrame:
         scratch.append(path)
         near = F.lit(True) if turn == ROUNDS - 1 else F.col("like") >= LOOSE
         edges.append(met.where(near & (F.col("id") != F.col("first"))).select(F.col("id").alias("a"), F.col("first").alias("b")))
-        # in a node with sets far from its first, these look for partners among all but the core
+        # in a node with sets far from its first, these look for partners among those that may be as similar as asked to one of them: what is so
+        # to a set at similarity s to the first is at s + 0.25 at most itself, and CORE - LOOSE leaves room for errors of the estimates
         if turn == ROUNDS - 1 or not met.agg(F.count_if(~near).alias("k")).first().k:
             break
-        apart = met.where(~near).select("node").distinct()
-        on = met.join(apart, "node").where((F.col("like") < CORE) & (F.col("id") != F.col("first"))).select("node", "id", "sig")
+        apart = met.where(~near).groupBy("node").agg(F.max("like").alias("far"))
+        on = met.join(apart, "node").where((F.col("like") < F.col("far") + (CORE - LOOSE)) & (F.col("id") != F.col("first"))).select("node", "id", "sig")
         members, with_sig = on.mapInArrow(textkit.frugal(branch), "node long, id long, sig binary").dropDuplicates(["node", "id"]), True
     small = reduce(DataFrame.unionByName, smalls).repartition(parts, "node").sortWithinPartitions("node", "id")
     edges.append(small.mapInArrow(textkit.frugal(compare_nodes), "a long, b long"))

@@ -13,7 +13,7 @@ from . import textkit, work
 #: whole window of ``SPREAD`` runs, so equal passages retain equal suffixes, and retained runs leave no word between them.
 SHORTEST, RUN = 50, 26
 SPREAD = SHORTEST - RUN + 1
-#: Suffixes up to which their places are broadcast to the documents; beyond it the same join shuffles.
+#: Rows of two numbers, or spans to cut, up to which they are broadcast to the documents; beyond it the same join shuffles.
 SMALL = 300_000
 NONE = -(1 << 63)
 #: Rows of one key that a task of the sorted pass holds; a key with more is settled with those at partition ends.
@@ -35,10 +35,25 @@ def retained(g: np.ndarray) -> np.ndarray:
     return at
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """(doc_id, version, text): rows that repeat a doc_id with other texts are told apart by a hash of the text."""
-    text = F.col("text").cast("string")
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"), text.alias("text"))
+def repeated_ids(documents: DataFrame) -> DataFrame:
+    """(d,), stored: the doc_ids of several rows."""
+    ids = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"))
+    return work.store(ids.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"), "again")[0]
+
+
+def versioned(rows: DataFrame, again: DataFrame, doc: str, text: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, but for rows of the doc_ids ``again``, which a hash of their texts tells apart."""
+    if again.isEmpty():
+        return rows.withColumn(name, F.lit(0).cast("long"))
+    side = again.select(F.col("d").alias("__d"))
+    marked = rows.join(F.broadcast(side) if again.count() <= SMALL else side, F.col(doc) == F.col("__d"), "left")
+    return marked.withColumn(name, F.when(F.col("__d").isNotNull(), F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0).cast("long"))).drop("__d")
+
+
+def keyed(documents: DataFrame, again: DataFrame) -> DataFrame:
+    """(doc_id, version, text)"""
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return versioned(rows, again, "doc_id", "text", "version").select("doc_id", "version", "text")
 
 
 KEYED = "key long, doc_id long, version long, pos int"
@@ -72,10 +87,10 @@ def _keyed_batch(h: list[np.ndarray], doc_id: np.ndarray, version: np.ndarray, p
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(doc_id), pa.array(version), pa.array(np.concatenate(pos).astype(np.int32))], NAMES)
 
 
-def windows(docs: DataFrame, places: DataFrame, small: bool) -> DataFrame:
+def windows(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, doc_id, version, pos): hash and first word of each window of ``SHORTEST`` words that holds a suffix of ``places`` (doc_id, version,
     at: array of pos): the suffix extended to the left and right in every way that makes a shortest passage."""
-    chosen = docs.join(F.broadcast(places) if small else places, ["doc_id", "version"]).select("doc_id", "version", "text", "at")
+    chosen = docs.join(work.small(places), ["doc_id", "version"]).select("doc_id", "version", "text", "at")
 
     def run(batches):
         for batch in batches:
@@ -175,16 +190,15 @@ def shared(rows: DataFrame, name: str, order: tuple[str, ...] = ("key", "doc_id"
     return out
 
 
-def matches(documents: DataFrame) -> DataFrame:
+def matches(documents: DataFrame, again: DataFrame) -> DataFrame:
     """(doc_id, version, pos, first): all windows of ``SHORTEST`` words that another document holds too; ``first``: no smaller place does."""
-    docs = keyed(documents)
+    docs = keyed(documents, again)
     # written down first: the sort's sample would read all texts once more
     every, every_path = work.store(anchors(docs), "runs")
     places = shared(every, "anchors").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("at"))
-    places, path = work.store(places.withColumn("n", F.size("at")), "places")
+    places, path = work.store(places, "places")
     work.drop(documents.sparkSession, every_path)
-    n = places.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    found = shared(windows(docs, places.select("doc_id", "version", "at"), n <= SMALL), "windows")
+    found = shared(windows(docs, places), "windows")
     work.drop(documents.sparkSession, path)
     return found
 
@@ -211,17 +225,17 @@ def without(spans: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[t
     return out
 
 
-def passages(documents: DataFrame) -> DataFrame:
+def passages(documents: DataFrame, again: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, repeats, cuts): for each text with repeated passages their word spans, and those to cut: what an earlier document holds.
 
     Words are blank-separated, A-Z lower-cased. A passage of ``SHORTEST`` words or more counts if a document of another doc_id holds it; what only
-    recurs within one document, or in rows that repeat a doc_id, doesn't. ``version`` (a hash of the text) tells apart rows that repeat a doc_id
-    with other texts; equal rows share one result. Null and short texts and empty tables have none; a null doc_id counts as the smallest
+    recurs within one document, or in rows that repeat a doc_id, doesn't. ``version`` (a hash of the text, 0 where a doc_id has one row) tells apart
+    rows that repeat a doc_id (``again``, if it was made before) with other texts; equal rows share one result. Null and short texts and empty tables have none; a null doc_id counts as the smallest
     long. Very long texts are read whole. Of each window of ``SHORTEST`` words the occurrence with the smallest (doc_id, version, position) stays
     whole. Other columns are not read.
     """
     # equal rows come with equal places: a set holds each once
-    per = matches(documents).groupBy("doc_id", "version").agg(F.collect_set(F.col("pos") * F.lit(2).cast("long") + F.col("first").cast("long")).alias("m"))
+    per = matches(documents, repeated_ids(documents) if again is None else again).groupBy("doc_id", "version").agg(F.collect_set(F.col("pos") * F.lit(2).cast("long") + F.col("first").cast("long")).alias("m"))
 
     def run(batches):
         for batch in batches:
@@ -246,7 +260,8 @@ def cut_passages(documents: DataFrame) -> DataFrame:
     doc_id are cut each by its own text, equal rows alike; very long texts are read whole; other columns stay, whatever their names; an
     empty table stays empty.
     """
-    per, _ = work.store(passages(documents.select("doc_id", "text")).where(F.size("cuts") > 0).select(F.struct("doc_id", "version").alias("__at"), F.col("cuts").alias("__cuts")), "cuts")
+    again = repeated_ids(documents)
+    per, _ = work.store(passages(documents.select("doc_id", "text"), again).where(F.size("cuts") > 0).select(F.struct("doc_id", "version").alias("__at"), F.col("cuts").alias("__cuts")), "cuts")
     n = per.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("n")).first().n
 
     @F.pandas_udf("string")
@@ -264,11 +279,11 @@ def cut_passages(documents: DataFrame) -> DataFrame:
             out.append(raw[keep].tobytes().decode("utf-8", "replace").rstrip())
         return pd.Series(out, dtype=object)
 
-    text = F.col("text").cast("string")
-    row = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("version"))
     names = [c for c in documents.columns if c != "text"]
     # all that stays is one struct, so that no column of it can clash
-    joined = documents.select(F.struct(*[F.col(work.quoted(c)) for c in names]).alias("__row"), F.col("text").alias("__text"), row.alias("__at")).join(F.broadcast(per) if n <= SMALL else per, "__at", "left")
+    rows = documents.select(F.struct(*[F.col(work.quoted(c)) for c in names]).alias("__row"), F.col("text").cast("string").alias("__text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("__doc"))
+    rows = versioned(rows, again, "__doc", "__text", "__version").select("__row", "__text", F.struct(F.col("__doc").alias("doc_id"), F.col("__version").alias("version")).alias("__at"))
+    joined = rows.join(F.broadcast(per) if n <= SMALL else per, "__at", "left")
     plain = joined.where(F.col("__cuts").isNull()).select("__row", "__text")
     less = joined.where(F.col("__cuts").isNotNull()).select("__row", cut("__text", "__cuts").alias("__text")).where(F.col("__text") != "")
     if "n_chars" in names:
