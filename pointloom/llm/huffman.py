@@ -162,7 +162,7 @@ def write_ids(documents: DataFrame, path: str, closing: int = 1, vocabulary: str
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(offs * wide.itemsize), pa.py_buffer(wide)])
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), binary.cast(pa.binary())], ["doc_id", "ids"])
 
-    raw, raw_path = work.store(documents.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(encode), "doc_id long, ids binary"), "ids")
+    raw, raw_path = work.store(documents.select(doc.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(encode, True), "doc_id long, ids binary"), "ids")
 
     def count(batches):
         total = np.zeros(size, np.int64)

@@ -143,7 +143,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, voc
                     ["part", "doc_id", "piece", "start", "length", "ids_crc32", "nth"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(cut), "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(textkit.frugal(cut, True), "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, closing: int = 0, vocabulary: str | None = None) -> DataFrame:

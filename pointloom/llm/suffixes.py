@@ -264,20 +264,18 @@ def cut_passages(documents: DataFrame) -> DataFrame:
     per, _ = work.store(passages(documents.select("doc_id", "text"), again).where(F.size("cuts") > 0).select(F.struct("doc_id", "version").alias("__at"), F.col("cuts").alias("__cuts")), "cuts")
     n = per.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0)).alias("n")).first().n
 
-    @F.pandas_udf("string")
-    def cut(text, cuts):
-        import pandas as pd
-
-        out = []
-        for t, c in zip(text, cuts, strict=True):
-            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-            w = textkit.words(raw, np.array([0, len(raw)]), table=None)
-            keep = np.ones(len(raw), bool)
-            for x in c:
-                a, z = int(x["start"]), int(x["end"])
-                keep[w.start[a] : w.start[z] if z < len(w.start) else len(raw)] = False
-            out.append(raw[keep].tobytes().decode("utf-8", "replace").rstrip())
-        return pd.Series(out, dtype=object)
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for t, c in zip(batch.column(1), batch.column(2), strict=True):
+                raw = np.frombuffer(t.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                w = textkit.words(raw, np.array([0, len(raw)]), table=None)
+                keep = np.ones(len(raw), bool)
+                for x in c.as_py():
+                    a, z = x["start"], x["end"]
+                    keep[w.start[a] : w.start[z] if z < len(w.start) else len(raw)] = False
+                out.append(raw[keep].tobytes().decode("utf-8", "replace").rstrip())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["__row", "__text"])
 
     names = [c for c in documents.columns if c != "text"]
     # all that stays is one struct, so that no column of it can clash
@@ -285,7 +283,8 @@ def cut_passages(documents: DataFrame) -> DataFrame:
     rows = versioned(rows, again, "__doc", "__text", "__version").select("__row", "__text", F.struct(F.col("__doc").alias("doc_id"), F.col("__version").alias("version")).alias("__at"))
     joined = rows.join(F.broadcast(per) if n <= SMALL else per, "__at", "left")
     plain = joined.where(F.col("__cuts").isNull()).select("__row", "__text")
-    less = joined.where(F.col("__cuts").isNotNull()).select("__row", cut("__text", "__cuts").alias("__text")).where(F.col("__text") != "")
+    some = joined.where(F.col("__cuts").isNotNull()).select("__row", "__text", "__cuts")
+    less = some.mapInArrow(textkit.frugal(cut), some.drop("__cuts").schema).where(F.col("__text") != "")
     if "n_chars" in names:
         less = less.withColumn("__row", F.col("__row").withField("n_chars", F.length("__text").cast(documents.schema["n_chars"].dataType)))
     less, _ = work.store(less, "less")
