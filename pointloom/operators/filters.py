@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .joins import AXES, radius_join
 
@@ -186,15 +187,17 @@ def farthest_points(points: DataFrame, k: int = 30, group: Sequence[str] = ()) -
 
 
 def prefix_sum(rows: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` by ``order`` (a total order), over ranges that are summed apart and shifted by the sums before."""
+    """Inclusive running sum of ``value`` by ``order`` (a total order), over ranges that are summed apart and shifted by the sums before.
+    Whole numbers are summed as such."""
     from .. import scratch
 
+    whole = isinstance(rows.schema[value].dataType, T.IntegralType)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = scratch.store(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    before, total = [], 0.0
-    for r in dealt.groupBy("__part").agg(F.sum(value).cast("double").alias("s")).orderBy("__part").collect():
+    before, total = [], 0 if whole else 0.0
+    for r in dealt.groupBy("__part").agg(F.sum(value).cast("long" if whole else "double").alias("s")).orderBy("__part").collect():
         before.append((r["__part"], total))
         total += r["s"] or 0
-    shift = rows.sparkSession.createDataFrame(before, "__part int, __before double")
+    shift = rows.sparkSession.createDataFrame(before, f"__part int, __before {'long' if whole else 'double'}")
     w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return dealt.join(F.broadcast(shift), "__part").withColumn(name, (F.col("__before") + F.sum(value).over(w)).cast(rows.schema[value].dataType)).drop("__part", "__before")
