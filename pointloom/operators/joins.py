@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import scratch
-
 AXES = ("x", "y", "z")
 
 
@@ -58,41 +56,14 @@ def hybrid_join(a: DataFrame, b: DataFrame, r: float, k: int, a_id: str = "pid",
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str = "pid", b_id: str = "pid", metric: str = "l2", exclude_self: bool = False, axes: Sequence[str] = AXES, by: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` nearest of ``b`` for each row of ``a``: a_*, b_*, dist, rank; ties to the smaller id of ``b``.
+    """The ``k`` nearest of ``b`` for each row of ``a``: a_*, b_*, dist, rank; ties to the smaller id of ``b``. ``exclude_self`` leaves out equal ids;
+    ``by``: columns that must agree. Points with a null or NaN coordinate meet nothing.
 
-    Cell joins with a growing radius: a row with k hits within it is done, the others go on with four times the radius, up to one
-    that covers both sides. ``exclude_self`` leaves out equal ids. Only counts and bounds reach the driver.
+    Blocks of a space-filling curve and a tree of their boxes (see ``neighbours``): dense and sparse places cost alike, and only bounds reach the driver.
     """
-    bounds = [f(c).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
-    sb, sa = b.agg(F.count("*").alias("n"), *bounds).first(), a.agg(F.count("*").alias("n"), *bounds).first()
-    if not sb.n or not sa.n:
-        return radius_join(a, b, 1.0, axes, metric, by=by).withColumn("rank", F.lit(1)).limit(0)
-    spread = [max(sa[f"hi{c}"], sb[f"hi{c}"]) - min(sa[f"lo{c}"], sb[f"lo{c}"]) for c in axes]
-    everything = (sum(spread) if metric == "l1" else sum(s * s for s in spread) ** 0.5) * (1 + 1e-9) + 1e-12
-    r = max(max(spread), 1e-12) * min(1.0, (4.0 * (k + 1) / sb.n) ** (1 / len(axes))) / 2
-    todo, parts = a, []
-    keys = [*by, a_id]
-    w = Window.partitionBy(*[f"a_{c}" for c in keys]).orderBy("dist", f"b_{b_id}")
-    while True:
-        r = min(r, everything)
-        pairs = radius_join(todo, b, r, axes, metric, by=by)
-        if exclude_self:
-            pairs = pairs.where(F.col(f"a_{a_id}") != F.col(f"b_{b_id}"))
-        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if r >= everything:
-            parts.append(top)
-            break
-        top = scratch.store(top, "knn")
-        full = top.where(F.col("rank") == k).select(*[F.col(f"a_{c}").alias(c) for c in keys])
-        parts.append(top.join(full.select(*[F.col(c).alias(f"a_{c}") for c in keys]), [f"a_{c}" for c in keys], "left_semi").select(*top.columns))
-        todo = scratch.store(todo.join(full, keys, "left_anti").select(*a.columns), "todo")
-        if todo.isEmpty():
-            break
-        r *= 4
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from . import neighbours
+
+    return neighbours.knn_join(a, b, k, a_id, b_id, metric, exclude_self, axes, by)
 
 
 def nearest_join(a: DataFrame, b: DataFrame, **how) -> DataFrame:
