@@ -188,16 +188,16 @@ def knn3_mean(spark, sf_dir):
     return joins.knn_join(p, p, 3, exclude_self=True).groupBy(c("a_pid").alias("pid")).agg(r6(F.avg("dist")).alias("mean_d2"))
 
 
-@query(f"WITH {V.PTS}, {_knn_sql(1, 'a.part = 0 AND b.part > 0')} SELECT a, b, round(sqrt(d), 6) AS d FROM k")
+@query(f"WITH {V.PTS}, {_knn_sql(1, 'a.part < 5 AND b.part >= 5')} SELECT a, b, round(sqrt(d), 6) AS d FROM k")
 def nearest_l2(spark, sf_dir):
     p = V.pts(spark, sf_dir)
-    return joins.nearest_join(p.where("part = 0"), p.where("part > 0")).select(c("a_pid").alias("a"), c("b_pid").alias("b"), r6(F.sqrt("dist")).alias("d"))
+    return joins.nearest_join(p.where("part < 5"), p.where("part >= 5")).select(c("a_pid").alias("a"), c("b_pid").alias("b"), r6(F.sqrt("dist")).alias("d"))
 
 
-@query(f"WITH {V.PTS}, {_knn_sql(1, 'a.part = 1 AND b.part <> 1', 'abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z)')} SELECT a, b, round(d, 6) AS d FROM k")
+@query(f"WITH {V.PTS}, {_knn_sql(1, 'a.part % 2 = 1 AND b.part % 2 = 0', 'abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z)')} SELECT a, b, round(d, 6) AS d FROM k")
 def nearest_l1(spark, sf_dir):
     p = V.pts(spark, sf_dir)
-    return joins.nearest_join(p.where("part = 1"), p.where("part <> 1"), metric="l1").select(c("a_pid").alias("a"), c("b_pid").alias("b"), r6("dist").alias("d"))
+    return joins.nearest_join(p.where("part % 2 = 1"), p.where("part % 2 = 0"), metric="l1").select(c("a_pid").alias("a"), c("b_pid").alias("b"), r6("dist").alias("d"))
 
 
 @query(f"WITH {V.PTS}, {_knn_sql(4, 'a.pid <> b.pid')}, w AS (SELECT a, b, 1.0::DOUBLE / (sqrt(d) + 1e-6::DOUBLE) AS w FROM k) SELECT a, b, round(w / sum(w) OVER (PARTITION BY a), 6) AS weight FROM w")

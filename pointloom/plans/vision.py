@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cameras as C
@@ -86,14 +86,14 @@ def non_white(spark, sf_dir):
     return p.where(vision.not_white(c("r"), c("g"), c("b"))).groupBy("frame").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {V.PIX}, p AS (SELECT DISTINCT frame, cam, u, v FROM pix WHERE role = 'controller' AND depth_mm < 120), m AS (SELECT DISTINCT frame, cam, u, v FROM pix WHERE role = 'object' AND depth_mm < 400),
+@query(f"""WITH {V.PIX}, p AS (SELECT DISTINCT frame, cam, u, v FROM pix WHERE role = 'controller'), m AS (SELECT DISTINCT frame, cam, u, v FROM pix WHERE role = 'object'),
 k AS (SELECT frame, cam, p.v * 65536 + p.u AS id, m.u AS mu, m.v AS mv, (p.u - m.u) * (p.u - m.u) + (p.v - m.v) * (p.v - m.v) AS d, row_number() OVER (PARTITION BY frame, cam, p.u, p.v ORDER BY (p.u - m.u) * (p.u - m.u) + (p.v - m.v) * (p.v - m.v), m.v, m.u) AS rn FROM p JOIN m USING (frame, cam)),
 z AS (SELECT frame, cam, u AS mu, v AS mv, min(depth_mm) AS depth FROM pix GROUP BY ALL) SELECT frame, cam, id, mu, mv, CAST(d AS BIGINT) AS dist, depth FROM k LEFT JOIN z USING (frame, cam, mu, mv) WHERE rn = 1""")
 def nearest_mask_pixel(spark, sf_dir):
     p = V.pix(spark, sf_dir)
-    points = p.where("role = 'controller' and depth_mm < 120").select("frame", "cam", "u", "v").distinct().withColumn("id", c("v") * 65536 + c("u"))
+    points = p.where("role = 'controller'").select("frame", "cam", "u", "v").distinct().withColumn("id", c("v") * 65536 + c("u"))
     cloud = p.groupBy("frame", "cam", "u", "v").agg(F.min("depth_mm").alias("depth"))
-    out = vision.nearest_mask_pixel(points, p.where("role = 'object' and depth_mm < 400"), cloud)
+    out = vision.nearest_mask_pixel(points, p.where("role = 'object'"), cloud)
     return out.select("frame", "cam", "id", "mu", "mv", c("dist").cast("long").alias("dist"), "depth")
 
 
@@ -148,10 +148,10 @@ def images_with_cameras(spark, sf_dir):
     return vision.images_with_cameras(images, k.where("c_custkey % 3 <> 0").select(c("c_custkey").alias("camera_id"), c("c_acctbal").alias("focal")), depths).select("image_id", "stem", "focal", "scale")
 
 
-@query(f"WITH {V.PTS} SELECT a.pid AS a, b.pid AS b, round({_D2}, 9) AS d2 FROM pts a, pts b WHERE a.part = 3 AND b.part = 4 ORDER BY {_D2}, a.pid, b.pid LIMIT 1")
+@query(f"WITH {V.PTS} SELECT a.pid AS a, b.pid AS b, round({_D2}, 9) AS d2 FROM pts a, pts b WHERE a.part < 5 AND b.part >= 5 ORDER BY {_D2}, a.pid, b.pid LIMIT 1")
 def closest_pair(spark, sf_dir):
     p = V.pts(spark, sf_dir)
-    return vision.closest_pair(p.where("part = 3"), p.where("part = 4")).select(c("a_pid").alias("a"), c("b_pid").alias("b"), F.round("dist", 9).alias("d2"))
+    return vision.closest_pair(p.where("part < 5"), p.where("part >= 5")).select(c("a_pid").alias("a"), c("b_pid").alias("b"), F.round("dist", 9).alias("d2"))
 
 
 @query(f"""WITH {V.IMG}, m AS (SELECT DISTINCT l_orderkey % 8 AS frame, l_partkey % 64 AS u, (l_partkey * 7 + l_linenumber * 13) % 64 AS v FROM lineitem WHERE l_linestatus = 'O'), t AS (SELECT frame, u, v, b FROM img WHERE b > 0.05)
@@ -229,28 +229,38 @@ def best_view(spark, sf_dir):
     return vision.best_view(V.table(spark, sf_dir, "lineitem").select(c("l_partkey").alias("part"), (c("l_suppkey") % 12).alias("view")), ["part"])
 
 
-@query(f"""WITH {V.PRED}, {V.CAMS}, w AS (SELECT t.frame, cam, fx, fy, cx, cy, t.x - m3 AS ax, t.y - m7 AS ay, t.z - m11 + 3 AS az, p.x - m3 AS bx, p.y - m7 AS by_, p.z - m11 + 3 AS bz FROM trk t JOIN pred p USING (frame, pid), cams WHERE cam = 0)
-SELECT frame, round(avg(sqrt(pow(fx * ax / az - fx * bx / bz, 2) + pow(fy * ay / az - fy * by_ / bz, 2))), 5) AS error FROM w WHERE az > 0.5 AND bz > 0.5 GROUP BY 1""")
+@query(f"""WITH {V.PRED}, {V.CAMS}, w AS (SELECT t.frame, cam, fx, fy, cx, cy, t.x - m3 AS ax, t.y - m7 AS ay, t.z - m11 + 3 AS az, p.x - m3 AS bx, p.y - m7 AS by_, p.z - m11 + 3 AS bz FROM trk t JOIN pred p USING (frame, pid), cams)
+SELECT frame, cam, round(avg(sqrt(pow(fx * ax / az - fx * bx / bz, 2) + pow(fy * ay / az - fy * by_ / bz, 2))), 5) AS error FROM w WHERE az > 0.5 AND bz > 0.5 GROUP BY ALL""")
 def reprojection_error(spark, sf_dir):
-    k = V.CAMERAS[0]
-    t = V.trk(spark, sf_dir).select("frame", "pid", *AXES).join(V.pred(spark, sf_dir).select("frame", "pid", *[c(n).alias("p" + n) for n in AXES]), ["frame", "pid"])
-    m = k[5]
-    a, b = ([c(p + n) - m[4 * i + 3] + (3.0 if n == "z" else 0.0) for i, n in enumerate(AXES)] for p in ("", "p"))
+    t = V.trk(spark, sf_dir).select("frame", "pid", *AXES).join(V.pred(spark, sf_dir).select("frame", "pid", *[c(n).alias("p" + n) for n in AXES]), ["frame", "pid"]).crossJoin(F.broadcast(V.cams(spark)))  # three cameras
+    a, b = ([c(p + n) - c(f"m{4 * i + 3}") + (3.0 if n == "z" else 0.0) for i, n in enumerate(AXES)] for p in ("", "p"))
     t = t.where((a[2] > 0.5) & (b[2] > 0.5))
-    e = measures.pixel_error(*[(k[1] * p[0] / p[2] + k[3], k[2] * p[1] / p[2] + k[4]) for p in (a, b)])
-    return t.groupBy("frame").agg(F.round(F.avg(e), 5).alias("error"))
+    e = measures.pixel_error(*[(c("fx") * p[0] / p[2] + c("cx"), c("fy") * p[1] / p[2] + c("cy")) for p in (a, b)])
+    return t.groupBy("frame", "cam").agg(F.round(F.avg(e), 5).alias("error"))
+
+
+_HUBER = " + ".join(f"CASE WHEN abs(m.{n} - p.{n}) < 1 THEN 0.5 * (m.{n} - p.{n}) * (m.{n} - p.{n}) ELSE abs(m.{n} - p.{n}) - 0.5 END" for n in AXES)
 
 
-@query(f"""WITH {V.PRED}, ch AS (SELECT t.frame AS frame, t.pid AS pid, min((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y) + (t.z - p.z) * (t.z - p.z)) AS d FROM trk t JOIN pred p ON p.frame = t.frame WHERE t.visible AND t.part < 2 AND p.part < 4 GROUP BY ALL), l1 AS (SELECT frame, avg(d) AS loss FROM ch GROUP BY 1),
-l2 AS (SELECT t.frame AS frame, sum(0.5 * (pow(t.x - p.x, 2) + pow(t.y - p.y, 2) + pow(t.z - p.z, 2))) / (3 * count(*)) AS loss FROM trk t JOIN pred p USING (frame, pid) WHERE t.visible GROUP BY 1), s AS (SELECT frame, sum(loss) AS loss FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1)
+@query(f"""WITH {V.PRED}, ch AS (SELECT t.frame AS frame, t.pid AS pid, min((t.x - p.x) * (t.x - p.x) + (t.y - p.y) * (t.y - p.y) + (t.z - p.z) * (t.z - p.z)) AS d FROM trk t JOIN pred p ON p.frame = t.frame WHERE t.visible GROUP BY ALL), l1 AS (SELECT frame, avg(d) AS loss FROM ch GROUP BY 1),
+m AS (SELECT *, lag(visible AND nxt) OVER (PARTITION BY pid ORDER BY frame) AS ok FROM (SELECT *, coalesce(lead(visible) OVER (PARTITION BY pid ORDER BY frame), false) AS nxt FROM trk)),
+l2 AS (SELECT m.frame AS frame, sum({_HUBER}) / (3 * count(*)) AS loss FROM m JOIN pred p USING (frame, pid) WHERE ok GROUP BY 1),
+vel AS (SELECT frame, pid, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy, z - lag(z) OVER w AS vz FROM pred WINDOW w AS (PARTITION BY pid ORDER BY frame)),
+acc AS (SELECT frame, vx - lag(vx) OVER w AS x, vy - lag(vy) OVER w AS y, vz - lag(vz) OVER w AS z FROM vel WINDOW w AS (PARTITION BY pid ORDER BY frame)),
+l3 AS (SELECT m.frame AS frame, 0.01::DOUBLE * sum({_HUBER}) / (3 * count(*)) AS loss FROM acc m, (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z) p WHERE m.x IS NOT NULL GROUP BY 1),
+s AS (SELECT frame, sum(loss) AS loss FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1)
 SELECT frame, round(loss * 1e3, 6) AS loss FROM s UNION ALL SELECT -1, round(avg(loss) * 1e3, 6) FROM s WHERE frame > 0""")
 def epoch_loss(spark, sf_dir):
-    """Each frame's total loss, and as frame -1 the epoch's."""
-    t, p = V.trk(spark, sf_dir).where("visible"), V.pred(spark, sf_dir)
-    chamfer = measures.chamfer(t.where("part < 2").select("frame", "pid", *AXES), p.where("part < 4").select("frame", "pid", *AXES), "l2", by=["frame"]).groupBy(c("a_frame").alias("frame")).agg(F.avg("dist").alias("loss"))
-    both = t.select("frame", "pid", *AXES).join(p.select("frame", "pid", *[c(n).alias("p" + n) for n in AXES]), ["frame", "pid"])
-    track = both.groupBy("frame").agg((F.sum(G.total(*[measures.smooth_l1(c(n) - c("p" + n)) for n in AXES])) / (3 * F.count("*"))).alias("loss"))
-    losses = vision.total_loss(chamfer, track, track.limit(0))
+    """Each frame's total loss (chamfer, tracks whose motion from the frame before is valid, acceleration of the predicted points), and as frame -1 the epoch's."""
+    w = Window.partitionBy("pid").orderBy("frame")
+    t, p = V.trk(spark, sf_dir), V.pred(spark, sf_dir)
+    chamfer = measures.chamfer(t.where("visible").select("frame", "pid", *AXES), p.select("frame", "pid", *AXES), "l2", by=["frame"]).groupBy(c("a_frame").alias("frame")).agg(F.avg("dist").alias("loss"))
+    mean = lambda names: F.sum(G.total(*[measures.smooth_l1(x) for x in names])) / (3 * F.count("*"))
+    moved = filters.forward_motion(t).withColumn("ok", F.lag("motion_valid").over(w)).where("ok").select("frame", "pid", *AXES)
+    track = moved.join(p.select("frame", "pid", *[c(n).alias("p" + n) for n in AXES]), ["frame", "pid"]).groupBy("frame").agg(mean([c(n) - c("p" + n) for n in AXES]).alias("loss"))
+    velocity = p.select("frame", "pid", *[(c(n) - F.lag(n).over(w)).alias(n) for n in AXES])
+    acceleration = velocity.select("frame", *[(c(n) - F.lag(n).over(w)).alias(n) for n in AXES]).where("x is not null").groupBy("frame").agg((0.01 * mean([c(n) for n in AXES])).alias("loss"))
+    losses = vision.total_loss(chamfer, track, acceleration)
     return losses.select("frame", r6(c("loss") * 1e3).alias("loss")).unionByName(vision.epoch_loss(losses).select(F.lit(-1).alias("frame"), r6(c("loss") * 1e3).alias("loss")))
 
 
@@ -519,11 +529,10 @@ def matrix_inverse(spark, sf_dir):
     return e.select("vec_id", *[F.round(x * 1e-3, 4).alias(f"i{k}") for k, x in enumerate(C.inverse(m))], C.rank(m).alias("rank"))
 
 
-@query(f"""WITH {V.TRK}, k AS (SELECT frame, pid, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM trk WHERE part >= 8 WINDOW w AS (PARTITION BY pid ORDER BY frame))
+@query(f"""WITH {V.TRK}, k AS (SELECT frame, pid, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM trk WINDOW w AS (PARTITION BY pid ORDER BY frame))
 SELECT frame, CAST(s AS INTEGER) AS step, pid, round(x + (s + 1) / 5.0::DOUBLE * (nx - x), 6) AS x, round(y + (s + 1) / 5.0::DOUBLE * (ny - y), 6) AS y, round(z + (s + 1) / 5.0::DOUBLE * (nz - z), 6) AS z FROM k, range(0, 5) r(s) WHERE nx IS NOT NULL""")
 def control_substeps(spark, sf_dir):
-    t = V.trk(spark, sf_dir).where("part >= 8")
-    return vision.control_substeps(t, 5).select("frame", "step", "pid", *xyz())
+    return vision.control_substeps(V.trk(spark, sf_dir), 5).select("frame", "step", "pid", *xyz())
 
 
 @query(f"""WITH {V.SMP}, b AS (SELECT *, CAST(floor(t / 864000.0::DOUBLE) AS BIGINT) AS batch, CAST(floor(t / 3600.0::DOUBLE + 1e-5) AS BIGINT) AS g FROM smp), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY cam, batch, g ORDER BY t, event_id) = 1),

@@ -1,13 +1,13 @@
 """Registered queries and their DuckDB counterparts."""
 
-from .plans import catalog, physics, vision
+from .plans import catalog, formats, physics, vision
 
 
 def queries():
-    assert physics and vision
+    assert formats and physics and vision
     return dict(catalog.QUERIES)
 
 
 def oracle_sql():
-    assert physics and vision
+    assert formats and physics and vision
     return dict(catalog.SQL)
