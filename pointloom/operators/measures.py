@@ -126,12 +126,14 @@ def stiffness(springs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def morphology(pixels: DataFrame, k: int, grow: bool) -> DataFrame:
     """Dilation (max) or erosion (min, with nothing outside) of a set of pixels (frame, u, v) by a k x k square; even squares reach one further
-    to the negative side."""
+    to the negative side. A square is a row of rows, so the columns are done first and the rows after: k rows for a pixel in each pass, not k * k."""
     lo, hi = -(k // 2), (k - 1) // 2
-    offs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(lo, hi + 1) for j in range(lo, hi + 1)]))
-    rows = pixels.distinct().select("frame", "u", "v", offs.alias("o")).select("frame", (F.col("u") - F.col("o.i")).alias("u"), (F.col("v") - F.col("o.j")).alias("v"))
-    per = rows.groupBy("frame", "u", "v").agg(F.count("*").alias("n"))
-    return per.select("frame", "u", "v") if grow else per.where(F.col("n") == k * k).select("frame", "u", "v")
+    out = pixels.select("frame", "u", "v").distinct()
+    for axis in "uv":
+        reached = F.explode(F.sequence(F.col(axis) - hi, F.col(axis) - lo))
+        per = out.withColumn(axis, reached).groupBy("frame", "u", "v").agg(F.count("*").alias("n"))
+        out = per.where(F.lit(grow) | (F.col("n") == k)).select("frame", "u", "v")
+    return out
 
 
 def composite(order: Column, alpha: Column, colour: Column, skip: float = 1 / 255, most: float = 0.99, stop: float = 1e-4) -> Column:

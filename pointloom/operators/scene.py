@@ -13,35 +13,12 @@ XYZ = ("x", "y", "z")
 
 
 def visible_vertices(vertices: DataFrame, faces: DataFrame, eye: tuple[float, float, float], tolerance: float = 1e-4) -> DataFrame:
-    """Vertices (vid, xyz) with ``visible``: no triangle cuts the segment from the eye more than ``tolerance`` before the vertex.
-
-    The mesh is broadcast as arrays: its size is bounded by what one viewer holds, and vertices are judged in parallel.
-    """
-    v = vertices.select("vid", *XYZ).toPandas().set_index("vid")
-    f = faces.select("a", "b", "c").toPandas()
-    corners = [v.loc[f[k], list(XYZ)].to_numpy() if len(f) else np.zeros((0, 3)) for k in "abc"]
-    shared, origin = vertices.sparkSession.sparkContext.broadcast(corners), np.array(eye, float)
-
-    def run(batches):
-        a, b, c = shared.value
-        e1, e2, t0 = b - a, c - a, origin - a
-        q = np.cross(t0, e1)
-        for pdf in batches:
-            out = []
-            for p in pdf[list(XYZ)].to_numpy():
-                d = p - origin
-                far = np.linalg.norm(d)
-                d = d / max(far, 1e-12)
-                h = np.cross(d, e2)
-                det = (e1 * h).sum(1)
-                ok = np.abs(det) > 1e-12
-                inv = 1 / np.where(ok, det, 1)
-                u, w, t = (t0 * h).sum(1) * inv, (q @ d) * inv, (q * e2).sum(1) * inv
-                hit = ok & (u >= 0) & (w >= 0) & (u + w <= 1) & (t > 1e-9) & (t < far - tolerance)
-                out.append(not hit.any())
-            yield pdf.assign(visible=out)
-
-    return vertices.select("vid", *XYZ).mapInPandas(run, f"vid {dict(vertices.dtypes)['vid']}, x double, y double, z double, visible boolean")
+    """Vertices (vid, xyz) with ``visible``: no triangle (a, b, c) cuts the segment from the eye more than ``tolerance`` before the vertex (see ``rays``)."""
+    from . import rays
+
+    named = faces.select("a", "b", "c", F.monotonically_increasing_id().alias("fid"))
+    eyes = vertices.sparkSession.createDataFrame([(0, *map(float, eye))], "eye int, x double, y double, z double")
+    return rays.visible_from(vertices, named, eyes, tolerance).drop("eye")
 
 
 def view_poses(spark, elevations: int, azimuths: int, radius: float) -> DataFrame:

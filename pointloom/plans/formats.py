@@ -66,3 +66,28 @@ def camera_pairs(spark, sf_dir):
     e = V.table(spark, sf_dir, "events").select(c("event_id").alias("id"), (c("user_id") % 3).alias("cam"), c("ts").cast("timestamp").alias("ts"))
     out = state.closest_pairs(e.where("cam = 0"), e.where("cam > 0"), 600_000)
     return out.select(c("a_id").alias("a"), c("b_id").alias("b"), (F.unix_micros("b_ts") - F.unix_micros("a_ts")).alias("gap_us"))
+
+
+def _sql_cross(p: str, q: str) -> tuple[str, str, str]:
+    return tuple(f"({p}{i} * {q}{j} - {p}{j} * {q}{i})" for i, j in (("y", "z"), ("z", "x"), ("x", "y")))
+
+
+_H, _Q = _sql_cross("d", "f"), _sql_cross("s", "e")
+
+
+@query(f"""WITH {V.PTS}, {V.CAMS}, v AS (SELECT row_number() OVER (ORDER BY pid) - 1 AS vid, x, y, z FROM pts),
+f AS (SELECT a.vid AS fid, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ex, b.y - a.y AS ey, b.z - a.z AS ez, c.x - a.x AS fx_, c.y - a.y AS fy_, c.z - a.z AS fz_ FROM v a JOIN v b ON b.vid = a.vid + 1 JOIN v c ON c.vid = a.vid + 2),
+r AS (SELECT cam, vid, m3 AS ox, m7 AS oy, m11 AS oz, (x - m3) / far AS dx, (y - m7) / far AS dy, (z - m11) / far AS dz, far FROM (SELECT cam, m3, m7, m11, vid, x, y, z, sqrt((x - m3) * (x - m3) + (y - m7) * (y - m7) + (z - m11) * (z - m11)) AS far FROM v, cams)),
+g AS (SELECT cam, vid, far, fid, dx, dy, dz, ex, ey, ez, fx_ AS fx, fy_ AS fy, fz_ AS fz, ox - ax AS sx, oy - ay AS sy, oz - az AS sz FROM r, f),
+h AS (SELECT *, ex * {_H[0]} + ey * {_H[1]} + ez * {_H[2]} AS det, sx * {_H[0]} + sy * {_H[1]} + sz * {_H[2]} AS u, dx * {_Q[0]} + dy * {_Q[1]} + dz * {_Q[2]} AS w, fx * {_Q[0]} + fy * {_Q[1]} + fz * {_Q[2]} AS t FROM g),
+k AS (SELECT cam, vid, min(t / det) AS t FROM h WHERE abs(det) > 1e-12 AND u / det >= 0 AND w / det >= 0 AND u / det + w / det <= 1 AND t / det > 1e-9 AND t / det < far - 1e-4 GROUP BY ALL)
+SELECT r.cam, r.vid, k.t IS NULL AS visible FROM r LEFT JOIN k USING (cam, vid)""")
+def mesh_visibility(spark, sf_dir):
+    """Which points each camera sees past the strip of triangles over all points."""
+    from ..operators import filters, rays
+
+    v = scratch.store(filters.number_rows(V.pts(spark, sf_dir).select("pid", "x", "y", "z"), ["pid"], "vid").select("vid", "x", "y", "z"), "vertices")
+    n = v.count()
+    faces = v.where(c("vid") < n - 2).select(c("vid").alias("fid"), c("vid").alias("a"), (c("vid") + 1).alias("b"), (c("vid") + 2).alias("c"))
+    eyes = V.cams(spark).select(c("cam").alias("eye"), c("m3").alias("x"), c("m7").alias("y"), c("m11").alias("z"))
+    return rays.visible_from(v, faces, eyes).select(c("eye").alias("cam"), "vid", "visible")
