@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from . import filters
 
 
@@ -20,15 +22,16 @@ def change_points(tracks: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> D
 
 
 def lerp_fill(rows: DataFrame, key: Sequence[str], order: str, value: Sequence[str], known: Column) -> DataFrame:
-    """``value`` between known rows by linear interpolation over ``order``; rows before the first and after the last known one stay."""
-    w = Window.partitionBy(*key).orderBy(order)
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = rows.withColumn("__k", known).withColumn("__t0", F.last(F.when(F.col("__k"), F.col(order)), True).over(past)).withColumn("__t1", F.first(F.when(F.col("__k"), F.col(order)), True).over(ahead))
-    for c in value:
-        out = out.withColumn(f"__0{c}", F.last(F.when(F.col("__k"), F.col(c)), True).over(past)).withColumn(f"__1{c}", F.first(F.when(F.col("__k"), F.col(c)), True).over(ahead))
-    share = (F.col(order) - F.col("__t0")) / (F.col("__t1") - F.col("__t0"))
-    between = ~F.col("__k") & F.col("__t0").isNotNull() & F.col("__t1").isNotNull()
-    return out.select(*[c for c in rows.columns if c not in value], *[F.when(between, F.col(f"__0{c}") + F.when(between, share) * (F.col(f"__1{c}") - F.col(f"__0{c}"))).otherwise(F.col(c)).alias(c) for c in value])
+    """``value`` between known rows by linear interpolation over ``order``; rows before the first and after the last known one stay. The known rows before
+    and after are carried from range to range, so a key may have any number of rows."""
+    held = lambda t: F.when(F.col("__k"), F.struct(t.alias("t"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(value)]))
+    out = rows.withColumn("__k", F.coalesce(known, F.lit(False))).withColumn("__o", -F.col(order))
+    out = filters.carried(out.withColumn("__v", held(F.col(order))), key, [order], "__v", "__b")
+    out = filters.carried(out.withColumn("__w", held(F.col("__o"))), key, ["__o"], "__w", "__f")
+    share = (F.col(order) - F.col("__b.t")) / (-F.col("__f.t") - F.col("__b.t"))
+    between = ~F.col("__k") & F.col("__b").isNotNull() & F.col("__f").isNotNull()
+    filled = [F.when(between, F.col(f"__b.v{i}") + F.when(between, share) * (F.col(f"__f.v{i}") - F.col(f"__b.v{i}"))).otherwise(F.col(c)).alias(c) for i, c in enumerate(value)]
+    return out.select(*[c for c in rows.columns if c not in value], *filled)
 
 
 def renormalised(rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -67,10 +70,19 @@ def moving_average(rows: DataFrame, key: Sequence[str], order: Sequence[str], va
 
 
 def sliding_mean(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, width: int = 10, every: int = 10) -> DataFrame:
-    """The mean of the last ``width`` rows, at each ``every``-th row."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    out = rows.withColumn("nth", F.row_number().over(w).cast("long")).withColumn("mean", F.avg(value).over(w.rowsBetween(1 - width, 0)))
-    return out.where(F.col("nth") % every == 0)
+    """The mean of the last ``width`` rows, at each ``every``-th row of a key (``nth`` from 1): the row's columns with ``nth`` and ``mean``.
+
+    Rows are numbered over ranges, and each goes to the few reports whose window it lies in, which are summed partially; so no task holds a key."""
+    ranked = scratch.store(filters.number_rows(rows.drop("nth", "mean"), [*key, *order], "__rank"), "ranked")
+    names = [c for c in ranked.columns if c != "__rank"]
+    first = ranked.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)]).agg(F.min("__rank").alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)])
+    at = ranked.join(first, same).withColumn("__nth", F.col("__rank") - F.col("__first") + 1)
+    begin, end = F.ceil(F.col("__nth") / every) * every, F.col("__nth") + (width - 1)
+    reports = F.when(begin <= end, F.sequence(begin, end, F.lit(every).cast("long"))).otherwise(F.array().cast("array<long>"))
+    own = F.when(F.col("__nth") == F.col("__at"), F.struct(*names))
+    means = at.withColumn("__at", F.explode(reports)).groupBy(*[f"__k{i}" for i in range(len(key))], "__at").agg(F.avg(value).alias("mean"), F.any_value(own, F.lit(True)).alias("__row"))
+    return means.where(F.col("__row").isNotNull()).select("__row.*", F.col("__at").alias("nth"), "mean")
 
 
 def resample(samples: DataFrame, key: Sequence[str], time: str, order: Sequence[str], dt: float, start: float = 0.0, eps: float = 1e-5) -> DataFrame:
