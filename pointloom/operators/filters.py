@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -120,7 +121,11 @@ def motion_filter_snapshot(tracks: DataFrame, r: float, least: int = 5) -> DataF
 
 def motion_filter_sequential(tracks: DataFrame, r: float, least: int = 5, sticky: bool = False, group: Sequence[str] = ("frame",)) -> DataFrame:
     """(frame, pid, consistent) where a point found inconsistent no longer counts for later ones (by pid). ``sticky``: nor in later frames;
-    then ``group`` must keep a case's frames together."""
+    then ``group`` must keep a case's frames together. What isn't sticky is settled in rounds (see ``settled_in_rounds``), with no frame in one task."""
+    if not sticky:
+        valid = forward_motion(tracks).select("frame", "pid", *AXES, "dx", "dy", "dz", "motion_valid")
+        ok = settled_in_rounds(valid.where("motion_valid").drop("motion_valid"), r, least)[0]
+        return valid.select("frame", "pid").join(ok, ["frame", "pid"], "left").select("frame", "pid", F.coalesce("consistent", F.lit(False)).alias("consistent"))
     m = forward_motion(tracks).select(*dict.fromkeys([*group, "frame", "pid", *AXES, "dx", "dy", "dz", "motion_valid"]))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,6 +147,44 @@ def motion_filter_sequential(tracks: DataFrame, r: float, least: int = 5, sticky
     return m.groupBy(*group).applyInPandas(scan, "frame int, pid long, consistent boolean")
 
 
+def settled_in_rounds(moves: DataFrame, r: float, least: int) -> tuple[DataFrame, int]:
+    """(frame, pid, consistent) of points (frame, pid, xyz, dx, dy, dz) as a scan by pid gives it, and the number of rounds.
+
+    A point counts its neighbours that come later, and those before it that were found consistent. It is settled as soon as the neighbours that aren't
+    settled yet can't change its vote: if it holds though all of those that agree drop out, or fails though only those that disagree do. The first open point of
+    any neighbourhood always is, so each round settles some; where ids are in no order of space, a few rounds settle all.
+    """
+    from .. import scratch
+
+    key = ["frame", "pid"]
+    pairs = radius_join(moves, moves, r, by=["frame"]).where("a_pid <> b_pid")
+    agree = F.sqrt(sum(((F.col(f"a_d{c}") - F.col(f"b_d{c}")) * (F.col(f"a_d{c}") - F.col(f"b_d{c}")) for c in AXES), F.lit(0.0))) < r / 2
+    pairs = scratch.store(pairs.select(F.col("a_frame").alias("frame"), F.col("a_pid").alias("pid"), F.col("b_pid").alias("other"), agree.cast("int").alias("agree")), "votes")
+    later = pairs.where("other > pid").groupBy(*key).agg(F.count("*").alias("n"), F.sum("agree").alias("a"))
+    one = F.lit(1).cast("long")
+    nodes = scratch.store(moves.select(*key).join(later, key, "left").select(*key, (F.coalesce("n", F.lit(0)) + one).alias("n"), (F.coalesce("a", F.lit(0)) + one).alias("a")), "nodes")
+    edges, done, rounds = pairs.where("other < pid"), [], 0
+    while not nodes.isEmpty():
+        rounds += 1
+        waits = edges.groupBy(*key).agg(F.sum("agree").alias("ua"), (F.count("*") - F.sum("agree")).alias("ud"))
+        zero = F.lit(0).cast("long")
+        seen = nodes.join(waits, key, "left").withColumns({"ua": F.coalesce("ua", zero), "ud": F.coalesce("ud", zero)})
+        holds = (F.col("n") >= least) & (2 * F.col("a") - F.col("n") - F.col("ud") >= 0)
+        fails = (F.col("n") + F.col("ua") + F.col("ud") < least) | (2 * F.col("a") - F.col("n") + F.col("ua") < 0)
+        judged = scratch.store(seen.withColumn("consistent", F.when(holds, True).when(fails, False)), "judged")
+        new = judged.where(F.col("consistent").isNotNull()).select(*key, "consistent")
+        done.append(new)
+        left = judged.where(F.col("consistent").isNull()).select(*key, "n", "a")
+        told = new.select("frame", F.col("pid").alias("other"), "consistent")
+        edges = scratch.store(edges.join(left.select(*key), key, "left_semi").join(told, ["frame", "other"], "left"), "edges")
+        gained = edges.where("consistent").groupBy(*key).agg(F.count("*").alias("gn"), F.sum("agree").alias("ga"))
+        nodes = scratch.store(left.join(gained, key, "left").select(*key, (F.col("n") + F.coalesce("gn", zero)).alias("n"), (F.col("a") + F.coalesce("ga", zero)).alias("a")), "nodes")
+        edges = edges.where(F.col("consistent").isNull()).drop("consistent")
+    if not done:
+        return moves.select(*key, F.lit(True).alias("consistent")), 0
+    return reduce(DataFrame.unionByName, done), rounds
+
+
 def all_views_mask(points: DataFrame, cameras: DataFrame, mask: DataFrame) -> DataFrame:
     """Points whose pixel lies in the mask (cam, u, v) in every view; cameras are joined by broadcast, a few fixed rows."""
     from ..functions import geometry as G
