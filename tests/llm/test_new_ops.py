@@ -171,15 +171,13 @@ def test_trie_against_brute_force(spark, monkeypatch):
         for t in range(rng.choice((1, 2, 3, 8, 12))):
             rows.append((c, t if rng.random() < 0.95 else None, rng.choice(("user", None)), rng.choice(("a", "b", "éè", None, ""))))
     rows += rng.choices(rows, k=30) + [(None, 1, "user", "lost"), (4, 0, "a:1", "b"), (4, 0, "a", "1b")]
-    want, plain = brute_trie(rebuilt(rows)), brute_trie(rebuilt(rows, 1, 1))
+    want = brute_trie(rebuilt(rows))
     df = spark.createDataFrame([(*r, 1, "x", 0) for r in rows], SCHEMA + ", depth int, ids string, part int")
     turns = trie.turn_digests(df)
-    assert trie_rows(trie.prefix_trie(trie.rebuilt(turns))) == want
-    assert trie_rows(trie.prefix_trie(trie.paths(turns))) == plain
     monkeypatch.setattr(trie, "CHUNK", 2)  # end lists in many chunks, several tables a part, three rounds of merging
     monkeypatch.setattr(trie, "HELD_ROWS", 7)
     monkeypatch.setattr(trie, "FAN", 2)
-    monkeypatch.setattr(trie, "parts_of", lambda spark: 9)
+    monkeypatch.setattr(trie, "parts_of", lambda spark: 5)
     made = trie.prefix_trie(trie.rebuilt(turns))
     assert trie_rows(made) == want and made.ends.where("size(ids) > 2").count() == 0
     texts = {(r.conv_id, r.depth): (r.role, r.text) for r in trie.with_texts(made.nodes, df).collect()}
@@ -188,8 +186,8 @@ def test_trie_against_brute_force(spark, monkeypatch):
 
 
 def test_trie_of_a_conversation_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(trie, "parts_of", lambda spark: 8)
-    rows = [(5, t, "user", f"t{t % 3}") for t in range(1500)] + [(7, t, "user", f"t{t % 3}") for t in range(700)] + [(8, 0, "user", "t0")] * 900
+    monkeypatch.setattr(trie, "parts_of", lambda spark: 5)
+    rows = [(5, t, "user", f"t{t % 3}") for t in range(300)] + [(7, t, "user", f"t{t % 3}") for t in range(150)] + [(8, 0, "user", "t0")] * 200
     df = spark.createDataFrame(rows, SCHEMA)
     got = trie_rows(trie.prefix_trie(trie.paths(trie.turn_digests(df))))
     want = brute_trie(rebuilt(rows, 1, 1))
