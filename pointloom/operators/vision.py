@@ -162,8 +162,10 @@ def mutual_nearest_vectors(a: DataFrame, b: DataFrame, threshold: float, a_block
     Blocks of both sides meet as matrices; each gives the best of its rows and columns, of which the maxima over blocks count.
     """
     na, nb = max(1, -(-a.count() // a_block)), max(1, -(-b.count() // b_block))
-    left = a.withColumn("ab", F.pmod(F.xxhash64("i"), F.lit(na))).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = b.withColumn("bb", F.pmod(F.xxhash64("j"), F.lit(nb))).withColumn("ab", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
+    # a cogroup deals each side by its own types, and equal numbers of two types hash apart
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = a.withColumn("ab", own("i", na)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+    right = b.withColumn("bb", own("j", nb)).withColumn("ab", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame({"i": [], "j": [], "score": [], "row": []})
