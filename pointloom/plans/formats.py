@@ -65,7 +65,9 @@ def camera_pairs(spark, sf_dir):
     """For each frame of the first camera the frame of the others nearest in time, ten minutes away at most."""
     e = V.table(spark, sf_dir, "events").select(c("event_id").alias("id"), (c("user_id") % 3).alias("cam"), c("ts").cast("timestamp").alias("ts"))
     out = state.closest_pairs(e.where("cam = 0"), e.where("cam > 0"), 600_000)
-    return out.select(c("a_id").alias("a"), c("b_id").alias("b"), (F.unix_micros("b_ts") - F.unix_micros("a_ts")).alias("gap_us"))
+    gap = F.unix_micros("b_ts") - F.unix_micros("a_ts")
+    one = out.groupBy("a_id").agg(F.min(F.struct(F.abs(gap).alias("far"), "b_ts", "b_id", gap.alias("gap"))).alias("m"))  # a frame that stands at several times
+    return one.select(c("a_id").alias("a"), c("m.b_id").alias("b"), c("m.gap").alias("gap_us"))
 
 
 def _sql_cross(p: str, q: str) -> tuple[str, str, str]:

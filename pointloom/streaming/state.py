@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import filters, series
+from ..operators import filters, joins, series
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -185,7 +185,10 @@ def closest_pairs(a: DataFrame, b: DataFrame, tolerance_ms: int, late: str = "1
 
     Of two streams this is a join within an interval of event time: rows of either side are kept until the other's watermark has passed what could meet them, and a pair is
     out when the window that it lies in is closed. Both sides are dealt by time buckets of the tolerance, so rows of one moment need not share a task with all others.
+    Tables are met in one order of time instead (see ``nearest_rows``), so that no pair but the nearest is made.
     """
+    if not (a.isStreaming or b.isStreaming):
+        return nearest_rows(a, b, tolerance_ms, on)
     width = max(1, tolerance_ms)
     bucket = F.floor(F.unix_millis("ts") / width)
     left = a.select(*[F.col(c).alias(f"a_{c}") for c in on], F.col("id").alias("a_id"), "ts").withWatermark("ts", late)
@@ -199,3 +202,16 @@ def closest_pairs(a: DataFrame, b: DataFrame, tolerance_ms: int, late: str = "1
     gap = F.abs(F.unix_micros("a_ts") - F.unix_micros("b_ts"))
     best = pairs.groupBy(*[F.col(f"a_{c}").alias(c) for c in on], "a_id", F.window("a_ts", f"{width} milliseconds")).agg(F.min(F.struct(gap.alias("gap"), F.col("b_ts"), F.col("b_id"), F.col("a_ts"))).alias("m"))
     return best.select(*on, "a_id", "m.a_ts", "m.b_id", "m.b_ts")
+
+
+def nearest_rows(a: DataFrame, b: DataFrame, tolerance_ms: int, on: Sequence[str] = ()) -> DataFrame:
+    """``closest_pairs`` of two tables, by as-of joins both ways: work and scratch follow the rows, however many lie within the tolerance. Equal rows of ``a``
+    give one."""
+    keys = list(on)
+    timed = lambda df: df.where("ts is not null").dropna(subset=keys) if keys else df.where("ts is not null")  # noqa: E731  a null meets nothing
+    left = timed(a).select(*keys, F.lit(0).alias("__all"), F.col("id").alias("a_id"), F.unix_micros("ts").alias("t")).distinct()
+    right = timed(b).groupBy(*keys, F.lit(0).alias("__all"), F.unix_micros("ts").alias("t")).agg(F.min("id").alias("b_id"))
+    met = joins.asof_join(left, right, "t", [*keys, "__all"], ["b_id"], "nearest", tolerance_ms * 1000).where("t_right is not null")
+    kind = lambda df: df.schema["ts"].dataType
+    at = lambda c, df: F.timestamp_micros(c).cast(kind(df))
+    return met.select(*keys, "a_id", at("t", a).alias("a_ts"), "b_id", at("t_right", b).alias("b_ts"))
