@@ -2,8 +2,8 @@
 
 Points are put in Z-order and cut into blocks of bounded size, so that a block is small in space where points are dense and large where they are rare.
 Over the blocks' boxes stands a tree of fixed fan-out. Blocks of askers go down the tree together: a node is left out if its nearest corner is farther than the
-farthest corner of another that holds enough points. What is left is read nearest first, and each asker's own k-th distance rejects the blocks, and points,
-beyond it.
+farthest corner of another that holds enough points. A few of what is left are read for the askers' k-th distances, which rule out most others before any points
+are sent. The rest is read nearest first, and each asker's own k-th distance rejects the blocks, and points, beyond it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from .. import scratch
 from . import filters
 
-#: Points of a block, children of a node, bits of each axis of the code, blocks whose points are kept while an asker's block is searched.
-BLOCK, FAN, BITS, HELD = 64, 32, 20, 32
+#: Points of a block, children of a node, bits of each axis of the code, blocks whose points are kept while an asker's block is searched, blocks read for a bound.
+BLOCK, FAN, BITS, HELD, TRIED = 64, 32, 20, 32, 2
 
 
 def z_order(cells: Sequence[Column], bits: int = BITS) -> Column:
@@ -68,8 +68,9 @@ def _gaps(axes: int, metric: str) -> tuple[Column, Column]:
     return reduce(lambda x, y: x + y, map(power, near)), reduce(lambda x, y: x + y, map(power, far))
 
 
-def block_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes: int, need: int, metric: str = "l2") -> DataFrame:
-    """(groups, asker, node, near): for each block of askers the blocks that may hold one of the ``need`` points nearest to one of its points.
+def block_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes: int, need: int, metric: str = "l2", within: float = float("inf")) -> DataFrame:
+    """(groups, asker, node, near, far): for each block of askers the blocks that may hold one of the ``need`` points nearest to one of its points, and no farther than
+    ``within`` (squared for l2).
 
     A level's pairs meet only the children of the nodes that they kept, so their number follows what is kept and not the product of the sides.
     """
@@ -77,14 +78,14 @@ def block_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axe
     side = askers.select(*groups, F.col("node").alias("asker"), *[F.col(f"{k}{i}").alias(f"a_{k}{i}") for i in range(axes) for k in ("lo", "hi")])
     boxes = [c for c in side.columns if c not in groups]
     near, far = _gaps(axes, metric)
-    pairs = side.withColumn("up", F.lit(0).cast("long")).withColumn("bound", F.lit(float("inf")))
+    pairs = side.withColumn("up", F.lit(0).cast("long")).withColumn("bound", F.lit(float(within)))
     for depth in range(len(tree) - 1, -1, -1):
         nodes = tree[depth].select(*groups, "node", "n", *[f"{k}{i}" for i in range(axes) for k in ("lo", "hi")], (F.floor(F.col("node") / FAN) if depth < len(tree) - 1 else F.lit(0)).cast("long").alias("up"))
         met = pairs.join(nodes, [*groups, "up"]).withColumn("near", near).withColumn("far", F.when(F.col("n") >= need, far).otherwise(float("inf")))
         least = F.least("bound", F.min("far").over(Window.partitionBy(*groups, "asker")))
         kept = met.withColumn("bound", least).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
-        pairs = kept.select(*groups, *boxes, F.col("node").alias("up"), "bound", "near") if depth == 0 else scratch.store(kept.select(*groups, *boxes, F.col("node").alias("up"), "bound"), "pairs")
-    return scratch.store(pairs.select(*groups, "asker", F.col("up").alias("node"), "near"), "pairs")
+        pairs = kept.select(*groups, *boxes, F.col("node").alias("up"), "bound", "near", "far") if depth == 0 else scratch.store(kept.select(*groups, *boxes, F.col("node").alias("up"), "bound"), "pairs")
+    return scratch.store(pairs.select(*groups, "asker", F.col("up").alias("node"), "near", "far"), "pairs")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -99,8 +100,8 @@ def _places(rows: pa.StructArray, axes: Sequence[str]) -> np.ndarray:
 class Search:
     """The ``k`` nearest of each row of one block of askers, over blocks that come one after another."""
 
-    def __init__(self, rows: pa.StructArray, k: int, axes: Sequence[str], metric: str, a_id: str, b_id: str, exclude_self: bool):
-        self.rows, self.k, self.axes, self.metric, self.b_id, self.exclude_self = rows, k, axes, metric, b_id, exclude_self
+    def __init__(self, rows: pa.StructArray, k: int, axes: Sequence[str], metric: str, a_id: str, b_id: str, exclude_self: bool, within: float = np.inf):
+        self.rows, self.k, self.axes, self.metric, self.b_id, self.exclude_self, self.within = rows, k, axes, metric, b_id, exclude_self, within
         self.at, self.ids = _places(rows, axes), _ids(rows.field(a_id))
         self.d, self.ref, self.b_ids, self.seen = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1), None, []
 
@@ -111,7 +112,7 @@ class Search:
         at = _places(rows, self.axes)
         lo, hi = at.min(1)[:, None], at.max(1)[:, None]
         nearest = sum(self.apart(np.maximum(0.0, np.maximum(lo[i] - self.at[i], self.at[i] - hi[i]))) for i in range(len(at)))
-        asking = np.flatnonzero(nearest <= self.d[:, -1] * (1 + 1e-9))
+        asking = np.flatnonzero(nearest <= np.minimum(self.d[:, -1], self.within) * (1 + 1e-9))
         if not len(asking):
             return
         d = sum(self.apart(self.at[i][asking, None] - at[i][None, :]) for i in range(len(at)))
@@ -150,8 +151,8 @@ class Search:
         return self.rows.take(pa.array(row)), pa.concat_arrays(self.seen).take(pa.array(self.ref[row, rank])), self.d[row, rank], (rank + 1).astype(np.int32)
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """See ``joins.knn_join``."""
+def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str], within: float = np.inf) -> DataFrame:
+    """See ``joins.knn_join``. Blocks farther than ``within`` (squared for l2) are left out; single points beyond it may come."""
     bounds = [f(F.col(c).cast("double")).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
     real = lambda df: df.where(reduce(lambda x, y: x & y, [~F.isnan(F.col(c).cast("double")) for c in axes])).agg(*bounds).first()  # noqa: E731  null and NaN are left out
     sa, sb = real(a), real(b)
@@ -162,38 +163,54 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
     size, groups = max(BLOCK, k + 1), [f"__by{i}" for i in range(len(by))]
     points = blocks(b, b_id, axes, by, box, size)
     askers = points if a is b and a_id == b_id else blocks(a, a_id, axes, by, box, size)
-    pairs = block_pairs(askers, points, groups, len(axes), k + bool(exclude_self), metric)
-    met = pairs.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
+    pairs = block_pairs(askers, points, groups, len(axes), k + bool(exclude_self), metric, within)
     empty = lambda df: F.lit(None).cast(df.schema["members"].dataType)
-    asked = askers.join(pairs.select(*groups, F.col("asker").alias("node")).distinct(), [*groups, "node"], "left_semi")
-    every = asked.select(*groups, F.col("node").alias("asker"), F.lit(-1.0).alias("near"), F.lit(-1).cast("long").alias("node"), F.col("members").alias("a"), empty(points).alias("b"))
-    every = every.unionByName(met.select(*groups, "asker", "near", "node", empty(askers).alias("a"), "b"))
     parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
-    dealt = every.repartition(parts, *groups, "asker").sortWithinPartitions(*groups, "asker", "near", "node").select("a", "b")
-    axes = list(axes)
+    place, axes = [*groups, "asker"], list(axes)
+
+    def dealt(pairs: DataFrame) -> DataFrame:
+        """A block of askers (a) and after it the blocks that it meets (b), nearest first, in one task."""
+        met = pairs.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
+        asked = askers.join(pairs.select(*groups, F.col("asker").alias("node")).distinct(), [*groups, "node"], "left_semi")
+        every = asked.select(*groups, F.col("node").alias("asker"), F.lit(-1.0).alias("near"), F.lit(-1).cast("long").alias("node"), F.col("members").alias("a"), empty(points).alias("b"))
+        every = every.unionByName(met.select(*place, "near", "node", empty(askers).alias("a"), "b"))
+        return every.repartition(parts, *place).sortWithinPartitions(*place, "near", "node").select(*place, "a", "b")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Search]]:
+        now = key = None
+        for batch in batches:
+            xs, ys = batch.column("a"), batch.column("b")
+            for i in range(batch.num_rows):
+                if xs[i].is_valid:  # a block of askers comes before all that it asks
+                    if now is not None:
+                        yield key, now
+                    key, now = batch.slice(i, 1), Search(xs[i].values, k, axes, metric, a_id, b_id, exclude_self, within)
+                else:
+                    now.add(ys[i].values)
+        if now is not None:
+            yield key, now
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, now in searched(batches):
+            yield pa.RecordBatch.from_arrays([*(key.column(c) for c in place), pa.array([float(now.d[:, -1].max())])], [*place, "bound"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, done = None, []
+        done = []
 
         def flush() -> pa.RecordBatch:
             x, y = (pa.concat_arrays([d[i] for d in done]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([*x.flatten(), *y.flatten(), pa.array(np.concatenate([d[2] for d in done])), pa.array(np.concatenate([d[3] for d in done]))], schema.fieldNames())
 
-        for batch in batches:
-            xs, ys = batch.column(0), batch.column(1)
-            for i in range(batch.num_rows):
-                if xs[i].is_valid:  # a block of askers comes before all that it asks
-                    if now is not None and (got := now.found()):
-                        done.append(got)
-                    now = Search(xs[i].values, k, axes, metric, a_id, b_id, exclude_self)
-                else:
-                    now.add(ys[i].values)
-                if len(done) >= 64:
-                    yield flush()
-                    done = []
-        if now is not None and (got := now.found()):
-            done.append(got)
+        for _, now in searched(batches):
+            if got := now.found():
+                done.append(got)
+            if len(done) >= 64:
+                yield flush()
+                done = []
         if done:
             yield flush()
 
-    return dealt.mapInArrow(search, schema)
+    first = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy("far", "near", "node"))).where(F.col("__n") <= TRIED).drop("__n")
+    bounds = dealt(first).mapInArrow(bound, T.StructType([*(pairs.schema[c] for c in place), T.StructField("bound", T.DoubleType())]))
+    left = pairs.join(bounds, place).where(F.col("near") <= F.col("bound") * (1 + 1e-9)).drop("bound")
+    return dealt(scratch.store(left, "pairs")).mapInArrow(search, schema)
