@@ -16,6 +16,8 @@ from .. import scratch
 XYZ = ("x", "y", "z")
 #: Cells of an axis at most, cells of the first round, eyes at most (they are met with every vertex), and the least determinant of a triangle that is no edge.
 CELLS, FIRST, EYES, LEAST = 128, 8, 10_000, 1e-12
+#: Triangles that sight is tried against first; more are tried as long as most rays end at them.
+TRIED = (512, 4096)
 
 
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -133,6 +135,20 @@ def nearest_hits(rays: DataFrame, corners: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def unhidden(rays: DataFrame, corners: DataFrame) -> DataFrame:
+    """``rays`` (see ``nearest_hits``) without those that one of a few of ``corners`` cuts. A ray stops at its first hit, so among large triangles most are settled by some
+    tens of tests; what is left has yet to meet all triangles."""
+    open_rays, n = rays, rays.count()
+    for size in TRIED:
+        some = F.broadcast(corners.orderBy(F.xxhash64("fid"), "fid").limit(size))  # so many rows at most
+        open_rays = scratch.store(open_rays.join(some, intersection()[1], "left_anti"), "open")
+        left = open_rays.count()
+        if 2 * left > n:
+            break
+        n = left
+    return open_rays
+
+
 def visible_from(vertices: DataFrame, faces: DataFrame, eyes: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """(eye, vid, x, y, z, visible) of ``vertices`` (vid, x, y, z) for each of a few ``eyes`` (eye, x, y, z): no triangle of ``faces`` (fid, a, b, c) cuts the segment from
     the eye more than ``tolerance`` before the vertex. A vertex that all but touches the eye is visible, one with a null coordinate isn't told of."""
@@ -143,5 +159,7 @@ def visible_from(vertices: DataFrame, faces: DataFrame, eyes: DataFrame, toleran
     far = F.sqrt(sum(((F.col(x) - F.col("o" + x)) * (F.col(x) - F.col("o" + x)) for x in XYZ), F.lit(0.0)))
     rays = seen.withColumn("far", far).select(F.struct("eye", "vid").alias("ray"), *XYZ, *["o" + x for x in XYZ], *[((F.col(x) - F.col("o" + x)) / F.greatest(F.col("far"), F.lit(1e-12))).alias("d" + x) for x in XYZ], (F.col("far") - tolerance).alias("reach"))
     rays = scratch.store(rays, "sight")
-    hidden = nearest_hits(rays, triangles(vertices, faces)).select("ray", F.lit(True).alias("hidden"))
-    return rays.join(hidden, "ray", "left").select("ray.eye", "ray.vid", *XYZ, F.col("hidden").isNull().alias("visible"))
+    corners = scratch.store(triangles(vertices, faces), "triangles")
+    open_rays = unhidden(rays, corners)
+    seen = open_rays.select("ray").join(nearest_hits(open_rays, corners).select("ray"), "ray", "left_anti").select("ray", F.lit(True).alias("seen"))
+    return rays.join(seen, "ray", "left").select("ray.eye", "ray.vid", *XYZ, F.col("seen").isNotNull().alias("visible"))
