@@ -1,9 +1,9 @@
 """k-nearest neighbours over blocks of a space-filling curve.
 
 Points are put in Z-order and cut into blocks of bounded size, so that a block is small in space where points are dense and large where they are rare.
-Over the blocks' boxes stands a tree of fixed fan-out. Blocks of askers go down the tree together: a node is left out if its nearest corner is farther than the
-farthest corner of another that holds enough points. A few of what is left are read for the askers' k-th distances, which rule out most others before any points
-are sent. The rest is read nearest first, and each asker's own k-th distance rejects the blocks, and points, beyond it.
+Over the blocks' boxes stands a tree of fixed fan-out. A block of askers is met with the few blocks around its place on the curve for its askers' k-th distances; with
+that bound it goes down the tree. Blocks of askers that follow each other search in one task as a unit, so that a block which several of them ask is sent once. Each
+asker's own k-th distance rejects the blocks, and points, beyond it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,10 @@ from pyspark.sql import types as T
 from .. import scratch
 from . import filters
 
-#: Points of a block, children of a node, bits of each axis of the code, blocks whose points are kept while an asker's block is searched, blocks read for a bound.
-BLOCK, FAN, BITS, HELD, TRIED = 64, 32, 20, 32, 2
+#: Points of a block, children of a node, bits of each axis of the code, blocks whose points are kept while a unit is searched, blocks of askers in a unit.
+BLOCK, FAN, BITS, HELD, UNIT = 64, 32, 20, 1024, 64
+#: Pairs of an asker and a point whose distances are held at once.
+PAIRS = 1 << 18
 
 
 def z_order(cells: Sequence[Column], bits: int = BITS) -> Column:
@@ -34,16 +37,65 @@ def z_order(cells: Sequence[Column], bits: int = BITS) -> Column:
 
 
 def blocks(points: DataFrame, id_column: str, axes: Sequence[str], by: Sequence[str], bounds: dict[str, tuple[float, float]], size: int = BLOCK) -> DataFrame:
-    """(by, node, members, n, lo_*, hi_*): blocks of at most ``size`` points that follow each other in Z-order, and their boxes. A block holds points of one
-    ``by`` group. Points with a null or NaN coordinate are left out."""
-    cell = lambda c: F.floor((F.col(c).cast("double") - bounds[c][0]) / ((bounds[c][1] - bounds[c][0]) or 1.0) * ((1 << min(BITS, 62 // len(axes))) - 1)).cast("long")
-    good = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes])
-    rows = points.where(good).select(F.struct(*points.columns).alias("__row"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], z_order([cell(c) for c in axes], min(BITS, 62 // len(axes))).alias("__code"), F.col(id_column).alias("__id"))
-    ranked = filters.number_rows(rows, [*[f"__by{i}" for i in range(len(by))], "__code", "__id"], "__rank")
-    at = lambda c: F.col("__row")[c].cast("double")
-    box = [f(at(c)).alias(f"{k}{i}") for i, c in enumerate(axes) for k, f in (("lo", F.min), ("hi", F.max))]
-    cut = ranked.groupBy(*[f"__by{i}" for i in range(len(by))], F.floor(F.col("__rank") / size).alias("node")).agg(F.collect_list("__row").alias("members"), F.count("*").alias("n"), *box)
-    return scratch.store(cut, "blocks")
+    """(by, node, head, members, n, lo_*, hi_*): blocks of at most ``size`` points that follow each other in Z-order, from the code ``head`` on, and their boxes. A
+    block holds points of one ``by`` group and of one range of the order. Points with a null or NaN coordinate, or a null in ``by``, are left out."""
+    bits = min(BITS, 62 // len(axes))
+    cell = lambda c: F.floor((F.col(c).cast("double") - bounds[c][0]) / ((bounds[c][1] - bounds[c][0]) or 1.0) * ((1 << bits) - 1)).cast("long")
+    good = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes] + [F.col(c).isNotNull() for c in by])
+    groups = [f"__by{i}" for i in range(len(by))]
+    rows = points.where(good).select(F.struct(*points.columns).alias("__row"), *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], z_order([cell(c) for c in axes], bits).alias("head"), F.col(id_column).alias("__id"))
+    parts, order, axes = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*groups, "head", "__id"], list(axes)
+    boxes = [f"{k}{i}" for i in range(len(axes)) for k in ("lo", "hi")]
+    schema = T.StructType([*(rows.schema[g] for g in groups), T.StructField("__at", T.LongType()), rows.schema["head"], T.StructField("members", T.ArrayType(rows.schema["__row"].dataType)), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in boxes)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, at = None, 0
+
+        def emit(t: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
+            nonlocal at
+            t = t.slice(0, end).combine_chunks()
+            members = t.column("__row").combine_chunks()
+            members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+            ends, first = np.append(starts[1:], end), t.take(pa.array(starts))
+            box = [f.reduceat(x, starts) for x in _places(members, axes) for f in (np.minimum, np.maximum)]
+            offsets, n = pa.array(np.append(starts, end), pa.int32()), len(starts)
+            at += n
+            columns = [*(first.column(g).combine_chunks() for g in groups), pa.array(np.arange(at - n, at)), first.column("head").combine_chunks(), pa.ListArray.from_arrays(offsets, members), pa.array(ends - starts), *map(pa.array, box)]
+            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], schema.fieldNames())
+
+        def starts_of(t: pa.Table) -> np.ndarray:
+            """Where blocks begin."""
+            new = np.zeros(len(t), bool)
+            new[0] = True
+            for g in groups:
+                c = t.column(g).combine_chunks()
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            of = np.flatnonzero(new)
+            place = np.arange(len(t)) - np.repeat(of, np.diff(np.append(of, len(t))))
+            return np.flatnonzero(place % size == 0)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not len(t):
+                continue
+            starts = starts_of(t)
+            # the block that goes on in the next batch
+            end = int(starts[-1])
+            if end:
+                yield emit(t, starts[:-1], end)
+            rest = t.slice(end)
+        if rest is not None and len(rest):
+            yield emit(rest, np.array([0]), len(rest))
+
+    made = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(cut, schema)
+    made = scratch.store(made.withColumn("__part", F.spark_partition_id()), "blocks")
+    before, total = [], 0
+    for p, n in sorted((r["__part"], r["n"]) for r in made.groupBy("__part").agg(F.count("*").alias("n")).collect()):
+        before.append((p, total))
+        total += n
+    shift = points.sparkSession.createDataFrame(before, "__part int, __before long")  # a row for each range
+    return made.join(F.broadcast(shift), "__part").withColumn("node", F.col("__before") + F.col("__at")).drop("__part", "__before", "__at")
 
 
 def levels(leaves: DataFrame, groups: Sequence[str], axes: int) -> list[DataFrame]:
@@ -70,22 +122,26 @@ def _gaps(axes: int, metric: str) -> tuple[Column, Column]:
 
 def block_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes: int, need: int, metric: str = "l2", within: float = float("inf")) -> DataFrame:
     """(groups, asker, node, near, far): for each block of askers the blocks that may hold one of the ``need`` points nearest to one of its points, and no farther than
-    ``within`` (squared for l2).
+    ``within`` (squared for l2). Where ``askers`` has a ``bound``, it holds for all points of the block.
 
     A level's pairs meet only the children of the nodes that they kept, so their number follows what is kept and not the product of the sides.
     """
     tree = levels(leaves, groups, axes)
-    side = askers.select(*groups, F.col("node").alias("asker"), *[F.col(f"{k}{i}").alias(f"a_{k}{i}") for i in range(axes) for k in ("lo", "hi")])
-    boxes = [c for c in side.columns if c not in groups]
+    bounded = "bound" in askers.columns
+    side = askers.select(*groups, F.col("node").alias("asker"), *[F.col(f"{k}{i}").alias(f"a_{k}{i}") for i in range(axes) for k in ("lo", "hi")], *(["bound"] if bounded else []))
+    boxes = [c for c in side.columns if c not in (*groups, "bound")]
     near, far = _gaps(axes, metric)
-    pairs = side.withColumn("up", F.lit(0).cast("long")).withColumn("bound", F.lit(float(within)))
+    pairs = side.withColumn("up", F.lit(0).cast("long")).withColumn("bound", F.least("bound", F.lit(float(within))) if bounded else F.lit(float(within)))
     for depth in range(len(tree) - 1, -1, -1):
         nodes = tree[depth].select(*groups, "node", "n", *[f"{k}{i}" for i in range(axes) for k in ("lo", "hi")], (F.floor(F.col("node") / FAN) if depth < len(tree) - 1 else F.lit(0)).cast("long").alias("up"))
-        met = pairs.join(nodes, [*groups, "up"]).withColumn("near", near).withColumn("far", F.when(F.col("n") >= need, far).otherwise(float("inf")))
-        least = F.least("bound", F.min("far").over(Window.partitionBy(*groups, "asker")))
-        kept = met.withColumn("bound", least).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
-        pairs = kept.select(*groups, *boxes, F.col("node").alias("up"), "bound", "near", "far") if depth == 0 else scratch.store(kept.select(*groups, *boxes, F.col("node").alias("up"), "bound"), "pairs")
-    return scratch.store(pairs.select(*groups, "asker", F.col("up").alias("node"), "near", "far"), "pairs")
+        met = pairs.join(nodes, [*groups, "up"]).withColumn("near", near).withColumn("far", F.when(F.col("n") >= need, far).otherwise(float("inf"))).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
+        if not bounded:
+            met = met.withColumn("bound", F.least("bound", F.min("far").over(Window.partitionBy(*groups, "asker")))).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
+        pairs = met.select(*groups, *boxes, F.col("node").alias("up"), "bound", "near", "far")
+        if depth and not bounded:
+            pairs = scratch.store(pairs, "pairs")
+        pairs = pairs if depth == 0 else pairs.drop("near", "far")
+    return pairs.select(*groups, "asker", F.col("up").alias("node"), "near", "far")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -98,61 +154,136 @@ def _places(rows: pa.StructArray, axes: Sequence[str]) -> np.ndarray:
 
 
 class Search:
-    """The ``k`` nearest of each row of one block of askers, over blocks that come one after another."""
+    """The ``k`` nearest of each row of one block of askers, over sets of points that come one after another."""
 
     def __init__(self, rows: pa.StructArray, k: int, axes: Sequence[str], metric: str, a_id: str, b_id: str, exclude_self: bool, within: float = np.inf):
         self.rows, self.k, self.axes, self.metric, self.b_id, self.exclude_self, self.within = rows, k, axes, metric, b_id, exclude_self, within
         self.at, self.ids = _places(rows, axes), _ids(rows.field(a_id))
-        self.d, self.ref, self.b_ids, self.seen = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1), None, []
+        self.lo, self.hi = self.at.min(1)[:, None], self.at.max(1)[:, None]
+        self.d, self.ref, self.b_ids, self.seen = np.full((len(rows), k), np.inf), np.full((len(rows), k), -1), None, None
 
     def apart(self, x: np.ndarray) -> np.ndarray:
         return np.abs(x) if self.metric == "l1" else x * x
 
-    def add(self, rows: pa.StructArray) -> None:
-        at = _places(rows, self.axes)
-        lo, hi = at.min(1)[:, None], at.max(1)[:, None]
-        nearest = sum(self.apart(np.maximum(0.0, np.maximum(lo[i] - self.at[i], self.at[i] - hi[i]))) for i in range(len(at)))
-        asking = np.flatnonzero(nearest <= np.minimum(self.d[:, -1], self.within) * (1 + 1e-9))
-        if not len(asking):
-            return
-        d = sum(self.apart(self.at[i][asking, None] - at[i][None, :]) for i in range(len(at)))
-        ids = _ids(rows.field(self.b_id))
-        if self.exclude_self:
-            d[self.ids[asking, None] == ids[None, :]] = np.inf
-        some = np.flatnonzero((d <= self.d[asking, -1:]).any(0) & np.isfinite(d).any(0))
-        if not len(some):
-            return
-        base = sum(len(s) for s in self.seen)
-        self.seen.append(rows.take(pa.array(some)))
+    def bound(self) -> float:
+        """No asker looks farther."""
+        return float(min(self.d[:, -1].max(), self.within)) * (1 + 1e-9)
+
+    def add(self, rows: pa.StructArray, at: np.ndarray, ids: np.ndarray, spans: Sequence[tuple[int, int]]) -> None:
+        """``rows`` at the places ``at``, of which those in ``spans`` (nearest first) are tried."""
+        base = 0 if self.seen is None else len(self.seen)
         if self.b_ids is None:
             self.b_ids = np.zeros(self.d.shape, ids.dtype)
-        every = np.concatenate([self.d[asking], d[:, some]], 1)
-        names = np.concatenate([self.b_ids[asking], np.broadcast_to(ids[some], (len(asking), len(some)))], 1)
-        refs = np.concatenate([self.ref[asking], np.broadcast_to(base + np.arange(len(some)), (len(asking), len(some)))], 1)
-        order = np.lexsort((names, every), axis=1)[:, : self.k]
-        best = [np.take_along_axis(x, order, 1) for x in (every, refs, names)]
-        self.d[asking], self.ref[asking] = best[0], best[1]
-        if best[2].dtype != self.b_ids.dtype:  # longer names
-            self.b_ids = self.b_ids.astype(best[2].dtype)
-        self.b_ids[asking] = best[2]
-        if len(self.seen) > HELD:
-            self.compact()
-
-    def compact(self) -> None:
-        """Forget rows that are nobody's best any more."""
+        index = np.concatenate([np.arange(*s) for s in spans])
+        step = max(1, PAIRS // len(self.rows))
+        first = min(step, 4 * BLOCK)
+        for begin, end in [(0, first), *((i, i + step) for i in range(first, len(index), step))]:
+            self.meet(at, ids, index[begin:end], base)
+        # rows that are somebody's best
         used = np.unique(self.ref[np.isfinite(self.d)])
-        self.seen = [pa.concat_arrays(self.seen).take(pa.array(used))]
+        old, new = used[used < base], used[used >= base] - base
+        kept = rows.take(pa.array(new))
+        self.seen = kept if self.seen is None else pa.concat_arrays([self.seen.take(pa.array(old)), kept])
         self.ref = np.where(np.isfinite(self.d), np.searchsorted(used, self.ref), -1)
 
+    def meet(self, at: np.ndarray, ids: np.ndarray, index: np.ndarray, base: int) -> None:
+        here = at[:, index]
+        gap = sum(self.apart(np.maximum(0.0, np.maximum(self.lo[i] - here[i], here[i] - self.hi[i]))) for i in range(len(at)))
+        index = index[gap <= self.bound()]
+        if not len(index):
+            return
+        d = sum(self.apart(self.at[i][:, None] - at[i][index][None, :]) for i in range(len(at)))
+        if self.exclude_self:
+            d[self.ids[:, None] == ids[index][None, :]] = np.inf
+        limit = np.minimum(self.d[:, -1], self.within * (1 + 1e-9))
+        if len(index) > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, 1)[:, self.k - 1])
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        if not len(row):
+            return
+        old_row, old_rank = np.nonzero(np.isfinite(self.d))
+        every_row, every = np.concatenate([old_row, row]), np.concatenate([self.d[old_row, old_rank], d[row, col]])
+        names, refs = np.concatenate([self.b_ids[old_row, old_rank], ids[index[col]]]), np.concatenate([self.ref[old_row, old_rank], base + index[col]])
+        order = np.lexsort((names, every, every_row))
+        every_row = every_row[order]
+        rank = np.arange(len(order)) - np.searchsorted(every_row, every_row)
+        order, every_row, rank = order[rank < self.k], every_row[rank < self.k], rank[rank < self.k]
+        if names.dtype != self.b_ids.dtype:  # longer names
+            self.b_ids = self.b_ids.astype(names.dtype)
+        self.d[every_row, rank], self.ref[every_row, rank], self.b_ids[every_row, rank] = every[order], refs[order], names[order]
+
     def found(self) -> tuple[pa.StructArray, pa.StructArray, np.ndarray, np.ndarray] | None:
         row, rank = np.nonzero(np.isfinite(self.d))
         if not len(row):
             return None
-        return self.rows.take(pa.array(row)), pa.concat_arrays(self.seen).take(pa.array(self.ref[row, rank])), self.d[row, rank], (rank + 1).astype(np.int32)
+        return self.rows.take(pa.array(row)), self.seen.take(pa.array(self.ref[row, rank])), self.d[row, rank], (rank + 1).astype(np.int32)
+
+
+def in_units(askers: DataFrame, points: DataFrame, pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, unit, node, asks, a, b) of ``pairs`` (groups, asker, node, near): units of blocks of askers (a), each of them followed by the blocks that some of
+    them meet (b; asks: by whom, and how near), nearest first, in one task."""
+    spark = askers.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    unit = lambda c: F.floor(F.col(c) / UNIT).alias("unit")
+    met = pairs.groupBy(*groups, unit("asker"), "node").agg(F.min("near").alias("near"), F.collect_list(F.struct("asker", "near")).alias("asks"))
+    met = met.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
+    empty = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
+    every = askers.select(*groups, unit("node"), F.lit(-1.0).alias("near"), "node", empty("asks", met).alias("asks"), F.col("members").alias("a"), empty("members", points).alias("b"))
+    every = every.unionByName(met.select(*groups, "unit", "near", "node", "asks", empty("members", askers).alias("a"), "b"))
+    return every.repartition(parts, *groups, "unit").sortWithinPartitions(*groups, "unit", "near", "node").select(*groups, "unit", "node", "asks", "a", "b")
+
+
+def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id: str, held: int) -> Iterator[tuple[pa.RecordBatch, object]]:
+    """Each row of a block of askers, and its search (``begin`` of the block's rows) when it has met all that it asks. At most ``held`` blocks are kept."""
+    now, blocks = {}, []
+
+    def meet() -> None:
+        rows = pa.concat_arrays([b for b, _ in blocks])
+        at, ids, ends = _places(rows, axes), _ids(rows.field(b_id)), np.cumsum([0, *(len(b) for b, _ in blocks)])
+        asked = {}
+        for i, (_, asks) in enumerate(blocks):
+            for asker, near in zip(asks.field("asker").to_pylist(), asks.field("near").to_pylist(), strict=True):
+                asked.setdefault(asker, []).append((near, int(ends[i]), int(ends[i + 1])))
+        for asker, spans in asked.items():
+            now[asker][1].add(rows, at, ids, [s[1:] for s in sorted(spans)])
+        blocks.clear()
+
+    asking = True
+    for batch in batches:
+        nodes, xs, ys, asks = batch.column("node").to_pylist(), batch.column("a"), batch.column("b"), batch.column("asks")
+        for i, node in enumerate(nodes):
+            if xs[i].is_valid:  # a unit's blocks of askers come before all that they ask
+                if not asking:
+                    if blocks:
+                        meet()
+                    yield from now.values()
+                    now.clear()
+                asking = True
+                now[node] = batch.slice(i, 1), begin(xs[i].values)
+            else:
+                asking = False
+                blocks.append((ys[i].values, asks[i].values))
+                if len(blocks) >= held:
+                    meet()
+    if blocks:
+        meet()
+    yield from now.values()
+
+
+def around(askers: DataFrame, points: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, asker, node, near): the blocks of ``points`` before, at and after each block of askers on the curve."""
+    if askers is points:
+        at = askers.select(*groups, F.col("node").alias("asker"), F.col("node").alias("at"))
+    else:
+        first = points.groupBy(F.lit(0).alias("__g"), *groups).agg(F.min("node").alias("first"))
+        heads = askers.select(*groups, "head", F.col("node").alias("asker"), F.lit(None).cast("long").alias("node")).unionByName(points.select(*groups, "head", F.lit(None).cast("long").alias("asker"), "node"))
+        heads = filters.carried(heads.withColumn("__g", F.lit(0)), ["__g", *groups], ["head", "asker", "node"], "node", "at").where("asker is not null")
+        at = heads.join(first, ["__g", *groups]).select(*groups, "asker", F.coalesce("at", "first").alias("at"))
+    return at.select(*groups, "asker", F.explode(F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1)).alias("node"), F.lit(0.0).alias("near"))
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str], within: float = np.inf) -> DataFrame:
-    """See ``joins.knn_join``. Blocks farther than ``within`` (squared for l2) are left out; single points beyond it may come."""
+    """See ``joins.knn_join``. What is farther than ``within`` (squared for l2) is left out, but for rounding."""
     bounds = [f(F.col(c).cast("double")).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
     real = lambda df: df.where(reduce(lambda x, y: x & y, [~F.isnan(F.col(c).cast("double")) for c in axes])).agg(*bounds).first()  # noqa: E731  null and NaN are left out
     sa, sb = real(a), real(b)
@@ -160,57 +291,32 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
     if sa[f"lo{axes[0]}"] is None or sb[f"lo{axes[0]}"] is None or k < 1:
         return a.sparkSession.createDataFrame([], schema)
     box = {c: (min(sa[f"lo{c}"], sb[f"lo{c}"]), max(sa[f"hi{c}"], sb[f"hi{c}"])) for c in axes}
-    size, groups = max(BLOCK, k + 1), [f"__by{i}" for i in range(len(by))]
+    size, groups, axes, held = max(BLOCK, k + 1), [f"__by{i}" for i in range(len(by))], list(axes), HELD
     points = blocks(b, b_id, axes, by, box, size)
     askers = points if a is b and a_id == b_id else blocks(a, a_id, axes, by, box, size)
-    pairs = block_pairs(askers, points, groups, len(axes), k + bool(exclude_self), metric, within)
-    empty = lambda df: F.lit(None).cast(df.schema["members"].dataType)
-    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.sparkSession.sparkContext.defaultParallelism)
-    place, axes = [*groups, "asker"], list(axes)
-
-    def dealt(pairs: DataFrame) -> DataFrame:
-        """A block of askers (a) and after it the blocks that it meets (b), nearest first, in one task."""
-        met = pairs.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
-        asked = askers.join(pairs.select(*groups, F.col("asker").alias("node")).distinct(), [*groups, "node"], "left_semi")
-        every = asked.select(*groups, F.col("node").alias("asker"), F.lit(-1.0).alias("near"), F.lit(-1).cast("long").alias("node"), F.col("members").alias("a"), empty(points).alias("b"))
-        every = every.unionByName(met.select(*place, "near", "node", empty(askers).alias("a"), "b"))
-        return every.repartition(parts, *place).sortWithinPartitions(*place, "near", "node").select(*place, "a", "b")
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Search]]:
-        now = key = None
-        for batch in batches:
-            xs, ys = batch.column("a"), batch.column("b")
-            for i in range(batch.num_rows):
-                if xs[i].is_valid:  # a block of askers comes before all that it asks
-                    if now is not None:
-                        yield key, now
-                    key, now = batch.slice(i, 1), Search(xs[i].values, k, axes, metric, a_id, b_id, exclude_self, within)
-                else:
-                    now.add(ys[i].values)
-        if now is not None:
-            yield key, now
+    begin = lambda rows: Search(rows, k, axes, metric, a_id, b_id, exclude_self, within)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, now in searched(batches):
-            yield pa.RecordBatch.from_arrays([*(key.column(c) for c in place), pa.array([float(now.d[:, -1].max())])], [*place, "bound"])
+        for row, now in searched(batches, begin, axes, b_id, held):
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in (*groups, "node")), pa.array([now.bound()])], [*groups, "node", "bound"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = []
+        done, n = [], 0
 
         def flush() -> pa.RecordBatch:
             x, y = (pa.concat_arrays([d[i] for d in done]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([*x.flatten(), *y.flatten(), pa.array(np.concatenate([d[2] for d in done])), pa.array(np.concatenate([d[3] for d in done]))], schema.fieldNames())
 
-        for _, now in searched(batches):
+        for _, now in searched(batches, begin, axes, b_id, held):
             if got := now.found():
                 done.append(got)
-            if len(done) >= 64:
+                n += len(got[2])
+            if n >= 16384:
                 yield flush()
-                done = []
+                done, n = [], 0
         if done:
             yield flush()
 
-    first = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy("far", "near", "node"))).where(F.col("__n") <= TRIED).drop("__n")
-    bounds = dealt(first).mapInArrow(bound, T.StructType([*(pairs.schema[c] for c in place), T.StructField("bound", T.DoubleType())]))
-    left = pairs.join(bounds, place).where(F.col("near") <= F.col("bound") * (1 + 1e-9)).drop("bound")
-    return dealt(scratch.store(left, "pairs")).mapInArrow(search, schema)
+    first = in_units(askers, points, around(askers, points, groups), groups).mapInArrow(bound, T.StructType([*(askers.schema[c] for c in (*groups, "node")), T.StructField("bound", T.DoubleType())]))
+    asking = askers.drop("members").join(scratch.store(first, "bounds"), [*groups, "node"])
+    return in_units(askers, points, block_pairs(asking, points, groups, len(axes), k + bool(exclude_self), metric, within), groups).mapInArrow(search, schema)
