@@ -282,15 +282,21 @@ def around(askers: DataFrame, points: DataFrame, groups: Sequence[str]) -> DataF
     return at.select(*groups, "asker", F.explode(F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1)).alias("node"), F.lit(0.0).alias("near"))
 
 
+def common_box(a: DataFrame, b: DataFrame, axes: Sequence[str]) -> dict[str, tuple[float, float]] | None:
+    """The least and the largest coordinates of both sides, nulls and NaN left out; None where a side has no point."""
+    bounds = [f(F.col(c).cast("double")).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    sa, sb = (df.where(reduce(lambda x, y: x & y, [~F.isnan(F.col(c).cast("double")) for c in axes])).agg(*bounds).first() for df in (a, b))
+    if sa[f"lo{axes[0]}"] is None or sb[f"lo{axes[0]}"] is None:
+        return None
+    return {c: (min(sa[f"lo{c}"], sb[f"lo{c}"]), max(sa[f"hi{c}"], sb[f"hi{c}"])) for c in axes}
+
+
 def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str], within: float = np.inf) -> DataFrame:
     """See ``joins.knn_join``. What is farther than ``within`` (squared for l2) is left out, but for rounding."""
-    bounds = [f(F.col(c).cast("double")).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))]
-    real = lambda df: df.where(reduce(lambda x, y: x & y, [~F.isnan(F.col(c).cast("double")) for c in axes])).agg(*bounds).first()  # noqa: E731  null and NaN are left out
-    sa, sb = real(a), real(b)
     schema = T.StructType([*(T.StructField("a_" + f.name, f.dataType) for f in a.schema), *(T.StructField("b_" + f.name, f.dataType) for f in b.schema), T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    if sa[f"lo{axes[0]}"] is None or sb[f"lo{axes[0]}"] is None or k < 1:
+    box = common_box(a, b, axes)
+    if box is None or k < 1:
         return a.sparkSession.createDataFrame([], schema)
-    box = {c: (min(sa[f"lo{c}"], sb[f"lo{c}"]), max(sa[f"hi{c}"], sb[f"hi{c}"])) for c in axes}
     size, groups, axes, held = max(BLOCK, k + 1), [f"__by{i}" for i in range(len(by))], list(axes), HELD
     points = blocks(b, b_id, axes, by, box, size)
     askers = points if a is b and a_id == b_id else blocks(a, a_id, axes, by, box, size)

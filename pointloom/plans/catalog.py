@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import filters, joins, measures, series
+from ..operators import filters, joins, lines, measures, series
 from . import views as V
 
 QUERIES: dict = {}
@@ -210,10 +210,7 @@ def idw_weights(spark, sf_dir):
 SELECT a, min_by(b, (d, b)) AS b, round(min(d), 6) AS d FROM h GROUP BY 1""")
 def ray_closest(spark, sf_dir):
     p = V.pts(spark, sf_dir)
-    near = joins.radius_join(p.where("part < 3"), p.where("part >= 3"), 0.2)
-    d = G.line_distance(tuple(c("b_" + x) for x in AXES), tuple(c("a_" + x) for x in AXES))
-    best = near.select("a_pid", "b_pid", d.alias("d")).groupBy(c("a_pid").alias("a")).agg(F.min(F.struct("d", "b_pid")).alias("m"))
-    return best.select("a", c("m.b_pid").alias("b"), r6("m.d").alias("d"))
+    return lines.nearest_to_lines(p.where("part < 3"), p.where("part >= 3"), 0.2).select("a", "b", r6("d").alias("d"))
 
 
 @query(f"""WITH {V.PTS}, u AS (SELECT pid % 50 AS slot, 0 AS priority, pid, z FROM pts WHERE part < 2 UNION ALL SELECT pid % 50, 1, pid, z FROM pts WHERE part BETWEEN 2 AND 4 UNION ALL SELECT pid % 50, 2, pid, z FROM pts WHERE part > 4)
