@@ -150,20 +150,27 @@ def motion_filter_sequential(tracks: DataFrame, r: float, least: int = 5, sticky
 def settled_in_rounds(moves: DataFrame, r: float, least: int) -> tuple[DataFrame, int]:
     """(frame, pid, consistent) of points (frame, pid, xyz, dx, dy, dz) as a scan by pid gives it, and the number of rounds.
 
-    A point counts its neighbours that come later, and those before it that were found consistent. It is settled as soon as the neighbours that aren't
+    Most points are settled by counts of whole blocks of points (see ``votes.sure``); pairs are made only of the others. Such a
+    point counts its neighbours that come later, and those before it that were found consistent. It is settled as soon as the neighbours that aren't
     settled yet can't change its vote: if it holds though all of those that agree drop out, or fails though only those that disagree do. The first open point of
     any neighbourhood always is, so each round settles some; where ids are in no order of space, a few rounds settle all.
     """
     from .. import scratch
+    from . import votes
 
     key = ["frame", "pid"]
-    pairs = radius_join(moves, moves, r, by=["frame"]).where("a_pid <> b_pid")
+    moves = scratch.store(moves.select(*key, *AXES, "dx", "dy", "dz"), "moves")
+    held = votes.sure(moves, r, least)
+    some = scratch.store(moves.join(held, key, "left_anti"), "open")
     agree = F.sqrt(sum(((F.col(f"a_d{c}") - F.col(f"b_d{c}")) * (F.col(f"a_d{c}") - F.col(f"b_d{c}")) for c in AXES), F.lit(0.0))) < r / 2
-    pairs = scratch.store(pairs.select(F.col("a_frame").alias("frame"), F.col("a_pid").alias("pid"), F.col("b_pid").alias("other"), agree.cast("int").alias("agree")), "votes")
-    later = pairs.where("other > pid").groupBy(*key).agg(F.count("*").alias("n"), F.sum("agree").alias("a"))
-    one = F.lit(1).cast("long")
-    nodes = scratch.store(moves.select(*key).join(later, key, "left").select(*key, (F.coalesce("n", F.lit(0)) + one).alias("n"), (F.coalesce("a", F.lit(0)) + one).alias("a")), "nodes")
-    edges, done, rounds = pairs.where("other < pid"), [], 0
+    # what comes later or is sure to hold counts at once, and what is open and comes before has to be waited for
+    told = radius_join(some, moves, r, by=["frame"]).where("a_pid <> b_pid").groupBy(F.col("a_frame").alias("frame"), F.col("a_pid").alias("pid")).agg(F.count("*").alias("n"), F.count_if(agree).alias("a"))
+    pairs = radius_join(some, some, r, by=["frame"]).where("b_pid < a_pid")
+    edges = scratch.store(pairs.select(F.col("a_frame").alias("frame"), F.col("a_pid").alias("pid"), F.col("b_pid").alias("other"), agree.cast("int").alias("agree")), "votes")
+    before = edges.groupBy(*key).agg(F.count("*").alias("bn"), F.sum("agree").alias("ba"))
+    count = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    nodes = some.select(*key).join(told, key, "left").join(before, key, "left").select(*key, (count("n") - count("bn") + 1).alias("n"), (count("a") - count("ba") + 1).alias("a"))
+    nodes, done, rounds = scratch.store(nodes, "nodes"), [held.select(*key, F.lit(True).alias("consistent"))], 0
     while not nodes.isEmpty():
         rounds += 1
         waits = edges.groupBy(*key).agg(F.sum("agree").alias("ua"), (F.count("*") - F.sum("agree")).alias("ud"))
@@ -180,8 +187,6 @@ def settled_in_rounds(moves: DataFrame, r: float, least: int) -> tuple[DataFrame
         gained = edges.where("consistent").groupBy(*key).agg(F.count("*").alias("gn"), F.sum("agree").alias("ga"))
         nodes = scratch.store(left.join(gained, key, "left").select(*key, (F.col("n") + F.coalesce("gn", zero)).alias("n"), (F.col("a") + F.coalesce("ga", zero)).alias("a")), "nodes")
         edges = edges.where(F.col("consistent").isNull()).drop("consistent")
-    if not done:
-        return moves.select(*key, F.lit(True).alias("consistent")), 0
     return reduce(DataFrame.unionByName, done), rounds
 
 

@@ -221,11 +221,14 @@ class Search:
 
 def in_units(askers: DataFrame, points: DataFrame, pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups, unit, node, asks, a, b) of ``pairs`` (groups, asker, node, near): units of blocks of askers (a), each of them followed by the blocks that some of
-    them meet (b; asks: by whom, and how near), nearest first, in one task."""
+    them meet (b; asks: by whom, and how near), nearest first, in one task. Pairs that have a ``unit`` in place of the asker are met by all of it (asks is null)."""
     spark = askers.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     unit = lambda c: F.floor(F.col(c) / UNIT).alias("unit")
-    met = pairs.groupBy(*groups, unit("asker"), "node").agg(F.min("near").alias("near"), F.collect_list(F.struct("asker", "near")).alias("asks"))
+    if "asker" in pairs.columns:
+        met = pairs.groupBy(*groups, unit("asker"), "node").agg(F.min("near").alias("near"), F.collect_list(F.struct("asker", "near")).alias("asks"))
+    else:
+        met = pairs.withColumn("asks", F.lit(None).cast("array<struct<asker:bigint,near:double>>"))
     met = met.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
     empty = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
     every = askers.select(*groups, unit("node"), F.lit(-1.0).alias("near"), "node", empty("asks", met).alias("asks"), F.col("members").alias("a"), empty("members", points).alias("b"))
@@ -233,6 +236,13 @@ def in_units(askers: DataFrame, points: DataFrame, pairs: DataFrame, groups: Seq
     return every.repartition(parts, *groups, "unit").sortWithinPartitions(*groups, "unit", "near", "node").select(*groups, "unit", "node", "asks", "a", "b")
 
 
+def unit_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes: int, within: float) -> DataFrame:
+    """(groups, unit, node, near): for each unit of blocks of askers the blocks that have a point no farther than ``within`` (squared) from its box."""
+    box = [f(f"{k}{i}").alias(f"{k}{i}") for i in range(axes) for k, f in (("lo", F.min), ("hi", F.max))]
+    units = askers.groupBy(*groups, F.floor(F.col("node") / UNIT).alias("node")).agg(*box).withColumn("bound", F.lit(float(within)))
+    return block_pairs(units, leaves, groups, axes, 1).select(*groups, F.col("asker").alias("unit"), "node", "near")
+
+
 def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id: str, held: int) -> Iterator[tuple[pa.RecordBatch, object]]:
     """Each row of a block of askers, and its search (``begin`` of the block's rows) when it has met all that it asks. At most ``held`` blocks are kept."""
     now, blocks = {}, []
@@ -242,7 +252,7 @@ def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id
         at, ids, ends = _places(rows, axes), _ids(rows.field(b_id)), np.cumsum([0, *(len(b) for b, _ in blocks)])
         asked = {}
         for i, (_, asks) in enumerate(blocks):
-            for asker, near in zip(asks.field("asker").to_pylist(), asks.field("near").to_pylist(), strict=True):
+            for asker, near in zip(asks.field("asker").to_pylist(), asks.field("near").to_pylist(), strict=True) if asks is not None else ((n, 0.0) for n in now):
                 asked.setdefault(asker, []).append((near, int(ends[i]), int(ends[i + 1])))
         for asker, spans in asked.items():
             now[asker][1].add(rows, at, ids, [s[1:] for s in sorted(spans)])
@@ -262,7 +272,7 @@ def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id
                 now[node] = batch.slice(i, 1), begin(xs[i].values)
             else:
                 asking = False
-                blocks.append((ys[i].values, asks[i].values))
+                blocks.append((ys[i].values, asks[i].values if asks[i].is_valid else None))
                 if len(blocks) >= held:
                     meet()
     if blocks:

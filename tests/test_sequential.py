@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pointloom.operators import filters
+from pointloom.operators import filters, votes
 
 SCHEMA = "frame int, pid long, x double, y double, z double, visible boolean"
 
@@ -49,3 +49,18 @@ def test_rounds_equal_the_scan(spark, order):
     settled, rounds = filters.settled_in_rounds(moves, 0.3, 4)
     assert settled.count() == moves.count() and 1 < rounds < 40
     assert filters.motion_filter_sequential(df.limit(0), 0.3).count() == 0
+
+
+@pytest.mark.parametrize("least", [4, 60])
+def test_dense_points_hold_by_counts_of_blocks(spark, least):
+    """A dense cloud of which nearly all move alike, and points around it: what is sure to hold does, no pairs are made of it, and the rest is settled as by the scan."""
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.normal(0, 0.1, (900, 3)), rng.uniform(-1, 1, (80, 3))])[rng.permutation(980)]
+    moved = p + np.where(rng.random((980, 1)) < 0.9, rng.normal(0.05, 0.01, (980, 3)), rng.normal(0, 0.4, (980, 3)))
+    rows = [(f, i, *map(float, x), bool((7 * i + f) % 40)) for f, q in enumerate((p, moved)) for i, x in enumerate(q)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = scan(rows, 0.3, least)
+    moves = filters.forward_motion(df).where("motion_valid").select("frame", "pid", "x", "y", "z", "dx", "dy", "dz")
+    sure = {(r.frame, r.pid) for r in votes.sure(moves, 0.3, least).collect()}
+    assert sure <= {(f, i) for f, i, k in want if k} and len(sure) > 500
+    assert {tuple(r) for r in filters.motion_filter_sequential(df, 0.3, least).select("frame", "pid", "consistent").collect()} == want
