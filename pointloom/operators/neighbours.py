@@ -2,8 +2,8 @@
 
 Points are put in Z-order and cut into blocks of bounded size, so that a block is small in space where points are dense and large where they are rare.
 Over the blocks' boxes stands a tree of fixed fan-out. A block of askers is met with the few blocks around its place on the curve for its askers' k-th distances; with
-that bound it goes down the tree. Blocks of askers that follow each other search in one task as a unit, so that a block which several of them ask is sent once. Each
-asker's own k-th distance rejects the blocks, and points, beyond it.
+that bound it goes down the tree. Blocks of askers that follow each other search in one task as a unit, so that a block which several of them ask is sent once, and of it
+only the points in the box that they look at; a table that asks itself isn't sent to its own unit. Each asker's own k-th distance rejects the blocks, and points, beyond it.
 """
 
 from __future__ import annotations
@@ -122,26 +122,28 @@ def _gaps(axes: int, metric: str) -> tuple[Column, Column]:
 
 def block_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes: int, need: int, metric: str = "l2", within: float = float("inf")) -> DataFrame:
     """(groups, asker, node, near, far): for each block of askers the blocks that may hold one of the ``need`` points nearest to one of its points, and no farther than
-    ``within`` (squared for l2). Where ``askers`` has a ``bound``, it holds for all points of the block.
+    ``within`` (squared for l2). Where ``askers`` has a ``bound``, it holds for all points of the block; where it has the box of all that its points look at (r_lo*, r_hi*),
+    blocks outside of it are left out, and the result has it too.
 
     A level's pairs meet only the children of the nodes that they kept, so their number follows what is kept and not the product of the sides.
     """
     tree = levels(leaves, groups, axes)
-    bounded = "bound" in askers.columns
-    side = askers.select(*groups, F.col("node").alias("asker"), *[F.col(f"{k}{i}").alias(f"a_{k}{i}") for i in range(axes) for k in ("lo", "hi")], *(["bound"] if bounded else []))
+    bounded, reach = "bound" in askers.columns, [c for c in askers.columns if c.startswith(("r_lo", "r_hi"))]
+    side = askers.select(*groups, F.col("node").alias("asker"), *[F.col(f"{k}{i}").alias(f"a_{k}{i}") for i in range(axes) for k in ("lo", "hi")], *(["bound"] if bounded else []), *reach)
     boxes = [c for c in side.columns if c not in (*groups, "bound")]
+    meets = reduce(lambda x, y: x & y, [(F.col(f"r_lo{i}") <= F.col(f"hi{i}")) & (F.col(f"r_hi{i}") >= F.col(f"lo{i}")) for i in range(axes)]) if reach else F.lit(True)
     near, far = _gaps(axes, metric)
     pairs = side.withColumn("up", F.lit(0).cast("long")).withColumn("bound", F.least("bound", F.lit(float(within))) if bounded else F.lit(float(within)))
     for depth in range(len(tree) - 1, -1, -1):
         nodes = tree[depth].select(*groups, "node", "n", *[f"{k}{i}" for i in range(axes) for k in ("lo", "hi")], (F.floor(F.col("node") / FAN) if depth < len(tree) - 1 else F.lit(0)).cast("long").alias("up"))
-        met = pairs.join(nodes, [*groups, "up"]).withColumn("near", near).withColumn("far", F.when(F.col("n") >= need, far).otherwise(float("inf"))).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
+        met = pairs.join(nodes, [*groups, "up"]).withColumn("near", near).withColumn("far", F.when(F.col("n") >= need, far).otherwise(float("inf"))).where((F.col("near") <= F.col("bound") * (1 + 1e-9)) & meets)
         if not bounded:
             met = met.withColumn("bound", F.least("bound", F.min("far").over(Window.partitionBy(*groups, "asker")))).where(F.col("near") <= F.col("bound") * (1 + 1e-9))
         pairs = met.select(*groups, *boxes, F.col("node").alias("up"), "bound", "near", "far")
         if depth and not bounded:
             pairs = scratch.store(pairs, "pairs")
         pairs = pairs if depth == 0 else pairs.drop("near", "far")
-    return pairs.select(*groups, "asker", F.col("up").alias("node"), "near", "far")
+    return pairs.select(*groups, "asker", F.col("up").alias("node"), "near", "far", *reach)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -169,6 +171,19 @@ class Search:
         """No asker looks farther."""
         return float(min(self.d[:, -1].max(), self.within)) * (1 + 1e-9)
 
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """The box of all places that some asker looks at."""
+        d = np.minimum(self.d[:, -1], self.within)
+        r = (d if self.metric == "l1" else np.sqrt(d)) * (1 + 1e-9) + 1e-150  # more than what squares to zero
+        lo, hi = self.at - r, self.at + r
+        return np.where(np.isnan(lo), -np.inf, lo).min(1), np.where(np.isnan(hi), np.inf, hi).max(1)
+
+    def nearest_first(self, at: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+        """The spans between ``ends`` by how near their boxes are."""
+        lo, hi = (f.reduceat(at, ends[:-1], axis=1) for f in (np.minimum, np.maximum))
+        gap = sum(self.apart(np.maximum(0.0, np.maximum(self.lo[i] - hi[i], lo[i] - self.hi[i]))) for i in range(len(at)))
+        return [(int(ends[i]), int(ends[i + 1])) for i in np.argsort(gap, kind="stable")]
+
     def add(self, rows: pa.StructArray, at: np.ndarray, ids: np.ndarray, spans: Sequence[tuple[int, int]]) -> None:
         """``rows`` at the places ``at``, of which those in ``spans`` (nearest first) are tried."""
         base = 0 if self.seen is None else len(self.seen)
@@ -219,17 +234,22 @@ class Search:
         return self.rows.take(pa.array(row)), self.seen.take(pa.array(self.ref[row, rank])), self.d[row, rank], (rank + 1).astype(np.int32)
 
 
-def in_units(askers: DataFrame, points: DataFrame, pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
+def in_units(askers: DataFrame, points: DataFrame, pairs: DataFrame, groups: Sequence[str], axes: Sequence[str] = ()) -> DataFrame:
     """(groups, unit, node, asks, a, b) of ``pairs`` (groups, asker, node, near): units of blocks of askers (a), each of them followed by the blocks that some of
-    them meet (b; asks: by whom, and how near), nearest first, in one task. Pairs that have a ``unit`` in place of the asker are met by all of it (asks is null)."""
+    them meet (b; asks: by whom, and how near), nearest first, in one task. Pairs that have a ``unit`` in place of the asker are met by all of it (asks is null).
+    Of a block that the pairs meet in boxes (r_lo*, r_hi*, of ``axes``) only the points in the box around these are sent."""
     spark = askers.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     unit = lambda c: F.floor(F.col(c) / UNIT).alias("unit")
+    members, reach = F.col("members"), [c for c in pairs.columns if c.startswith(("r_lo", "r_hi"))]
+    if reach:
+        inside = lambda m: reduce(lambda x, y: x & y, [m[c].cast("double").between(F.col(f"r_lo{i}"), F.col(f"r_hi{i}")) for i, c in enumerate(axes)])
+        members = F.filter(members, inside)
     if "asker" in pairs.columns:
-        met = pairs.groupBy(*groups, unit("asker"), "node").agg(F.min("near").alias("near"), F.collect_list(F.struct("asker", "near")).alias("asks"))
+        met = pairs.groupBy(*groups, unit("asker"), "node").agg(F.min("near").alias("near"), F.collect_list(F.struct("asker", "near")).alias("asks"), *[(F.min if c.startswith("r_lo") else F.max)(c).alias(c) for c in reach])
     else:
         met = pairs.withColumn("asks", F.lit(None).cast("array<struct<asker:bigint,near:double>>"))
-    met = met.join(points.select(*groups, "node", F.col("members").alias("b")), [*groups, "node"])
+    met = met.join(points.select(*groups, "node", "members"), [*groups, "node"]).select(*groups, "unit", "near", "node", "asks", members.alias("b"))
     empty = lambda c, df: F.lit(None).cast(df.schema[c].dataType)
     every = askers.select(*groups, unit("node"), F.lit(-1.0).alias("near"), "node", empty("asks", met).alias("asks"), F.col("members").alias("a"), empty("members", points).alias("b"))
     every = every.unionByName(met.select(*groups, "unit", "near", "node", "asks", empty("members", askers).alias("a"), "b"))
@@ -243,9 +263,17 @@ def unit_pairs(askers: DataFrame, leaves: DataFrame, groups: Sequence[str], axes
     return block_pairs(units, leaves, groups, axes, 1).select(*groups, F.col("asker").alias("unit"), "node", "near")
 
 
-def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id: str, held: int) -> Iterator[tuple[pa.RecordBatch, object]]:
-    """Each row of a block of askers, and its search (``begin`` of the block's rows) when it has met all that it asks. At most ``held`` blocks are kept."""
-    now, blocks = {}, []
+def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id: str, held: int, home: bool = False) -> Iterator[tuple[pa.RecordBatch, object]]:
+    """Each row of a block of askers, and its search (``begin`` of the block's rows) when it has met all that it asks. At most ``held`` blocks are kept.
+    ``home``: the askers of a unit are points too and meet each other before all else."""
+    now, blocks, key = {}, [], None
+
+    def meet_own() -> None:
+        own = [row.column("a")[0].values for row, _ in now.values()]
+        rows, ends = pa.concat_arrays(own), np.cumsum([0, *map(len, own)])
+        at, ids = _places(rows, axes), _ids(rows.field(b_id))
+        for _, search in now.values():
+            search.add(rows, at, ids, search.nearest_first(at, ends))
 
     def meet() -> None:
         rows = pa.concat_arrays([b for b, _ in blocks])
@@ -258,26 +286,35 @@ def searched(batches: Iterator[pa.RecordBatch], begin, axes: Sequence[str], b_id
             now[asker][1].add(rows, at, ids, [s[1:] for s in sorted(spans)])
         blocks.clear()
 
+    def done() -> Iterator[tuple[pa.RecordBatch, object]]:
+        if home and asking and now:
+            meet_own()
+        if blocks:
+            meet()
+        yield from now.values()
+        now.clear()
+
     asking = True
     for batch in batches:
+        names = batch.schema.names
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names[: names.index("node")]), strict=True))
         nodes, xs, ys, asks = batch.column("node").to_pylist(), batch.column("a"), batch.column("b"), batch.column("asks")
         for i, node in enumerate(nodes):
+            unit = tuple(None if x != x else x for x in keys[i])
+            if unit != key:
+                yield from done()
+                key, asking = unit, True
             if xs[i].is_valid:  # a unit's blocks of askers come before all that they ask
-                if not asking:
-                    if blocks:
-                        meet()
-                    yield from now.values()
-                    now.clear()
-                asking = True
                 now[node] = batch.slice(i, 1), begin(xs[i].values)
             else:
+                if home and asking:
+                    meet_own()
                 asking = False
-                blocks.append((ys[i].values, asks[i].values if asks[i].is_valid else None))
+                if len(ys[i].values):
+                    blocks.append((ys[i].values, asks[i].values if asks[i].is_valid else None))
                 if len(blocks) >= held:
                     meet()
-    if blocks:
-        meet()
-    yield from now.values()
+    yield from done()
 
 
 def around(askers: DataFrame, points: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -312,9 +349,11 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
     askers = points if a is b and a_id == b_id else blocks(a, a_id, axes, by, box, size)
     begin = lambda rows: Search(rows, k, axes, metric, a_id, b_id, exclude_self, within)
 
+    home, reach = askers is points, [f"r_{k}{i}" for k in ("lo", "hi") for i in range(len(axes))]
+
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, now in searched(batches, begin, axes, b_id, held):
-            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in (*groups, "node")), pa.array([now.bound()])], [*groups, "node", "bound"])
+        for row, now in searched(batches, begin, axes, b_id, held, home):
+            yield pa.RecordBatch.from_arrays([*(row.column(c) for c in (*groups, "node")), pa.array([now.bound()]), *(pa.array([x]) for side in now.reach() for x in side)], [*groups, "node", "bound", *reach])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, n = [], 0
@@ -323,7 +362,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
             x, y = (pa.concat_arrays([d[i] for d in done]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([*x.flatten(), *y.flatten(), pa.array(np.concatenate([d[2] for d in done])), pa.array(np.concatenate([d[3] for d in done]))], schema.fieldNames())
 
-        for _, now in searched(batches, begin, axes, b_id, held):
+        for _, now in searched(batches, begin, axes, b_id, held, home):
             if got := now.found():
                 done.append(got)
                 n += len(got[2])
@@ -333,6 +372,10 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
         if done:
             yield flush()
 
-    first = in_units(askers, points, around(askers, points, groups), groups).mapInArrow(bound, T.StructType([*(askers.schema[c] for c in (*groups, "node")), T.StructField("bound", T.DoubleType())]))
+    told = T.StructType([*(askers.schema[c] for c in (*groups, "node")), *(T.StructField(c, T.DoubleType()) for c in ("bound", *reach))])
+    away = lambda pairs: pairs.where(F.floor(F.col("asker") / UNIT) != F.floor(F.col("node") / UNIT)) if home else pairs
+    ends = points.where((F.col("node") % UNIT).isin(0, UNIT - 1)) if home else points
+    first = in_units(askers, ends, away(around(askers, points, groups)), groups).mapInArrow(bound, told)
     asking = askers.drop("members").join(scratch.store(first, "bounds"), [*groups, "node"])
-    return in_units(askers, points, block_pairs(asking, points, groups, len(axes), k + bool(exclude_self), metric, within), groups).mapInArrow(search, schema)
+    pairs = away(block_pairs(asking, points, groups, len(axes), k + bool(exclude_self), metric, within))
+    return in_units(askers, points, pairs, groups, axes).mapInArrow(search, schema)

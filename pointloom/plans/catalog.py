@@ -160,8 +160,8 @@ def controller_springs(spark, sf_dir):
 k AS (SELECT part, count(*) AS springs FROM s JOIN pts ON pid = src GROUP BY 1) SELECT part, n, first_id, coalesce(springs, 0) AS springs FROM o LEFT JOIN k USING (part)""")
 def springs_by_mask(spark, sf_dir):
     p = V.pts(spark, sf_dir)
-    e = joins.undirected_edges(joins.hybrid_join(p, p, 0.2, 6, by=["part"]))
-    k = e.join(p.select(c("pid").alias("src"), "part"), "src").groupBy("part").agg(F.count("*").alias("springs"))
+    e = joins.undirected_edges(joins.hybrid_join(p, p, 0.2, 6, by=["part"]), by=["part"])
+    k = e.groupBy("part").agg(F.count("*").alias("springs"))
     n = filters.prefix_sum(p.groupBy("part").agg(F.count("*").alias("n")), ["part"], "n", "upto")
     return n.join(k, "part", "left").select("part", "n", (c("upto") - c("n")).alias("first_id"), F.coalesce("springs", F.lit(0)).alias("springs"))
 
