@@ -67,7 +67,8 @@ def spring_force(springs: DataFrame, nodes: DataFrame, damping: float, stiff_min
     along = F.col("wx") * F.col("dx") + F.col("wy") * F.col("dy") + F.col("wz") * F.col("dz")
     size = F.greatest(F.lit(stiff_min), F.least(F.lit(stiff_max), F.col("y"))) * (F.col("len") / F.col("rest") - 1.0) + damping * along
     e = e.where(F.col("y") > stiff_min).select("src", "dst", *[(size * F.col("d" + c)).alias("f" + c) for c in AXES])
-    ends = e.select(F.col("src").alias("pid"), *["f" + c for c in AXES]).unionByName(e.select(F.col("dst").alias("pid"), *[(-F.col("f" + c)).alias("f" + c) for c in AXES]))
+    # both ends from one row, as a union would make the joins twice
+    ends = e.select(F.explode(F.array(*[F.struct(F.col(end).alias("pid"), *[(s * F.col("f" + c)).alias("f" + c) for c in AXES]) for end, s in (("src", 1.0), ("dst", -1.0))])).alias("end")).select("end.*")
     return ends.groupBy("pid").agg(*[F.sum("f" + c).alias("f" + c) for c in AXES])
 
 
