@@ -56,22 +56,46 @@ def anisotropy(scales: Column, ratio: float) -> Column:
     return F.avg(F.greatest(F.array_max(scales) / F.array_min(scales), F.lit(ratio)) - ratio)
 
 
+def pulls(edges: DataFrame, damping: float, stiff_min: float, stiff_max: float, *keep: str) -> DataFrame:
+    """(src, dst, keep, y, fx, fy, fz): what each spring (src, dst, rest, log_y; a_* and b_*: xyz, vxyz of its ends) pulls its src by."""
+    d = [F.col("b_" + c) - F.col("a_" + c) for c in AXES]
+    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    e = edges.select("src", "dst", *keep, "rest", F.exp("log_y").alias("y"), length.alias("len"), *[(x / F.greatest(length, F.lit(1e-6))).alias("d" + c) for x, c in zip(d, AXES, strict=True)], *[(F.col("b_v" + c) - F.col("a_v" + c)).alias("w" + c) for c in AXES])
+    along = F.col("wx") * F.col("dx") + F.col("wy") * F.col("dy") + F.col("wz") * F.col("dz")
+    size = F.greatest(F.lit(stiff_min), F.least(F.lit(stiff_max), F.col("y"))) * (F.col("len") / F.col("rest") - 1.0) + damping * along
+    return e.select("src", "dst", *keep, "y", *[(size * F.col("d" + c)).alias("f" + c) for c in AXES])
+
+
 def spring_force(springs: DataFrame, nodes: DataFrame, damping: float, stiff_min: float, stiff_max: float) -> DataFrame:
     """(pid, fx, fy, fz) of springs (src, dst, rest, log_y) on nodes (pid, xyz, vxyz): each edge pulls both ends, joined by ids."""
     cols = [*AXES, "vx", "vy", "vz"]
     e = springs.join(nodes.select(F.col("pid").alias("src"), *[F.col(c).alias("a_" + c) for c in cols]), "src")
     e = e.join(nodes.select(F.col("pid").alias("dst"), *[F.col(c).alias("b_" + c) for c in cols]), "dst")
-    d = [F.col("b_" + c) - F.col("a_" + c) for c in AXES]
-    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    e = e.select("src", "dst", "rest", F.exp("log_y").alias("y"), length.alias("len"), *[(x / F.greatest(length, F.lit(1e-6))).alias("d" + c) for x, c in zip(d, AXES, strict=True)], *[(F.col("b_v" + c) - F.col("a_v" + c)).alias("w" + c) for c in AXES])
-    along = F.col("wx") * F.col("dx") + F.col("wy") * F.col("dy") + F.col("wz") * F.col("dz")
-    size = F.greatest(F.lit(stiff_min), F.least(F.lit(stiff_max), F.col("y"))) * (F.col("len") / F.col("rest") - 1.0) + damping * along
-    e = e.where(F.col("y") > stiff_min).select("src", "dst", *[(size * F.col("d" + c)).alias("f" + c) for c in AXES])
+    e = pulls(e, damping, stiff_min, stiff_max).where(F.col("y") > stiff_min)
     # both ends from one row, as a union would make the joins twice
     ends = e.select(F.explode(F.array(*[F.struct(F.col(end).alias("pid"), *[(s * F.col("f" + c)).alias("f" + c) for c in AXES]) for end, s in (("src", 1.0), ("dst", -1.0))])).alias("end")).select("end.*")
     return ends.groupBy("pid").agg(*[F.sum("f" + c).alias("f" + c) for c in AXES])
 
 
+def counted(ends: str, wanted: str = "true") -> Column:
+    """Of the ends (other, first) of pairs that may have come twice, those that count: an end that isn't ``first`` only where no other of its pair is."""
+    return F.expr(f"filter({ends}, x -> ({wanted}) and (x.first or not exists({ends}, y -> y.first and y.other = x.other)))")
+
+
+def one_way_force(edges: DataFrame, damping: float, stiff_min: float, stiff_max: float) -> DataFrame:
+    """``spring_force`` of the edges of ``joins.one_way`` with their log_y, whose rows have all of both ends. The ends of the sure ones are summed where they are
+    made; only those of the others go one by one to their node, which sees both of a pair that came twice."""
+    f, live = ["f" + c for c in AXES], F.coalesce(F.col("y") > stiff_min, F.lit(False))
+    e = pulls(edges, damping, stiff_min, stiff_max, "sure").withColumn("live", live).withColumn("first", F.col("src") < F.col("dst")).where("live or not sure")
+    ends = e.select("sure", F.explode(F.array(*[F.struct(F.col(end).alias("pid"), F.col(other).alias("other"), "first", "live", *[(s * F.col(c)).alias(c) for c in f]) for end, other, s in (("src", "dst", 1.0), ("dst", "src", -1.0))])).alias("end"))
+    of = lambda c: F.when(F.col("sure"), F.col(f"end.{c}"))
+    sums = ends.groupBy("end.pid").agg(*[F.sum(of(c)).alias(c) for c in f], F.count(of("pid")).alias("n"), F.collect_list(F.when(~F.col("sure"), F.struct(*[F.col(f"end.{c}") for c in ("other", "first", "live", *f)]))).alias("more"))
+    own = F.when(F.col("n") > 0, F.array(F.struct(*f)))
+    more = F.transform(counted("more", "x.live"), lambda x: F.struct(*[x[c].alias(c) for c in f]))
+    every = sums.select("pid", F.explode(F.concat(F.coalesce(own, F.array().cast(f"array<struct<{', '.join(c + ':double' for c in f)}>>")), more)).alias("f"))
+    return every.groupBy("pid").agg(*[F.sum(f"f.{c}").alias(c) for c in f])
+
+
 def velocity(v: Column, f: Column, mass: float, dt: float, drag: float, gravity: float = 0.0) -> Column:
     return (v + (f + mass * gravity) / mass * dt) * math.exp(-dt * drag)
 

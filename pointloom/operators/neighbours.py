@@ -1,6 +1,7 @@
 """k-nearest neighbours over blocks of a space-filling curve.
 
-Points are put in Z-order and cut into blocks of bounded size, so that a block is small in space where points are dense and large where they are rare.
+Points are put in the order of a Hilbert curve, which makes no leaps, and cut into blocks of bounded size, so that a block is small in space where points are dense and large
+where they are rare.
 Over the blocks' boxes stands a tree of fixed fan-out. A block of askers is met with the few blocks around its place on the curve for its askers' k-th distances; with
 that bound it goes down the tree. Blocks of askers that follow each other search in one task as a unit, so that a block which several of them ask is sent once, and of it
 only the points in the box that they look at; a table that asks itself isn't sent to its own unit. Each asker's own k-th distance rejects the blocks, and points, beyond it.
@@ -10,8 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -27,24 +30,37 @@ BLOCK, FAN, BITS, HELD, UNIT = 64, 32, 20, 1024, 64
 PAIRS = 1 << 18
 
 
-def z_order(cells: Sequence[Column], bits: int = BITS) -> Column:
-    """The bits of whole numbers, interleaved."""
-    out = F.lit(0).cast("long")
-    for axis, c in enumerate(cells):
-        for bit in range(bits):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(c, bit).bitwiseAND(F.lit(1).cast("long")), len(cells) * bit + axis))
+def hilbert(cells: Sequence[np.ndarray], bits: int = BITS) -> np.ndarray:
+    """The places of cells (whole numbers of ``bits`` bits, an array for each axis) on a Hilbert curve, on which those that follow each other touch (Skilling's transform)."""
+    x = [np.array(c, np.int64) for c in cells]
+    for bit in range(bits - 1, 0, -1):
+        low = (1 << bit) - 1
+        for i in range(len(x)):
+            on = (x[i] >> bit) & 1 == 1
+            swap = np.where(on, 0, (x[0] ^ x[i]) & low)
+            x[i] = x[i] ^ swap if i else x[i]
+            x[0] = x[0] ^ np.where(on, low, swap)
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    turn = np.zeros_like(x[0])
+    for bit in range(bits - 1, 0, -1):
+        turn ^= ((x[-1] >> bit) & 1) * ((1 << bit) - 1)
+    out = np.zeros_like(turn)
+    for bit in range(bits):
+        for i, c in enumerate(x):
+            out |= (((c ^ turn) >> bit) & 1) << (len(x) * bit + len(x) - 1 - i)
     return out
 
 
 def blocks(points: DataFrame, id_column: str, axes: Sequence[str], by: Sequence[str], bounds: dict[str, tuple[float, float]], size: int = BLOCK) -> DataFrame:
-    """(by, node, head, members, n, lo_*, hi_*): blocks of at most ``size`` points that follow each other in Z-order, from the code ``head`` on, and their boxes. A
+    """(by, node, head, members, n, lo_*, hi_*): blocks of at most ``size`` points that follow each other on a Hilbert curve, from the place ``head`` on, and their boxes. A
     block holds points of one ``by`` group and of one range of the order. Points with a null or NaN coordinate, or a null in ``by``, are left out."""
     bits = min(BITS, 62 // len(axes))
     cell = lambda c: F.floor((F.col(c).cast("double") - bounds[c][0]) / ((bounds[c][1] - bounds[c][0]) or 1.0) * ((1 << bits) - 1)).cast("long")
     good = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes] + [F.col(c).isNotNull() for c in by])
-    groups = [f"__by{i}" for i in range(len(by))]
-    rows = points.where(good).select(F.struct(*points.columns).alias("__row"), *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], z_order([cell(c) for c in axes], bits).alias("head"), F.col(id_column).alias("__id"))
-    parts, order, axes = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*groups, "head", "__id"], list(axes)
+    groups, head = [f"__by{i}" for i in range(len(by))], F.pandas_udf(lambda *x: pd.Series(hilbert(x, bits)), "long")
+    rows = points.where(good).select(F.struct(*points.columns).alias("__row"), *[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], head(*[cell(c) for c in axes]).alias("head"))
+    parts, order, axes = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*groups, "head", F.col("__row")[id_column]], list(axes)
     boxes = [f"{k}{i}" for i in range(len(axes)) for k in ("lo", "hi")]
     schema = T.StructType([*(rows.schema[g] for g in groups), T.StructField("__at", T.LongType()), rows.schema["head"], T.StructField("members", T.ArrayType(rows.schema["__row"].dataType)), T.StructField("n", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in boxes)])
 
@@ -338,9 +354,18 @@ def common_box(a: DataFrame, b: DataFrame, axes: Sequence[str]) -> dict[str, tup
     return {c: (min(sa[f"lo{c}"], sb[f"lo{c}"]), max(sa[f"hi{c}"], sb[f"hi{c}"])) for c in axes}
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str], within: float = np.inf) -> DataFrame:
-    """See ``joins.knn_join``. What is farther than ``within`` (squared for l2) is left out, but for rounding."""
-    schema = T.StructType([*(T.StructField("a_" + f.name, f.dataType) for f in a.schema), *(T.StructField("b_" + f.name, f.dataType) for f in b.schema), T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+def turned(a: np.ndarray, b: np.ndarray, own: np.ndarray) -> pa.Array:
+    """For each pair (a, b) whether (b, a) is one too; null where b isn't of ``own``, which has all a."""
+    own = np.unique(own)
+    n, i, j = len(own), np.searchsorted(own, a), np.minimum(np.searchsorted(own, b), len(own) - 1)
+    here = own[j] == b
+    return pa.array(np.isin(j * n + i, (i * n + j)[here]), mask=~here)
+
+
+def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: str, exclude_self: bool, axes: Sequence[str], by: Sequence[str], within: float = np.inf, back: bool = False) -> DataFrame:
+    """See ``joins.knn_join``. What is farther than ``within`` (squared for l2) is left out, but for rounding. ``back`` (a table that asks itself): a column that
+    tells whether the pair is listed the other way round, too, as far as its unit knows; null where b isn't of a's unit."""
+    schema = T.StructType([*(T.StructField("a_" + f.name, f.dataType) for f in a.schema), *(T.StructField("b_" + f.name, f.dataType) for f in b.schema), T.StructField("dist", T.DoubleType()), T.StructField("rank", T.IntegerType()), *([T.StructField("back", T.BooleanType())] if back else [])])
     box = common_box(a, b, axes)
     if box is None or k < 1:
         return a.sparkSession.createDataFrame([], schema)
@@ -360,22 +385,29 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, a_id: str, b_id: str, metric: s
 
         def flush() -> pa.RecordBatch:
             x, y = (pa.concat_arrays([d[i] for d in done]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([*x.flatten(), *y.flatten(), pa.array(np.concatenate([d[2] for d in done])), pa.array(np.concatenate([d[3] for d in done]))], schema.fieldNames())
-
-        for _, now in searched(batches, begin, axes, b_id, held, home):
-            if got := now.found():
-                done.append(got)
-                n += len(got[2])
-            if n >= 16384:
-                yield flush()
-                done, n = [], 0
+            return pa.RecordBatch.from_arrays([*x.flatten(), *y.flatten(), *(pa.concat_arrays([pa.array(d[i]) for d in done]) for i in range(2, len(done[0])))], schema.fieldNames())
+
+        for _, unit in groupby(searched(batches, begin, axes, b_id, held, home), key=lambda s: repr([s[0].column(c)[0].as_py() for c in (*groups, "unit")])):
+            unit = [now for _, now in unit] if back else (now for _, now in unit)
+            got = [g for now in unit if (g := now.found())] if back else (g for now in unit if (g := now.found()))
+            if back and got:
+                pairs = [np.concatenate([_ids(g[i].field(n)) for g in got]) for i, n in ((0, a_id), (1, b_id))]
+                marks, ends = turned(*pairs, np.concatenate([now.ids for now in unit])), np.cumsum([0, *(len(g[2]) for g in got)])
+                got = [(*g, marks[ends[i] : ends[i + 1]]) for i, g in enumerate(got)]
+            for g in got:
+                done.append(g)
+                n += len(g[2])
+                if n >= 16384:
+                    yield flush()
+                    done, n = [], 0
         if done:
             yield flush()
 
     told = T.StructType([*(askers.schema[c] for c in (*groups, "node")), *(T.StructField(c, T.DoubleType()) for c in ("bound", *reach))])
     away = lambda pairs: pairs.where(F.floor(F.col("asker") / UNIT) != F.floor(F.col("node") / UNIT)) if home else pairs
     ends = points.where((F.col("node") % UNIT).isin(0, UNIT - 1)) if home else points
-    first = in_units(askers, ends, away(around(askers, points, groups)), groups).mapInArrow(bound, told)
+    lean = lambda df, name: df.withColumn("members", F.transform("members", lambda m: F.struct(*[m[c].alias(c) for c in dict.fromkeys([name, *axes])])))
+    first = in_units(lean(askers, a_id), lean(ends, b_id), away(around(askers, points, groups)), groups).mapInArrow(bound, told)
     asking = askers.drop("members").join(scratch.store(first, "bounds"), [*groups, "node"])
     pairs = away(block_pairs(asking, points, groups, len(axes), k + bool(exclude_self), metric, within))
     return in_units(askers, points, pairs, groups, axes).mapInArrow(search, schema)
