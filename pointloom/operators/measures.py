@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -96,6 +96,41 @@ def one_way_force(edges: DataFrame, damping: float, stiff_min: float, stiff_max:
     return every.groupBy("pid").agg(*[F.sum(f"f.{c}").alias(c) for c in f])
 
 
+def side_forces(edges: DataFrame, nodes: DataFrame, side: Callable[[Column], Column], sides: Sequence[int], damping: float, stiff_min: float, stiff_max: float) -> DataFrame:
+    """(side, fx, fy, fz, cx, cy, cz): of the springs of each side (of their src) the force on their dst, summed, and the mean place of dst. ``edges``: those of
+    ``joins.one_way`` with log_y and the places of their ends. Velocities come from ``nodes`` (pid, vxyz), all finite, and meet a row of each node and not of each spring: along a
+    spring of direction d its damping is d d' (v_dst - v_src), so a node adds its velocity times the sum of d d' over its ends."""
+    c, f, p = F.col, ["f" + x for x in AXES], ["p" + x for x in AXES]
+    d = [c("b_" + x) - c("a_" + x) for x in AXES]
+    length = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    pull = F.greatest(F.lit(stiff_min), F.least(F.lit(stiff_max), F.exp("log_y"))) * (length / c("rest") - 1.0)
+    e = edges.select("src", "dst", "sure", pull.alias("pull"), *[(x / F.greatest(length, F.lit(1e-6))).alias("d" + n) for x, n in zip(d, AXES, strict=True)], *[c("b_" + x).alias("p" + x) for x in AXES])
+    # of a sure spring its src, its dst, and what it adds without velocities; of the others their ends
+    end = lambda pid, other, own: F.struct(pid.cast(edges.schema["src"].dataType).alias("pid"), other.alias("other"), F.lit(own).alias("own"))
+    both = [end(c("src"), c("dst"), True), end(c("dst"), c("src"), False)]
+    rows = e.withColumn("end", F.explode(F.when(c("sure"), F.array(*both, end(F.lit(None), c("dst"), True))).otherwise(F.array(*both)))).withColumn("side", side(c("src")))
+    pairs = [x + y for i, x in enumerate(AXES) for y in AXES[i:]]
+    sums = [F.collect_list(F.when(~c("sure"), F.struct(c("end.other").alias("other"), (c("src") < c("dst")).alias("first"), c("end.own").alias("own"), "pull", *["d" + x for x in AXES], *p))).alias("more")]
+    for g in sides:
+        of = lambda v, node, g=g: F.when(c("sure") & (c("side") == g) & (c("end.pid").isNotNull() if node else c("end.pid").isNull()), v)
+        sums += [F.sum(of(F.when(c("end.own"), -c("d" + q[0]) * c("d" + q[1])).otherwise(c("d" + q[0]) * c("d" + q[1])), True)).alias(f"{q}{g}") for q in pairs]
+        sums += [F.sum(of(c("pull") * c("d" + x), False)).alias(f"f{x}{g}") for x in AXES] + [F.sum(of(c(x), False)).alias(f"{x}{g}") for x in p] + [F.count(of(F.lit(1), False)).alias(f"n{g}")]
+    met = rows.groupBy(c("end.pid").alias("pid")).agg(*sums).join(nodes.select("pid", *["v" + x for x in AXES]), "pid", "left")
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    drag = lambda x, g: sum((c("v" + y) * c(f"{min(x, y)}{max(x, y)}{g}") for y in AXES), F.lit(0.0))
+    settled = [F.struct(F.lit(g).alias("side"), *[(zero(c(f"f{x}{g}")) + damping * zero(drag(x, g))).alias("f" + x) for x in AXES], *[zero(c(f"{x}{g}")).alias(x) for x in p], c(f"n{g}").alias("n")) for g in sides]
+
+    def half(x: Column) -> Column:
+        along = damping * sum((c("v" + y) * x["d" + y] for y in AXES), F.lit(0.0))
+        size = F.when(x["own"], x["pull"] - along).otherwise(along)
+        of = side(F.when(x["own"], c("pid")).otherwise(x["other"]))
+        return F.struct(of.alias("side"), *[(size * x["d" + y]).alias("f" + y) for y in AXES], *[F.when(x["own"], x[y]).otherwise(0.0).alias(y) for y in p], x["own"].cast("long").alias("n"))
+
+    every = met.select(F.explode(F.concat(F.array(*settled), F.transform(counted("more"), half))).alias("r")).select("r.*")
+    out = every.groupBy("side").agg(*[F.sum(x).alias(x) for x in (*f, *p, "n")]).where("n > 0")
+    return out.select("side", *[(-c(x)).alias(x) for x in f], *[(c("p" + x) / c("n")).alias("c" + x) for x in AXES])
+
+
 def velocity(v: Column, f: Column, mass: float, dt: float, drag: float, gravity: float = 0.0) -> Column:
     return (v + (f + mass * gravity) / mass * dt) * math.exp(-dt * drag)
 
