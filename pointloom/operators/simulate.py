@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import places
+
 XYZ = ["x", "y", "z"]
 
 
@@ -55,10 +58,8 @@ def spring_forces(x: np.ndarray, v: np.ndarray, src: np.ndarray, dst: np.ndarray
     u = d / np.maximum(n, 1e-6)[:, None]
     size = np.clip(y, p.stiff_min, p.stiff_max) * (n / rest - 1) + p.damping * ((v[dst] - v[src]) * u).sum(1)
     f = np.where((y > p.stiff_min)[:, None], size[:, None] * u, 0)
-    out = np.zeros_like(x)
-    np.add.at(out, src, f)
-    np.add.at(out, dst, -f)
-    return out
+    ends = np.concatenate([src, dst])
+    return np.stack([np.bincount(ends, np.concatenate([g, -g]), len(x)) for g in f.T], 1)
 
 
 def ground(x: np.ndarray, v: np.ndarray, p: Physics) -> tuple[np.ndarray, np.ndarray]:
@@ -134,31 +135,37 @@ def simulate_frame(x: np.ndarray, v: np.ndarray, springs: tuple[np.ndarray, ...]
     return x, v
 
 
-def nearest_within(a: np.ndarray, b: np.ndarray, r: float, k: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_within(a: np.ndarray, b: np.ndarray, r: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, distance) of the ``k`` nearest rows of ``b`` within ``r`` of each row of ``a``; ties to the smaller place."""
-    out = []
-    for lo in range(0, len(a), at_once):
-        d = ((a[lo : lo + at_once, None] - b[None]) ** 2).sum(2)
-        order = np.argsort(d, 1, kind="stable")[:, :k]
-        near = np.take_along_axis(d, order, 1)
-        i, place = np.nonzero(near <= r * r)
-        out.append((i + lo, order[i, place], np.sqrt(near[i, place])))
-    return tuple(np.concatenate([o[n] for o in out]) if out else np.zeros(0, int) for n in range(3))
-
-
-def build_springs(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rig: Rig, shortest: float = 1e-4) -> tuple[np.ndarray, ...]:
-    """(src, dst, rest, y): each unordered pair of neighbours within a mask once, and controllers (numbered after the points) with theirs."""
-    edges = {}
+    i, j, d, _ = places.nearest(a, b, k, r * r)
+    return i, j, np.sqrt(d)
+
+
+def listings(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rigs: Sequence[Rig]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(i, j, squared distance, rank) of points within a mask, and of controllers and points, as far and as many as any of the ``rigs`` asks for."""
     groups = [np.arange(len(x))] if mask is None else [np.flatnonzero(mask == m) for m in np.unique(mask)]
-    for g in groups:
-        i, j, d = nearest_within(x[g], x[g], rig.radius, int(rig.neighbours))
-        for p, q, rest in zip(g[i].tolist(), g[j].tolist(), d.tolist(), strict=True):
-            if p != q and rest > shortest and (min(p, q), max(p, q)) not in edges:
-                edges[min(p, q), max(p, q)] = rest
-    src, dst, rest = [p for p, _ in edges], [q for _, q in edges], list(edges.values())
-    i, j, d = nearest_within(controllers, x, rig.controller_radius, int(rig.controller_neighbours))
-    on = d > shortest
-    src, dst, rest = np.concatenate([np.array(src, int), len(x) + i[on].astype(int)]), np.concatenate([np.array(dst, int), j[on].astype(int)]), np.concatenate([np.array(rest, float), d[on].astype(float)])
+    most = lambda c: max(getattr(rig, c) for rig in rigs)
+    own = [(g[i], g[j], d, rank) for g in groups for i, j, d, rank in [places.nearest(x[g], x[g], int(most("neighbours")), most("radius") ** 2)]]
+    return tuple(np.concatenate(c) for c in zip(*own, strict=True)), places.nearest(controllers, x, int(most("controller_neighbours")), most("controller_radius") ** 2)
+
+
+def build_springs(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rig: Rig, shortest: float = 1e-4, near: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """(src, dst, rest, y): each unordered pair of neighbours within a mask once, and controllers (numbered after the points) with theirs. ``near``: listings that
+    hold those of ``rig``."""
+    own, held = near or listings(x, controllers, mask, [rig])
+
+    def within(listing: tuple, r: float, k: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, d, rank = listing
+        on = (d <= r * r) & (rank < int(k)) & (np.sqrt(d) > shortest)
+        return i[on], j[on], np.sqrt(d[on])
+
+    i, j, rest = within(own, rig.radius, rig.neighbours)
+    apart = i != j
+    i, j, rest = i[apart], j[apart], rest[apart]
+    src, dst = np.minimum(i, j), np.maximum(i, j)
+    first = np.sort(np.unique(src * len(x) + dst, return_index=True)[1])
+    i, j, far = within(held, rig.controller_radius, rig.controller_neighbours)
+    src, dst, rest = np.concatenate([src[first], len(x) + i]), np.concatenate([dst[first], j]), np.concatenate([rest[first], far])
     return src, dst, rest, np.full(len(rest), float(rig.stiffness))
 
 
@@ -218,39 +225,53 @@ def smooth(u: np.ndarray) -> np.ndarray:
     return np.where(np.abs(u) < 1, 0.5 * u * u, np.abs(u) - 0.5)
 
 
+def nearest_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of ``a`` to the nearest of ``b``; NaN where a difference to some row of ``b`` is."""
+    out = np.full(len(a), np.inf)
+    i, _, d, _ = places.nearest(a, b, 1)
+    out[i] = d
+    out[np.isnan(a).any(1) | np.isnan(b).any() | (np.isinf(a) & ((a > 0) & (b == np.inf).any(0) | (a < 0) & (b == -np.inf).any(0))).any(1)] = np.nan
+    return out
+
+
 def frame_losses(found: list[np.ndarray], truth: dict[int, tuple[np.ndarray, np.ndarray]], weights=(1.0, 1.0, 0.01)) -> float:
     """The mean over the frames after the first of chamfer, track and acceleration losses; truth: (places, positions) of the points seen in a frame."""
     total = 0.0
     for f in range(1, len(found)):
         at, want = truth.get(f, (np.zeros(0, int), np.zeros((0, 3))))
         if len(at):
-            nearest = np.concatenate([((want[a : a + 512, None] - found[f][None]) ** 2).sum(2).min(1) for a in range(0, len(want), 512)])
-            total += weights[0] * nearest.mean() + weights[1] * smooth(found[f][at] - want).sum() / (3 * len(at))
+            total += weights[0] * nearest_squares(want, found[f]).mean() + weights[1] * smooth(found[f][at] - want).sum() / (3 * len(at))
         if f > 1:
             total += weights[2] * smooth(found[f] - 2 * found[f - 1] + found[f - 2]).sum() / (3 * len(found[f]))
     return total / max(1, len(found) - 1)
 
 
 def sweep(nodes: DataFrame, truth: DataFrame, candidates: DataFrame, frames: int, base: Physics, rig: Rig | None = None, springs: DataFrame | None = None, controllers: DataFrame | None = None) -> DataFrame:
-    """(candidate, case, loss) of each candidate in each case, a task for each; truth (case, frame, pid, xyz) holds what was seen.
+    """(candidate, case, loss) of each candidate in each case; truth (case, frame, pid, xyz) holds what was seen.
 
-    ``candidates``: a few rows of the driver, ``candidate`` and any fields of ``Physics`` and ``Rig``. Springs are built anew by each candidate's
-    ``Rig``; where ``springs`` are given and ``rig`` isn't, all candidates share these. Loss: see ``frame_losses``.
+    ``candidates``: a few rows of the driver, ``candidate`` and any fields of ``Physics`` and ``Rig``. A case is sent once for each deal of candidates, of which
+    there are so many that all cores have tasks. Springs are built anew by each candidate's ``Rig``, from one listing of neighbours; where ``springs`` are
+    given and ``rig`` isn't, all candidates share these. Loss: see ``frame_losses``.
     """
     own = [c for c in candidates.columns if c != "candidate"]
     physics_of, rig_of = [c for c in own if c in Physics.__dataclass_fields__], [c for c in own if c in Rig.__dataclass_fields__]
     if set(own) - {*physics_of, *rig_of}:
         raise ValueError(f"no parameters: {sorted(set(own) - {*physics_of, *rig_of})}")
-    rows = with_controllers(nodes, controllers).withColumn("kind", F.lit("node")).withColumn("extra", F.lit(None).cast("double"))
-    t = truth.select(F.col("case").cast("long").alias("case"), F.col("frame").cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, F.lit(None).cast("double").alias("mass"), F.lit(None).cast("long").alias("mask"), F.lit("truth").alias("kind"), F.lit(None).cast("double").alias("extra"))
-    rows = rows.unionByName(t)
+    asked = [(int(r["candidate"]), replace(base, **{c: float(r[c]) for c in physics_of}), replace(rig or Rig(), **{c: float(r[c]) for c in rig_of})) for r in candidates.collect()]
+    if not asked:
+        return candidates.sparkSession.createDataFrame([], "candidate long, case long, loss double")
+    cases, cores = max(1, nodes.select("case").distinct().count()), nodes.sparkSession.sparkContext.defaultParallelism
+    deals = min(len(asked), -(-2 * cores // cases))
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    t = truth.where(F.col("frame").between(1, frames - 1))  # the frames that a loss looks at
+    t = t.select(F.col("case").cast("long").alias("case"), F.col("frame").cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, empty("mass", "double"), empty("mask", "long"), F.lit("truth").alias("kind"))
+    rows = with_controllers(nodes, controllers).withColumn("kind", F.lit("node")).unionByName(t)
     if springs is not None and rig is None:
-        rows = rows.unionByName(springs.select(F.col("case").cast("long").alias("case"), F.lit(None).cast("int").alias("frame"), F.col("src").cast("long").alias("pid"), F.col("rest").alias("x"), F.col("log_y").alias("y"), F.lit(0.0).alias("z"), F.lit(None).cast("double").alias("mass"), F.col("dst").cast("long").alias("mask"), F.lit("spring").alias("kind"), F.lit(None).cast("double").alias("extra")))
-    asked = rows.drop("extra").crossJoin(F.broadcast(candidates))  # a generation: a few rows that the driver made
+        rows = rows.unionByName(springs.select(F.col("case").cast("long").alias("case"), empty("frame", "int"), F.col("src").cast("long").alias("pid"), F.col("rest").alias("x"), F.col("log_y").alias("y"), F.lit(0.0).alias("z"), empty("mass", "double"), F.col("dst").cast("long").alias("mask"), F.lit("spring").alias("kind")))
+    dealt = rows.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        p = replace(base, **{c: float(first[c]) for c in physics_of})
+        hand = asked[int(key[0]) :: deals]
         points, mass, mask, path, ids = _states(pdf[pdf["kind"] == "node"])
         if not len(points):
             return pd.DataFrame({"candidate": [], "case": [], "loss": []}).astype({"candidate": "int64", "case": "int64"})
@@ -259,13 +280,15 @@ def sweep(nodes: DataFrame, truth: DataFrame, candidates: DataFrame, frames: int
         if len(s):
             ends = s["pid"].map(at).to_numpy(int), s["mask"].map(at).to_numpy(int), s["x"].to_numpy(float), np.exp(s["y"].to_numpy(float))
         else:
-            ends = build_springs(x, path.get(0, np.zeros((0, 3))), mask, replace(rig or Rig(), **{c: float(first[c]) for c in rig_of}))
+            held = path.get(0, np.zeros((0, 3)))
+            near = listings(x, held, mask, [r for _, _, r in hand])
         seen = pdf[(pdf["kind"] == "truth") & pdf["pid"].isin(list(at))]
         want = {int(f): (g["pid"].map(at).to_numpy(int), g[XYZ].to_numpy(float)) for f, g in seen.groupby("frame")}
-        loss = frame_losses(list(frames_of(x, ends, frames, p, mass, mask, path)), want)
-        return pd.DataFrame({"candidate": [int(key[0])], "case": [int(key[1])], "loss": [loss]})
+        loss = [frame_losses(list(frames_of(x, ends if len(s) else build_springs(x, held, mask, r, near=near), frames, p, mass, mask, path)), want) for _, p, r in hand]
+        return pd.DataFrame({"candidate": [n for n, _, _ in hand], "case": int(key[1]), "loss": loss})
 
-    return asked.groupBy("candidate", "case").applyInPandas(run, "candidate long, case long, loss double")
+    # in many parts, as a few keys would meet in few
+    return dealt.repartition(min(8 * cases * deals, 4096), "deal", "case").groupBy("deal", "case").applyInPandas(run, "candidate long, case long, loss double")
 
 
 def parameters(unit: np.ndarray, box=BOX) -> list[float]:
