@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Places of a block, children of a node, blocks of askers that go down the tree at once, pairs of places whose distances are held at once.
-BLOCK, FAN, AT_ONCE, PAIRS = 64, 8, 512, 1 << 20
+BLOCK, FAN, AT_ONCE, PAIRS = 64, 8, 128, 1 << 20
 
 
 def halves(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +50,10 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x + y + z
 
 
-def nearest(a: np.ndarray, b: np.ndarray, k: int, within: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def nearest(a: np.ndarray, b: np.ndarray, k: int, within: float | np.ndarray = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, squared distance, rank from 0) of the ``k`` nearest rows of ``b``, no farther than ``within`` (squared), of each row of ``a``; ties to the smaller
-    place in ``b``. In the order of i and rank; rows that aren't finite meet nothing. Rows at one place ask once, and of those asked only the first ``k`` count."""
+    place in ``b``. In the order of i and rank; rows that aren't finite meet nothing. Rows at one place ask once, and of those asked only the first ``k`` count.
+    Each row may have a ``within`` of its own where ``k`` is 1 and some row of ``b`` lies as near: that makes the search shorter."""
     none = np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
     ask, met = np.flatnonzero(np.isfinite(a).all(1)), np.flatnonzero(np.isfinite(b).all(1))
     if k < 1 or not len(ask) or not len(met):
@@ -60,7 +61,9 @@ def nearest(a: np.ndarray, b: np.ndarray, k: int, within: float = np.inf) -> tup
     with np.errstate(over="ignore"):
         number, _, first = copies(a[ask])
         met = met[copies(b[met])[1] < k]
-        i, j, d, rank = _search(a[ask[first]], b[met], k, within)
+        limit = np.full(len(first), np.inf)
+        np.minimum.at(limit, number, np.broadcast_to(within, len(a))[ask])
+        i, j, d, rank = _search(a[ask[first]], b[met], k, limit)
     # the answers of a place for each row there
     n = np.bincount(i, minlength=len(first))
     start = np.cumsum(n) - n
@@ -69,7 +72,7 @@ def nearest(a: np.ndarray, b: np.ndarray, k: int, within: float = np.inf) -> tup
     return ask[of], met[j[at]], d[at], rank[at]
 
 
-def _search(a: np.ndarray, b: np.ndarray, k: int, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _search(a: np.ndarray, b: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     order, ends = halves(b, max(BLOCK, 2 * k + 2))
     places, n = b[order], np.diff(ends)
     tree = [(np.minimum.reduceat(places, ends[:-1]), np.maximum.reduceat(places, ends[:-1]), n)]
@@ -81,16 +84,18 @@ def _search(a: np.ndarray, b: np.ndarray, k: int, within: float) -> tuple[np.nda
     out = []
     for begin in range(0, len(a_ends) - 1, AT_ONCE):
         stop = min(begin + AT_ONCE, len(a_ends) - 1)
-        here = a[a_order[a_ends[begin] : a_ends[stop]]]
+        of = a_order[a_ends[begin] : a_ends[stop]]
+        here, limit = a[of], within[of]
         cut = a_ends[begin : stop + 1] - a_ends[begin]
         lo, hi = np.minimum.reduceat(here, cut[:-1]), np.maximum.reduceat(here, cut[:-1])
-        asker, node, near = _down(lo, hi, tree, k, within)
+        asker, node, near = _down(lo, hi, tree, k, np.maximum.reduceat(limit, cut[:-1]))
         spans = np.searchsorted(asker, np.arange(stop - begin + 1))
         for block in range(stop - begin):
             s = slice(spans[block], spans[block + 1])
             if s.start == s.stop:
                 continue
-            row, col, d, rank = _meet(here[cut[block] : cut[block + 1]], lo[block], hi[block], node[s], near[s], places, order, ends, k, within)
+            own = slice(cut[block], cut[block + 1])
+            row, col, d, rank = _meet(here[own], lo[block], hi[block], node[s], near[s], places, order, ends, k, limit[own])
             out.append((a_order[a_ends[begin + block] + row], col, d, rank))
     if not out:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
@@ -99,9 +104,9 @@ def _search(a: np.ndarray, b: np.ndarray, k: int, within: float) -> tuple[np.nda
     return i[sort], j[sort], d[sort], rank[sort]
 
 
-def _down(lo: np.ndarray, hi: np.ndarray, tree: list, k: int, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(asker, block, least distance), by asker and distance: the blocks that may hold one of the ``k`` nearest of some place in the box of an asker."""
-    asker, bound = np.repeat(np.arange(len(lo)), len(tree[-1][0])), np.full(len(lo), within)
+def _down(lo: np.ndarray, hi: np.ndarray, tree: list, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asker, block, least distance), by asker and distance: the blocks that may hold one of the ``k`` nearest, within ``bound``, of some place in the box of an asker."""
+    asker = np.repeat(np.arange(len(lo)), len(tree[-1][0]))
     node = np.tile(np.arange(len(tree[-1][0])), len(lo))
     for depth in range(len(tree) - 1, -1, -1):
         to_lo, to_hi, n = tree[depth]
@@ -123,12 +128,13 @@ def _rows(ends: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.repeat(ends[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _meet(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, near: np.ndarray, places: np.ndarray, order: np.ndarray, ends: np.ndarray, k: int, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _meet(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, near: np.ndarray, places: np.ndarray, order: np.ndarray, ends: np.ndarray, k: int, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row asked, squared distance, rank) of one block of askers; its nearest blocks bound what it meets of the others."""
     first = squares(x, places[_rows(ends, node[:2])])
     best = within
     if first.shape[1] >= k:
-        best = min(best, (first.min(1) if k == 1 else np.partition(first, k - 1, 1)[:, k - 1]).max())
+        best = np.minimum(best, first.min(1) if k == 1 else np.partition(first, k - 1, 1)[:, k - 1])
+    best = best.max()
     at = _rows(ends, node[near <= best])
     at = at[gap(lo, hi, places[at], places[at]) <= best]
     at = at[np.argsort(order[at])]
@@ -136,7 +142,7 @@ def _meet(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, near:
     for begin in range(0, len(at), step):
         some = at[begin : begin + step]
         d = squares(x, places[some])
-        limit = np.minimum(within, np.partition(d, k - 1, 1)[:, k - 1]) if len(some) > k else np.full(len(x), within)
+        limit = np.minimum(within, np.partition(d, k - 1, 1)[:, k - 1]) if len(some) > k else within
         row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
         new = row, order[some[col]], d[row, col]
         row, j, d = new if found is None else (np.concatenate(c) for c in zip(found, new, strict=True))

@@ -144,9 +144,11 @@ def nearest_within(a: np.ndarray, b: np.ndarray, r: float, k: int) -> tuple[np.n
 def listings(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rigs: Sequence[Rig]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """(i, j, squared distance, rank) of points within a mask, and of controllers and points, as far and as many as any of the ``rigs`` asks for."""
     groups = [np.arange(len(x))] if mask is None else [np.flatnonzero(mask == m) for m in np.unique(mask)]
-    most = lambda c: max(getattr(rig, c) for rig in rigs)
-    own = [(g[i], g[j], d, rank) for g in groups for i, j, d, rank in [places.nearest(x[g], x[g], int(most("neighbours")), most("radius") ** 2)]]
-    return tuple(np.concatenate(c) for c in zip(*own, strict=True)), places.nearest(controllers, x, int(most("controller_neighbours")), most("controller_radius") ** 2)
+    most = lambda values: max((v for v in values if v == v), default=0)
+    k, r = int(most(rig.neighbours for rig in rigs)), most(rig.radius * rig.radius for rig in rigs)
+    own = [(g[i], g[j], d, rank) for g in groups for i, j, d, rank in [places.nearest(x[g], x[g], k, r)]]
+    k, r = int(most(rig.controller_neighbours for rig in rigs)), most(rig.controller_radius * rig.controller_radius for rig in rigs)
+    return tuple(np.concatenate(c) for c in zip(*own, strict=True)), places.nearest(controllers, x, k, r)
 
 
 def build_springs(x: np.ndarray, controllers: np.ndarray, mask: np.ndarray | None, rig: Rig, shortest: float = 1e-4, near: tuple | None = None) -> tuple[np.ndarray, ...]:
@@ -225,10 +227,13 @@ def smooth(u: np.ndarray) -> np.ndarray:
     return np.where(np.abs(u) < 1, 0.5 * u * u, np.abs(u) - 0.5)
 
 
-def nearest_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The squared distance of each row of ``a`` to the nearest of ``b``; NaN where a difference to some row of ``b`` is."""
+def nearest_squares(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The squared distance of each row of ``a`` to the nearest of ``b``, no farther than its row ``at``; NaN where a difference to some row of ``b`` is."""
     out = np.full(len(a), np.inf)
-    i, _, d, _ = places.nearest(a, b, 1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, y, z = ((a - b[at]) ** 2).T
+        limit = x + y + z
+    i, _, d, _ = places.nearest(a, b, 1, np.where(np.isnan(limit), np.inf, limit))
     out[i] = d
     out[np.isnan(a).any(1) | np.isnan(b).any() | (np.isinf(a) & ((a > 0) & (b == np.inf).any(0) | (a < 0) & (b == -np.inf).any(0))).any(1)] = np.nan
     return out
@@ -240,7 +245,7 @@ def frame_losses(found: list[np.ndarray], truth: dict[int, tuple[np.ndarray, np.
     for f in range(1, len(found)):
         at, want = truth.get(f, (np.zeros(0, int), np.zeros((0, 3))))
         if len(at):
-            total += weights[0] * nearest_squares(want, found[f]).mean() + weights[1] * smooth(found[f][at] - want).sum() / (3 * len(at))
+            total += weights[0] * nearest_squares(want, found[f], at).mean() + weights[1] * smooth(found[f][at] - want).sum() / (3 * len(at))
         if f > 1:
             total += weights[2] * smooth(found[f] - 2 * found[f - 1] + found[f - 2]).sum() / (3 * len(found[f]))
     return total / max(1, len(found) - 1)
@@ -257,11 +262,12 @@ def sweep(nodes: DataFrame, truth: DataFrame, candidates: DataFrame, frames: int
     physics_of, rig_of = [c for c in own if c in Physics.__dataclass_fields__], [c for c in own if c in Rig.__dataclass_fields__]
     if set(own) - {*physics_of, *rig_of}:
         raise ValueError(f"no parameters: {sorted(set(own) - {*physics_of, *rig_of})}")
-    asked = [(int(r["candidate"]), replace(base, **{c: float(r[c]) for c in physics_of}), replace(rig or Rig(), **{c: float(r[c]) for c in rig_of})) for r in candidates.collect()]
+    value = lambda v: np.nan if v is None else float(v)
+    asked = [(int(r["candidate"]), replace(base, **{c: value(r[c]) for c in physics_of}), replace(rig or Rig(), **{c: value(r[c]) for c in rig_of})) for r in candidates.collect()]
     if not asked:
         return candidates.sparkSession.createDataFrame([], "candidate long, case long, loss double")
     cases, cores = max(1, nodes.select("case").distinct().count()), nodes.sparkSession.sparkContext.defaultParallelism
-    deals = min(len(asked), -(-2 * cores // cases))
+    deals = min(len(asked), -(-cores // cases))
     empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
     t = truth.where(F.col("frame").between(1, frames - 1))  # the frames that a loss looks at
     t = t.select(F.col("case").cast("long").alias("case"), F.col("frame").cast("int").alias("frame"), F.col("pid").cast("long").alias("pid"), *XYZ, empty("mass", "double"), empty("mask", "long"), F.lit("truth").alias("kind"))

@@ -34,7 +34,8 @@ def test_nearest_squares_of_what_is_not_finite():
     for b in (odd, odd[1:], odd[2:], np.concatenate([odd, [[np.nan, 0, 0]]]), odd[:2]):
         for a in (odd, np.array([[0, np.nan, 0], [0.5, 0, 0]])):
             want = ((a[:, None] - b[None]) ** 2).sum(2).min(1)
-            assert np.array_equal(simulate.nearest_squares(a, b), want, equal_nan=True)
+            for at in range(len(b)):
+                assert np.array_equal(simulate.nearest_squares(a, b, np.full(len(a), at)), want, equal_nan=True)
 
 
 def test_springs_and_losses_of_a_large_case_meet_few_pairs(monkeypatch):
